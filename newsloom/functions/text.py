@@ -10,9 +10,10 @@ from pyspark.sql import Column, functions as F, types as T
 
 from newsloom import settings
 
-# Java's \s is ASCII only: (?U) adds the Unicode blanks, the range adds the
-# information separators.  Zero-width space is not a blank.
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# The characters that count as blank.  Zero-width space is not one.
+BLANK_CLASS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Only what differs from a single space needs replacing.
+_BLANKS = rf"[{BLANK_CLASS}]{{2,}}|[{BLANK_CLASS}&&[^ ]]"
 
 # Comments, elements whose text is not prose, declarations, then any tag.
 # Attribute values may hold '>' inside quotes; possessive groups keep the
@@ -45,6 +46,23 @@ def _unescape(values: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescape_all(lists: pa.Array) -> pa.Array:
+    flat = lists.flatten()
+    if not pc.any(pc.match_substring(flat, "&")).as_py():
+        return lists
+    decoded = [html.unescape(v) if v is not None and "&" in v else v for v in flat.to_pylist()]
+    sizes = pc.fill_null(pc.list_value_length(lists), 0)
+    ends = pc.cumulative_sum(sizes).cast(pa.int32())
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, pa.array(decoded, pa.string()))
+
+
+def decode_entities_each(c: Column) -> Column:
+    """decode_entities for every text of an array."""
+    return _unescape_all(F.coalesce(c, F.array().cast("array<string>")))
+
+
 def decode_entities(c: Column) -> Column:
     """Character references to characters (Arrow batches; no Catalyst form exists)."""
     return _unescape(c)
@@ -63,7 +81,8 @@ def html_text(c: Column) -> Column:
 def summary_backfill(summary: Column, content_html: Column) -> Column:
     """An empty summary becomes the first characters of the content text."""
     lacks = (F.coalesce(summary, F.lit("")) == "") & (F.coalesce(content_html, F.lit("")) != "")
-    lead = F.substring(html_text(content_html), 1, settings.SUMMARY_CHARS)
+    # other rows pass NULL, so their content never reaches the entity decoder
+    lead = F.substring(html_text(F.when(lacks, content_html)), 1, settings.SUMMARY_CHARS)
     return F.when(lacks, lead).otherwise(F.coalesce(summary, F.lit("")))
 
 

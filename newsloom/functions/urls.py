@@ -58,33 +58,50 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(?:/|$)"), joined).otherwise(path)
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _parts(u: Column) -> Column:
+    """Scheme, authority, path, query and fragment, each with its delimiter."""
+    def split(t):
+        names = ("scheme", "host", "path", "query", "fragment")
+        return F.struct(
+            t.alias("all"), *(F.regexp_extract(t, _PARTS, i + 1).alias(n) for i, n in enumerate(names))
+        )
+
+    return _bind(_tidy(u), split)
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on the page `base`."""
-    b, h = _tidy(base), _tidy(href)
+    plain = href.rlike(r"^/(?![/.])[^?#\s]*$") & ~href.contains("/.") & base.rlike(r"^https?://[^/?#\s]+")
+    quick = F.concat(F.regexp_extract(base, r"^https?://[^/?#]+", 0), href)
+    joined = _bind(F.struct(_parts(base).alias("b"), _parts(href).alias("h")), lambda x: _join(x["b"], x["h"]))
+    return F.when(plain, quick).otherwise(joined)
 
-    def part(u, i):
-        return F.regexp_extract(u, _PARTS, i)
 
-    b_scheme, b_host, b_path, b_query = (part(b, i) for i in (1, 2, 3, 4))
-    scheme, host, path, query, fragment = (part(h, i) for i in (1, 2, 3, 4, 5))
-    relative = (scheme == "") | ((scheme == b_scheme) & scheme.isin(*_HIERARCHICAL))
-    query_out = F.when(query == "?", F.lit("")).otherwise(query)
-    fragment_out = F.when(fragment == "#", F.lit("")).otherwise(fragment)
+def _join(b: Column, h: Column) -> Column:
+    def unless_bare(part, mark):
+        return F.when(part == mark, F.lit("")).otherwise(part)
 
-    folder = F.regexp_replace(b_path, r"[^/]*$", "")
+    relative = (h["scheme"] == "") | ((h["scheme"] == b["scheme"]) & h["scheme"].isin(*_HIERARCHICAL))
+    query, fragment = unless_bare(h["query"], "?"), unless_bare(h["fragment"], "#")
+    folder = F.regexp_replace(b["path"], r"[^/]*$", "")
     merged = F.regexp_replace(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), r"/{2,}", "/"
+        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), h["path"]), r"/{2,}", "/"
     )
-    target = F.when(path.startswith("/"), path).otherwise(merged)
-    on_site = F.concat(b_scheme, b_host, _without_dots(target), query_out, fragment_out)
+    target = F.when(h["path"].startswith("/"), h["path"]).otherwise(merged)
+    on_site = F.concat(b["scheme"], b["host"], _bind(target, _without_dots), query, fragment)
     same_page = F.concat(
-        b_scheme, b_host, b_path, F.when(query_out == "", b_query).otherwise(query_out), fragment_out
+        b["scheme"], b["host"], b["path"], F.when(query == "", b["query"]).otherwise(query), fragment
     )
     return (
-        F.when(F.coalesce(h, F.lit("")) == "", b)
-        .when(F.coalesce(b, F.lit("")) == "", h)
-        .when(~relative, h)
-        .when(host != "", F.concat(b_scheme, host, path, query_out, fragment_out))
-        .when(path == "", same_page)
+        F.when(F.coalesce(h["all"], F.lit("")) == "", b["all"])
+        .when(F.coalesce(b["all"], F.lit("")) == "", h["all"])
+        .when(~relative, h["all"])
+        .when(h["host"] != "", F.concat(b["scheme"], h["host"], h["path"], query, fragment))
+        .when(h["path"] == "", same_page)
         .otherwise(on_site)
     )
