@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from newsloom import settings
+from newsloom.functions.bind import bind
 
 # English day and month names used in feeds.
 _DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
@@ -18,22 +19,17 @@ _ZONE = r"\s*([Zz]|[+-]\d{2}:?\d{2}|[A-Za-z]{2,5})?$"
 _WEEKDAY = r"^(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
 _MONTH = r"((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
 
-# Declared forms: pattern, then the groups of year, month and day.  The time
-# and zone groups follow in the order of _TIME and _ZONE.
+# Declared forms: pattern, then its text rewritten as year|month|day|hour|minute|
+# second|fraction|am or pm|zone.
+_REST = "|$4|$5|$6|$7|$8|$9"
 _FORMS = (
-    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME + _ZONE, (1, 2, 3)),
-    (_WEEKDAY + r"(\d{1,2})[\s-]+" + _MONTH + r"\.?,?[\s-]+(\d{4})" + _TIME + _ZONE, (3, 2, 1)),
-    (_WEEKDAY + _MONTH + r"\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME + _ZONE, (3, 1, 2)),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME + _ZONE, (3, 1, 2)),
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME + _ZONE, "$1|$2|$3" + _REST),
+    (_WEEKDAY + r"(\d{1,2})[\s-]+" + _MONTH + r"\.?,?[\s-]+(\d{4})" + _TIME + _ZONE, "$3|$2|$1" + _REST),
+    (_WEEKDAY + _MONTH + r"\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
 )
 
 
-def _month_number(m: Column) -> Column:
-    names = F.lit("".join(x.lower() for x in _MONTHS))
-    by_name = F.floor((F.instr(names, F.lower(F.substring(m, 1, 3))) + 2) / 3)
-    return F.when(m.rlike(r"^\d+$"), m).otherwise(by_name.cast("string"))
-
-
 def parse_date_text(text: Column, zone: str = settings.DEFAULT_TIMEZONE) -> Column:
     """Instant of one date text, NULL where it is in none of the declared forms.
 
@@ -41,45 +37,47 @@ def parse_date_text(text: Column, zone: str = settings.DEFAULT_TIMEZONE) -> Colu
     and cast once; a date that does not exist gives NULL.
     """
     t = F.trim(text)
-    out = F.lit(None).cast("timestamp")
-    for pattern, ymd in reversed(_FORMS):
-        out = F.when(t.rlike(pattern), _canonical(t, pattern, ymd, zone).try_cast("timestamp")).otherwise(out)
-    return out
+    fields = F.lit(None).cast("string")
+    for pattern, rewritten in reversed(_FORMS):
+        fields = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, rewritten)).otherwise(fields)
+    return bind(F.split(fields, r"\|"), lambda f: _canonical(f, zone).try_cast("timestamp"))
+
+
+def _month_number(m: Column) -> Column:
+    names = F.lit("".join(x.lower() for x in _MONTHS))
+    by_name = F.floor((F.instr(names, F.lower(F.substring(m, 1, 3))) + 2) / 3)
+    return F.coalesce(m.try_cast("int"), by_name.cast("int"))
+
+
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
 
 
-def _canonical(t: Column, pattern: str, ymd: tuple[int, int, int], zone: str) -> Column:
-    def group(i):
-        return F.regexp_extract(t, pattern, i)
+def _canonical(f: Column, zone: str) -> Column:
+    """ISO text of the fields of one date."""
+    year, month, day, hour, minute, second, fraction, half, tz = (F.get(f, i) for i in range(9))
 
-    year, month, day = group(ymd[0]), _month_number(group(ymd[1])), group(ymd[2])
-    if pattern.startswith(r"^(\d{1,2})/"):
+    def date(first):
         # month first, unless that cannot be a month
-        day_first = month.cast("int") > 12
-        month, day = F.when(day_first, day).otherwise(month), F.when(day_first, month).otherwise(day)
-    hour, minute, second, fraction, half, tz = (group(i) for i in range(4, 10))
-    hour24 = (
-        F.when((F.lower(half) == "pm") & (hour.try_cast("int") < 12), (hour.try_cast("int") + 12).cast("string"))
-        .when((F.lower(half) == "am") & (hour == "12"), F.lit("0"))
-        .when(hour == "", F.lit("0"))
-        .otherwise(hour)
-    )
+        swap = first > 12
+        m = F.when(swap, day.try_cast("int")).otherwise(first)
+        d = F.when(swap, first).otherwise(day.try_cast("int"))
+        return F.concat(year, F.lit("-"), _two(m), F.lit("-"), _two(d))
+
+    hours = F.coalesce(hour.try_cast("int"), F.lit(0))
+    shift = F.when((F.lower(half) == "pm") & (hours < 12), 12).when((F.lower(half) == "am") & (hours == 12), -12).otherwise(0)
     offset = (
         F.when(F.upper(tz).isin("Z", "UTC", "GMT"), F.lit("Z"))
-        .when(tz.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(tz, 1, 3), F.lit(":"), F.substring(tz, 4, 2)))
-        .when(tz.rlike(r"^[+-]"), tz)
+        .when(tz.rlike(r"^[+-]"), F.regexp_replace(tz, r"^(...):?(..)$", "$1:$2"))
         .otherwise(F.lit(" " + zone))  # no zone, or a name that says nothing
     )
     return F.concat(
-        year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"),
-        F.lpad(hour24, 2, "0"), F.lit(":"), _or_zero(minute), F.lit(":"), _or_zero(second),
-        F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)), offset,
+        bind(_month_number(month), date), F.lit("T"), _two(hours + shift), F.lit(":"), F.lpad(minute, 2, "0"),
+        F.lit(":"), F.lpad(second, 2, "0"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
+        offset,
     )
 
 
-def _or_zero(c: Column) -> Column:
-    return F.when(c == "", F.lit("00")).otherwise(c)
-
-
 def parse_date(published: Column, updated: Column, created: Column,
                zone: str = settings.DEFAULT_TIMEZONE) -> Column:
     """First of the three date texts that can be read."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from newsloom.functions.bind import bind
+
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # scheme, authority, path, query of an address (generic URI syntax)
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -58,11 +60,6 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(?:/|$)"), joined).otherwise(path)
 
 
-def _bind(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _parts(u: Column) -> Column:
     """Scheme, authority, path, query and fragment, each with its delimiter."""
     def split(t):
@@ -71,14 +68,14 @@ def _parts(u: Column) -> Column:
             t.alias("all"), *(F.regexp_extract(t, _PARTS, i + 1).alias(n) for i, n in enumerate(names))
         )
 
-    return _bind(_tidy(u), split)
+    return bind(_tidy(u), split)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on the page `base`."""
     plain = href.rlike(r"^/(?![/.])[^?#\s]*$") & ~href.contains("/.") & base.rlike(r"^https?://[^/?#\s]+")
     quick = F.concat(F.regexp_extract(base, r"^https?://[^/?#]+", 0), href)
-    joined = _bind(F.struct(_parts(base).alias("b"), _parts(href).alias("h")), lambda x: _join(x["b"], x["h"]))
+    joined = bind(F.struct(_parts(base).alias("b"), _parts(href).alias("h")), lambda x: _join(x["b"], x["h"]))
     return F.when(plain, quick).otherwise(joined)
 
 
@@ -93,7 +90,7 @@ def _join(b: Column, h: Column) -> Column:
         F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), h["path"]), r"/{2,}", "/"
     )
     target = F.when(h["path"].startswith("/"), h["path"]).otherwise(merged)
-    on_site = F.concat(b["scheme"], b["host"], _bind(target, _without_dots), query, fragment)
+    on_site = F.concat(b["scheme"], b["host"], bind(target, _without_dots), query, fragment)
     same_page = F.concat(
         b["scheme"], b["host"], b["path"], F.when(query == "", b["query"]).otherwise(query), fragment
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import settings
 from newsloom.functions.text import strip_ws, truncate_html, xml_escape
@@ -29,6 +29,10 @@ def _with_candidates(nodes: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _joined(nodes: str, field: str, sep: str) -> Column:
+    return F.array_join(F.transform(nodes, lambda n: n[field]), sep)
+
+
 def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, content_html, method): the first candidate with enough text.
 
@@ -44,15 +48,20 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     is_text = F.col("kind") == "text"
     blocks = F.col("cand") == _BLOCKS
     part = pruned.where(~blocks | is_text).withColumn("part", F.when(blocks, F.col("block")).otherwise(F.lit(0)))
-    plain = F.when(is_text, F.col("text"))
+    node = F.struct(
+        "ord", F.when(is_text, F.col("text")).alias("text"), "in_link",
+        F.when(~blocks, node_markup()).alias("markup"),
+    )
     parts = part.groupBy(key, "cand", "part").agg(
-        F.min("ord").alias("ord"),
         F.max(F.when(blocks, F.col("tag"))).alias("tag"),
-        strip_ws(in_order(plain, "")).alias("block_text"),
-        strip_ws(in_order(F.when(F.col("in_link"), plain), "")).alias("link_text"),
-        strip_ws(in_order(plain, " ")).alias("text"),
-        in_order(F.when(~blocks, node_markup()), "").alias("html"),
-    )
+        F.array_sort(F.collect_list(node)).alias("nodes"),
+    ).withColumns({
+        "ord": F.col("nodes")[0]["ord"],
+        "block_text": strip_ws(_joined("nodes", "text", "")),
+        "link_text": strip_ws(F.array_join(
+            F.transform(F.filter("nodes", lambda n: n["in_link"]), lambda n: n["text"]), ""
+        )),
+    })
     heading = F.coalesce(F.col("tag").rlike("^h[1-6]$"), F.lit(False))
     long_enough = heading | (F.length("block_text") >= settings.BLOCK_MIN_CHARS)
     prose = F.length("link_text") <= settings.BLOCK_MAX_LINK_DENSITY * F.length("block_text")
@@ -63,8 +72,8 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     )
     chosen = parts.where(good).select(
         key, "cand", "ord",
-        F.when(blocks, block_html).otherwise(F.col("html")).alias("html"),
-        F.when(blocks, F.col("block_text")).otherwise(F.col("text")).alias("text"),
+        F.when(blocks, block_html).otherwise(_joined("nodes", "markup", "")).alias("html"),
+        F.when(blocks, F.col("block_text")).otherwise(strip_ws(_joined("nodes", "text", " "))).alias("text"),
         F.when(blocks, F.lit("blocks")).otherwise(F.lit("element")).alias("method"),
     )
     # level 2: whole candidates with enough text; level 3: the first of them

@@ -34,9 +34,9 @@ def selector_rules(selector: Column) -> Column:
     """Rules of a selector text: href starts with (^) or contains (*); none means every link."""
     form = r"\[href([\^*])=['\"]([^'\"]*)['\"]\]"
     text = F.coalesce(selector, F.lit(""))
-    return F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(form), F.lit(1)).alias("op"),
-        F.regexp_extract_all(text, F.lit(form), F.lit(2)).alias("needle"),
+    return F.zip_with(
+        F.regexp_extract_all(text, F.lit(form), F.lit(1)), F.regexp_extract_all(text, F.lit(form), F.lit(2)),
+        lambda op, needle: F.named_struct(F.lit("op"), op, F.lit("needle"), needle),
     )
 
 

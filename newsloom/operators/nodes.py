@@ -150,10 +150,10 @@ def _page_nodes(pages: pa.Array) -> pa.Array:
     for page in pages.to_pylist():
         rows += _PageReader().page(page) if page else []
         offsets.append(len(rows))
-    columns = zip(*rows) if rows else [()] * len(NODE.fields)
-    nodes = pa.StructArray.from_arrays(
-        [pa.array(c, _ARROW_TYPES[f.dataType.typeName()]) for c, f in zip(columns, NODE.fields)], NODE.fieldNames()
-    )
+    columns = [
+        pa.array([r[i] for r in rows], _ARROW_TYPES[f.dataType.typeName()]) for i, f in enumerate(NODE.fields)
+    ]
+    nodes = pa.StructArray.from_arrays(columns, NODE.fieldNames())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
 
 
