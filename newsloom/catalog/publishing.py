@@ -176,12 +176,10 @@ def daily(spark, sf):
 
 @register("reader_find", f"""
 {_SQL_TOP}
-SELECT seq, url, source, title, 'content' AS body_kind FROM top
-WHERE seq % 3 = 1 AND source = 'view' AND false
-UNION ALL
-SELECT seq, url, source, title, CASE WHEN seq % 3 = 1 THEN 'content' WHEN summary <> '' THEN 'summary' ELSE 'none' END
+SELECT seq, url, source, title,
+       CASE WHEN seq % 3 = 1 THEN 'content' WHEN summary <> '' THEN 'summary' ELSE 'none' END AS body_kind
 FROM top WHERE source = 'view'""")
 def reader_find(spark, sf):
     """Cards of one source that match a query."""
-    found = find(with_content(chosen(spark, sf)), "Itme", "view", v.ZONE)
+    found = find(with_content(chosen(spark, sf)), "Iten", "view", v.ZONE)
     return found.select("seq", "url", "source", "title", "body_kind")

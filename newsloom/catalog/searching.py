@@ -22,9 +22,13 @@ def docs(spark, sf):
 def _sql_scores(query: str) -> str:
     n, size = len(query.split()), len(query)
     runs = " || ' ' || ".join(f"lead(w, {i}) OVER run" if i else "w" for i in range(n))
+    # the SQL distance counts bytes; the queries are plain ASCII without '?', so one
+    # byte for every other character keeps the distance
+    def words(f):
+        return f"string_split(regexp_replace(lower({v.sql_strip(f)}), '[^\\x00-\\x7F]', '?', 'g'), ' ')"
+
     fields = " UNION ALL ".join(
-        f"SELECT seq, '{f}' AS field, unnest(string_split(lower({v.sql_strip(f)}), ' ')) AS w, "
-        f"generate_subscripts(string_split(lower({v.sql_strip(f)}), ' '), 1) AS pos FROM docs"
+        f"SELECT seq, '{f}' AS field, unnest({words(f)}) AS w, generate_subscripts({words(f)}, 1) AS pos FROM docs"
         for f in ("title", "summary", "content_text")
     )
     return f"""

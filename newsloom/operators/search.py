@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import settings
+from newsloom.functions.bind import bind
 from newsloom.functions.text import search_text, strip_ws
 
 
@@ -25,19 +26,20 @@ def source_filter(items: DataFrame, source: str = "") -> DataFrame:
     return items.where(F.col("source") == source) if source else items
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Every run of n words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
 def _best_distance(field: Column, query: str, bound: int) -> Column:
     """Smallest edit distance of any word run, NULL when none is within the bound."""
     n = len(query.split(" "))
     words = F.split(F.lower(strip_ws(field)), " ")
-    if n == 1:
-        runs = words
-    else:
-        starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        ).otherwise(F.array().cast("array<int>"))
-        runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    near = F.filter(F.array_distinct(runs), lambda w: F.abs(F.length(w) - len(query)) <= bound)
-    distances = F.transform(near, lambda w: F.levenshtein(w, F.lit(query), bound))
+    # the words are split once, not once per run
+    runs = words if n == 1 else bind(words, lambda w: _runs(w, n))
+    near = F.filter(runs, lambda w: F.abs(F.length(w) - len(query)) <= bound)
+    distances = F.transform(F.array_distinct(near), lambda w: F.levenshtein(w, F.lit(query), bound))
     return F.array_min(F.filter(distances, lambda d: d >= 0))
 
 
