@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import views as v
 from newsloom.catalog.registered import register
 from newsloom.operators import search, skew
+from newsloom.session import materialise
 
 _WORD = "treanch"
 _PHRASE = "de lo que"
@@ -52,7 +53,8 @@ def fuzzy_search_phrase(spark, sf):
 @register("search_rank", f"""
 {_sql_scores(_WORD)} SELECT seq, row_number() OVER (ORDER BY score, seq) AS rank FROM found""")
 def search_rank(spark, sf):
-    found = search.fuzzy_search(docs(spark, sf), _WORD)
+    # matches are few; ranking reads them twice
+    found = materialise(search.fuzzy_search(docs(spark, sf), _WORD).select("seq", "score"))
     return skew.distributed_rank(found, search.search_rank_order()).select("seq", "rank")
 
 

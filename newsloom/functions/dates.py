@@ -36,17 +36,22 @@ def parse_date_text(text: Column, zone: str = settings.DEFAULT_TIMEZONE) -> Colu
     Local times belong to `zone`.  Each text is rewritten to one canonical form
     and cast once; a date that does not exist gives NULL.
     """
-    t = F.trim(text)
-    fields = F.lit(None).cast("string")
-    for pattern, rewritten in reversed(_FORMS):
-        fields = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, rewritten)).otherwise(fields)
-    return bind(F.split(fields, r"\|"), lambda f: _canonical(f, zone).try_cast("timestamp"))
+    fields = F.trim(text)
+    for pattern, rewritten in _FORMS:
+        # a text that is rewritten already fits no later form
+        fields = F.regexp_replace(fields, pattern, rewritten)
+    return bind(F.split(fields, r"\|"), lambda f: F.when(F.size(f) == 9, _canonical(f, zone).try_cast("timestamp")))
+
+
+def _int(c: Column) -> Column:
+    """Number of a text of digits, else NULL; a failing try_cast would cost an exception per row."""
+    return F.when(c.rlike(r"^\d+$"), c.cast("int"))
 
 
 def _month_number(m: Column) -> Column:
     names = F.lit("".join(x.lower() for x in _MONTHS))
     by_name = F.floor((F.instr(names, F.lower(F.substring(m, 1, 3))) + 2) / 3)
-    return F.coalesce(m.try_cast("int"), by_name.cast("int"))
+    return F.coalesce(_int(m), by_name.cast("int"))
 
 
 def _two(c: Column) -> Column:
@@ -60,11 +65,11 @@ def _canonical(f: Column, zone: str) -> Column:
     def date(first):
         # month first, unless that cannot be a month
         swap = first > 12
-        m = F.when(swap, day.try_cast("int")).otherwise(first)
-        d = F.when(swap, first).otherwise(day.try_cast("int"))
+        m = F.when(swap, _int(day)).otherwise(first)
+        d = F.when(swap, first).otherwise(_int(day))
         return F.concat(year, F.lit("-"), _two(m), F.lit("-"), _two(d))
 
-    hours = F.coalesce(hour.try_cast("int"), F.lit(0))
+    hours = F.coalesce(_int(hour), F.lit(0))
     shift = F.when((F.lower(half) == "pm") & (hours < 12), 12).when((F.lower(half) == "am") & (hours == 12), -12).otherwise(0)
     offset = (
         F.when(F.upper(tz).isin("Z", "UTC", "GMT"), F.lit("Z"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from newsloom.functions.bind import bind
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_SHOUTED = r"^(?=[A-Za-z])[a-z0-9+.\-]*[A-Z][A-Za-z0-9+.\-]*:"  # a scheme with a capital in it
+_CONTROLS = "".join(chr(i) for i in range(0x21))  # blank and below
 # scheme, authority, path, query of an address (generic URI syntax)
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 _HIERARCHICAL = ("http:", "https:", "ftp:", "file:")
@@ -14,16 +15,16 @@ _HIERARCHICAL = ("http:", "https:", "ftp:", "file:")
 
 def _tidy(u: Column) -> Column:
     """Leading blanks and controls out, tabs and newlines out, scheme in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    scheme = F.regexp_extract(bare, _SCHEME, 0)
-    return F.when(scheme == "", bare).otherwise(
-        F.concat(F.lower(scheme), F.substr(bare, F.length(scheme) + 1))
-    )
+    bare = F.translate(F.ltrim(u, F.lit(_CONTROLS)), "\t\r\n", "")
+    scheme = F.substring_index(bare, ":", 1)
+    return F.when(
+        bare.rlike(_SHOUTED), F.concat(F.lower(scheme), F.substr(bare, F.length(scheme) + 1))
+    ).otherwise(bare)
 
 
 def clean_url(u: Column) -> Column:
     """Address without query and fragment; NULL and '' stay as they are."""
-    return F.regexp_replace(_tidy(u), r"(?s)[?#].*$", "")
+    return F.substring_index(F.substring_index(_tidy(u), "#", 1), "?", 1)
 
 
 def is_bad_url(u: Column) -> Column:

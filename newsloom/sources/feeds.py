@@ -32,7 +32,7 @@ ENTRY = T.StructType([
     T.StructField(CORRUPT, T.StringType()),
 ])
 # one entry, up to its end tag, the next entry, or the end of a cut document
-_ENTRY = r"(?s)<(item|entry)[\s>].*?(?:</\1\s*>|(?=<\1[\s>])|\z)"
+_ENTRY = r"<(item|entry)[\s>][^<]*+(?:<(?!/?\1[\s>])[^<]*+)*+(?:</\1\s*>)?"
 
 
 def entry_fields(entry: Column, zone: str) -> dict[str, Column]:
