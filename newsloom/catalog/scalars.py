@@ -155,7 +155,9 @@ _HREFS = {
     "'//cdn.example.org/' || page_id": "scheme || '//cdn.example.org/' || page_id",
     "'?k=' || page_id": "origin || path || '?k=' || page_id",
     "'mailto:u' || page_id || '@example.org'": "'mailto:u' || page_id || '@example.org'",
-    "'HTTPS://o.example.org/' || page_id || '#z'": "'https://o.example.org/' || page_id || '#z'",
+    # only a link of the base's own scheme is rewritten
+    "'HTTPS://o.example.org/' || page_id || '#z'":
+        "CASE scheme WHEN 'https:' THEN scheme ELSE 'HTTPS:' END || '//o.example.org/' || page_id || '#z'",
     "'#s' || page_id": "origin || path || query || '#s' || page_id",
 }
 

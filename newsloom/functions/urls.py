@@ -76,11 +76,12 @@ def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on the page `base`."""
     plain = href.rlike(r"^/(?![/.])[^?#\s]*$") & ~href.contains("/.") & base.rlike(r"^https?://[^/?#\s]+")
     quick = F.concat(F.regexp_extract(base, r"^https?://[^/?#]+", 0), href)
-    joined = bind(F.struct(_parts(base).alias("b"), _parts(href).alias("h")), lambda x: _join(x["b"], x["h"]))
+    pair = F.struct(_parts(base).alias("b"), _parts(href).alias("h"), href.alias("raw"))
+    joined = bind(pair, lambda x: _join(x["b"], x["h"], x["raw"]))
     return F.when(plain, quick).otherwise(joined)
 
 
-def _join(b: Column, h: Column) -> Column:
+def _join(b: Column, h: Column, raw: Column) -> Column:
     def unless_bare(part, mark):
         return F.when(part == mark, F.lit("")).otherwise(part)
 
@@ -97,8 +98,7 @@ def _join(b: Column, h: Column) -> Column:
     )
     return (
         F.when(F.coalesce(h["all"], F.lit("")) == "", b["all"])
-        .when(F.coalesce(b["all"], F.lit("")) == "", h["all"])
-        .when(~relative, h["all"])
+        .when((F.coalesce(b["all"], F.lit("")) == "") | ~relative, raw)
         .when(h["host"] != "", F.concat(b["scheme"], h["host"], h["path"], query, fragment))
         .when(h["path"] == "", same_page)
         .otherwise(on_site)

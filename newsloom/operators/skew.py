@@ -27,7 +27,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: str, spread: str, how: str
     limit = broadcast_limit(facts.sparkSession)
     if limit and measured_bytes(dim) <= limit:
         return facts.join(F.broadcast(dim), on, how)
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return facts.withColumn("_salt", _salt(spread)).join(repeated, [on, "_salt"], how).drop("_salt")
 
 
