@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import settings
+from newsloom.functions.bind import computed
 from newsloom.functions.text import strip_ws, truncate_html, xml_escape
 from newsloom.operators.nodes import html_nodes
 from newsloom.operators.prune import in_order, node_markup, prune_nodes
@@ -52,10 +53,11 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         "ord", F.when(is_text, F.col("text")).alias("text"), "in_link",
         F.when(~blocks, node_markup()).alias("markup"),
     )
-    parts = part.groupBy(key, "cand", "part").agg(
+    grouped = part.groupBy(key, "cand", "part").agg(
         F.max(F.when(blocks, F.col("tag"))).alias("tag"),
         F.array_sort(F.collect_list(node)).alias("nodes"),
-    ).withColumns({
+    )
+    parts = computed(grouped, [key, "cand", "tag", "nodes"], {
         "ord": F.col("nodes")[0]["ord"],
         "block_text": strip_ws(_joined("nodes", "text", "")),
         "link_text": strip_ws(F.array_join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import settings
+from newsloom.functions.bind import computed
 from newsloom.functions.text import decode_entities, decode_entities_each, html_text
 from newsloom.functions.urls import clean_url, resolve_url
 
@@ -57,11 +58,11 @@ def page_links(pages: DataFrame, base: str = "url", html: str = "html", selector
         *rest, rules.alias("_rules"),
         F.posexplode(F.regexp_extract_all(_visible(F.col(html)), F.lit(_ANCHOR), F.lit(0))).alias("entry_ord", "_a"),
     )
-    read = anchors.select(
-        *rest, "_rules", F.col("entry_ord").cast("bigint").alias("entry_ord"),
-        decode_entities(_attribute(F.col("_a"), "href")).alias("href"),
-        html_text(F.regexp_extract("_a", _INNER, 1)).alias("title"),
-    )
+    read = computed(anchors, [*rest, "_rules"], {
+        "entry_ord": F.col("entry_ord").cast("bigint"),
+        "href": decode_entities(_attribute(F.col("_a"), "href")),
+        "title": html_text(F.regexp_extract("_a", _INNER, 1)),
+    })
     return (
         read.where((F.col("href") != "") & (F.col("title") != "") & link_selected(F.col("href"), F.col("_rules")))
         .drop("_rules")

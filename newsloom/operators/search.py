@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import settings
-from newsloom.functions.bind import bind
+from newsloom.functions.bind import bind, computed
 from newsloom.functions.text import search_text, strip_ws
 
 
@@ -53,7 +53,8 @@ def fuzzy_search(docs: DataFrame, query: str, threshold: float = settings.SEARCH
         return docs.withColumn("score", F.lit(0.0))
     bound = math.floor(threshold * len(q))
     fields = [_best_distance(F.col(c), q, bound) for c in ("title", "summary", "content_text")]
-    return docs.withColumn("score", F.least(*fields) / F.lit(float(len(q)))).where(F.col("score").isNotNull())
+    scored = computed(docs, docs.columns, {"score": F.least(*fields) / F.lit(float(len(q)))})
+    return scored.where(F.col("score").isNotNull())
 
 
 def search_rank_order() -> list[Column]:

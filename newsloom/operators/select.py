@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsloom import settings
 from newsloom.functions.dates import instant
 from newsloom.functions.text import strip_ws
-from newsloom.operators.skew import lookup_join, top_per_group
+from newsloom.operators.skew import fits_broadcast, lookup_join, top_per_group
 
 
 def arrival_seq(source_ord: Column, strategy_ord: Column, feed_ord: Column, entry_ord: Column) -> Column:
@@ -52,10 +52,10 @@ def feed_cap(entries: DataFrame, feed: str, order: str, cap: int = settings.MAX_
     return entries.withColumn("entry_ord", F.row_number().over(w)).where(F.col("entry_ord") <= cap)
 
 
-def with_policy(items: DataFrame, policy: DataFrame) -> DataFrame:
+def with_policy(items: DataFrame, policy: DataFrame, fits: bool | None = None) -> DataFrame:
     """Attach recent_hours and min_keep of the item's source, or the defaults."""
     rules = policy.select("source", "recent_hours", "min_keep")
-    joined = lookup_join(items, rules, "source", spread="seq")
+    joined = lookup_join(items, rules, "source", spread="seq", fits=fits)
     return joined.withColumn(
         "recent_hours", F.coalesce("recent_hours", F.lit(settings.DEFAULT_RECENT_HOURS)).cast("int")
     ).withColumn("min_keep", F.coalesce("min_keep", F.lit(settings.DEFAULT_MIN_KEEP)).cast("int"))
@@ -93,7 +93,9 @@ def recent_or_topped_up(items: DataFrame, policy: DataFrame, as_of, undated: str
     Adds `topup` (1 for added rows) and `src_first_seq` (arrival of the source,
     0 for recent rows), which the final order needs.
     """
-    marked = with_policy(items, policy).withColumn("_recent", is_recent(as_of, undated))
+    rules = policy.select("source", "recent_hours", "min_keep")
+    fits = fits_broadcast(rules)
+    marked = with_policy(items, rules, fits).withColumn("_recent", is_recent(as_of, undated))
     recent = marked.where("_recent").withColumn("topup", F.lit(0)).withColumn(
         "src_first_seq", F.lit(0).cast("bigint")
     )
@@ -108,7 +110,10 @@ def recent_or_topped_up(items: DataFrame, policy: DataFrame, as_of, undated: str
     )
     # the policy is configuration: its largest min_keep is one bounded number
     most = policy.agg(F.max("min_keep").alias("m")).first()["m"] or 0
-    spare = wants_more.where(~F.col("_recent")).join(short, "source").withColumn("_ts", sort_ts())
+    # at most one short row per policy row, and no wider: it fits where the policy does
+    spare = lookup_join(
+        wants_more.where(~F.col("_recent")), short, "source", spread="seq", how="inner", fits=fits
+    ).withColumn("_ts", sort_ts())
     added = top_per_group(
         spare, "source", [F.col("_ts").desc(), F.col("seq")], need="_need", at_most=max(most, 0), spread="seq"
     ).withColumn("topup", F.lit(1)).drop("_ts", "_need")

@@ -17,15 +17,21 @@ def _salt(spread: str) -> Column:
     return F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: str, spread: str, how: str = "left") -> DataFrame:
+def fits_broadcast(dim: DataFrame) -> bool:
+    """True when the measured size of the table is within the session's broadcast limit."""
+    limit = broadcast_limit(dim.sparkSession)
+    return bool(limit) and measured_bytes(dim) <= limit
+
+
+def lookup_join(facts: DataFrame, dim: DataFrame, on: str, spread: str, how: str = "left",
+                fits: bool | None = None) -> DataFrame:
     """Join many rows to a table with one row per key.
 
-    The table is broadcast only when its measured size is within the session's
-    broadcast limit.  Beyond it the hot keys of `facts` are spread over salts
-    and the table is repeated once per salt.
+    The table is broadcast only when it fits, which is measured unless the
+    caller knows (`fits`).  Otherwise the hot keys of `facts` are spread over
+    salts and the table is repeated once per salt.
     """
-    limit = broadcast_limit(facts.sparkSession)
-    if limit and measured_bytes(dim) <= limit:
+    if fits_broadcast(dim) if fits is None else fits:
         return facts.join(F.broadcast(dim), on, how)
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return facts.withColumn("_salt", _salt(spread)).join(repeated, [on, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newsloom import settings
+from newsloom.functions.bind import computed
 from newsloom.functions.dates import parse_date
 from newsloom.functions.text import html_text, strip_ws
 from newsloom.functions.urls import clean_url, is_bad_url
@@ -35,30 +36,43 @@ ENTRY = T.StructType([
 _ENTRY = r"<(item|entry)[\s>][^<]*+(?:<(?!/?\1[\s>])[^<]*+)*+(?:</\1\s*>)?"
 
 
-def entry_fields(entry: Column, zone: str) -> dict[str, Column]:
-    """title, url, summary and published_at of one parsed entry."""
+def entry_texts(entry: Column) -> dict[str, Column]:
+    """Address, title, summary and date texts of one parsed entry, as they are written."""
     links = F.coalesce(entry["link"], F.array().cast(T.ArrayType(_LINK)))
     texts = F.filter(F.transform(links, lambda x: F.trim(x["_VALUE"])), lambda v: v != "")
     main = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     hrefs = F.filter(F.transform(main, lambda x: x["_href"]), lambda v: v != "")
     # a permanent id stands in for a missing link
     perma = F.when(F.coalesce(entry["guid"]["_isPermaLink"], F.lit("true")) == "true", entry["guid"]["_VALUE"])
-    url = F.coalesce(F.get(texts, 0), F.get(hrefs, 0), perma, F.lit(""))
     blank = F.lit("")
-    summary = F.coalesce(F.nullif(entry["summary"], blank), F.nullif(entry["description"], blank), blank)
     return {
-        "title": strip_ws(entry["title"]),
-        "url": clean_url(url),
-        "bad_url": is_bad_url(url),
-        "summary": html_text(summary),
-        "published_at": parse_date(
-            F.coalesce(F.nullif(entry["pubDate"], blank), entry["published"]),
-            F.coalesce(F.nullif(entry["updated"], blank), entry["dc_date"]),
-            entry["created"], zone,
-        ),
+        "_link": F.coalesce(F.get(texts, 0), F.get(hrefs, 0), perma, blank),
+        "_title": entry["title"],
+        "_summary": F.coalesce(F.nullif(entry["summary"], blank), F.nullif(entry["description"], blank), blank),
+        "_published": F.coalesce(F.nullif(entry["pubDate"], blank), entry["published"]),
+        "_updated": F.coalesce(F.nullif(entry["updated"], blank), entry["dc_date"]),
+        "_created": entry["created"],
+        "corrupt": F.coalesce(entry[CORRUPT].isNotNull(), F.lit(False)),
     }
 
 
+def read_entry(parsed: DataFrame, keep: list[str], entry: Column, zone: str) -> DataFrame:
+    """title, url, summary, published_at of parsed entries; corrupt and bad_url mark the unusable."""
+    texts = computed(parsed, keep, entry_texts(entry))
+    return computed(texts, [*keep, "corrupt"], {
+        "title": strip_ws(F.col("_title")),
+        "url": clean_url(F.col("_link")),
+        "bad_url": is_bad_url(F.col("_link")),
+        "summary": html_text(F.col("_summary")),
+        "published_at": parse_date(F.col("_published"), F.col("_updated"), F.col("_created"), zone),
+    })
+
+
+def usable() -> Column:
+    """Readable, with a sound address and a title."""
+    return ~F.col("corrupt") & ~F.col("bad_url") & (F.length("url") > 0) & (F.length("title") > 0)
+
+
 def _unprefixed(xml: Column) -> Column:
     """Namespace prefixes to plain names: a fragment has lost their declarations."""
     tags = F.regexp_replace(xml, r"(</?[A-Za-z_][\w.-]*):(?=[A-Za-z_])", "$1_")
@@ -76,23 +90,18 @@ def read_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFA
     texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(_ENTRY), F.lit(0))
     pieces = feeds.select(*rest, F.posexplode(F.slice(texts, 1, cap)).alias("entry_ord", "_xml"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = pieces.withColumn("_e", F.from_xml(_unprefixed(F.col("_xml")), ENTRY, options))
-    fields = entry_fields(F.col("_e"), zone)
-    return parsed.select(
-        *rest, F.col("entry_ord").cast("bigint").alias("entry_ord"),
-        *(c.alias(n) for n, c in fields.items()),
-        F.coalesce(F.col("_e")[CORRUPT].isNotNull(), F.lit(False)).alias("corrupt"),
+    keep = [*rest, "entry_ord"]
+    parsed = computed(
+        pieces.withColumn("entry_ord", F.col("entry_ord").cast("bigint")), keep,
+        {"_e": F.from_xml(_unprefixed(F.col("_xml")), ENTRY, options)},
     )
+    return read_entry(parsed, keep, F.col("_e"), zone)
 
 
 def feed_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFAULT_TIMEZONE,
                  cap: int = settings.MAX_FEED_ENTRIES) -> DataFrame:
     """Usable entries: the cap counts positions first, then incomplete entries go."""
-    return (
-        read_entries(feeds, body, zone, cap)
-        .where(~F.col("corrupt") & ~F.col("bad_url") & (F.length("url") > 0) & (F.length("title") > 0))
-        .drop("corrupt", "bad_url")
-    )
+    return read_entries(feeds, body, zone, cap).where(usable()).drop("corrupt", "bad_url")
 
 
 def feed_warnings(feeds: DataFrame, body: str = "body") -> DataFrame:
@@ -118,8 +127,4 @@ def scan_feed_files(spark: SparkSession, path: str, row_tag: str = "item",
         .options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
         .load(path)
     )
-    entry = F.struct(*ENTRY.fieldNames())
-    fields = entry_fields(entry, zone)
-    return raw.select(
-        *(c.alias(n) for n, c in fields.items()), F.col(CORRUPT).isNotNull().alias("corrupt")
-    )
+    return read_entry(raw, [], F.struct(*ENTRY.fieldNames()), zone)
