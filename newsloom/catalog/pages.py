@@ -90,9 +90,8 @@ _RULES = [
     ("m", "newsbot", 0, False, "/de"), ("m", "*", 0, True, "/"), ("m", "*", 1, False, "/"),
 ]
 _AGENT = "NewsBot/1.0"
-_SQL_RULES = "rules(host, agent, rule_ord, allow, path_prefix) AS (VALUES " + ", ".join(
-    f"('{h}', '{a}', {o}, {str(x).lower()}, '{p}')" for h, a, o, x, p in _RULES
-) + ")"
+_RULE_COLUMNS = "(host, agent, rule_ord, allow, path_prefix)"
+_SQL_RULES = f"rules{_RULE_COLUMNS} AS (VALUES {v.sql_rows(_RULES)})"
 _SQL_ROBOTS = f"""
 WITH {v.SQL_PAGE_ITEMS}, {_SQL_RULES},
 mine AS (
@@ -103,8 +102,8 @@ decided AS (
   LEFT JOIN mine ON host = source AND starts_with(path, path_prefix) GROUP BY seq)"""
 
 
-def rules(spark):
-    return spark.createDataFrame(_RULES, "host string, agent string, rule_ord int, allow boolean, path_prefix string")
+def rules(spark, rows=_RULES):
+    return spark.sql(f"SELECT * FROM VALUES {v.sql_rows(rows)} AS t{_RULE_COLUMNS}")
 
 
 @register("robots_join", f"{_SQL_ROBOTS} SELECT seq, allowed FROM decided")
@@ -123,10 +122,7 @@ def robots_gate(spark, sf):
 {v.SQL_SELECTION}
 SELECT seq, url FROM ranked WHERE rank <= 120 AND url NOT LIKE 'https://news.example.org/n/1%' ORDER BY rank LIMIT 30""")
 def fetch_budget(spark, sf):
-    no_ones = spark.createDataFrame(
-        [("news.example.org", "*", 0, False, "/n/1")],
-        "host string, agent string, rule_ord int, allow boolean, path_prefix string",
-    )
+    no_ones = rules(spark, [("news.example.org", "*", 0, False, "/n/1")])
     return robots.fetch_budget(robots.robots_gate(chosen(spark, sf), no_ones)).select("seq", "url")
 
 

@@ -14,7 +14,7 @@ _SPACED = "concat(chr(9), ' ', replace(text, ' de ', concat(' de', '\u0085'))
 @register("strip_ws", f"""
 SELECT doc_id, {v.sql_strip(_SPACED)} AS text, {v.sql_strip('CAST(NULL AS VARCHAR)')} AS blank FROM documents""")
 def strip_ws(spark, sf):
-    d = v.table(spark, sf, "documents")
+    d = v.documents(spark, sf)
     return d.select(
         "doc_id", text.strip_ws(F.expr(_SPACED)).alias("text"),
         text.strip_ws(F.lit(None).cast("string")).alias("blank"),
@@ -207,4 +207,4 @@ def display_card(spark, sf):
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '''' || source || '''' END AS label FROM documents""")
 def tz_label(spark, sf):
     name = F.expr("CASE WHEN doc_id % 2 = 0 THEN source ELSE concat('tzfile(', chr(39), source, chr(39), ')') END")
-    return v.table(spark, sf, "documents").select("doc_id", text.tz_label(name).alias("label"))
+    return v.documents(spark, sf).select("doc_id", text.tz_label(name).alias("label"))

@@ -14,7 +14,7 @@ _PHRASE = "de lo que"
 
 
 def docs(spark, sf):
-    d = v.table(spark, sf, "documents")
+    d = v.documents(spark, sf)
     return d.selectExpr(
         "doc_id AS seq", "'Doc ' || lang AS title", "source AS summary", "text AS content_text"
     )

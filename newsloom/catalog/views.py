@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions.dates import from_utc_wall
 from newsloom.functions.urls import clean_url
+from newsloom.session import spread
+from newsloom.sources.pages import read_pages
 
 AS_OF = "2024-01-31 00:00:00"  # UTC
 ZONE = "Australia/Brisbane"    # +10:00, no daylight saving
@@ -68,11 +70,24 @@ def sql_rss_date(ts: str) -> str:
     return f"strftime({ts} + INTERVAL 10 HOUR, '%a, %d %b %Y %H:%M:%S +1000')"
 
 
+def sql_rows(rows) -> str:
+    """Configuration rows as SQL values."""
+    def value(x):
+        return f"'{x}'" if isinstance(x, str) else str(x).lower()
+
+    return ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
+
+
 # -------------------------------------------------------------------- tables
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, spread over the cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows with ts as an instant; the stored clock time is UTC."""
     return table(spark, sf_dir, "events").withColumn("at", from_utc_wall(F.col("ts")))
@@ -117,12 +132,11 @@ _POLICY_ROWS = [("click", 24, 0), ("view", 1, 400), ("purchase", 168, 3), ("sign
 
 def policy(spark: SparkSession) -> DataFrame:
     """Per-source rules: configuration, not data; one source has none."""
-    return spark.createDataFrame(_POLICY_ROWS, "source string, recent_hours int, min_keep int")
+    return spark.sql(f"SELECT * FROM VALUES {sql_rows(_POLICY_ROWS)} AS t(source, recent_hours, min_keep)")
 
 
 SQL_POLICY = (
-    "policy(source, recent_hours, min_keep) AS (VALUES "
-    + ", ".join(f"('{s}', {h}, {k})" for s, h, k in _POLICY_ROWS) + ")"
+    f"policy(source, recent_hours, min_keep) AS (VALUES {sql_rows(_POLICY_ROWS)})"
 )
 
 
@@ -157,7 +171,7 @@ SQL_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,21 +60,28 @@ def drop_linky(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return drop_subtrees(held, keys, linky).drop("_links", "_chars")
 
 
-def absolutize(nodes: DataFrame, keys: Sequence[str], base: str = "url") -> DataFrame:
-    """Anchors within the page go, with their text; other links become absolute."""
-    kept = drop_subtrees(nodes, keys, own_page_anchor())
+def absolute_links(nodes: DataFrame, base: str = "url") -> DataFrame:
+    """Links of anchors relative to the page become absolute."""
     link = is_element() & (F.col("tag") == "a") & F.col("href").isNotNull()
-    return kept.withColumn(
+    return nodes.withColumn(
         "href", F.when(link, resolve_url(F.col(base), F.col("href"))).otherwise(F.col("href"))
     )
 
 
+def absolutize(nodes: DataFrame, keys: Sequence[str], base: str = "url") -> DataFrame:
+    """Anchors within the page go, with their text; other links become absolute."""
+    return absolute_links(drop_subtrees(nodes, keys, own_page_anchor()), base)
+
+
 def prune_nodes(nodes: DataFrame, keys: Sequence[str], base: str = "url", also: Column | None = None) -> DataFrame:
-    """All removals in order: tags, roles and classes; link blocks; own anchors and images."""
+    """All removals in order: tags, roles and classes; link blocks; own anchors and images.
+
+    Removals that do not depend on each other share one pass.
+    """
     blocked = blocked_tag() | blocked_role() | blocked_class()
     body = drop_subtrees(nodes, keys, blocked if also is None else blocked | also)
     prose = drop_linky(body, keys)
-    return absolutize(drop_subtrees(prose, keys, image()), keys, base)
+    return absolute_links(drop_subtrees(prose, keys, own_page_anchor() | image()), base)
 
 
 def node_markup() -> Column:

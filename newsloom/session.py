@@ -51,3 +51,14 @@ def measured_bytes(df: DataFrame) -> int:
     """Size of a table as text, measured in one distributed pass."""
     row = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()
     return row["n"] or 0
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More tasks for a small stored table whose rows are costly to work on.
+
+    A table whose scan already has a task per core is returned as it is, so a
+    large one is never shuffled here.  Only for scans: counting the partitions
+    of a plan with a shuffle would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsloom.session import spread
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed page table: page_id, url, html."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"), "page_id")
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:

@@ -57,16 +57,16 @@ def test_robots_join_is_one_lookup(spark):
 
 def test_pages_are_tokenised_and_shuffled_once(spark):
     """One Python step and one exchange of nodes; every rule works on that partitioning."""
-    p = plan(content.main_content(v.pages(spark, SF_SMALL)))
+    p = plan(content.main_content(v.table(spark, SF_SMALL, "pages")))
     assert p.count("ArrowEvalPython") == 1
     assert exchanges(p) == ["hashpartitioning"]
-    p = plan(prune.rebuild(prune.prune_nodes(nodes.html_nodes(v.pages(spark, SF_SMALL), keep=["url"]), ["page_id"]), ["page_id"]))
+    p = plan(prune.rebuild(prune.prune_nodes(nodes.html_nodes(v.table(spark, SF_SMALL, "pages"), keep=["url"]), ["page_id"]), ["page_id"]))
     assert p.count("ArrowEvalPython") == 1 and exchanges(p) == ["hashpartitioning"]
 
 
 def test_links_and_search_do_not_shuffle(spark):
-    assert exchanges(plan(links.feed_discovery(v.pages(spark, SF_SMALL)))) == []
-    assert exchanges(plan(links.page_links(v.pages(spark, SF_SMALL)))) == []
+    assert exchanges(plan(links.feed_discovery(v.table(spark, SF_SMALL, "pages")))) == []
+    assert exchanges(plan(links.page_links(v.table(spark, SF_SMALL, "pages")))) == []
     docs = v.table(spark, SF_SMALL, "documents").selectExpr("doc_id AS seq", "'' AS title", "source AS summary", "text AS content_text")
     p = plan(search.fuzzy_search(docs, "some words"))
     assert exchanges(p) == [] and "Python" not in p
