@@ -171,7 +171,8 @@ def items_by_source_list(spark, sf):
 WITH raw AS (
   SELECT k AS source_ord, CASE WHEN k % 31 <> 7 THEN 'src-' || (k % 90) END AS name,
          CASE WHEN k % 4 = 0 THEN 45 END AS timeout, CASE WHEN k % 8 = 0 THEN 60 END AS feed_timeout,
-         CASE WHEN k % 3 <> 0 THEN 24 + k % 50 END AS recent_hours, CASE WHEN k % 5 = 0 THEN k % 7 END AS min_keep
+         CAST(CASE WHEN k % 3 <> 0 THEN 24 + k % 50 END AS INTEGER) AS recent_hours,
+         CAST(CASE WHEN k % 5 = 0 THEN k % 7 END AS INTEGER) AS min_keep
   FROM (SELECT DISTINCT event_id // 100 AS k FROM events)),
 filled AS (
   SELECT source_ord, coalesce(name, 'Unknown Source') AS name, coalesce(timeout, 20) AS timeout,
