@@ -28,7 +28,7 @@ CONFIG = {
 
 
 def registry_of(spark, tmp_path):
-    path = tmp_path / "sources.json"
+    path = tmp_path / "config.json"
     path.write_text(json.dumps(CONFIG, indent=1))
     return registry.read_sources(spark, str(path))
 
@@ -46,7 +46,7 @@ def test_registry(spark, tmp_path):
 
 def test_yaml_registry(spark, tmp_path):
     pytest.importorskip("yaml")
-    path = tmp_path / "sources.yaml"
+    path = tmp_path / "config.yaml"
     path.write_text("timezone: Asia/Tokyo\nsources:\n  - name: A\n    feed: f\n")
     zone, table = registry.read_sources(spark, str(path))
     assert zone == "Asia/Tokyo" and table.first()["name"] == "A"
