@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom.session import scratch_path
 
@@ -30,3 +34,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[str] = ()) -> DataFrame:
+    """Python on Arrow batches: work(columns as lists) gives the new columns as lists.
+
+    Spark bounds a batch by rows and by bytes, so long texts come in small
+    batches.  With `reads`, only these columns become lists, and columns that
+    work does not make are passed on as they are.
+    """
+    out = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    reads = list(reads or df.columns)
+
+    def run(batches):
+        step = work() if getattr(work, "per_task", False) else work
+        for batch in batches:
+            made = step({name: batch.column(name).to_pylist() for name in reads})
+            columns = [pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in out]
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
+def per_task(make):
+    """Marks a function that makes the batch function once per task, with what it keeps between batches."""
+    make.per_task = True
+    return make

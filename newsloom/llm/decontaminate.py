@@ -117,7 +117,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     found = materialise(contained_items(docs, benchmark, doc_id, text).select(key(F.col("doc_id")).alias("_leak")).distinct())
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, key(docs[doc_id]) == F.col("_leak"), "left_anti")
+    return docs.join(found, key(docs[doc_id]) == found["_leak"], "left_anti")
 
 
 SQL = r"""

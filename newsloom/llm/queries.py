@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import chat, decontaminate, quality
+from newsloom.llm import bpe, chat, decontaminate, pii, quality, secrets, tokenids
 from newsloom.llm.common import table
+from newsloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +25,19 @@ def _register(sql: str | None = None):
     return add
 
 
+@_register()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms in all documents."""
+    return pii.pii_digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@_register()
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @_register(chat.SQL)
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts imitate control strings."""
@@ -33,6 +48,14 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
+@_register()
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token ids and read back."""
+    files = scratch_path(spark, "token-ids")
+    tokenids.write_ids(table(spark, sf_dir, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenids.id_digests(tokenids.read_ids(spark, files))
+
+
 @_register(quality.SQL)
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdicts of all documents."""
@@ -43,3 +66,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register()
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
