@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash, tokenids
+from newsloom.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash, substrings, tokenids
 from newsloom.llm.common import table
 from newsloom.session import scratch_path
 
@@ -48,6 +48,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
+@_register()
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of all documents without the runs of words that come again."""
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 @_register()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate classes of all documents."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.llm.common import BLANKS, per_batch, stored, text_of
+from newsloom.llm.common import per_batch, stored, text_of
 from newsloom.llm.components import components
 from newsloom.session import materialise
 
@@ -42,12 +42,11 @@ MAX_BITS = 4
 LIST = 4096
 _SEED = 42
 _NO_ID = 1 << 62
-_PLAIN = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BLANKS, "abcdefghijklmnopqrstuvwxyz" + " " * len(BLANKS))
 
 
 def fingerprint(text: str, n: int = SHINGLE) -> int:
     """64 bits, each set when more than half of the shingle hashes set it."""
-    words = [w for w in text.translate(_PLAIN).encode("utf-8", "replace").split(b" ") if w]
+    words = text.encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and blanks only
     if not words:
         return 0
     whole = memoryview(b" ".join(words))
