@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash, substrings, tokenids
+from newsloom.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash, substrings, tokenids, toxicity
 from newsloom.llm.common import table
 from newsloom.session import scratch_path
 
@@ -38,6 +38,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@_register()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels that are not held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_register(chat.SQL)
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts imitate control strings."""
