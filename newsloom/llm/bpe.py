@@ -174,8 +174,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
     return per_batch(rows, work, schema, reads=["ids"]).withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, digests of its ids and of what they decode to; ids stay in the task."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text",
+            with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, digests of its ids and of what they decode to, and the ids if asked for."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -186,9 +187,9 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         def step(batch):
             ids = encoder(batch["text"])
             return {"n_tokens": [len(i) // 4 for i in ids], "ids_sha256": list(map(sha, ids)),
-                    "decoded_sha256": [sha(ranks.decode(i)) for i in ids]}
+                    "decoded_sha256": [sha(ranks.decode(i)) for i in ids], **({"ids": ids} if with_ids else {})}
 
         return step
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return per_batch(texts, work, schema, reads=["text"])

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.bind import computed
-from newsloom.llm.common import BLANKS, text_of, words_of
+from newsloom.llm.common import BLANKS, stored, text_of, words_of
 from newsloom.operators.skew import fits_broadcast, lookup_join
 from newsloom.session import materialise
 
@@ -142,8 +142,8 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", spread:
     whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
     keyed = whole.select("_row", F.col("_row")[text].alias("_t"), F.col("_row")[host].cast("string").alias("_from"),
                          F.col("_row")[spread].alias("_id"))
-    hosts = host_verdicts(rule_counts(keyed, ["_from"], "_t", rules), "_from", rules)
-    counted = rule_counts(keyed, ["_row", "_from", "_id"], "_t", rules)
+    counted = stored(rule_counts(keyed, ["_row", "_from", "_id"], "_t", rules), "quality")
+    hosts = host_verdicts(counted, "_from", rules)
     return judged(counted, hosts, "_from", "_id", rules).where("kept").select("_row.*")
 
 

@@ -6,9 +6,11 @@ documents have labels: the gradient of the document's loss reaches a sentence
 in proportion to its own p, so the offending sentences of a toxic document
 take the blame and are found again when documents are scored.
 
-Features of a word are hashes of the word and of its beginnings (4 and 5
-bytes); words are runs of ASCII letters and non-ASCII bytes, ASCII lower-cased.
-Sentences end at . ! ? and line ends.
+Features of a word are hashes of its beginnings of 4, 5 and 6 bytes, the whole
+word standing for those it is too short for, so that forms of one stem share
+their weights; words are runs of ASCII letters and non-ASCII bytes, ASCII
+lower-cased.  Features of few documents, or not more frequent in toxic ones,
+weigh nothing.  Sentences end at . ! ? and line ends.
 
 The model is fitted to a bounded sample: of the labelled documents that may be
 learnt from, the SAMPLE with the least hash of their id among those of at most
@@ -31,13 +33,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.llm.common import per_batch, per_task, text_of
 
-SAMPLE = 6000
+SAMPLE = 8000
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.7
 SIZE_BITS = 18
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6)
 CHUNK = 1 << 20
-_LONGEST = 24  # bytes of a word that are told apart
 
 _bytes = np.arange(256)
 _IN_WORD = ((_bytes >= 97) & (_bytes <= 122)) | (_bytes >= 128)
@@ -57,15 +58,16 @@ def _word_features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mixed = np.zeros(len(starts), np.uint64)
     begun = [np.zeros(len(starts), np.uint64) for _ in BEGINNINGS]
     live = np.arange(len(starts))
-    for k in range(_LONGEST):
+    for k in range(BEGINNINGS[-1]):
         live = live[sizes[live] > k]
-        if not len(live):
-            break
         mixed[live] = (mixed[live] ^ raw[starts[live] + k]) * np.uint64(0x100000001B3) + np.uint64(0x9E3779B97F4A7C15)
         for n, at in enumerate(BEGINNINGS):
             if k + 1 == at:
                 begun[n][live] = mixed[live] + np.uint64(n + 1)
-    features = np.stack([mixed, *begun], axis=1)
+    for n, at in enumerate(BEGINNINGS):  # a word that ends before is told once, by itself
+        short = sizes <= (BEGINNINGS[n - 1] if n else 0)
+        begun[n] = np.where(short, np.uint64(0), np.where(sizes < at, mixed, begun[n]))
+    features = np.stack(begun, axis=1)
     place = (features * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SIZE_BITS)
     return starts, np.where(features == 0, 0, place).astype(np.int64)  # feature 0 weighs nothing
 
@@ -132,7 +134,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fit(features, sentence, doc, labels, steps: int = 200, rate: float = 0.15, decay: float = 1e-5,
-        least_docs: int = 3) -> Model:
+        least_docs: int = 3, least_lift: float = 2.0) -> Model:
     """Fits the weights to document labels.  features by word, sentence of each word, doc of each sentence."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max() or not len(sentence):
@@ -140,7 +142,10 @@ def fit(features, sentence, doc, labels, steps: int = 200, rate: float = 0.15, d
     size, n_docs = 1 << SIZE_BITS, len(labels)
     width = features.shape[1]
     seen = np.unique(np.repeat(doc[sentence], width) * size + features.ravel())
-    used = np.bincount(seen % size, minlength=size) >= least_docs  # a feature of fewer documents weighs nothing
+    total = np.bincount(seen % size, minlength=size)
+    toxic = np.bincount(seen % size, labels[seen // size], size)
+    lift = ((toxic + 0.5) / (labels.sum() + 1)) / ((total - toxic + 0.5) / (n_docs - labels.sum() + 1))
+    used = (total >= least_docs) & (lift >= least_lift)
     used[0] = False
     weights, bias = np.zeros(size), -6.0
     flat, owner = features.ravel(), np.repeat(sentence, width)
@@ -184,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     got = per_batch(rows, work, "y int, features binary, sizes binary", reads=["y", "text"]).collect()
     if not got:
         return Model(np.zeros(0, np.float32))
-    width = 1 + len(BEGINNINGS)
+    width = len(BEGINNINGS)
     features = np.concatenate([np.frombuffer(r["features"], "<i4") for r in got]).reshape(-1, width).astype(np.int64)
     sizes = [np.frombuffer(r["sizes"], "<i4") for r in got]
     doc = np.repeat(np.arange(len(got)), [len(s) for s in sizes])
