@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.common import per_batch, stored, text_of
+from newsloom.llm.common import per_batch, per_task, stored, text_of
 from newsloom.operators.skew import distributed_rank
 from newsloom.session import materialise
 
@@ -107,6 +107,13 @@ class Automaton:
         self.next: list[dict] = [{}]
         self.link, self.length, self.place = [-1], [0], [None]
 
+    @classmethod
+    def of(cls, parts: dict) -> Automaton:
+        """From the parts of another, as they are sent to workers."""
+        made = cls()
+        vars(made).update(parts)
+        return made
+
     def _state(self, length, following, link, place) -> int:
         self.next.append(following)
         self.link.append(link)
@@ -346,17 +353,23 @@ def known_spans(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", t
             held = 0
         shards[-1].add(ws, lambda i: i)
         held += len(ws)
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    sent = docs.sparkSession.sparkContext.broadcast([vars(a) for a in shards])  # at most most_words words
     rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text"))
 
-    def work(batch):
-        out = []
-        for t in batch["text"]:
-            ws, starts = words(t), set()
-            for automaton in sent.value:
-                starts |= {i - window + 1 for i, (n, _) in enumerate(automaton.matches(ws, window)) if n == window}
-            out.append([{"a": a, "b": b} for a, b in _covered(sorted(starts), window)])
-        return {"spans": out}
+    @per_task
+    def work():
+        automata = [Automaton.of(parts) for parts in sent.value]
+
+        def step(batch):
+            out = []
+            for t in batch["text"]:
+                ws, starts = words(t), set()
+                for automaton in automata:
+                    starts |= {i - window + 1 for i, (n, _) in enumerate(automaton.matches(ws, window)) if n == window}
+                out.append([{"a": a, "b": b} for a, b in _covered(sorted(starts), window)])
+            return {"spans": out}
+
+        return step
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<a: int, b: int>>"
     return per_batch(rows, work, schema, reads=["text"]).withColumnRenamed("id", id_col)

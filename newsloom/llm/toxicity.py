@@ -124,44 +124,84 @@ def _sentences(parts: list[bytes], docs: list[tuple[int, int]]) -> Sentences:
 class Model:
     weights: np.ndarray  # float32 by feature; empty: nothing was learnt
     bias: float = 0.0
+    shift: float = 0.0   # added to a document's logit
 
     def sentence_logits(self, s: Sentences) -> np.ndarray:
         return np.bincount(s.sentence, self.weights[s.features].sum(axis=1), len(s.doc)) + self.bias
 
+    def scores(self, clear: np.ndarray) -> np.ndarray:
+        """Of documents, from the sums of -log(1 - p) of their sentences."""
+        return np.where(clear > 0, 1 / (1 + np.exp(np.clip(-_logits(clear) - self.shift, -700, 700))), 0.0)
+
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(features, sentence, doc, labels, steps: int = 200, rate: float = 0.15, decay: float = 1e-5,
-        least_docs: int = 3, least_lift: float = 2.0) -> Model:
-    """Fits the weights to document labels.  features by word, sentence of each word, doc of each sentence."""
+def _logits(clear: np.ndarray) -> np.ndarray:
+    """log(P / (1 - P)) of P = 1 - exp(-clear)."""
+    clear = np.maximum(clear, 1e-300)
+    return np.where(clear > 30, clear, np.log(np.expm1(np.minimum(clear, 30))))
+
+
+def _shift(logits: np.ndarray, labels: np.ndarray, threshold: float) -> float:
+    """Moves the cut that parts documents outside the fit best, the widest if several do, to the threshold."""
+    order = np.argsort(logits, kind="stable")
+    logits, labels = logits[order], labels[order]
+    right = np.cumsum(1 - 2 * labels)[:-1]  # clean below less toxic below, at each cut
+    wide = logits[1:] - logits[:-1]
+    if not len(right) or labels.min() == labels.max():
+        return 0.0
+    best = np.flatnonzero(right == right[wide > 0].max()) if (wide > 0).any() else []
+    if not len(best):
+        return 0.0
+    cut = best[np.argmax(wide[best])]
+    return float(np.log(threshold / (1 - threshold)) - (logits[cut] + logits[cut + 1]) / 2)
+
+
+def fit(features, sentence, doc, labels, fitted, steps: int = 200, rate: float = 0.15, decay: float = 1e-5,
+        least_seen: int = 3, least_lift: float = 4.0, told: float = 0.4) -> Model:
+    """Fits the weights to document labels.  features by word, sentence of each word, doc of each sentence.
+
+    Documents that are not `fitted` have no words here and no blame.  A step is told only a share of the features, so that each learns to do
+    without the others: an unseen form of a known stem lacks the longer ones.
+    """
     labels = np.asarray(labels, np.float64)
-    if not len(labels) or labels.min() == labels.max() or not len(sentence):
+    if not len(sentence) or labels[fitted].min() == labels[fitted].max():
         return Model(np.zeros(0, np.float32))
     size, n_docs = 1 << SIZE_BITS, len(labels)
     width = features.shape[1]
-    seen = np.unique(np.repeat(doc[sentence], width) * size + features.ravel())
+    # how often a feature is seen, over sentences that differ: copies of a sentence say nothing more
+    said = np.zeros(len(doc), np.uint64)
+    np.add.at(said, sentence, (features.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).sum(axis=1))
+    first = np.zeros(len(doc), bool)
+    first[np.unique(said, return_index=True)[1]] = True
+    of_word = first[sentence]
+    seen = np.unique(np.repeat(sentence[of_word], width) * size + features[of_word].ravel())
     total = np.bincount(seen % size, minlength=size)
-    toxic = np.bincount(seen % size, labels[seen // size], size)
-    lift = ((toxic + 0.5) / (labels.sum() + 1)) / ((total - toxic + 0.5) / (n_docs - labels.sum() + 1))
-    used = (total >= least_docs) & (lift >= least_lift)
+    toxic = np.bincount(seen % size, labels[doc[seen // size]], size)
+    n_toxic = labels[doc[first]].sum()
+    lift = ((toxic + 0.5) / (n_toxic + 1)) / ((total - toxic + 0.5) / (first.sum() - n_toxic + 1))
+    used = (total >= least_seen) & (lift >= least_lift)
     used[0] = False
     weights, bias = np.zeros(size), -6.0
     flat, owner = features.ravel(), np.repeat(sentence, width)
     keep = used[flat]
     flat, owner = flat[keep], owner[keep]
+    all_flat, all_owner, chance = flat, owner, np.random.default_rng(0)
     moment, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
+        keep = chance.random(len(all_flat), np.float32) < told
+        flat, owner = all_flat[keep], all_owner[keep]
         z = np.bincount(owner, weights[flat], len(doc)) + bias
         clear = np.exp(-np.bincount(doc, _softplus(z), n_docs))        # prod(1 - p)
-        blame = np.where(labels > 0, -clear / np.maximum(1 - clear, 1e-9), 1.0)
+        blame = np.where(labels > 0, -clear / np.maximum(1 - clear, 1e-9), 1.0) * fitted
         slope = blame[doc] / (1 + np.exp(-np.clip(z, -50, 50)))
         grad = np.r_[np.bincount(flat, slope[owner], size), slope.sum()] / n_docs
         grad[:-1] += decay * weights
         moment = 0.9 * moment + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
-        change = rate * (moment / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
+        change = rate * (moment / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 2e-3)
         weights -= np.where(used, change[:-1], 0)
         bias -= float(change[-1])
     return Model(weights.astype(np.float32), bias)
@@ -194,18 +234,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     sizes = [np.frombuffer(r["sizes"], "<i4") for r in got]
     doc = np.repeat(np.arange(len(got)), [len(s) for s in sizes])
     sentence = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
-    return fit(features, sentence, doc, [r["y"] for r in got])
+    labels = np.array([r["y"] for r in got])
+    # each quarter is scored by the fit without it, to place the threshold; the model is the mean of the fits
+    models, logits = [], np.zeros(len(got))
+    for quarter in range(4):
+        fitted = np.arange(len(got)) % 4 != quarter
+        some = fitted[doc][sentence]
+        model = fit(features[some], sentence[some], doc, np.where(fitted, labels, 0), fitted)
+        if len(model.weights):
+            z = np.bincount(sentence, model.weights[features].sum(axis=1), len(doc)) + model.bias
+            logits[~fitted] = _logits(np.bincount(doc, _softplus(z), len(got)))[~fitted]
+            models.append(model)
+    if not models:
+        return Model(np.zeros(0, np.float32))
+    return Model(np.mean([m.weights for m in models], axis=0), float(np.mean([m.bias for m in models])),
+                 _shift(logits, labels, THRESHOLD))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", offending: float = 0.5) -> DataFrame:
     """Per document: id, score, spans (sentences with p of at least `offending`, start:end in code points, joined)."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^SIZE_BITS numbers
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.shift))  # 2^SIZE_BITS numbers
     bound = float(np.log(offending / (1 - offending)))
 
     @per_task
     def work():
-        own = sent.value
+        own = Model(*sent.value)
 
         def step(batch):
             texts = batch["text"]
@@ -216,7 +270,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 clear += np.bincount(s.doc, _softplus(z), len(texts))
                 for k in np.flatnonzero(z >= bound):
                     spans[s.doc[k]].append((int(s.start[k]), int(s.end[k])))
-            return {"score": (1 - np.exp(-clear)).tolist(), "spans": [_in_code_points(t, x) for t, x in zip(texts, spans)]}
+            return {"score": own.scores(clear).tolist(), "spans": [_in_code_points(t, x) for t, x in zip(texts, spans)]}
 
         return step
 
