@@ -34,13 +34,16 @@ def page_links(spark, sf):
     return links.page_links(v.pages(spark, sf)).select("page_id", "entry_ord", "title", F.col("url_out").alias("url"))
 
 
-_SELECTOR = """CASE page_id % 3 WHEN 0 THEN "a[href^='/th'], a[href*='er']" WHEN 1 THEN "a[href*='en']" END"""
+# forms that are understood, none, one that is not, and a class that no link has
+_SELECTOR = """CASE page_id % 6 WHEN 0 THEN "a[href^='/th'], a[href*='er']" WHEN 1 THEN "a[href*='en']"
+  WHEN 3 THEN "[href$=n], a[href='/the']" WHEN 4 THEN "h3 a" WHEN 5 THEN "a.lead, .x[href^=/]" END"""
 
 
 @register("link_selector", f"""
 {_SQL_LINKS}
-SELECT page_id, entry_ord, href FROM links WHERE href <> '' AND title <> '' AND CASE page_id % 3
-  WHEN 0 THEN starts_with(href, '/th') OR contains(href, 'er') WHEN 1 THEN contains(href, 'en') ELSE true END""")
+SELECT page_id, entry_ord, href FROM links WHERE href <> '' AND title <> '' AND CASE page_id % 6
+  WHEN 0 THEN starts_with(href, '/th') OR contains(href, 'er') WHEN 1 THEN contains(href, 'en') WHEN 2 THEN true
+  WHEN 3 THEN ends_with(href, 'n') OR href = '/the' ELSE false END""")
 def link_selector(spark, sf):
     return links.page_links(v.pages(spark, sf), selector=F.expr(_SELECTOR)).select("page_id", "entry_ord", "href")
 
@@ -84,58 +87,75 @@ def discovered_feed_cap(spark, sf):
     return links.discovered_feeds(pages_with_feeds(spark, sf)).select("page_id", "feed_ord", "feed_url")
 
 
-# crawl rules: configuration, not data
+# crawl rules by the first label of the host: configuration, not data
 _RULES = [
-    ("blog", "*", 0, False, "/en/2"), ("blog", "*", 1, True, "/en"), ("blog", "*", 2, False, "/"),
-    ("m", "newsbot", 0, False, "/de"), ("m", "*", 0, True, "/"), ("m", "*", 1, False, "/"),
+    ("blog", "*", 0, 0, False, "/en/2"), ("blog", "*", 0, 1, True, "/en"), ("blog", "*", 0, 2, False, "/"),
+    ("m", "news", 0, 0, False, "/de"), ("m", "newsbot", 1, 0, True, "/"), ("m", "*", 2, 0, False, "/"),
+    ("www", "other", 0, 0, False, "/"), ("www", "*", 1, 0, True, "/fr"), ("www", "*", 1, 1, False, "/"),
 ]
-_AGENT = "NewsBot/1.0"
-_RULE_COLUMNS = "(host, agent, rule_ord, allow, path_prefix)"
-_SQL_RULES = f"rules{_RULE_COLUMNS} AS (VALUES {v.sql_rows(_RULES)})"
+_AGENT = "NewsBot/1.0 news-of-the-world"
+_RULE_COLUMNS = "(host, agent, group_ord, rule_ord, allow, path_prefix)"
+_HOSTS = "SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://([^./]+)', 1) AS label FROM"
+_SQL_RULES = f"""labels{_RULE_COLUMNS} AS (VALUES {v.sql_rows(_RULES)}),
+rules AS (SELECT h.host, agent, group_ord, rule_ord, allow, path_prefix FROM ({_HOSTS} pages) h JOIN labels ON label = labels.host)"""
 _SQL_ROBOTS = f"""
 WITH {v.SQL_PAGE_ITEMS}, {_SQL_RULES},
-mine AS (
-  SELECT * FROM rules QUALIFY (agent <> '*') = max(agent <> '*') OVER (PARTITION BY host)),
+named AS (
+  SELECT * FROM rules WHERE agent IN ('*', 'news', 'newsbot')
+  QUALIFY (agent <> '*') = max(agent <> '*') OVER (PARTITION BY host)),
+mine AS (SELECT * FROM named QUALIFY group_ord = min(group_ord) OVER (PARTITION BY host)),
 decided AS (
   SELECT seq, coalesce(arg_min(allow, rule_ord), true) AS allowed
-  FROM (SELECT seq, source, {v.SQL_PATH} AS path FROM page_items) i
-  LEFT JOIN mine ON host = source AND starts_with(path, path_prefix) GROUP BY seq)"""
+  FROM (SELECT seq, regexp_extract(url, '://([^/?#]+)', 1) AS asked, {v.SQL_PATH} AS path FROM page_items) i
+  LEFT JOIN mine ON host = asked AND starts_with(path, path_prefix) GROUP BY seq)"""
 
 
 def rules(spark, rows=_RULES):
     return spark.sql(f"SELECT * FROM VALUES {v.sql_rows(rows)} AS t{_RULE_COLUMNS}")
 
 
+def host_rules(spark, sf):
+    """The rules of every host of the pages."""
+    hosts = spark.sql(f"{_HOSTS} {{p}}", p=v.pages(spark, sf))
+    return hosts.join(rules(spark).withColumnRenamed("host", "label"), "label").drop("label")
+
+
 @register("robots_join", f"{_SQL_ROBOTS} SELECT seq, allowed FROM decided")
 def robots_join(spark, sf):
     items = v.page_items(spark, sf).drop("html")
-    return robots.robots_join(items, rules(spark), _AGENT, host=F.col("source")).select("seq", "allowed")
+    return robots.robots_join(items, host_rules(spark, sf), _AGENT).select("seq", "allowed")
 
 
 @register("robots_gate", f"{_SQL_ROBOTS} SELECT seq FROM decided WHERE allowed")
 def robots_gate(spark, sf):
     items = v.page_items(spark, sf).drop("html")
-    return robots.robots_gate(items, rules(spark), _AGENT, host=F.col("source")).select("seq")
+    return robots.robots_gate(items, host_rules(spark, sf), _AGENT).select("seq")
 
 
 @register("fetch_budget", f"""
 {v.SQL_SELECTION}
 SELECT seq, url FROM ranked WHERE rank <= 120 AND url NOT LIKE 'https://news.example.org/n/1%' ORDER BY rank LIMIT 30""")
 def fetch_budget(spark, sf):
-    no_ones = rules(spark, [("news.example.org", "*", 0, False, "/n/1")])
+    no_ones = rules(spark, [("news.example.org", "*", 0, 0, False, "/n/1")])
     return robots.fetch_budget(robots.robots_gate(chosen(spark, sf), no_ones)).select("seq", "url")
 
 
-# a response per page: some lost, some refused
+# a response per page: some lost, some refused, some that no reader takes
+UNREADABLE = "<p>before<![foo[bar]]>"
+UNREADABLE_ERROR = "AssertionError: unknown status keyword 'foo' in marked section"
 _RESPONSE = {
+    "html": f"CASE WHEN page_id % 14 = 2 THEN '{UNREADABLE}' ELSE html END",
     "status": "CAST(CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 7 = 1 THEN 404 ELSE 200 END AS int)",
     "error": "CASE WHEN page_id % 7 = 0 THEN 'ReadTimeout' WHEN page_id % 7 = 1 THEN 'HTTPError: 404' END",
 }
 
 
 def fetched(spark, sf):
+    """Every third good page was asked for twice, and refused once."""
     p = v.page_items(spark, sf)
-    return p.select("url", "html", *(F.expr(e).alias(n) for n, e in _RESPONSE.items()))
+    again = p.where("page_id % 7 > 1 AND page_id % 3 = 0").select(
+        "url", "html", F.lit(503).alias("status"), F.lit("HTTPError: 503").alias("error"))
+    return p.select("url", *(F.expr(e).alias(n) for n, e in _RESPONSE.items())).unionByName(again)
 
 
 def merged(spark, sf):
@@ -167,7 +187,8 @@ content AS (
 
 @register("fetch_merge", f"""
 WITH {v.SQL_PAGE_ITEMS}, {SQL_CONTENT}, found AS (
-  SELECT seq, url, summary, CASE WHEN page_id % 7 > 1 AND content_html <> '' THEN content_html END AS content_html
+  SELECT seq, url, summary,
+         CASE WHEN page_id % 7 > 1 AND page_id % 14 <> 2 AND content_html <> '' THEN content_html END AS content_html
   FROM page_items JOIN content USING (page_id))
 SELECT seq, url, content_html,
        CASE WHEN summary = '' AND content_html IS NOT NULL
@@ -180,8 +201,9 @@ def fetch_merge(spark, sf):
 
 SQL_FETCH_ERRORS = f"""
 WITH {v.SQL_PAGE_ITEMS}, failed AS (
-  SELECT source, url, CASE WHEN page_id % 7 = 0 THEN 'ReadTimeout' ELSE 'HTTPError: 404' END AS error
-  FROM page_items WHERE page_id % 7 < 2)"""
+  SELECT source, url, CASE WHEN page_id % 7 = 0 THEN 'ReadTimeout' WHEN page_id % 7 = 1 THEN 'HTTPError: 404'
+    ELSE '{UNREADABLE_ERROR.replace("'", "''")}' END AS error
+  FROM page_items WHERE page_id % 7 < 2 OR page_id % 14 = 2)"""
 
 
 @register("fetch_errors", f"{SQL_FETCH_ERRORS} SELECT source, url, error FROM failed")

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from newsloom.catalog import acquisition as a, caches, views as v
-from newsloom.catalog.pages import fetched, merged, rules, SQL_FETCH_ERRORS
+from newsloom.catalog.pages import merged, SQL_FETCH_ERRORS, UNREADABLE, UNREADABLE_ERROR
 from newsloom.catalog.registered import register
 from newsloom.catalog.selection import chosen
-from newsloom.functions.dates import run_date
 from newsloom.operators.acquire import acquire
 from newsloom.operators.cache import cache_upsert
 from newsloom.operators.counts import per_source_counts
-from newsloom.plans.daily import daily_run
+from newsloom.plans.daily import daily_run, publish, Published
 from newsloom.plans.reader import find
 from newsloom.session import scratch_path
 from newsloom.sinks import rss, snapshots, stats
 from newsloom.sources import snapshots as read
+from newsloom.sources.cache import read_cache
 
-_EARLIER = "2024-01-30 00:00:00"
+_FIRST, _EARLIER = "2024-01-29 00:00:00", "2024-01-30 00:00:00"
+_CHANNEL = rss.Channel("Daily & more", "https://news.example.org/", "What the day brought")
 _SQL_TOP = f"{v.SQL_SELECTION}, top AS (SELECT * FROM ranked WHERE rank <= 120)"
 
 
@@ -33,9 +36,11 @@ _SQL_HTML = "CASE WHEN seq % 3 = 1 THEN '<p class=\"x\">' || title || ' & é</p>
 
 
 def published(spark, sf):
-    """Two days written; the second one twice, so that its first form is replaced."""
+    """Three days written: the first replaced by a run without items, the last by another run."""
     path = scratch_path(spark, "daily")
     top = with_content(chosen(spark, sf))
+    snapshots.write_daily(top, path, _FIRST, v.ZONE)
+    snapshots.write_daily(top.limit(0), path, _FIRST, v.ZONE)
     snapshots.write_daily(top.where("rank <= 30"), path, _EARLIER, v.ZONE)
     snapshots.write_daily(top.where("rank <= 10"), path, v.AS_OF, v.ZONE)
     snapshots.write_daily(top, path, v.AS_OF, v.ZONE)
@@ -117,13 +122,13 @@ def rss_items(spark, sf):
 @register("rss_document", f"""
 {_SQL_TOP}
 SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0">' || chr(10) || '<channel>' || chr(10)
-  || '<title>Daily &amp; more</title>' || chr(10) || '<link>https://example.com/</link>' || chr(10)
-  || '<description>Unified feed of announcements generated daily</description>' || chr(10)
+  || '<title>Daily &amp; more</title>' || chr(10) || '<link>https://news.example.org/</link>' || chr(10)
+  || '<description>What the day brought</description>' || chr(10)
   || '<lastBuildDate>' || {v.sql_rss_date(v.SQL_AS_OF)} || '</lastBuildDate>' || chr(10)
   || string_agg({_SQL_XML}, chr(10) ORDER BY rank) || chr(10) || '</channel>' || chr(10) || '</rss>' AS value
 FROM top""")
 def rss_document(spark, sf):
-    return rss.rss_document(chosen(spark, sf), v.AS_OF, v.ZONE, rss.Channel(title="Daily & more"))
+    return rss.rss_document(chosen(spark, sf), v.AS_OF, _CHANNEL, v.ZONE)
 
 
 @register("run_stats", f"""
@@ -143,12 +148,14 @@ def run_stats(spark, sf):
 SELECT '2024-01-31' AS date, source, NULL AS url, error FROM acquired_errors
 UNION ALL SELECT '2024-01-31', source, url, error FROM failed""")
 def error_sink(spark, sf):
-    """Errors of both stages in one table beside the snapshot."""
+    """Errors of both stages in one table beside the snapshot; another run of a day replaces its errors."""
     errors = stats.all_errors(
         acquire(a.registry(spark, sf), a.landed(spark, sf), v.ZONE).errors, merged(spark, sf).errors
     )
     path = scratch_path(spark, "errors")
-    stats.write_errors(errors, path, run_date(v.AS_OF, v.ZONE))
+    earlier, today = (snapshots.day_of(spark, day, v.ZONE) for day in (_EARLIER, v.AS_OF))
+    for found, day in ((errors, earlier), (errors.limit(0), earlier), (errors.limit(3), today), (errors, today)):
+        stats.write_errors(found, path, day)
     return spark.read.parquet(path).select(F.col("date").cast("string").alias("date"), "source", "url", "error")
 
 
@@ -160,20 +167,114 @@ policy AS (SELECT DISTINCT 'src-' || k AS source, 168 AS recent_hours, k % 3 AS
 {v.sql_selected('deduped')}"""
 
 
+# what a run meets, by the number n of an address /n/n: cached content of some age, rules, and what a fetch brings
+_PAGES = f"""SELECT DISTINCT k, event_id % 70 AS n, 'https://s' || k || '.example.org/n/' || event_id % 70 AS url FROM"""
+_STORY = "'Story ' || n || repeat(' goes on with enough words', 8)"
+
+
+def run_cache(spark, sf):
+    pages = spark.sql(f"{_PAGES} {{e}}", e=a.numbered(spark, sf)).where("n % 5 = 0")
+    return pages.selectExpr(
+        "url", "'<p>Kept ' || n || '</p>' AS content_html",
+        f"timestamp '{v.AS_OF}Z' - make_dt_interval(cast(n % 20 AS int)) AS fetched_at",
+    )
+
+
+def run_rules(spark, sf):
+    """Every third source refuses some of its pages."""
+    return a.numbered(spark, sf).where("k % 3 = 0").selectExpr(
+        "'s' || k || '.example.org' AS host", "'*' AS agent", "0 AS group_ord", "0 AS rule_ord", "false AS allow",
+        "'/n/1' AS path_prefix",
+    ).distinct()
+
+
+def run_fetched(spark, sf):
+    """Refused, unreadable and good pages; some were asked for twice."""
+    pages = spark.sql(f"{_PAGES} {{e}}", e=a.numbered(spark, sf))
+    once = pages.selectExpr(
+        "url", "CAST(CASE WHEN n % 4 = 0 THEN 404 ELSE 200 END AS int) AS status",
+        f"CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN '{UNREADABLE}' ELSE '<html><body><p>' || {_STORY} || '</p></body></html>' END AS html",
+        "CASE WHEN n % 4 = 0 THEN 'HTTPError: 404' END AS error",
+    )
+    again = pages.where("n % 8 = 2").selectExpr(
+        "url", "CAST(NULL AS int) AS status", "CAST(NULL AS string) AS html", "'ReadTimeout' AS error")
+    return once.unionByName(again)
+
+
+_SQL_MET = f"""
+{_SQL_RUN}, top AS (SELECT * FROM ranked WHERE rank <= 120),
+placed AS (
+  SELECT *, TRY_CAST(regexp_extract(url, '/n/([0-9]+)$', 1) AS INT) AS n, CAST(substr(source, 5) AS INT) AS k FROM top),
+hits AS (SELECT *, coalesce(n % 5 = 0 AND n % 20 <= 14, false) AS hit FROM placed),
+asked AS (
+  SELECT * FROM hits WHERE NOT hit AND NOT (k % 3 = 0 AND coalesce(starts_with(n::VARCHAR, '1'), false))
+  ORDER BY rank LIMIT 30),
+story AS (SELECT seq, '<p>' || {_STORY} || '</p>' AS html FROM asked WHERE n % 4 > 1),
+refused AS (
+  SELECT source, url, CASE n % 4 WHEN 0 THEN 'HTTPError: 404' ELSE '{UNREADABLE_ERROR.replace("'", "''")}' END AS error
+  FROM asked WHERE n % 4 < 2),
+items_out AS (
+  SELECT rank, h.seq, source, title, url, summary, published_at,
+         CASE WHEN hit THEN '<p>Kept ' || n || '</p>' ELSE html END AS content_html
+  FROM hits h LEFT JOIN story USING (seq)),
+errors_out AS (SELECT source, NULL AS url, error FROM acquired_errors UNION ALL SELECT source, url, error FROM refused)"""
+
+
+def whole_run(spark, sf):
+    return daily_run(
+        a.registry(spark, sf), a.landed(spark, sf), run_cache(spark, sf), run_rules(spark, sf), run_fetched(spark, sf),
+        v.AS_OF, _CHANNEL, v.ZONE,
+    )
+
+
 @register("daily_run", f"""
-{_SQL_RUN}
-SELECT rank, seq, source, title, url, summary, epoch_us(published_at) AS published_us FROM ranked WHERE rank <= 120""")
+{_SQL_MET}
+SELECT rank, seq, source, title, url, summary, epoch_us(published_at) AS published_us, content_html FROM items_out""")
 def daily(spark, sf):
-    """A whole run from landed responses to ranked items."""
-    run = daily_run(
-        a.registry(spark, sf), a.landed(spark, sf), v.content_cache(spark, sf), rules(spark), fetched(spark, sf),
-        v.AS_OF, v.ZONE,
-    )
-    return run.items.select(
-        "rank", "seq", "source", "title", "url", "summary", F.unix_micros("published_at").alias("published_us")
+    """A whole run from landed responses to ranked items with their content."""
+    return whole_run(spark, sf).items.select(
+        "rank", "seq", "source", "title", "url", "summary", F.unix_micros("published_at").alias("published_us"),
+        "content_html",
     )
 
 
+@register("daily_errors", f"{_SQL_MET} SELECT source, url, error FROM errors_out")
+def daily_errors(spark, sf):
+    """Errors of all stages of a run."""
+    return whole_run(spark, sf).errors
+
+
+@register("daily_publish", f"""
+{_SQL_MET}
+SELECT '2024-01-31' AS date, (SELECT count(*) FROM items_out) AS daily,
+       (SELECT count(content_html) FROM items_out) AS latest_with_content, (SELECT count(*) FROM errors_out) AS errors,
+       (SELECT count(*) FROM items_out) AS listed, (SELECT count(*) FROM items_out) AS rss_items,
+       (SELECT count(*) FROM story) AS cache_rows, (SELECT count(*) FROM items_out) AS articles_collected,
+       (SELECT count(*) FROM errors_out) AS errors_counted, true AS timed""")
+def daily_publish(spark, sf):
+    """A run published, and what a reader finds then."""
+    to = Published.under(scratch_path(spark, "published"))
+    publish(whole_run(spark, sf), to, v.AS_OF, time.time(), v.ZONE)
+
+    def count(df, name, what=F.lit(1)):
+        return df.agg(F.count(what).alias(name))
+
+    parts = [
+        spark.read.parquet(to.daily).groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("daily")),
+        count(spark.read.parquet(to.latest), "latest_with_content", F.col("content_html")),
+        count(spark.read.parquet(to.errors), "errors"),
+        count(read.snapshot_items(read.read_envelope(spark, to.document)), "listed"),
+        count(spark.read.text(to.rss).where("value = '<item>'"), "rss_items"),
+        count(read_cache(spark, to.cache), "cache_rows"),
+        spark.read.parquet(to.stats).select(
+            "articles_collected", F.col("errors").alias("errors_counted"), (F.col("execution_time") >= 0).alias("timed")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out
+
+
 @register("reader_find", f"""
 {_SQL_TOP}
 SELECT seq, url, source, title,

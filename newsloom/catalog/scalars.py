@@ -43,7 +43,7 @@ def clean_url(spark, sf):
     return odd.select("page_id", urls.clean_url(F.col("u")).alias("url"), urls.is_bad_url(F.col("u")).alias("bad"))
 
 
-_FORMS = 12
+_FORMS = 18
 
 
 def date_texts(spark, sf):
@@ -59,6 +59,10 @@ def date_texts(spark, sf):
         shown("yyyy-MM-dd"), shown("dd MMM yyyy"), shown("dd MMMM yyyy"), shown("MM/dd/yyyy"),
         "'next week'", "''", "NULL",
         f"concat({shown('EEEE, dd MMMM yyyy hh:mm', 10)}, {shown(' a', 10)})",
+        f"concat({shown('dd MMM yy HH:mm:ss')}, ' GMT')",
+        f"concat({shown('yyyy-MM-dd', 10)}, 'T', {shown('HH:mm:ss', 10)}, '+10')",
+        f"concat({shown('yyyyMMdd')}, 'T', {shown('HHmmss')}, 'Z')",
+        shown("EEE MMM d HH:mm:ss yyyy", 10), shown("dd MMM yyyy h a", 10), shown("MM.dd.yyyy"),
     ]
     branches = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms))
     iso = f"concat({shown('yyyy-MM-dd')}, ' ', {shown('HH:mm:ss')}, '+00:00')"
@@ -72,8 +76,9 @@ def date_texts(spark, sf):
 @register("parse_date", f"""
 SELECT event_id, epoch_us(CASE
     WHEN event_id % {_FORMS} = 2 THEN ts
-    WHEN event_id % {_FORMS} IN (0, 1, 3, 8, 9) THEN date_trunc('second', ts)
-    WHEN event_id % {_FORMS} IN (4, 5, 6, 7) THEN date_trunc('day', ts) - INTERVAL 10 HOUR
+    WHEN event_id % {_FORMS} IN (0, 1, 3, 8, 9, 12, 13, 14, 15) THEN date_trunc('second', ts)
+    WHEN event_id % {_FORMS} = 16 THEN date_trunc('hour', ts)
+    WHEN event_id % {_FORMS} IN (4, 5, 6, 7, 17) THEN date_trunc('day', ts) - INTERVAL 10 HOUR
     WHEN event_id % {_FORMS} = 11 THEN date_trunc('minute', ts) END) AS at_us
 FROM events""")
 def parse_date(spark, sf):

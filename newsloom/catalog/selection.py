@@ -8,7 +8,8 @@ from newsloom.catalog import views as v
 from newsloom.catalog.registered import register
 from newsloom.functions.dates import instant, to_iso
 from newsloom.operators import acquire, counts, search, select, skew
-from newsloom.plans.daily import choose_items, stored
+from newsloom.plans.daily import choose_items
+from newsloom.session import stored
 from newsloom.sinks.rss import rss_items
 from newsloom.sources.registry import policies, timezone_or_default, with_defaults
 

@@ -14,8 +14,11 @@ from newsloom.functions.bind import bind
 _DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
-_TIME = r"(?:[T\s,]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(?i:(am|pm))?)?"
-_ZONE = r"\s*([Zz]|[+-]\d{2}:?\d{2}|[A-Za-z]{2,5})?$"
+# an hour alone is a time only with am or pm
+_TIME = (
+    r"(?:[T\s,]+(\d{1,2})(?=:|\s*(?i:[ap]m)\b)(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?\s*(?i:(am|pm))?)?"
+)
+_ZONE = r"\s*([Zz]|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5})?$"
 _WEEKDAY = r"^(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
 _MONTH = r"((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
 
@@ -24,9 +27,12 @@ _MONTH = r"((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
 _REST = "|$4|$5|$6|$7|$8|$9"
 _FORMS = (
     (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME + _ZONE, "$1|$2|$3" + _REST),
-    (_WEEKDAY + r"(\d{1,2})[\s-]+" + _MONTH + r"\.?,?[\s-]+(\d{4})" + _TIME + _ZONE, "$3|$2|$1" + _REST),
+    (_WEEKDAY + r"(\d{1,2})[\s-]+" + _MONTH + r"\.?,?[\s-]+(\d{4}|\d{2})" + _TIME + _ZONE, "$3|$2|$1" + _REST),
     (_WEEKDAY + _MONTH + r"\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
+    (r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
+    (r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2})?)?" + _ZONE, "$1|$2|$3|$4|$5|$6|||$7"),
+    (_WEEKDAY + _MONTH + r"\s+(\d{1,2})\s+(\d{1,2}):(\d{2}):(\d{2})(?:\s+([A-Za-z]{3,5}))?\s+(\d{4})$",
+     "$7|$1|$2|$3|$4|$5|||$6"),
 )
 
 
@@ -60,7 +66,9 @@ def _two(c: Column) -> Column:
 
 def _canonical(f: Column, zone: str) -> Column:
     """ISO text of the fields of one date."""
-    year, month, day, hour, minute, second, fraction, half, tz = (F.get(f, i) for i in range(9))
+    written, month, day, hour, minute, second, fraction, half, tz = (F.get(f, i) for i in range(9))
+    # two digits: 1969 to 2068
+    year = F.when(F.length(written) == 2, F.concat(F.when(written < "69", F.lit("20")).otherwise(F.lit("19")), written)).otherwise(written)
 
     def date(first):
         # month first, unless that cannot be a month
@@ -73,6 +81,7 @@ def _canonical(f: Column, zone: str) -> Column:
     shift = F.when((F.lower(half) == "pm") & (hours < 12), 12).when((F.lower(half) == "am") & (hours == 12), -12).otherwise(0)
     offset = (
         F.when(F.upper(tz).isin("Z", "UTC", "GMT"), F.lit("Z"))
+        .when(tz.rlike(r"^[+-]\d\d$"), F.concat(tz, F.lit(":00")))
         .when(tz.rlike(r"^[+-]"), F.regexp_replace(tz, r"^(...):?(..)$", "$1:$2"))
         .otherwise(F.lit(" " + zone))  # no zone, or a name that says nothing
     )

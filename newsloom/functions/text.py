@@ -78,11 +78,11 @@ def html_text(c: Column) -> Column:
     return strip_ws(decode_entities(strip_tags(c)))
 
 
-def summary_backfill(summary: Column, content_html: Column) -> Column:
+def summary_backfill(summary: Column, content_html: Column, max_chars: int = settings.SUMMARY_CHARS) -> Column:
     """An empty summary becomes the first characters of the content text."""
     lacks = (F.coalesce(summary, F.lit("")) == "") & (F.coalesce(content_html, F.lit("")) != "")
     # other rows pass NULL, so their content never reaches the entity decoder
-    lead = F.substring(html_text(F.when(lacks, content_html)), 1, settings.SUMMARY_CHARS)
+    lead = F.substring(html_text(F.when(lacks, content_html)), 1, max_chars)
     return F.when(lacks, lead).otherwise(F.coalesce(summary, F.lit("")))
 
 

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newsloom import settings
 from newsloom.functions.text import summary_backfill
 from newsloom.operators.content import main_content
-from newsloom.operators.links import discovered_feeds, page_links
+from newsloom.operators.links import discovered_feeds, page_links, selector_supported
 from newsloom.operators.select import arrival_seq
-from newsloom.sources.feeds import feed_entries, read_entries
+from newsloom.session import stored
+from newsloom.sources.feeds import read_entries, usable
 
 FEED, DISCOVERED, LINKS = 0, 1, 2  # order of the strategies
-NO_ADDRESS = "No feed or homepage provided"
-BAD_ADDRESS = "ValueError: invalid address in feed"
+BAD_ADDRESS = "invalid address in feed"
+BAD_SELECTOR = "selector not understood: "
 ITEM_COLUMNS = ("seq", "source", "title", "url", "summary", "published_at")
 
 
@@ -57,14 +58,14 @@ def routes(registry: DataFrame, landed: DataFrame) -> DataFrame:
     )
     no_answer = F.lit("no response")
     failed_fallback = F.concat(
-        F.lit("Feed "), F.col("feed_status").cast("string"), F.lit(" + fallback failed: "),
+        F.lit("Feed "), F.col("feed_status").cast("string"), F.lit(settings.FALLBACK_FAILED),
         F.coalesce("home_error", no_answer),
     )
     error = (
         F.when(route.isNotNull(), F.lit(None).cast("string"))
         .when(has_feed & may_fall_back, failed_fallback)
         .when(has_feed, F.coalesce("feed_error", no_answer))
-        .when(~has_home, F.lit(NO_ADDRESS))
+        .when(~has_home, F.lit(settings.NO_ADDRESS))
         .otherwise(F.coalesce("home_error", no_answer))
     )
     return known.select(
@@ -77,21 +78,17 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
     """Items and errors of all sources.
 
     An explicit feed is final even when it is empty; a homepage gives its
-    discovered feeds if they have any item, else its links.
+    discovered feeds if they have any item, else its links.  Every feed
+    document is parsed once: its entries, readable or not, are written, and
+    items and errors are both read from there.
     """
-    chosen = routes(registry, landed)
+    chosen = stored(routes(registry, landed), "routes")
     bodies = landed.where((F.col("status") == 200) & (F.col("strategy") != "discovered")).select(
         "source", "strategy", "body"
     )
     fed = chosen.where(F.col("route") == "feed").select("source_ord", "source")
-    feeds = bodies.where(F.col("strategy") == "feed").drop("strategy").join(fed, "source")
-    entries = read_entries(feeds, zone=zone).where(~F.col("corrupt") & (F.length("url") > 0))
-    # one unusable address fails the whole feed
-    broken = entries.where("bad_url").select("source").distinct()
-    feed_items = (
-        entries.where(F.length("title") > 0).join(broken, "source", "left_anti")
-        .drop("corrupt", "bad_url")
-        .withColumns({"strategy_ord": F.lit(FEED), "feed_ord": F.lit(0)})
+    feeds = bodies.where(F.col("strategy") == "feed").join(fed, "source").select(
+        "source_ord", "source", F.lit(FEED).alias("strategy_ord"), F.lit(0).cast("bigint").alias("feed_ord"), "body"
     )
 
     homed = chosen.where(F.col("route").isin("fallback", "homepage")).drop("error")
@@ -104,22 +101,32 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
     answers = landed.where((F.col("status") == 200) & (F.col("strategy") == "discovered")).select(
         "source", F.col("url").alias("feed_url"), "body"
     )
-    found = (
-        feed_entries(announced.join(answers, ["source", "feed_url"]), zone=zone)
-        .drop("feed_url").withColumn("strategy_ord", F.lit(DISCOVERED))
+    discovered = announced.join(answers, ["source", "feed_url"]).select(
+        "source_ord", "source", F.lit(DISCOVERED).alias("strategy_ord"), "feed_ord", "body"
     )
-    linked = homes.join(found.select("source").distinct(), "source", "left_anti")
+    entries = stored(read_entries(feeds.unionByName(discovered), zone=zone), "entries")
+    # one unusable address fails a whole explicit feed
+    broken = entries.where(
+        (F.col("strategy_ord") == FEED) & ~F.col("corrupt") & F.col("bad_url") & (F.length("url") > 0)
+    ).select("source").distinct()
+    from_feeds = entries.where(usable()).join(broken, "source", "left_anti").drop("corrupt", "bad_url")
+    found = entries.where(usable() & (F.col("strategy_ord") == DISCOVERED)).select("source").distinct()
+    linkless = homes.join(found, "source", "left_anti")
+    linked = linkless.where(selector_supported(F.col("selector")))
     links = page_links(linked, base="homepage", selector=F.col("selector")).select(
         "source_ord", "source", "entry_ord", "title", F.col("url_out").alias("url"),
         F.lit("").alias("summary"), F.lit(None).cast("timestamp").alias("published_at"),
-        F.lit(LINKS).alias("strategy_ord"), F.lit(0).alias("feed_ord"),
+        F.lit(LINKS).alias("strategy_ord"), F.lit(0).cast("bigint").alias("feed_ord"),
     )
-    tagged = union_sources(feed_items, found, links)
+    tagged = union_sources(from_feeds, links)
     items = tagged.withColumn(
         "seq", arrival_seq(*(F.col(c) for c in ("source_ord", "strategy_ord", "feed_ord", "entry_ord")))
     ).select(*ITEM_COLUMNS)
     errors = chosen.where(F.col("error").isNotNull()).select("source", "error").unionByName(
         broken.withColumn("error", F.lit(BAD_ADDRESS))
+    ).unionByName(
+        linkless.where(~selector_supported(F.col("selector"))).select(
+            "source", F.concat(F.lit(BAD_SELECTOR), F.col("selector")).alias("error"))
     )
     return Acquired(items, errors)
 
@@ -127,21 +134,25 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
 def fetch_merge(items: DataFrame, fetched: DataFrame) -> Acquired:
     """Page responses back to the items that were fetched, by url.
 
-    `fetched` has url, status, html, error.  Failures become errors; a page
-    without content leaves its item unchanged.
+    `fetched` has url, status, html, error.  Failures become errors, and so
+    does a page that cannot be read; a page without content leaves its item
+    unchanged.  Of several responses for a url one counts: a good one before
+    others, then the first by its text.
     """
-    # a fetched page costs tokenising, so only pages of these items are read
-    wanted = fetched.join(items.select("url"), "url", "left_semi")
     good = F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False))
+    best = Window.partitionBy("url").orderBy(good.desc(), F.xxhash64("html"), "html", "status", "error")
+    # a fetched page costs tokenising, so only pages of these items are read
+    wanted = fetched.join(items.select("url"), "url", "left_semi").withColumn(
+        "_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
     pages = wanted.where(good).select("url", "html").withColumn("base", F.col("url"))
-    content = main_content(pages, key="url", url="base").where(F.col("content_html") != "").select(
-        "url", "content_html"
-    )
+    read = stored(main_content(pages, key="url", url="base"), "content")
+    content = read.where(F.col("content_html") != "").select("url", "content_html")
     merged = (
         items.drop("content_html").join(content, "url", "left")
         .withColumn("summary", summary_backfill(F.col("summary"), F.col("content_html")))
     )
     reason = F.coalesce("error", F.concat(F.lit("HTTPError: "), F.col("status").cast("string")), F.lit("no response"))
-    failures = wanted.where(~good).select("url", reason.alias("error"))
+    failures = wanted.where(~good).select("url", reason.alias("error")).unionByName(
+        read.where(F.col("error").isNotNull()).select("url", "error"))
     errors = failures.join(items.select("url", "source"), "url").select("source", "url", "error")
     return Acquired(merged, errors)

@@ -42,8 +42,10 @@ def cache_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") == 1).drop("_rn", "_new")
 
 
-def cache_trim(cache: DataFrame, limit: int = settings.CACHE_MAX_ENTRIES) -> DataFrame:
-    """Newest rows only; a cache within the limit is unchanged."""
+def cache_trim(cache: DataFrame, limit: int | None = settings.CACHE_MAX_ENTRIES) -> DataFrame:
+    """Newest rows only; a cache within the limit, or without one, is unchanged."""
+    if limit is None:
+        return cache
     return cache.orderBy(F.col("fetched_at").desc_nulls_last(), "url").limit(limit)
 
 

@@ -8,56 +8,28 @@ from newsloom import settings
 from newsloom.functions.bind import computed
 from newsloom.functions.text import strip_ws, truncate_html, xml_escape
 from newsloom.operators.nodes import html_nodes
-from newsloom.operators.prune import in_order, node_markup, prune_nodes
-
-_BLOCKS = -1  # candidate id of the block extractor; others are the ord of their element
-
-
-def _with_candidates(nodes: DataFrame, key: str) -> DataFrame:
-    """Each node once per candidate that holds it.
-
-    main elements count only on a page without article.
-    """
-    page = Window.partitionBy(key)
-    opened = F.when((F.col("kind") == "open") & (F.col("tag") == "article"), F.lit(1))
-    mains = F.collect_set(F.when((F.col("kind") == "open") & (F.col("tag") == "main"), F.col("ord"))).over(page)
-    own = F.when(
-        F.coalesce(F.max(opened).over(page), F.lit(0)) == 1, F.array_except("within", mains)
-    ).otherwise(F.col("within"))
-    return (
-        nodes.withColumn("within", own)
-        .withColumn("cand", F.explode(F.concat(F.array(F.lit(_BLOCKS)), "within")))
-    )
+from newsloom.operators.prune import in_order, node_markup, prune_nodes, rebuild
+from newsloom.session import stored
 
 
 def _joined(nodes: str, field: str, sep: str) -> Column:
     return F.array_join(F.transform(nodes, lambda n: n[field]), sep)
 
 
-def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, content_html, method): the first candidate with enough text.
+def block_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+                  min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
+    """(key, html, error): the text blocks of each page that are prose, or why the page cannot be read.
 
-    Pages are tokenised once and shuffled once; every later step works on the
-    page's own partition.  Pages without content give '' and no method.
+    Pages without enough prose have no row.
     """
-    nodes = html_nodes(pages, key, html, keep=[url])
-    keys = [key, "cand"]
-    head = (F.col("cand") == _BLOCKS) & (F.col("tag") == "head")
-    pruned = prune_nodes(_with_candidates(nodes, key), keys, url, also=head)
-
-    # level 1: text blocks of candidate -1; the whole element for the others
-    is_text = F.col("kind") == "text"
-    blocks = F.col("cand") == _BLOCKS
-    part = pruned.where(~blocks | is_text).withColumn("part", F.when(blocks, F.col("block")).otherwise(F.lit(0)))
-    node = F.struct(
-        "ord", F.when(is_text, F.col("text")).alias("text"), "in_link",
-        F.when(~blocks, node_markup()).alias("markup"),
-    )
-    grouped = part.groupBy(key, "cand", "part").agg(
-        F.max(F.when(blocks, F.col("tag"))).alias("tag"),
-        F.array_sort(F.collect_list(node)).alias("nodes"),
+    nodes = html_nodes(pages, key, html, keep=[url], errors=True)
+    pruned = prune_nodes(nodes, [key], url, also=F.col("tag") == "head")
+    failed = F.col("kind") == "error"
+    grouped = pruned.where((F.col("kind") == "text") | failed).groupBy(key, "block").agg(
+        F.max("tag").alias("tag"), F.max(F.when(failed, F.col("text"))).alias("error"),
+        F.array_sort(F.collect_list(F.struct("ord", "text", "in_link"))).alias("nodes"),
     )
-    parts = computed(grouped, [key, "cand", "tag", "nodes"], {
+    parts = computed(grouped, [key, "tag", "nodes", "error"], {
         "ord": F.col("nodes")[0]["ord"],
         "block_text": strip_ws(_joined("nodes", "text", "")),
         "link_text": strip_ws(F.array_join(
@@ -67,24 +39,51 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     heading = F.coalesce(F.col("tag").rlike("^h[1-6]$"), F.lit(False))
     long_enough = heading | (F.length("block_text") >= settings.BLOCK_MIN_CHARS)
     prose = F.length("link_text") <= settings.BLOCK_MAX_LINK_DENSITY * F.length("block_text")
-    good = ~blocks | ((F.length("block_text") > 0) & long_enough & prose)
     shown_tag = F.when(heading | F.col("tag").isin("li", "blockquote", "pre"), F.col("tag")).otherwise(F.lit("p"))
     block_html = F.concat(
         F.lit("<"), shown_tag, F.lit(">"), xml_escape(F.col("block_text")), F.lit("</"), shown_tag, F.lit(">")
     )
-    chosen = parts.where(good).select(
-        key, "cand", "ord",
-        F.when(blocks, block_html).otherwise(_joined("nodes", "markup", "")).alias("html"),
-        F.when(blocks, F.col("block_text")).otherwise(strip_ws(_joined("nodes", "text", " "))).alias("text"),
-        F.when(blocks, F.lit("blocks")).otherwise(F.lit("element")).alias("method"),
-    )
-    # level 2: whole candidates with enough text; level 3: the first of them
-    whole = chosen.groupBy(key, "cand", "method").agg(
-        in_order(F.col("html"), "").alias("html"),
+    good = parts.where(((F.length("block_text") > 0) & long_enough & prose) | F.col("error").isNotNull())
+    whole = good.select(key, "ord", "error", block_html.alias("html"), F.col("block_text").alias("text")).groupBy(key).agg(
+        F.max("error").alias("error"), in_order(F.col("html"), "").alias("html"),
         strip_ws(in_order(F.col("text"), " ")).alias("text"),
-    ).where(F.length("text") >= settings.MIN_CONTENT_CHARS)
-    best = whole.groupBy(key).agg(F.min(F.struct("cand", "html", "method")).alias("best"))
-    found = best.select(key, F.col("best.html").alias("content_html"), F.col("best.method").alias("method"))
-    return pages.select(key).join(found, key, "left").withColumn(
-        "content_html", truncate_html(F.col("content_html"))
+    )
+    return whole.where((F.length("text") >= min_chars) | F.col("error").isNotNull()).select(
+        key, F.when(F.col("error").isNull(), F.col("html")).alias("html"), "error")
+
+
+def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+                    min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
+    """(key, html): the first article with enough text; main elements count only on a page without article."""
+    nodes = html_nodes(pages, key, html, keep=[url])
+    page = Window.partitionBy(key)
+    opened = F.when((F.col("kind") == "open") & (F.col("tag") == "article"), F.lit(1))
+    mains = F.collect_set(F.when((F.col("kind") == "open") & (F.col("tag") == "main"), F.col("ord"))).over(page)
+    own = F.when(
+        F.coalesce(F.max(opened).over(page), F.lit(0)) == 1, F.array_except("within", mains)
+    ).otherwise(F.col("within"))
+    candidates = nodes.withColumn("within", own).withColumn("cand", F.explode("within"))
+    whole = rebuild(prune_nodes(candidates, [key, "cand"], url), [key, "cand"])
+    best = whole.where(F.length("text") >= min_chars).groupBy(key).agg(F.min(F.struct("cand", "html")).alias("best"))
+    return best.select(key, F.col("best.html").alias("html"))
+
+
+def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+                 max_chars: int = settings.MAX_CONTENT_CHARS, min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
+    """(key, content_html, method, error): the first candidate with enough text.
+
+    The block stage runs over all pages and is written once; elements are
+    built only for the pages that it leaves.  Each stage shuffles its pages
+    once.  Pages without content give '' and no method; `error` says why a
+    page cannot be read.
+    """
+    blocks = stored(block_content(pages, key, url, html, min_chars), "blocks")
+    left = pages.select(key, url, html).join(blocks.select(key), key, "left_anti")
+    elements = element_content(left, key, url, html, min_chars)
+    none = F.lit(None).cast("string")
+    found = blocks.select(
+        key, "html", F.when(F.col("error").isNull(), F.lit("blocks")).alias("method"), "error"
+    ).unionByName(elements.select(key, "html", F.lit("element").alias("method"), none.alias("error")))
+    return pages.select(key).join(found.withColumnRenamed("html", "content_html"), key, "left").withColumn(
+        "content_html", truncate_html(F.col("content_html"), max_chars)
     )

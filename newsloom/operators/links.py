@@ -31,23 +31,50 @@ def _visible(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
 
 
+# one way to name links: a, classes, conditions on the address
+_CONDITION = r"\[\s*href\s*([\^*$]?)=\s*(\"[^\"]*\"|'[^']*'|[^\]\"'\s]+)\s*\]"
+_ALTERNATIVE = rf"^(?:a|(?=[.\[]))((?:\.[\w-]+)*)((?:{_CONDITION})*)$"
+
+
+def _alternatives(selector: Column) -> Column:
+    """The parts between commas that are not inside brackets."""
+    parts = F.split(F.coalesce(selector, F.lit("")), r",(?![^\[]*\])")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
+def selector_supported(selector: Column) -> Column:
+    """Whether every part of a selector is understood: a, a.class, .class, a[href=..], ^=, *=, $=, and their lists."""
+    return F.forall(_alternatives(selector), lambda p: p.rlike(_ALTERNATIVE))
+
+
 def selector_rules(selector: Column) -> Column:
-    """Rules of a selector text: href starts with (^) or contains (*); none means every link."""
-    form = r"\[href([\^*])=['\"]([^'\"]*)['\"]\]"
-    text = F.coalesce(selector, F.lit(""))
-    return F.zip_with(
-        F.regexp_extract_all(text, F.lit(form), F.lit(1)), F.regexp_extract_all(text, F.lit(form), F.lit(2)),
-        lambda op, needle: F.named_struct(F.lit("op"), op, F.lit("needle"), needle),
-    )
+    """Alternatives of a selector: the classes and the address conditions that each demands.
 
+    A selector that is not supported has one alternative that nothing fits.
+    """
+    def rule(part):
+        ops, needles = (F.regexp_extract_all(part, F.lit(_CONDITION), F.lit(i)) for i in (1, 2))
+        classes = F.filter(F.split(F.regexp_extract(part, _ALTERNATIVE, 1), r"\."), lambda c: c != "")
+        conditions = F.zip_with(ops, needles, lambda op, needle: F.named_struct(
+            F.lit("op"), op, F.lit("needle"), F.regexp_replace(needle, r"^[\"']|[\"']$", "")))
+        return F.named_struct(
+            F.lit("classes"), classes, F.lit("conditions"), conditions, F.lit("known"), part.rlike(_ALTERNATIVE))
 
-def link_selected(href: Column, rules: Column) -> Column:
-    """True when any rule fits, or there is none."""
-    fits = F.exists(
-        rules,
-        lambda r: F.when(r["op"] == "^", F.startswith(href, r["needle"])).otherwise(F.contains(href, r["needle"])),
-    )
-    return (F.size(rules) == 0) | fits
+    return F.transform(_alternatives(selector), rule)
+
+
+def link_selected(href: Column, classes: Column, rules: Column) -> Column:
+    """True when any alternative fits, or the selector is empty; never under a selector that is not understood."""
+    own = F.split(F.coalesce(classes, F.lit("")), r"\s+")
+
+    def holds(c):
+        return (
+            F.when(c["op"] == "^", F.startswith(href, c["needle"])).when(c["op"] == "*", F.contains(href, c["needle"]))
+            .when(c["op"] == "$", F.endswith(href, c["needle"])).otherwise(href == c["needle"])
+        )
+
+    fits = F.exists(rules, lambda r: F.forall(r["conditions"], holds) & (F.size(F.array_except(r["classes"], own)) == 0))
+    return (F.size(rules) == 0) | (F.forall(rules, lambda r: r["known"]) & fits)
 
 
 def page_links(pages: DataFrame, base: str = "url", html: str = "html", selector: Column | None = None) -> DataFrame:
@@ -61,11 +88,12 @@ def page_links(pages: DataFrame, base: str = "url", html: str = "html", selector
     read = computed(anchors, [*rest, "_rules"], {
         "entry_ord": F.col("entry_ord").cast("bigint"),
         "href": decode_entities(_attribute(F.col("_a"), "href")),
+        "_class": _attribute(F.col("_a"), "class"),
         "title": html_text(F.regexp_extract("_a", _INNER, 1)),
     })
     return (
-        read.where((F.col("href") != "") & (F.col("title") != "") & link_selected(F.col("href"), F.col("_rules")))
-        .drop("_rules")
+        read.where((F.col("href") != "") & (F.col("title") != "") & link_selected(F.col("href"), F.col("_class"), F.col("_rules")))
+        .drop("_rules", "_class")
         .withColumn("url_out", clean_url(resolve_url(F.col(base), F.col("href"))))
     )
 
@@ -112,6 +140,7 @@ def feed_discovery(pages: DataFrame, base: str = "url", html: str = "html",
     ).withColumn("feed_ord", F.col("feed_ord").cast("bigint"))
 
 
-def discovered_feeds(pages: DataFrame, base: str = "url", html: str = "html") -> DataFrame:
-    """The discovered feeds that are read: the first two."""
-    return feed_discovery(pages, base, html, cap=settings.MAX_DISCOVERED_FEEDS)
+def discovered_feeds(pages: DataFrame, base: str = "url", html: str = "html",
+                     cap: int = settings.MAX_DISCOVERED_FEEDS) -> DataFrame:
+    """The discovered feeds that are read: the first `cap`."""
+    return feed_discovery(pages, base, html, cap=cap)

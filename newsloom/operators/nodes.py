@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Elements without content, and elements that start a text block.
 VOID_TAGS = frozenset((
@@ -34,7 +35,7 @@ NODE = T.StructType([
     T.StructField("ord", T.IntegerType()),       # position in the page
     T.StructField("end_ord", T.IntegerType()),   # last position of the subtree
     T.StructField("elem", T.IntegerType()),      # ord of the element opened or closed, else ord
-    T.StructField("kind", T.StringType()),       # open | close | void | text | raw | comment
+    T.StructField("kind", T.StringType()),       # open | close | void | text | raw | comment | error
     T.StructField("tag", T.StringType()),        # of text: the tag of its block
     T.StructField("role", T.StringType()),
     T.StructField("class", T.StringType()),
@@ -144,30 +145,58 @@ class _PageReader(HTMLParser):
         return self.rows
 
 
-@F.arrow_udf(T.ArrayType(NODE))
-def _page_nodes(pages: pa.Array) -> pa.Array:
-    rows, offsets = [], [0]
-    for page in pages.to_pylist():
-        rows += _PageReader().page(page) if page else []
-        offsets.append(len(rows))
-    columns = [
-        pa.array([r[i] for r in rows], _ARROW_TYPES[f.dataType.typeName()]) for i, f in enumerate(NODE.fields)
-    ]
-    nodes = pa.StructArray.from_arrays(columns, NODE.fieldNames())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
-
-
-def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+_CHUNK = 50_000  # nodes in one batch
+
+
+def _nodes_of(page: str) -> list[list]:
+    """Node rows of a page; a page that the tokeniser refuses is one row of kind error with the reason."""
+    try:
+        return _PageReader().page(page)
+    except (AssertionError, ValueError) as e:
+        return [[0, 0, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}", 0, False, ()]]
+
+
+def _tokenise(html: str, out: pa.Schema):
+    """Pages to nodes, in batches of bounded size however many nodes a page has."""
+    def batch_of(source, rows, places):
+        kept = [source.column(n).take(pa.array(places)) for n in source.schema.names if n != html]
+        own = [
+            pa.array([r[i] for r in rows], _ARROW_TYPES[f.dataType.typeName()]) for i, f in enumerate(NODE.fields)
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *own], out)], schema=out)
+
+    def run(batches):
+        for source in batches:
+            rows, places = [], []
+            pages = source.column(html)
+            for place in range(len(pages)):
+                page = pages[place].as_py()
+                found = _nodes_of(page) if page else []
+                for k in range(0, len(found), _CHUNK):
+                    part = found[k:k + _CHUNK]
+                    rows += part
+                    places += [place] * len(part)
+                    if len(rows) >= _CHUNK:
+                        yield batch_of(source, rows, places)
+                        rows, places = [], []
+            if rows:
+                yield batch_of(source, rows, places)
+
+    return run
+
+
+def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = (),
+               errors: bool = False) -> DataFrame:
     """One row per node; `key` must be unique per page.
 
-    inline_outer, since inline would make Spark infer a size filter and
-    tokenise every page twice.
+    A page that cannot be tokenised has no nodes; with `errors`, it has one
+    row of kind error whose text is the reason.
     """
-    return (
-        pages.select(key, *keep, _page_nodes(F.col(html)).alias("_nodes"))
-        .select(key, *keep, F.inline_outer("_nodes"))
-        .where(F.col("ord").isNotNull())
-    )
+    source = pages.select(key, *keep, html)
+    fields = [*(f for f in source.schema if f.name != html), *NODE.fields]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    nodes = source.mapInArrow(_tokenise(html, to_arrow_schema(schema)), schema)
+    return nodes if errors else nodes.where(F.col("kind") != "error")
 
 
 def is_element() -> Column:

@@ -13,20 +13,23 @@ from newsloom.operators.skew import lookup_join
 def rules_for_agent(rules: DataFrame, agent: str) -> DataFrame:
     """Per host, the ordered rules that bind this agent.
 
-    A group that names the agent replaces the group for everyone.  A host's
+    Of the groups that name the agent (its name before the version), the first
+    in the file decides, and without one the first for everyone.  A host's
     rules are one short document, so its array is small.
     """
-    name = agent.lower()
+    name = agent.split("/")[0].lower()
     named = F.lit(name).contains(F.lower("agent")) & (F.col("agent") != "*")
     mine = rules.where(named | (F.col("agent") == "*")).withColumn("_named", named)
-    rule = F.struct("rule_ord", "allow", "path_prefix")
+    rule = F.struct("group_ord", "rule_ord", "allow", "path_prefix")
     grouped = mine.groupBy("host").agg(
         F.array_sort(F.collect_list(F.when(F.col("_named"), rule))).alias("_own"),
         F.array_sort(F.collect_list(F.when(~F.col("_named"), rule))).alias("_all"),
     )
-    return grouped.select(
+    first = grouped.select(
         "host", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_all")).alias("_rules")
     )
+    group = F.get("_rules", 0)["group_ord"]
+    return first.select("host", F.filter("_rules", lambda r: r["group_ord"] == group).alias("_rules"))
 
 
 def robots_join(items: DataFrame, rules: DataFrame, agent: str = "*", spread: str = "seq",

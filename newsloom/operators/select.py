@@ -13,14 +13,19 @@ from newsloom.operators.skew import fits_broadcast, lookup_join, top_per_group
 def arrival_seq(source_ord: Column, strategy_ord: Column, feed_ord: Column, entry_ord: Column) -> Column:
     """Arrival key as one number: 28 bits of source, 2 of strategy, 3 of feed, 30 of entry.
 
-    It depends on the data only, so a different input split gives the same order.
+    It depends on the data only, so a different input split gives the same
+    order.  A number beyond its bits would change the order silently, so it
+    fails the job.
     """
-    def big(c):
-        return c.cast("bigint")
+    def field(c, bits, name):
+        c = c.cast("bigint")
+        fits = c.isNull() | ((c >= 0) & (c < (1 << bits)))
+        beyond = F.raise_error(F.concat(F.lit(f"{name} has no room in the arrival key: "), c.cast("string")))
+        return F.when(fits, c).otherwise(beyond.cast("bigint"))
 
     return (
-        F.shiftleft(big(source_ord), 35) + F.shiftleft(big(strategy_ord), 33)
-        + F.shiftleft(big(feed_ord), 30) + big(entry_ord)
+        F.shiftleft(field(source_ord, 28, "source"), 35) + F.shiftleft(field(strategy_ord, 2, "strategy"), 33)
+        + F.shiftleft(field(feed_ord, 3, "feed"), 30) + field(entry_ord, 30, "entry")
     )
 
 

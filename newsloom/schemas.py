@@ -39,7 +39,8 @@ CONTENT_CACHE = T.StructType([
 ROBOTS_RULES = T.StructType([
     T.StructField("host", T.StringType(), False),
     T.StructField("agent", T.StringType(), False),
-    T.StructField("rule_ord", T.IntegerType(), False),
+    T.StructField("group_ord", T.IntegerType(), False),  # position of the group in the file
+    T.StructField("rule_ord", T.IntegerType(), False),   # position in the group
     T.StructField("allow", T.BooleanType(), False),
     T.StructField("path_prefix", T.StringType(), False),
 ])
@@ -81,5 +82,6 @@ RUN_STATS = T.StructType([
     T.StructField("articles_collected", T.LongType()),
     T.StructField("cache_entries", T.LongType()),
     T.StructField("errors", T.LongType()),
-    T.StructField("execution_time", T.DoubleType()),
+    T.StructField("cache_entries_kept", T.LongType()),
+    T.StructField("execution_time", T.DoubleType()),  # seconds
 ])

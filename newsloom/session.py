@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def ship_package() -> None:
@@ -15,12 +17,18 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(sys.modules["newsloom"])
 
 
+_SPREAD_TASKS = 64
+_scratch: list[str] = []  # what this session has written and not removed
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set."""
+    """The shared folder the cluster names; one of our own only where everything runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="newsloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -29,7 +37,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder on whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_paths() -> tuple[str, ...]:
+    """The scratch paths of this session that are not removed yet."""
+    return tuple(_scratch)
+
+
+def clear_scratch(spark: SparkSession, paths) -> None:
+    """Remove scratch paths that nothing reads any more."""
+    for path in paths:
+        if path in _scratch:
+            _scratch.remove(path)
+            remove_path(spark, path)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; one that is not there yet is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder: read column-wise by several consumers, and the lineage ends."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -56,9 +101,10 @@ def measured_bytes(df: DataFrame) -> int:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """More tasks for a small stored table whose rows are costly to work on.
 
-    A table whose scan already has a task per core is returned as it is, so a
-    large one is never shuffled here.  Only for scans: counting the partitions
-    of a plan with a shuffle would run it.
+    A table whose scan already has a task per core, or _SPREAD_TASKS tasks, is
+    returned as it is, so a large one is never shuffled here, however many
+    cores there are.  Only for scans: counting the partitions of a plan with a
+    shuffle would run it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, _SPREAD_TASKS)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom import settings
 from newsloom.operators.cache import cache_trim, cache_upsert
-from newsloom.sources.cache import latest_version, read_cache
+from newsloom.session import remove_path
+from newsloom.sources.cache import cache_versions, latest_version, read_cache
 
 
-def write_cache(spark: SparkSession, path: str, new: DataFrame, limit: int = settings.CACHE_MAX_ENTRIES,
+def write_cache(spark: SparkSession, path: str, new: DataFrame, limit: int | None = settings.CACHE_MAX_ENTRIES,
                 version: int | None = None) -> int:
     """Merge new content into the cache as a new version; returns its number.
 
@@ -23,3 +24,9 @@ def write_cache(spark: SparkSession, path: str, new: DataFrame, limit: int = set
     # one directory per version, replaced as a whole when a batch is repeated
     cache_trim(merged, limit).write.mode("overwrite").parquet(f"{path}/version={version}")
     return version
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the newest versions; readers of the last one are not disturbed."""
+    for version in cache_versions(spark, path)[:-keep]:
+        remove_path(spark, f"{path}/version={version}")

@@ -13,9 +13,11 @@ from newsloom.functions.text import rss_guid, xml_escape
 
 @dataclass(frozen=True)
 class Channel:
-    title: str = "Announcements (Daily)"
-    link: str = "https://example.com/"
-    description: str = "Unified feed of announcements generated daily"
+    """What a reader of the feed is shown about it."""
+
+    title: str
+    link: str
+    description: str
 
 
 def _element(tag: str, value: Column, attrs: str = "") -> Column:
@@ -43,8 +45,7 @@ def rss_items(items: DataFrame, as_of, zone: str = settings.DEFAULT_TIMEZONE,
     return items.where(F.col("rank") <= limit).select("rank", xml.alias("xml"))
 
 
-def rss_document(items: DataFrame, as_of, zone: str = settings.DEFAULT_TIMEZONE,
-                 channel: Channel = Channel()) -> DataFrame:
+def rss_document(items: DataFrame, as_of, channel: Channel, zone: str = settings.DEFAULT_TIMEZONE) -> DataFrame:
     """The whole document as one text; bounded by the item limit."""
     parts = rss_items(items, as_of, zone).agg(F.array_sort(F.collect_list(F.struct("rank", "xml"))).alias("_items"))
     head = _lines(

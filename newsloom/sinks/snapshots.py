@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom import settings
 from newsloom.functions.dates import instant, run_date, to_iso
@@ -10,13 +10,15 @@ from newsloom.functions.dates import instant, run_date, to_iso
 ITEM_COLUMNS = ("rank", "title", "url", "summary", "published_at", "source", "content_html")
 
 
+def day_of(spark: SparkSession, as_of, zone: str = settings.DEFAULT_TIMEZONE) -> str:
+    """The run's date as a partition name."""
+    return spark.range(1).select(run_date(as_of, zone).alias("d")).first()["d"]
+
+
 def write_daily(items: DataFrame, path: str, as_of, zone: str = settings.DEFAULT_TIMEZONE) -> None:
-    """Write the run's items under the run's date; only that day is replaced."""
-    (
-        items.select(*ITEM_COLUMNS).withColumn("date", run_date(as_of, zone))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date").parquet(path)
-    )
+    """Write the run's items under the run's date; only that day is replaced, also by a run without items."""
+    day = day_of(items.sparkSession, as_of, zone)
+    items.select(*ITEM_COLUMNS).write.mode("overwrite").parquet(f"{path}/date={day}")
 
 
 def write_latest(items: DataFrame, path: str, as_of, zone: str = settings.DEFAULT_TIMEZONE) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom import settings
-from newsloom.schemas import ERRORS
+from newsloom.schemas import ERRORS, RUN_STATS
 
 
 def run_stats(items: DataFrame, cache: DataFrame, errors: DataFrame,
@@ -30,10 +30,16 @@ def all_errors(*parts: DataFrame) -> DataFrame:
     return out.select(*ERRORS.fieldNames())
 
 
-def write_errors(errors: DataFrame, path: str, date) -> None:
-    """Errors are stored beside the snapshot of the day, not dropped."""
-    (
-        errors.withColumn("date", date)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date").parquet(path)
-    )
+def timed(stats: DataFrame, seconds: float) -> DataFrame:
+    """The counters with the time the run took."""
+    return stats.withColumn("execution_time", F.lit(float(seconds))).select(*RUN_STATS.fieldNames())
+
+
+def write_stats(stats: DataFrame, path: str, date: str) -> None:
+    """The counters of a day's run; another run of the day replaces them."""
+    stats.write.mode("overwrite").parquet(f"{path}/date={date}")
+
+
+def write_errors(errors: DataFrame, path: str, date: str) -> None:
+    """Errors are stored beside the snapshot of the day, not dropped; a run without errors leaves none of that day."""
+    errors.write.mode("overwrite").parquet(f"{path}/date={date}")

@@ -29,11 +29,26 @@ ENTRY = T.StructType([
     T.StructField("published", T.StringType()),
     T.StructField("updated", T.StringType()),
     T.StructField("created", T.StringType()),
+    T.StructField("issued", T.StringType()),
+    T.StructField("modified", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("content_encoded", T.StringType()),
     T.StructField("dc_date", T.StringType()),
+    T.StructField("dcterms_issued", T.StringType()),
+    T.StructField("dcterms_modified", T.StringType()),
+    T.StructField("dcterms_created", T.StringType()),
     T.StructField(CORRUPT, T.StringType()),
 ])
-# one entry, up to its end tag, the next entry, or the end of a cut document
-_ENTRY = r"<(item|entry)[\s>][^<]*+(?:<(?!/?\1[\s>])[^<]*+)*+(?:</\1\s*>)?"
+_PREFIXES = ("content_", "dc_", "dcterms_")
+# the same fields as the XML reader names them, with their prefix
+FILE_ENTRY = T.StructType([
+    T.StructField(f.name.replace("_", ":", 1) if f.name.startswith(_PREFIXES) else f.name, f.dataType) for f in ENTRY
+])
+# one entry, up to its end tag, the next entry, or the end of a cut document; CDATA and comments are passed over
+_ENTRY = (
+    r"(?s)<((?:[A-Za-z_][\w.-]*:)?(?:item|entry))(?=[\s>])"
+    r"(?:[^<]++|<!\[CDATA\[.*?(?:\]\]>|\z)|<!--.*?(?:-->|\z)|<(?!/?\1[\s>])(?!!\[CDATA\[|!--))*+(?:</\1\s*>)?"
+)
 
 
 def entry_texts(entry: Column) -> dict[str, Column]:
@@ -45,13 +60,18 @@ def entry_texts(entry: Column) -> dict[str, Column]:
     # a permanent id stands in for a missing link
     perma = F.when(F.coalesce(entry["guid"]["_isPermaLink"], F.lit("true")) == "true", entry["guid"]["_VALUE"])
     blank = F.lit("")
+
+    def first(*fields, otherwise=None):
+        found = [F.nullif(entry[f], blank) for f in fields]
+        return F.coalesce(*found, otherwise) if otherwise is not None else F.coalesce(*found)
+
     return {
         "_link": F.coalesce(F.get(texts, 0), F.get(hrefs, 0), perma, blank),
         "_title": entry["title"],
-        "_summary": F.coalesce(F.nullif(entry["summary"], blank), F.nullif(entry["description"], blank), blank),
-        "_published": F.coalesce(F.nullif(entry["pubDate"], blank), entry["published"]),
-        "_updated": F.coalesce(F.nullif(entry["updated"], blank), entry["dc_date"]),
-        "_created": entry["created"],
+        "_summary": first("summary", "description", "content", "content_encoded", otherwise=blank),
+        "_published": first("pubDate", "published", "issued", "dcterms_issued"),
+        "_updated": first("updated", "dc_date", "modified", "dcterms_modified"),
+        "_created": first("created", "dcterms_created"),
         "corrupt": F.coalesce(entry[CORRUPT].isNotNull(), F.lit(False)),
     }
 
@@ -74,21 +94,29 @@ def usable() -> Column:
 
 
 def _unprefixed(xml: Column) -> Column:
-    """Namespace prefixes to plain names: a fragment has lost their declarations."""
-    tags = F.regexp_replace(xml, r"(</?[A-Za-z_][\w.-]*):(?=[A-Za-z_])", "$1_")
+    """Namespace prefixes to plain names: a fragment has lost their declarations.
+
+    The prefix of the entry itself stands for no name at all.
+    """
+    own = F.regexp_extract(xml, r"^<([A-Za-z_][\w.-]*:)", 1)
+    plain = F.when(own == "", xml).otherwise(F.regexp_replace(xml, F.concat(F.lit("(</?)"), own), F.lit("$1")))
+    tags = F.regexp_replace(plain, r"(</?[A-Za-z_][\w.-]*):(?=[A-Za-z_])", "$1_")
     return F.regexp_replace(tags, r"(\s(?!xml:)[A-Za-z_][\w.-]*):(?=[\w.-]+\s*=\s*[\"'])", "$1_")
 
 
 def read_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFAULT_TIMEZONE,
-                 cap: int = settings.MAX_FEED_ENTRIES) -> DataFrame:
+                 cap: int = settings.MAX_FEED_ENTRIES, outer: bool = False) -> DataFrame:
     """First `cap` entries of each document, by position, readable or not.
 
+    With `outer`, a document without any entry has one row without a position.
+
     Documents are cut into entries before parsing, so a malformed entry or a
     truncated document costs only itself; `corrupt` marks it.
     """
     rest = [c for c in feeds.columns if c != body]
     texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(_ENTRY), F.lit(0))
-    pieces = feeds.select(*rest, F.posexplode(F.slice(texts, 1, cap)).alias("entry_ord", "_xml"))
+    cut = F.posexplode_outer if outer else F.posexplode
+    pieces = feeds.select(*rest, cut(F.slice(texts, 1, cap)).alias("entry_ord", "_xml"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     keep = [*rest, "entry_ord"]
     parsed = computed(
@@ -105,17 +133,23 @@ def feed_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFA
 
 
 def feed_warnings(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """Per document: entries read, entries lost, and whether it ends as it should."""
+    """Per document, also one without any entry: entries read, entries lost, and whether it is as it should be."""
     rest = [c for c in feeds.columns if c != body]
     ended = F.coalesce(F.col(body), F.lit("")).rlike(r"(?s)</(?:rss|feed|(?:\w+:)?RDF)\s*>\s*$")
     marked = feeds.withColumn("_ended", ended)
-    entries = read_entries(marked, body)
+    entries = read_entries(marked, body, outer=True)
+    real = F.col("entry_ord").isNotNull()
     counts = entries.groupBy(*rest, "_ended").agg(
-        F.count_if(~F.col("corrupt")).alias("readable"), F.count_if("corrupt").alias("corrupt")
+        F.count_if(real & ~F.col("corrupt")).alias("readable"), F.count_if(real & F.col("corrupt")).alias("corrupt")
     )
     return counts.withColumn("warned", ~F.col("_ended") | (F.col("corrupt") > 0)).drop("_ended")
 
 
+def file_entry() -> Column:
+    """The entry of a row that the XML reader made."""
+    return F.struct(*(F.col(f"`{file.name}`").alias(f.name) for f, file in zip(ENTRY, FILE_ENTRY)))
+
+
 def scan_feed_files(spark: SparkSession, path: str, row_tag: str = "item",
                     zone: str = settings.DEFAULT_TIMEZONE) -> DataFrame:
     """Landed feed files, one row per entry; files split over tasks.
@@ -123,8 +157,8 @@ def scan_feed_files(spark: SparkSession, path: str, row_tag: str = "item",
     Use read_entries on whole documents where the position of an entry matters.
     """
     raw = (
-        spark.read.format("xml").schema(ENTRY)
+        spark.read.format("xml").schema(FILE_ENTRY)
         .options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
         .load(path)
     )
-    return read_entry(raw, [], F.struct(*ENTRY.fieldNames()), zone)
+    return read_entry(raw, [], file_entry(), zone)

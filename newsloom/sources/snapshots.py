@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.schemas import ENVELOPE
+from newsloom.sources.partitions import partition_values
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +24,6 @@ def read_daily(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_view(daily: DataFrame) -> DataFrame:
-    """Rows of the newest day."""
-    newest = daily.agg(F.max("date").alias("date"))
-    return daily.join(F.broadcast(newest), "date", "left_semi")
+    """Rows of the newest day that was run, none if it had none; `daily` is a stored table."""
+    days = partition_values(daily, "date")
+    return daily.where(F.col("date").cast("string") == F.lit(days[-1] if days else None))

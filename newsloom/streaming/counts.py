@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def daily_counts(items: DataFrame, late: str = "14 days") -> DataFrame:
     """Batch or stream: items per source and UTC day of publication.
 
-    On a stream the watermark bounds the state; on a batch it has no effect.
+    On a stream the watermark bounds the state (days before it are closed), as
+    only changed counts are put out; on a batch it has no effect.
     """
     return (
         items.where(F.col("published_at").isNotNull())
@@ -20,9 +21,18 @@ def daily_counts(items: DataFrame, late: str = "14 days") -> DataFrame:
     )
 
 
-def stream_daily_counts(items: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Complete counts after every trigger, as a table in the session."""
+def stream_daily_counts(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Counts that a trigger changed, as a folder per batch; a repeated batch rewrites its own."""
+    def changed(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        daily_counts(items).writeStream.format("memory").queryName(name).outputMode("complete")
+        daily_counts(items).writeStream.foreachBatch(changed).outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts so far: the newest of each source and day."""
+    changes = spark.read.parquet(path)
+    return changes.groupBy("day", "source").agg(F.max_by("n", "batch").alias("n"))

@@ -38,6 +38,16 @@ DATES = {
     "13/2/2025": "2025-02-13T00:00:00+10:00",
     "Thu, 14 Aug 2025 19:02 AEST": "2025-08-14T19:02:00+10:00",
     "12 Aug 2025 12:30 am": "2025-08-12T00:30:00+10:00",
+    "19 Aug 25 10:10:24 GMT": "2025-08-19T20:10:24+10:00",
+    "19 Aug 75": "1975-08-19T00:00:00+10:00",
+    "2025-08-14T19:02:25+10": "2025-08-14T19:02:25+10:00",
+    "20250814T190225Z": "2025-08-15T05:02:25+10:00",
+    "20250814": "2025-08-14T00:00:00+10:00",
+    "Thu Aug 14 19:02:25 2025": "2025-08-14T19:02:25+10:00",
+    "Thu Aug 14 19:02:25 UTC 2025": "2025-08-15T05:02:25+10:00",
+    "14 Aug 2025 7 pm": "2025-08-14T19:00:00+10:00",
+    "14.08.2025": "2025-08-14T00:00:00+10:00",
+    "14 Aug 2025 7": None, "14 Aug 10:30": None,
     "30 Feb 2025": None, "junk": None, "": None, "10:30": None, None: None,
 }
 

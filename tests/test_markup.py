@@ -115,9 +115,36 @@ def test_page_links_on_untidy_markup(spark):
 
 
 @pytest.mark.parametrize("selector, want", [
-    (None, 3), ("a", 3), ("a[href^='/n/']", 1), ("a[href^='/n/'], a[href*='/n/']", 2), ('a[href*="zzz"]', 0),
+    (None, 4), ("a", 4), ("a[href^='/n/']", 1), ("a[href^='/n/'], a[href*='/n/']", 2), ('a[href*="zzz"]', 0), ("", 4),
+    ("a[href^=/n/]", 1), ("a[href$='.pdf']", 1), ("[href=/y]", 1), ("a.news", 2), (".news.top", 1), ("a.news[href$=pdf], a[href='/y']", 2),
+    ("a[href^='/x'][href$='2']", 1), ("h3 a", 0), ("a, h3 a", 0), ("div", 0), ("a:first-child", 0), ("a[title='x']", 0),
 ])
 def test_selectors(spark, selector, want):
-    page = '<a href="/n/1">a</a><a href="/x/n/2">b</a><a href="/y">c</a>'
+    page = """<a href="/n/1" class="news  top">a</a><a href="/x/n/2">b</a><a href="/y">c</a><a class='news' href="/z.pdf">d</a>"""
     df = spark.createDataFrame([(1, "https://ex.org/", page, selector)], "page_id int, url string, html string, s string")
     assert links.page_links(df, selector=F.col("s")).count() == want
+
+
+def test_a_page_that_cannot_be_read_costs_only_itself(spark):
+    prose = "This sentence is long enough to be a block of prose, and there is more of it. " * 3
+    rows = [(1, "https://ex.org/", f"<p>{prose}</p>"), (2, "https://ex.org/", f"<p>{prose}<![foo[bar]]></p>"), (3, "u", None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: (r.content_html, r.method, r.error) for r in content.main_content(df).collect()}
+    assert got[1] == (f"<p>{prose.strip()}</p>", "blocks", None) and got[3] == ("", None, None)
+    assert got[2][:2] == ("", None) and got[2][2].startswith("AssertionError")
+    assert {r.page_id for r in nodes.html_nodes(df).collect()} == {1}
+
+
+def test_nodes_come_in_bounded_batches(spark, monkeypatch):
+    page = "<ul>" + "<li>x</li>" * 500 + "</ul>"
+    df = spark.createDataFrame([(i, "u", page) for i in range(20)], "page_id int, url string, html string").coalesce(1)
+    want = nodes.html_nodes(df, keep=["url"]).count()
+    monkeypatch.setattr(nodes, "_CHUNK", 64)
+    assert nodes.html_nodes(df, keep=["url"]).count() == want == 20 * (2 + 3 * 500)
+
+
+def test_content_limits_are_parameters(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "some words here " * 10 + "</p>")], "page_id int, url string, html string")
+    assert len(content.main_content(df, max_chars=50).first()["content_html"]) == 51
+    assert content.main_content(df, min_chars=1000).first()["content_html"] == ""
+    assert links.discovered_feeds(df, cap=1).count() == 0

@@ -5,8 +5,9 @@ import re
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from newsloom.catalog import views as v
-from newsloom.operators import cache, content, links, nodes, prune, robots, search, select
+from newsloom.catalog import acquisition, views as v
+from newsloom.operators import acquire, cache, content, links, nodes, prune, robots, search, select
+from newsloom.schemas import ROBOTS_RULES
 
 
 def plan(df):
@@ -50,18 +51,35 @@ def test_policy_join_does_not_shuffle_items(spark):
 
 
 def test_robots_join_is_one_lookup(spark):
-    rules = spark.createDataFrame([("h", "*", 0, False, "/")], "host string, agent string, rule_ord int, allow boolean, path_prefix string")
+    rules = spark.createDataFrame([("h", "*", 0, 0, False, "/")], ROBOTS_RULES)
     p = plan(robots.robots_join(v.items(spark, SF_SMALL), rules))
     assert "NestedLoop" not in p and p.count("Join") == 1
 
 
 def test_pages_are_tokenised_and_shuffled_once(spark):
     """One Python step and one exchange of nodes; every rule works on that partitioning."""
+    pages = v.table(spark, SF_SMALL, "pages")
+    for df in (content.block_content(pages), content.element_content(pages),
+               prune.rebuild(prune.prune_nodes(nodes.html_nodes(pages, keep=["url"]), ["page_id"]), ["page_id"])):
+        p = plan(df)
+        assert p.count("MapInArrow") == 1 and exchanges(p) == ["hashpartitioning"]
+
+
+def test_elements_are_built_for_pages_without_blocks_only(spark):
     p = plan(content.main_content(v.table(spark, SF_SMALL, "pages")))
-    assert p.count("ArrowEvalPython") == 1
-    assert exchanges(p) == ["hashpartitioning"]
-    p = plan(prune.rebuild(prune.prune_nodes(nodes.html_nodes(v.table(spark, SF_SMALL, "pages"), keep=["url"]), ["page_id"]), ["page_id"]))
-    assert p.count("ArrowEvalPython") == 1 and exchanges(p) == ["hashpartitioning"]
+    assert p.count("MapInArrow") == 1 and "LeftAnti" in p  # the blocks are read from their stored table
+
+
+def test_feeds_are_parsed_once(spark):
+    """Items and errors read the stored entries."""
+    got = acquire.acquire(acquisition.registry(spark, SF_SMALL), acquisition.landed(spark, SF_SMALL))
+    for df in (got.items, got.errors):
+        assert "from_xml" not in plan(df) and "xmltostructs" not in plan(df).lower()
+
+
+def test_a_cache_without_limit_is_not_sorted(spark):
+    stored = v.content_cache(spark, SF_SMALL)
+    assert "TakeOrdered" in plan(cache.cache_trim(stored, 10)) and "TakeOrdered" not in plan(cache.cache_trim(stored, None))
 
 
 def test_links_and_search_do_not_shuffle(spark):

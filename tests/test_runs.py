@@ -2,18 +2,23 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators.acquire import acquire
-from newsloom.plans.daily import daily_run
+from newsloom import session
+from newsloom.operators import robots
+from newsloom.operators.acquire import acquire, fetch_merge
+from newsloom.operators.select import arrival_seq
+from newsloom.plans.daily import Published, daily_run, publish
 from newsloom.schemas import CONTENT_CACHE, LANDED_RESPONSES, ROBOTS_RULES
 from newsloom.sinks import rss, snapshots, stats
 from newsloom.sinks.cache import write_cache
-from newsloom.sources import cache, feeds, registry, snapshots as read
-from newsloom.streaming import counts as stream_counts, feeds as stream_feeds
+from newsloom.sources import cache, feeds, pages, registry, snapshots as read
+from newsloom.streaming import cache as stream_cache, counts as stream_counts, feeds as stream_feeds
 
+CHANNEL = rss.Channel("News", "https://news.example.org/", "All of it")
 NOW = dt.datetime(2025, 8, 19, 0, 10, 24, tzinfo=dt.timezone.utc)
 CONFIG = {
     "timezone": "Nowhere/City",
@@ -88,7 +93,30 @@ def test_feed_rules(spark):
     got = feeds.feed_entries(df)
     assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {"long": 80, "mixed": 2}
     warned = {r.k: (r.readable, r.corrupt, r.warned) for r in feeds.feed_warnings(df).collect()}
-    assert warned == {"long": (80, 0, False), "mixed": (4, 1, True), "cut": (0, 2, True)}
+    assert warned == {"long": (80, 0, False), "mixed": (4, 1, True), "cut": (0, 2, True), "none": (0, 0, True)}
+
+
+def test_entries_with_prefixes_and_end_tags_in_text(spark):
+    body = (
+        '<a:feed xmlns:a="x"><a:entry><a:title>A</a:title><a:link href="https://a.org/1"/><a:content type="html">&lt;p&gt;Body&lt;/p&gt;</a:content>'
+        "<a:updated>2025-08-14T19:02:25Z</a:updated></a:entry></a:feed>"
+    )
+    cdata = document(
+        "<item><title>B</title><link>https://b.org/1</link><description><![CDATA[x </item> y]]></description></item>",
+        "<!-- <item><title>no</title><link>https://b.org/no</link></item> --><item><title>C</title><link>https://b.org/2</link>"
+        "<content:encoded><![CDATA[<p>Long</p>]]></content:encoded><dcterms:created>2025-08-14</dcterms:created></item>",
+    )
+    rows = feeds.feed_entries(spark.createDataFrame([("p", body), ("c", cdata)], "k string, body string")).collect()
+    got = {r.title: (r.url, r.summary, r.published_at is not None) for r in rows if r.title != "no"}
+    assert got == {"A": ("https://a.org/1", "Body", True), "B": ("https://b.org/1", "x y", False), "C": ("https://b.org/2", "Long", True)}
+
+
+def test_scanned_files_keep_prefixed_fields(spark, tmp_path):
+    (tmp_path / "f.xml").write_text(document(
+        "<item><title>A</title><link>https://a.org/1</link><dc:date>2025-08-14T19:02:25Z</dc:date>"
+        "<content:encoded>text</content:encoded></item>"))
+    row = feeds.scan_feed_files(spark, str(tmp_path)).first()
+    assert row.published_at is not None and row.summary == "text"
 
 
 def test_prefixed_and_permalink_entries(spark):
@@ -118,7 +146,7 @@ def run(spark, tmp_path):
     ])
     old = spark.createDataFrame([("https://fed.org/1", "<p>cached</p>", NOW - dt.timedelta(days=14)),
                                  ("https://fed.org/3", "<p>stale</p>", NOW - dt.timedelta(days=15))], CONTENT_CACHE)
-    rules = spark.createDataFrame([("home.org", "*", 0, False, "/n/2")], ROBOTS_RULES)
+    rules = spark.createDataFrame([("home.org", "*", 0, 0, False, "/n/2")], ROBOTS_RULES)
     prose = "A sentence that is long enough to count as prose on this page. " * 4
     fetched = spark.createDataFrame(
         [("https://home.org/n/1", 200, f"<body><p>{prose}</p></body>", None),
@@ -126,7 +154,7 @@ def run(spark, tmp_path):
          ("https://fed.org/3", 404, None, "HTTPError: 404"), ("https://other.org/", 200, "<p>x</p>", None)],
         "url string, status int, html string, error string",
     )
-    return prose, daily_run(table, responses, old, rules, fetched, NOW, zone)
+    return prose, daily_run(table, responses, old, rules, fetched, NOW, CHANNEL, zone)
 
 
 def test_daily_run(spark, tmp_path):
@@ -163,7 +191,7 @@ def test_documents(spark, tmp_path):
 
 def test_empty_rss_and_missing_items(spark, tmp_path):
     none = spark.createDataFrame([], "rank long, title string, url string, summary string, published_at timestamp")
-    lines = rss.rss_document(none, NOW).first()["value"].split("\n")
+    lines = rss.rss_document(none, NOW, CHANNEL).first()["value"].split("\n")
     assert lines[-3:] == ["<lastBuildDate>Tue, 19 Aug 2025 10:10:24 +1000</lastBuildDate>", "</channel>", "</rss>"]
     (tmp_path / "s.json").write_text('{"date": "2025-08-19", "count": 0, "errors": [{"source": "a", "error": "e"}]}')
     assert read.snapshot_items(read.read_envelope(spark, str(tmp_path / "s.json"))).count() == 0
@@ -183,8 +211,135 @@ def test_stream_dedup_over_two_runs(spark, tmp_path, dedup):
     assert seen == [2, 3]
 
 
-def test_stream_counts_equal_batch_counts(spark):
+def test_stream_counts_equal_batch_counts(spark, tmp_path):
+    landed_at, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [(NOW + dt.timedelta(hours=7 * i), f"s{i % 3}") for i in range(40)]
     df = spark.createDataFrame(rows, "published_at timestamp, source string")
-    want = sorted(map(tuple, stream_counts.daily_counts(df).collect()))
-    assert sum(r[2] for r in want) == 40 and len(want) == len({(r[0], r[1]) for r in want})
+    for part in (df.limit(15), df.subtract(df.limit(15))):
+        part.write.mode("append").parquet(landed_at)
+        stream = spark.readStream.schema(df.schema).parquet(landed_at)
+        stream_counts.stream_daily_counts(stream, out, state).awaitTermination()
+    want = sorted(map(tuple, stream_counts.daily_counts(spark.read.parquet(landed_at)).collect()))
+    assert sorted(map(tuple, stream_counts.read_daily_counts(spark, out).collect())) == want
+    assert sum(r[2] for r in want) == 40 and spark.read.parquet(out).count() > len(want)  # some days came twice
+
+
+def cached(spark, *items):
+    return spark.createDataFrame([(u, c, NOW) for u, c in items], CONTENT_CACHE)
+
+
+def test_a_damaged_cache_is_reported(spark, tmp_path):
+    path = tmp_path / "cache"
+    write_cache(spark, str(path), cached(spark, *((f"u{i}", "x" * 50) for i in range(200))))
+    rows, errors = cache.sound_cache(spark, str(path))
+    assert rows.count() == 200 and errors.count() == 0
+    part = next((path / "version=0").glob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:100])
+    next((path / "version=0").glob(f".{part.name}.crc")).unlink()
+    with pytest.raises(Exception):
+        cache.read_cache(spark, str(path)).collect()
+    rows, errors = cache.sound_cache(spark, str(path))
+    assert rows.count() == 0 and "cannot be read" in errors.first()["error"]
+
+
+def test_a_stream_on_a_stored_cache(spark, tmp_path):
+    path, landed_at, state = (str(tmp_path / n) for n in ("cache", "in", "state"))
+    write_cache(spark, path, cached(spark, ("a", "old"), ("b", "old")))
+    write_cache(spark, path, cached(spark, ("b", "newer")))
+    cached(spark, ("a", "new"), ("c", "new")).write.parquet(landed_at)
+    stream = spark.readStream.schema(CONTENT_CACHE).parquet(landed_at)
+    stream_cache.stream_cache_upsert(stream, path, state).awaitTermination()
+    want = {"a": "new", "b": "newer", "c": "new"}
+    assert {r.url: r.content_html for r in cache.read_cache(spark, path).collect()} == want
+    assert cache.cache_versions(spark, path) == [1, 2]
+    # a batch that is repeated finds its version
+    assert stream_cache._version_of(spark, path, state, 0) == 2 and stream_cache._version_of(spark, path, state, 1) == 3
+    assert stream_cache._version_of(spark, path, "another", 0) == 3
+
+
+def test_an_empty_run_replaces_its_day(spark, tmp_path):
+    items = spark.createDataFrame([(1, "t", "u", "", NOW, "s", None)],
+                                  "rank long, title string, url string, summary string, published_at timestamp, source string, content_html string")
+    path, errors = str(tmp_path / "daily"), str(tmp_path / "errors")
+    snapshots.write_daily(items, path, "2025-08-17 00:00:00")
+    snapshots.write_daily(items, path, "2025-08-18 00:00:00")
+    assert read.latest_view(read.read_daily(spark, path)).count() == 1
+    snapshots.write_daily(items.limit(0), path, "2025-08-18 00:00:00")
+    daily = read.read_daily(spark, path)
+    assert daily.count() == 1 and read.latest_view(daily).count() == 0
+    failed = stats.all_errors(spark.createDataFrame([("s", "e")], "source string, error string"))
+    for found in (failed, failed.limit(0)):
+        stats.write_errors(found, errors, "2025-08-18")
+    assert spark.read.parquet(errors).count() == 0
+
+
+def test_one_response_of_several_counts(spark):
+    prose = [f"A sentence number {n} that is long enough to count as prose on this page. " * 3 for n in range(2)]
+    items = spark.createDataFrame([("u", "s", "", None)], "url string, source string, summary string, content_html string")
+    fetched = spark.createDataFrame(
+        [("u", 200, f"<p>{prose[0]}</p>", None), ("u", 200, f"<p>{prose[1]}</p>", None), ("u", None, None, "ReadTimeout")],
+        "url string, status int, html string, error string")
+    got = fetch_merge(items, fetched)
+    assert got.items.first()["content_html"] in {f"<p>{p.strip()}</p>" for p in prose} and got.errors.count() == 0
+
+
+@pytest.mark.parametrize("agent, refused", [("NewsBot/1.0", False), ("other", True), ("Bot/2 news", True), ("news/3", False)])
+def test_the_first_named_group_decides(spark, agent, refused):
+    rules = spark.createDataFrame(
+        [("h.org", "news", 0, 0, True, "/a"), ("h.org", "newsbot", 1, 0, False, "/"), ("h.org", "*", 2, 0, False, "/a")], ROBOTS_RULES)
+    items = spark.createDataFrame([(1, "https://h.org/a/1")], "seq long, url string")
+    assert robots.robots_gate(items, rules, agent).count() == (0 if refused else 1)
+
+
+def test_a_selector_that_is_not_understood_is_an_error(spark):
+    config = [{"name": "Odd", "homepage": "https://o.org/", "selector": "h3 a"}, {"name": "Fine", "homepage": "https://f.org/"}]
+    table = registry.with_defaults(registry.registry_from_rows(spark, config))
+    page = "<h3><a href='/n/1'>One</a></h3>"
+    got = acquire(table, landed(spark, [(n, "homepage", "u", 200, page, None) for n in ("Odd", "Fine")]))
+    assert [r.source for r in got.items.collect()] == ["Fine"]
+    assert [(r.source, r.error) for r in got.errors.collect()] == [("Odd", "selector not understood: h3 a")]
+
+
+def test_arrival_has_room(spark):
+    df = spark.createDataFrame([(7, 1), (8, 1)], "feed long, entry long")
+    seq = arrival_seq(F.lit(0), F.lit(0), F.col("feed"), F.col("entry"))
+    assert df.where("feed = 7").select(seq.alias("s")).first()["s"] == (7 << 30) + 1
+    with pytest.raises(Exception, match="feed has no room"):
+        df.select(seq.alias("s")).collect()
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_publish(spark, tmp_path):
+    _, out = run(spark, tmp_path)
+    to = Published.under(str(tmp_path / "out"))
+    assert out.scratch
+    publish(out, to, NOW, time.time() - 5)
+    assert not set(out.scratch) & set(session.scratch_paths())
+    assert spark.read.parquet(to.daily).count() == spark.read.parquet(to.latest).count() == 5
+    assert spark.read.text(to.rss).where("value = '<item>'").count() == 5
+    assert spark.read.parquet(to.stats).first()["execution_time"] >= 5
+    assert {r.url for r in cache.read_cache(spark, to.cache).collect()} == {"https://home.org/n/1"}
+
+
+def test_page_files(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>a</p>\n<p>b</p>")
+    rows = pages.read_page_files(spark, str(tmp_path)).collect()
+    assert [r.html for r in rows] == ["<p>a</p>\n<p>b</p>"] and rows[0].page_id.endswith("a.html")
