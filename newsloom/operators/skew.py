@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.session import broadcast_limit, materialise, measured_bytes
+from newsloom.session import broadcast_limit, materialise, measured_bytes, stored
 
 SALTS = 64
 _ROW_BITS = 33  # low bits of monotonically_increasing_id hold the row position
@@ -23,18 +23,19 @@ def fits_broadcast(dim: DataFrame) -> bool:
     return bool(limit) and measured_bytes(dim) <= limit
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: str, spread: str, how: str = "left",
+def lookup_join(facts: DataFrame, dim: DataFrame, on: str, spread: str | None = None, how: str = "left",
                 fits: bool | None = None) -> DataFrame:
     """Join many rows to a table with one row per key.
 
     The table is broadcast only when it fits, which is measured unless the
-    caller knows (`fits`).  Otherwise the hot keys of `facts` are spread over
-    salts and the table is repeated once per salt.
+    caller knows (`fits`).  Otherwise it is written first, so that both sides
+    of the join are plain shuffles and Spark's skew join splits the rows of a
+    hot key over tasks, repeating only that key's row.  `spread` tells rows of
+    one key apart; it is not needed for that and kept for callers.
     """
     if fits_broadcast(dim) if fits is None else fits:
         return facts.join(F.broadcast(dim), on, how)
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return facts.withColumn("_salt", _salt(spread)).join(repeated, [on, "_salt"], how).drop("_salt")
+    return facts.join(stored(dim, "lookup"), on, how)
 
 
 def top_per_group(df: DataFrame, group: str, order: Sequence[Column], need: str, at_most: int,
