@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.session import scratch_path
+from newsloom.session import stored
+
+__all__ = ["BLANKS", "per_batch", "per_task", "stored", "table", "text_of", "words_of"]
 
 BLANKS = " \t\n\u000b\f\r"  # the characters between words, everywhere in this subpackage
 
@@ -28,14 +30,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[str] = ()) -> DataFrame:
     """Python on Arrow batches: work(columns as lists) gives the new columns as lists.
 

@@ -98,6 +98,8 @@ def _surroundings(text: str, spans: list[sp.Span], reach: int):
         left, right = max(0, start - room), min(len(text), end + room)
         before = [(m[0], left + m.start(), left + m.end()) for m in _TERM.finditer(text[left:start].translate(_PLAIN))]
         after = [(m[0], end + m.start(), end + m.end()) for m in _TERM.finditer(text[end:right].translate(_PLAIN))]
+        # a word that the room cuts is no word
+        before, after = before[left > 0:], after[:len(after) - (right < len(text))]
         near = [w for w in before[-reach:] + after[:reach] if sp.free(spans, w[1], w[2])]
         yield f"{kind}:{value}", sp.digest(" ".join(w[0] for w in near))[:16], near
 
