@@ -245,7 +245,9 @@ def repeated_spans(numbered: DataFrame, window: int = WINDOW, anchor: int = ANCH
     texts = numbered.select("doc", "text").where(F.col("doc").isNotNull())
     schema = "anchor bigint, content bigint, doc bigint, first int, count int"
     scan = texts.mapInArrow(_scan(window, anchor), schema)
-    often = scan.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first, like the other tables that rows meet by a key: then both sides of the join are plain
+    # shuffles, and Spark splits the rows of a hot key over tasks
+    often = stored(scan.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     found = stored(scan.join(often, "anchor", "left_semi"), "fragments")
     distinct = stored(
         found.groupBy("anchor", "content").agg(
@@ -256,7 +258,7 @@ def repeated_spans(numbered: DataFrame, window: int = WINDOW, anchor: int = ANCH
     ).where((F.col("doc") != F.col("at.doc")) | (F.col("first") != F.col("at.first"))).select(
         "doc", F.col("first").alias("a"), (F.col("first") + F.col("count") + (window - 1)).alias("b"))
     # reference fragments that share their anchor
-    shared = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
     asked = distinct.join(shared, "anchor").select(
         F.col("at.doc").alias("doc"), F.struct("anchor", (F.col("k") > crowd).alias("crowded"), F.col("at.first").alias("first"),
                                                F.col("at.count").alias("count")).alias("one"))
@@ -283,7 +285,8 @@ def _crowded_spans(cut: DataFrame, window: int) -> DataFrame:
     each = cut.select("doc", "first", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size(ws) - (window - 1)), lambda i: F.array_join(F.slice(ws, i, window), " "))).alias("i", "w"))
     each = stored(each.select("doc", (F.col("first") + F.col("i")).alias("a"), "w"), "crowded")
-    least = each.groupBy("w").agg(F.min(F.struct("doc", "a")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = stored(
+        each.groupBy("w").agg(F.min(F.struct("doc", "a")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
     return each.join(least, "w").where((F.col("doc") != F.col("at.doc")) | (F.col("a") != F.col("at.a"))).select(
         "doc", "a", (F.col("a") + window).alias("b"))
 
