@@ -48,8 +48,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts imitate control strings."""
     trap = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.sql(f"""
+        SELECT * FROM VALUES (-1L, 0L, 'user', '{trap}'), (-1L, 1L, 'assistant', '{trap}') AS t(conv_id, turn, role, text)""")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
