@@ -39,6 +39,7 @@ THRESHOLD = 0.7
 SIZE_BITS = 18
 BEGINNINGS = (4, 5, 6)
 CHUNK = 1 << 20
+_QUARTERS = 4  # parts of the sample; each is scored by the fit without it, to place the threshold
 
 _bytes = np.arange(256)
 _IN_WORD = ((_bytes >= 97) & (_bytes <= 122)) | (_bytes >= 128)
@@ -209,7 +210,11 @@ def fit(features, sentence, doc, labels, fitted, steps: int = 200, rate: float =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
           sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model learnt from a bounded sample of the labelled documents that are not held out."""
+    """A model learnt from a bounded sample of the labelled documents that are not held out.
+
+    Each quarter of the sample is left out of one fit, which runs as a task,
+    and scored by it, to place the threshold; the model is the mean of the fits.
+    """
     ids = F.col(id_col).cast("bigint")
     known = labels.where(F.col(label).isNotNull()).select(ids.alias("id"), F.col(label).cast("int").alias("y"))
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -226,29 +231,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             out["sizes"].append(b"".join(np.bincount(s.sentence).astype("<i4").tobytes() for s in found))
         return out
 
-    got = per_batch(rows, work, "y int, features binary, sizes binary", reads=["y", "text"]).collect()
-    if not got:
+    found = per_batch(rows, work, "id bigint, y int, features binary, sizes binary", reads=["y", "text"])
+    quarters = found.withColumn("place", F.xxhash64("id")).withColumn("quarter", F.explode(F.array(*map(F.lit, range(_QUARTERS)))))
+    fits = quarters.groupBy("quarter").applyInPandas(
+        _fit_without, "weights binary, bias double, labels array<double>, logits array<double>").collect()
+    if not fits:
         return Model(np.zeros(0, np.float32))
-    width = len(BEGINNINGS)
-    features = np.concatenate([np.frombuffer(r["features"], "<i4") for r in got]).reshape(-1, width).astype(np.int64)
-    sizes = [np.frombuffer(r["sizes"], "<i4") for r in got]
-    doc = np.repeat(np.arange(len(got)), [len(s) for s in sizes])
+    weights = [np.frombuffer(r["weights"], np.float32) for r in fits]
+    labels, logits = (np.concatenate([np.array(r[c]) for r in fits]) for c in ("labels", "logits"))
+    return Model(np.mean(weights, axis=0), float(np.mean([r["bias"] for r in fits])), _shift(logits, labels, THRESHOLD))
+
+
+def _fit_without(key, sample):
+    """The fit of the sample without one quarter, and this quarter's logits.  The sample is bounded, so a task holds it."""
+    import pandas as pd
+
+    sample = sample.sort_values(["place", "id"])
+    features = np.concatenate([np.frombuffer(f, "<i4") for f in sample["features"]])
+    features = features.reshape(-1, len(BEGINNINGS)).astype(np.int64)
+    sizes = [np.frombuffer(s, "<i4") for s in sample["sizes"]]
+    doc = np.repeat(np.arange(len(sample)), [len(s) for s in sizes])
     sentence = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
-    labels = np.array([r["y"] for r in got])
-    # each quarter is scored by the fit without it, to place the threshold; the model is the mean of the fits
-    models, logits = [], np.zeros(len(got))
-    for quarter in range(4):
-        fitted = np.arange(len(got)) % 4 != quarter
-        some = fitted[doc][sentence]
-        model = fit(features[some], sentence[some], doc, np.where(fitted, labels, 0), fitted)
-        if len(model.weights):
-            z = np.bincount(sentence, model.weights[features].sum(axis=1), len(doc)) + model.bias
-            logits[~fitted] = _logits(np.bincount(doc, _softplus(z), len(got)))[~fitted]
-            models.append(model)
-    if not models:
-        return Model(np.zeros(0, np.float32))
-    return Model(np.mean([m.weights for m in models], axis=0), float(np.mean([m.bias for m in models])),
-                 _shift(logits, labels, THRESHOLD))
+    labels = sample["y"].to_numpy().astype(np.float64)
+    fitted = np.arange(len(sample)) % _QUARTERS != key[0]
+    some = fitted[doc][sentence]
+    model = fit(features[some], sentence[some], doc, np.where(fitted, labels, 0), fitted)
+    if not len(model.weights):
+        return pd.DataFrame({"weights": [], "bias": [], "labels": [], "logits": []})
+    z = np.bincount(sentence, model.weights[features].sum(axis=1), len(doc)) + model.bias
+    logits = _logits(np.bincount(doc, _softplus(z), len(sample)))
+    return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias],
+                         "labels": [labels[~fitted].tolist()], "logits": [logits[~fitted].tolist()]})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", offending: float = 0.5) -> DataFrame:
