@@ -208,8 +208,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     linked = joined.where(F.col("root") != F.col("fp")).select("fp", "root").unionByName(
         roots.select(F.col("root").alias("fp"), "root").distinct())
     moved = linked.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    names = distinct.join(moved, distinct["fp"] == moved["_fp"], "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written first: then both sides of the join are plain shuffles, and Spark splits the rows of a hot fingerprint
+    names = stored(distinct.join(moved, distinct["fp"] == moved["_fp"], "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id")), "names")
     return prints.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
