@@ -12,8 +12,9 @@ bits is escaped: its word has selector 0 and the id's place among the block's
 escapes as payload.
 
 The segments of a corpus are rows of a Parquet table (Spark writes no other
-files of its own choosing): part, seq, doc_ids, lengths, n_ids, payload, in
-ascending (part, seq), documents in ascending doc_id.
+files of its own choosing): part, seq, first (ids of the part before it),
+doc_ids, lengths, n_ids, payload, in ascending (part, seq), documents in
+ascending doc_id.
 
 Defined results.  A null text is the empty text: its document holds the end id
 alone.  Null ids come first; rows with one id are ordered by text; repeated
@@ -25,6 +26,7 @@ a single document makes it longer.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,13 +39,20 @@ from newsloom.llm.pieces import CutEncoder, worker_kept
 #: Fixed values of the coding: ids and bits per word, by selector; selector 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+_STEPS = COUNTS.astype(np.uint8)
 MAGIC = b"NS8B"
 BLOCK = 8192
+KEPT_CUTS = 800_000  # distinct cuts that a worker keeps, about 190 MB
 SEGMENT = 1 << 20
 
 
+_SMALL = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1.0))).astype(np.uint8)  # bits of ids below 2^16
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs (at least 1)."""
+    if not len(ids) or ids.max() < len(_SMALL):
+        return _SMALL[ids]
     bits = np.ones(len(ids), np.uint8)
     for k in range(1, 64):
         over = ids >> np.uint64(k)
@@ -69,9 +78,10 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
 
 def _pack_block(ids: np.ndarray, selectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of one block."""
-    starts, at, step = [], 0, COUNTS[selectors].astype(np.uint8).tobytes()
-    while at < len(ids):
-        starts.append(at)
+    starts, at, step, n = [], 0, _STEPS[selectors].tobytes(), len(ids)
+    put = starts.append
+    while at < n:
+        put(at)
         at += step[at]
     starts = np.array(starts, np.int64)
     chosen = selectors[starts]
@@ -133,26 +143,57 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return out
 
 
+#: Fixed value: the split of the library's ByteLevel step; its \s is Unicode white space.
+BYTE_LEVEL = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+)
+
+
+def _byte_characters() -> str:
+    """The character that ByteLevel shows each byte as: itself where it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in prints else next(others)) for b in range(256))
+
+
 def _library(path: str) -> CutEncoder:
-    """The tokenizers library behind the cuts."""
+    """The tokenizers library behind the cuts.
+
+    A tokenizer that is ByteLevel and nothing else is asked for each distinct
+    match of its split once, by its model; any other for whole cuts.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
     def make():
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        step = str(tokenizer.pre_tokenizer)
+
+        def whole(cuts):
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
+
+        shown, split, model = _byte_characters(), regex.compile(BYTE_LEVEL).findall, tokenizer.model.tokenize
 
-        def encode(cuts):
-            for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        def by_match(cuts):
+            matches = [split(c) for c in cuts]
+            distinct = set().union(*matches)
+            ids = {
+                m: array("I", [t.id for t in model(m.encode("utf-8", "replace").decode("latin-1").translate(shown))]).tobytes()
+                for m in distinct
+            }
+            return [ids[m[0]] if len(m) == 1 else b"".join(map(ids.__getitem__, m)) for m in matches]
 
-        return CutEncoder(encode)
+        plain = step.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in step and tokenizer.normalizer is None
+        return CutEncoder(by_match if plain else whole, KEPT_CUTS)
 
     return worker_kept(f"tokenizers:{path}", make)
 
 
-_SEGMENTS = "part int, seq int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, payload binary"
+_SEGMENTS = "part int, seq int, first bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, payload binary"
 
 
 def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
@@ -163,11 +204,11 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
 
     @per_task
     def work():
-        encoder, part, seq = _library(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq, first = _library(path), TaskContext.get().partitionId(), 0, 0
 
         def step(batch):
-            nonlocal seq
-            made = {c: [] for c in ("part", "seq", "doc_ids", "lengths", "n_ids", "payload")}
+            nonlocal seq, first
+            made = {c: [] for c in ("part", "seq", "first", "doc_ids", "lengths", "n_ids", "payload")}
             ids, docs_, lengths, n = [], [], [], 0
             coded = [i + end for i in encoder(batch["text"])]
             for k, (doc, own) in enumerate(zip(batch["doc_id"], coded)):
@@ -176,10 +217,10 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
                 lengths.append(len(own) // 4)
                 n += lengths[-1]
                 if n >= SEGMENT or k == len(coded) - 1:
-                    row = (part, seq, docs_, lengths, n, pack(np.frombuffer(b"".join(ids), "<u4")))
+                    row = (part, seq, first, docs_, lengths, n, pack(np.frombuffer(b"".join(ids), "<u4")))
                     for c, v in zip(made, row):
                         made[c].append(v)
-                    ids, docs_, lengths, n, seq = [], [], [], 0, seq + 1
+                    ids, docs_, lengths, n, seq, first = [], [], [], 0, seq + 1, first + n
             return made
 
         return step
@@ -190,14 +231,12 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     segments = spark.read.schema(_SEGMENTS).parquet(path)
+    # one row per writing task: its window is over a few numbers, and it is broadcast
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    # one row per writing task, then the segments of one task
-    offsets = parts.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("part_start"))
-    places = segments.select("part", "seq", "n_ids").withColumn(
-        "seq_start", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0)))
-    starts = places.join(offsets, "part").select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("start"))
-    placed = segments.join(starts, ["part", "seq"]).select("doc_ids", "lengths", "start", "payload")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    placed = segments.join(F.broadcast(offsets), "part").select(
+        "doc_ids", "lengths", (F.col("part_start") + F.col("first")).alias("start"), "payload")
 
     def work(batch):
         out = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
