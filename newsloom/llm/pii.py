@@ -1,22 +1,28 @@
 """Personal data: pattern spans, and terms that reveal the people behind them.
 
 Emails, addresses, cards and phones found by pattern are the protected
-entities.  Words near an entity are terms; over the whole corpus their
-co-occurrence with an entity e estimates how much a term t discloses:
-
-    share(t, e) = PMI(t, e) / IC(e),  PMI = log2(N n(t,e) / (n(t) n(e))),  IC = log2(N / n(e))
-
-with N documents, n(e) that hold e, n(t) that hold t, and n(t, e) with t near
-e.  A share of 1 means that t says as much as e itself.  Terms above `remove`
-are removed, above `generalise` generalised, wherever they stand near e.  Only
-terms seen with e in `support` different surroundings count, so that copies of
-one text prove nothing.
-
-Defined results.  A null text is empty.  Repeated rows are documents of their
-own, null ids too.  Counts run over all documents; an empty table gives an
-empty table.  Only the id and text columns are read.  Texts may be of any
-length: every pattern is linear in the text.  Counting is by partial sums, so a
-term or an entity that fills the corpus is added up in every task first.
+entities.  The words of a document that holds an entity are its terms; over
+the whole corpus their co-occurrence with an entity e estimates how much a term
+t discloses:
+
+    share(t, e) = w PMI(t, e) / IC(e),  PMI = log2(N n(t,e) / (n(t) n(e))),  IC = log2(N / n(e))
+
+with N distinct texts, n(e) that hold e, n(t) that hold t, and n(t, e) that
+hold both, wherever in the text.  A share of 1 means that t says as much as e
+itself.  Small counts shrink the estimate: the first text proposes a pair, each
+further one confirms it, and w = 1 - q^(n(t,e) - 1) with q = max(n(t), n(e)) / N
+is the chance that not all further ones hold both by accident.  So two texts
+are enough for a rare term and a rare entity, while one text proves nothing:
+each of its words that is found nowhere else would say as much.  Terms above
+`remove` are removed, above `generalise` generalised, at every place of every
+document that holds e.
+
+Defined results.  A null text is empty.  Repeated texts are counted once, and
+get equal results; null ids are ids.  A word ends at blanks, punctuation and
+pattern spans.  Counts run over all documents; an empty table gives an empty
+table.  Only the id and text columns are read.  Texts may be of any length:
+every pattern is linear in the text.  Counting is by partial sums, so a term or
+an entity that fills the corpus is added up in every task first.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm import spans as sp
 from newsloom.llm.common import per_batch, stored, text_of
+from newsloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 METHOD_KINDS = ("remove", "generalise")
@@ -89,84 +96,124 @@ def base_spans(text: str) -> list[sp.Span]:
     return sp.ordered(found, KINDS)
 
 
-def _surroundings(text: str, spans: list[sp.Span], reach: int):
-    """Of each span: entity, digest of the words around, and these words (term, start, end)."""
+def _entities(text: str, spans: list[sp.Span]) -> list[str]:
+    """The distinct entities of a text."""
+    found = set()
     for kind, start, end in spans:
         value = text[start:end].lower()
         value = value if kind in ("email", "ip") else "".join(filter(str.isdigit, value))
-        room = 40 * reach  # words beyond it are further than any word of usual length
-        left, right = max(0, start - room), min(len(text), end + room)
-        before = [(m[0], left + m.start(), left + m.end()) for m in _TERM.finditer(text[left:start].translate(_PLAIN))]
-        after = [(m[0], end + m.start(), end + m.end()) for m in _TERM.finditer(text[end:right].translate(_PLAIN))]
-        # a word that the room cuts is no word
-        before, after = before[left > 0:], after[:len(after) - (right < len(text))]
-        near = [w for w in before[-reach:] + after[:reach] if sp.free(spans, w[1], w[2])]
-        yield f"{kind}:{value}", sp.digest(" ".join(w[0] for w in near))[:16], near
+        found.add(f"{kind}:{value}")
+    return sorted(found)
+
+
+def _terms(text: str, spans: list[sp.Span]) -> dict[str, list[int]]:
+    """The words between the spans, and where each starts."""
+    found: dict[str, list[int]] = {}
+    plain, at = text.translate(_PLAIN), 0
+    for _, start, end in [*sorted(spans, key=lambda s: s[1]), ("", len(text), len(text))]:
+        for m in _TERM.finditer(plain, at, max(at, start)):
+            found.setdefault(m[0], []).append(m.start())
+        at = max(at, end)
+    return found
+
+
+def _scan(batch):
+    out = {"base": [], "entities": [], "terms": [], "cut": [], **{f"n_{k}": [] for k in KINDS}}
+    for text in batch["text"]:
+        spans = base_spans(text)
+        terms = _terms(text, spans) if spans else {}
+        whole = set(_TERM.findall(text.translate(_PLAIN))) if spans else set()
+        out["base"].append(sp.joined(spans))
+        out["entities"].append(_entities(text, spans))
+        out["terms"].append([{"term": t, "starts": at} for t, at in terms.items()])
+        out["cut"].append(" ".join(t for t in terms if t not in whole))
+        for k in KINDS:
+            out[f"n_{k}"].append(sum(s[0] == k for s in spans))
+    return out
 
 
-def _scan(reach: int):
-    def work(batch):
-        out = {"id": batch["id"], "base": [], "near": [], **{f"n_{k}": [] for k in KINDS}}
-        for text in batch["text"]:
-            spans = base_spans(text)
-            out["base"].append(sp.joined(spans))
-            out["near"].append([
-                {"entity": e, "around": a, "terms": [{"term": t, "start": i, "end": j} for t, i, j in near]}
-                for e, a, near in _surroundings(text, spans, reach)
-            ])
-            for k in KINDS:
-                out[f"n_{k}"].append(sum(s[0] == k for s in spans))
-        return out
-
-    return work
+_SCANNED = (
+    "id {id}, hash string, base string, " + ", ".join(f"n_{k} bigint" for k in KINDS)
+    + ", entities array<string>, terms array<struct<term: string, starts: array<int>>>, cut string"
+)  # cut: the words that only the spans set apart
+#: Tables of at most so many rows are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
-_SCANNED = (
-    "id {id}, base string, " + ", ".join(f"n_{k} bigint" for k in KINDS)
-    + ", near array<struct<entity: string, around: string, terms: array<struct<term: string, start: int, end: int>>>>"
-)
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _term_documents(texts: DataFrame) -> DataFrame:
-    """term, n_term: the number of documents that hold each word of the corpus."""
+    """term, n_term: the number of texts that hold each word of the corpus; a text counts `n` times, or once."""
     plain = F.translate("text", _PLAIN_FROM, _PLAIN_TO)
     words = F.array_distinct(F.array_remove(F.split(plain, " "), ""))
-    return texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = F.col("n") if "n" in texts.columns else F.lit(1)
+    return texts.select(F.explode(words).alias("term"), n.alias("n")).groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def _counted_once(texts: DataFrame, scanned: DataFrame) -> DataFrame:
+    """text, n: rows whose n add up to one for each distinct text, and the words that spans set apart."""
+    copies = materialise(scanned.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    repeated = texts.join(_bounded(copies), "hash").groupBy("hash", "_n").agg(F.first("text").alias("text"))
+    return (
+        texts.select("text", F.lit(1).cast("bigint").alias("n"))
+        .unionByName(repeated.select("text", (1 - F.col("_n")).alias("n")))
+        .unionByName(scanned.where("cut <> ''").groupBy("hash").agg(F.first("cut").alias("text")).select("text", F.lit(1).cast("bigint").alias("n")))
+    )
 
 
-def disclosing_terms(near: DataFrame, texts: DataFrame, n_docs: int, support: int, generalise: float,
+def disclosing_terms(near: DataFrame, texts: DataFrame, n_docs: int, salts: int, generalise: float,
                      remove: float) -> DataFrame:
-    """entity, term, kind: the terms whose share is above a threshold.  `near` has row, entity, around, term."""
-    pairs = near.groupBy("entity", "term").agg(
-        F.countDistinct("row").alias("n_pair"), F.countDistinct("around").alias("n_around")
-    ).where(F.col("n_around") >= support)
+    """entity, term, kind: the terms whose share is above a threshold.
+
+    `near` has row, entity, term: each distinct word of each distinct text that
+    holds the entity, null for one without words.  A hot entity meets its terms
+    in `salts` parts.
+    """
+    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
+    pairs = pairs.where("n_pair > 1")  # the others have no weight
     entities = near.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
-    known = pairs.join(entities, "entity").join(_term_documents(texts), "term")
-    pmi = F.log2(F.lit(float(n_docs)) * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))
-    share = F.when(F.col("n_entity") < n_docs, pmi / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))).otherwise(0.0)
+    parts = entities.select("entity", "n_entity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    known = pairs.withColumn("salt", F.pmod(F.hash("term"), F.lit(salts))).join(parts, ["entity", "salt"]).join(
+        _term_documents(texts), "term")
+    n = F.lit(float(n_docs))
+    pmi = F.log2(n * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))
+    weight = 1 - F.pow(F.greatest("n_term", "n_entity") / n, F.col("n_pair") - 1)
+    share = F.when(F.col("n_entity") < n_docs, weight * pmi / F.log2(n / F.col("n_entity"))).otherwise(0.0)
     kind = F.when(share >= remove, METHOD_KINDS[0]).when(share >= generalise, METHOD_KINDS[1])
     return known.select("entity", "term", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 8, support: int = 3,
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = 16,
              generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """Per document: id, n_email, n_ip, n_card, n_phone, base (joined spans) and method (array of spans)."""
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text"))
-    scanned = per_batch(texts, _scan(reach), _SCANNED.format(id=texts.schema["id"].dataType.simpleString()))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).withColumn("hash", F.md5("text"))
+    scanned = per_batch(texts, _scan, _SCANNED.format(id=texts.schema["id"].dataType.simpleString()), reads=["text"])
     scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-    near = (
-        scanned.select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.around", F.explode("n.terms").alias("t"))
-        .select("row", "entity", "around", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    )
-    flagged = disclosing_terms(near, texts, scanned.count(), support, generalise, remove)
-    # a word near two entities is one span, under the stricter kind
+    held = scanned.where(F.size("entities") > 0)
+    named = held.select("row", "hash", F.explode("entities").alias("entity"))
+    # an entity of one text has no term of any weight; the others meet the words of their documents
+    many = named.groupBy("entity").agg(F.min("hash").alias("_a"), F.max("hash").alias("_b")).where("_a <> _b").select("entity")
+    shared = named.join(_bounded(materialise(many)), "entity").groupBy("row").agg(F.collect_list("entity").alias("_shared"))
+    met = held.select("row", "hash", "terms").join(shared, "row")  # one document's entities
+    first = met.groupBy("hash").agg(F.min("row").alias("row"))
+    near = met.join(first.select("row"), "row", "left_semi").select("row", F.explode("_shared").alias("entity"), "terms")
+    near = near.select("row", "entity", F.explode_outer("terms.term").alias("term"))
+    n_docs = scanned.select("hash").distinct().count()
+    flagged = materialise(disclosing_terms(near, _counted_once(texts, scanned), n_docs, salts, generalise, remove))
+    # a word of two entities' documents is one span, under the stricter kind
     strict = F.when(F.min("rank") == 0, METHOD_KINDS[0]).otherwise(METHOD_KINDS[1])
-    terms = (
-        near.join(flagged, ["entity", "term"]).withColumn("rank", (F.col("kind") != METHOD_KINDS[0]).cast("int"))
-        .groupBy("row", "start", "end").agg(strict.alias("kind"))
-        .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("method"))
+    words = met.select("row", "_shared", F.explode("terms").alias("t"))
+    words = words.select("row", F.explode("_shared").alias("entity"), "t.term", "t.starts")
+    found = (
+        words.join(_bounded(flagged), ["entity", "term"]).withColumn("rank", (F.col("kind") != METHOD_KINDS[0]).cast("int"))
+        .groupBy("row", "term", "starts").agg(strict.alias("kind"))
+        .select("row", "kind", F.length("term").alias("n"), F.explode("starts").alias("start"))
+        .groupBy("row").agg(F.array_sort(F.collect_list(
+            F.struct("start", (F.col("start") + F.col("n")).alias("end"), "kind"))).alias("method"))
     )  # one document's words
-    return scanned.join(terms, "row", "left").select(
+    return scanned.join(found, "row", "left").select(
         F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), "base",
         F.coalesce("method", F.array().cast("array<struct<start: int, end: int, kind: string>>")).alias("method"),
     )

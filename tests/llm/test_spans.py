@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from newsloom.llm import pii, secrets, spans as sp
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -79,6 +81,20 @@ def test_disclosure_share(spark):
         assert got == {"own": "remove"} | ({"wide": "generalise"} if bound < share else {})
 
 
+def test_copies_count_once(spark):
+    """n(entity) and n(term) are of distinct texts, documents without words included."""
+    df = spark.createDataFrame([("a b",)] * 3 + [("b c",), ("c c",)], "text string").withColumn("hash", F.md5("text"))
+    scanned = df.withColumn("cut", F.lit(""))
+    got = {r.term: r.n_term for r in pii._term_documents(pii._counted_once(df, scanned)).collect()}
+    assert got == {"a": 1, "b": 2, "c": 2}
+    near = [(r, "e", "own" if r < 2 else None) for r in range(4)]
+    near = spark.createDataFrame(near, "row bigint, entity string, term string")
+    texts = spark.createDataFrame([("own",)] * 8, "text string")
+    share = math.log2(64 * 2 / (8 * 4)) / math.log2(64 / 4) * (1 - 8 / 64)
+    for bound in (share - 0.01, share + 0.01):
+        assert pii.disclosing_terms(near, texts, 64, 2, bound, 2.0).count() == (bound < share)
+
+
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
