@@ -81,6 +81,21 @@ def test_disclosure_share(spark):
         assert got == {"own": "remove"} | ({"wide": "generalise"} if bound < share else {})
 
 
+def test_rare_entities_reveal(spark):
+    """Two texts are enough, anywhere in the text; one text, however often copied, is not."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join("f" + str(rng.randrange(60)) for _ in range(n))
+    rows = [(i, f"Nightowl {filler(40)} jo@ex.org {filler(9)} nightowl") for i in range(2)]
+    rows += [(2, "王小明al@ex.org " + filler(20)), (3, filler(20) + " 王小明al@ex.org"), (4, "bo@ex.org"), (5, f"{filler(9)} bo@ex.org")]
+    rows += [(10 + i, filler(25)) for i in range(200)] + [(300 + i, "once solitary only@copies.org") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    for r in pii.pii_digests(pii.find_pii(df)).collect():
+        found = [texts[r.doc_id][a:b] for k, a, b in sp.parsed(r.spans) if k == "remove"]
+        want = {0: ["Nightowl", "nightowl"], 1: ["Nightowl", "nightowl"], 2: ["王小明"], 3: ["王小明"]}
+        assert found == want.get(r.doc_id, []), r.doc_id
+
+
 def test_copies_count_once(spark):
     """n(entity) and n(term) are of distinct texts, documents without words included."""
     df = spark.createDataFrame([("a b",)] * 3 + [("b c",), ("c c",)], "text string").withColumn("hash", F.md5("text"))
