@@ -2,9 +2,10 @@
 
 A candidate is a long string of key characters near a sensitive word.  It is
 compressed by zstandard with a dictionary of usual identifiers and of the code
-and text around it; what it adds in bytes, per character, is its novelty.
+and text around it without its own copies; what it adds in bytes, per character, is its novelty.
 Identifiers, paths and words of the surroundings cost little, keys cost nearly
-their length.  Candidates at or above the bound are reported.
+their length.  Candidates at or above the bound are reported, at every place
+where they stand in the document.
 
 Defined results.  A null text is empty.  Every row is judged alone: repeated
 rows get equal results, an empty table gives an empty table, null ids stay.
@@ -33,6 +34,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _SENSITIVE = re.compile(
     r"passw|passphrase|secret|token|api_?key|access_?key|private_?key|credential|bearer|authoriz|signature|client_?id",
     re.ASCII | re.IGNORECASE)
+LEAST = 16
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 IDENTIFIERS = (
@@ -67,9 +69,33 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
+def _beside(text: str, start: int, end: int, around: int) -> str:
+    """The text on both sides of a candidate, with all its other copies blanked."""
+    own, n = text[start:end], end - start
+    blank = " " * n  # of one length, so that a copy which the sides cut is blanked too
+    left = text[max(0, start - around - n):start].replace(own, blank)[-around:]
+    return left + " " + text[end:end + around + n].replace(own, blank)[:around]
+
+
+def _everywhere(text: str, base: list[sp.Span], strings: set[str]) -> list[sp.Span]:
+    """Every occurrence of the strings, the longest at each place; one pass, whatever their number."""
+    heads: dict[str, list[str]] = {}
+    for s in sorted(strings, key=len, reverse=True):
+        heads.setdefault(s[:LEAST], []).append(s)
+    found = []
+    for run in _CANDIDATE.finditer(text) if heads else ():
+        at = run.start()
+        while at + LEAST <= run.end():
+            own = next((s for s in heads.get(text[at:at + LEAST], ()) if text.startswith(s, at)), "")
+            if own and sp.free(base, at, at + len(own)):
+                found.append((METHOD_KIND, at, at + len(own)))
+            at += len(own) or 1
+    return found
+
+
 def novel_spans(text: str, base: list[sp.Span], reach: int, around: int, bound: float) -> list[sp.Span]:
-    """Candidates up to `reach` characters behind a sensitive word whose novelty is at the bound."""
-    found, done = [], 0
+    """Candidates up to `reach` characters behind a sensitive word whose novelty is at the bound, wherever they stand."""
+    found, done = set(), 0
     for word in _SENSITIVE.finditer(text):
         last = word.end() + reach
         while first := _CANDIDATE.search(text, max(done, word.start()), last + 16):
@@ -78,10 +104,10 @@ def novel_spans(text: str, base: list[sp.Span], reach: int, around: int, bound:
             end = done
             if not _mixed(m[0][:around]) or not sp.free(base, start, end):
                 continue
-            surroundings = text[max(0, start - around):start] + " " + text[end:end + around]
+            surroundings = _beside(text, start, end, around)
             if novelty(m[0][:around], surroundings) >= bound:
-                found.append((METHOD_KIND, start, end))
-    return found
+                found.add(m[0])
+    return _everywhere(text, base, found)
 
 
 def _scan(reach: int, around: int, bound: float):

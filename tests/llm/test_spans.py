@@ -154,6 +154,13 @@ def test_novelty():
     assert secrets.novelty("q8Zr3Kx91LmPw0TtYs5VhNc7", again) < secrets.novelty("q8Zr3Kx91LmPw0TtYs5VhNc7", "")
 
 
+def test_repeated_key():
+    """A key is not explained by its own copies, and every copy is reported."""
+    key = "q8Zr3Kx91LmPw0TtYs5VhNc7"
+    text = f"bearer {key}\nbearer {key}\n" + "plain words here\n" * 40 + f"sig_{key}"
+    assert [text[a:b] for _, a, b in secrets.novel_spans(text, [], 48, 256, 0.75)] == [key] * 3
+
+
 def test_replaced():
     assert sp.replaced("abcdef", [("x", 1, 3), ("y", 2, 5)], {"x": "_", "y": "-"}) == "a_f"
     assert sp.parsed(sp.joined([("x", 1, 3)])) == [("x", 1, 3)] and sp.parsed("") == []
