@@ -4,8 +4,9 @@ A candidate is a long string of key characters near a sensitive word.  It is
 compressed by zstandard with a dictionary of usual identifiers and of the code
 and text around it without its own copies; what it adds in bytes, per character, is its novelty.
 Identifiers, paths and words of the surroundings cost little, keys cost nearly
-their length.  Candidates at or above the bound are reported, at every place
-where they stand in the document.
+as much as random strings of their alphabet and length.  Candidates that cost
+at least `bound` of that are reported, at every place where they stand in the
+document.
 
 Defined results.  A null text is empty.  Every row is judged alone: repeated
 rows get equal results, an empty table gives an empty table, null ids stay.
@@ -15,6 +16,7 @@ and what a candidate is measured against is bounded by `around` characters.
 
 from __future__ import annotations
 
+import random
 import re
 
 import zstandard
@@ -48,6 +50,14 @@ IDENTIFIERS = (
 )
 
 
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Key alphabets, the smallest first; the last holds all key characters.
+ALPHABETS = [frozenset(a) for a in (
+    _DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _UPPER + "234567=", _DIGITS + _LOWER, _DIGITS + _UPPER,
+    _UPPER + _LOWER, _DIGITS + _UPPER + _LOWER, _DIGITS + _UPPER + _LOWER + "+/_=-")]
+_EXPECTED: dict[tuple[int, str, int], float] = {}  # at most one entry per alphabet and length up to `around`
+
+
 def base_spans(text: str) -> list[sp.Span]:
     """The pattern spans of a text, ordered."""
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -64,6 +74,16 @@ def novelty(candidate: str, surroundings: str, identifiers: str = IDENTIFIERS, l
     return (len(pack(candidate.encode())) - len(pack(b""))) / len(candidate)
 
 
+def _random_novelty(s: str) -> float:
+    """The novelty of random strings of the same alphabet and length."""
+    signs = next(a for a in ALPHABETS if a.issuperset(s))
+    key = (len(signs), min(signs), len(s))
+    if key not in _EXPECTED:
+        rng, order = random.Random(repr(key)), sorted(signs)
+        _EXPECTED[key] = sum(novelty("".join(rng.choices(order, k=len(s))), "") for _ in range(8)) / 8
+    return _EXPECTED[key]
+
+
 def _mixed(s: str) -> bool:
     """Digits among letters, as keys have them."""
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
@@ -105,7 +125,7 @@ def novel_spans(text: str, base: list[sp.Span], reach: int, around: int, bound:
             if not _mixed(m[0][:around]) or not sp.free(base, start, end):
                 continue
             surroundings = _beside(text, start, end, around)
-            if novelty(m[0][:around], surroundings) >= bound:
+            if novelty(m[0][:around], surroundings) >= bound * _random_novelty(m[0][:around]):
                 found.add(m[0])
     return _everywhere(text, base, found)
 

@@ -161,6 +161,16 @@ def test_repeated_key():
     assert [text[a:b] for _, a, b in secrets.novel_spans(text, [], 48, 256, 0.75)] == [key] * 3
 
 
+def test_long_keys_of_small_alphabets():
+    """Long random keys are as novel as short ones, whatever their alphabet."""
+    rng = random.Random(7)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz"):
+        for n in (32, 80, 96, 128, 200, 256):
+            for _ in range(10):
+                key = "".join(rng.choices(alphabet, k=n))
+                assert secrets.novel_spans(f"bearer {key} ends", [], 48, 256, 0.75) == [("novel", 7, 7 + n)], key
+
+
 def test_replaced():
     assert sp.replaced("abcdef", [("x", 1, 3), ("y", 2, 5)], {"x": "_", "y": "-"}) == "a_f"
     assert sp.parsed(sp.joined([("x", 1, 3)])) == [("x", 1, 3)] and sp.parsed("") == []
