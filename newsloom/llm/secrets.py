@@ -11,7 +11,8 @@ document.
 Defined results.  A null text is empty.  Every row is judged alone: repeated
 rows get equal results, an empty table gives an empty table, null ids stay.
 Only the id and text columns are read.  All patterns are linear in the text,
-and what a candidate is measured against is bounded by `around` characters.
+and what a candidate is measured against is bounded by `around` characters on
+each side; a longer candidate is measured in pieces, and reported whole.
 """
 
 from __future__ import annotations
@@ -89,6 +90,16 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
+def _pieces(s: str, around: int):
+    """A string itself; of one beyond `around`, overlapping pieces, and short ones that a key of 24 characters fills."""
+    if len(s) <= around:
+        yield s
+        return
+    for size, step in ((around, around // 2), (2 * LEAST, LEAST // 2)):
+        for at in range(0, len(s) - size + step, step):
+            yield s[at:at + size]
+
+
 def _beside(text: str, start: int, end: int, around: int) -> str:
     """The text on both sides of a candidate, with all its other copies blanked."""
     own, n = text[start:end], end - start
@@ -122,10 +133,10 @@ def novel_spans(text: str, base: list[sp.Span], reach: int, around: int, bound:
             m = _CANDIDATE.match(text, first.start())  # whole, however far it goes
             start, done = m.span()
             end = done
-            if not _mixed(m[0][:around]) or not sp.free(base, start, end):
+            if not sp.free(base, start, end):
                 continue
             surroundings = _beside(text, start, end, around)
-            if novelty(m[0][:around], surroundings) >= bound * _random_novelty(m[0][:around]):
+            if any(_mixed(p) and novelty(p, surroundings) >= bound * _random_novelty(p) for p in _pieces(m[0], around)):
                 found.add(m[0])
     return _everywhere(text, base, found)
 

@@ -171,6 +171,15 @@ def test_long_keys_of_small_alphabets():
                 assert secrets.novel_spans(f"bearer {key} ends", [], 48, 256, 0.75) == [("novel", 7, 7 + n)], key
 
 
+def test_key_behind_a_long_head():
+    """All of a long run is measured, whatever stands at its head."""
+    key = "q8Zr3Kx91LmPw0TtYs5VhNc7"
+    for head in ("A" * 300, "content_type/application/" * 20, "A" * 5000):
+        text = f"bearer {head}{key} ends"
+        assert secrets.novel_spans(text, [], 48, 256, 0.75) == [("novel", 7, len(text) - 5)], head
+    assert secrets.novel_spans("bearer " + "content_type/application/" * 40, [], 48, 256, 0.75) == []
+
+
 def test_replaced():
     assert sp.replaced("abcdef", [("x", 1, 3), ("y", 2, 5)], {"x": "_", "y": "-"}) == "a_f"
     assert sp.parsed(sp.joined([("x", 1, 3)])) == [("x", 1, 3)] and sp.parsed("") == []
