@@ -14,8 +14,9 @@ Defined results.  Words are lower-cased [^\\x20\\x09-\\x0D]+.  An item of fewer
 words than a shingle is one shingle of its own length; an item without words
 is contained in nothing.  Null texts have no words.  Rows that share a doc_id
 (null is an id) count as parts of one document, rows that share an item_id as
-parts of one item; repeated rows change nothing.  Empty tables give an empty
-result.  Only the id and text columns are read.
+parts of one item, as in SQL; repeated rows change nothing.  without_items
+judges each row alone instead, so no row goes for another's text.  Empty tables
+give an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -113,11 +114,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The whole rows of the documents that contain no benchmark item."""
-    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    found = materialise(contained_items(docs, benchmark, doc_id, text).select(key(F.col("doc_id")).alias("_leak")).distinct())
+    """The whole rows that contain no benchmark item.  Every row is judged alone, by every item row, whatever their ids."""
+    key = lambda i, t: F.concat_ws("=", F.col(i).cast("string"), F.md5(text_of(t)))
+    rows = docs.select(key(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
+    items = benchmark.select(key("item_id", "text").alias("item_id"), "text")
+    found = materialise(contained_items(rows, items).select(F.col("doc_id").alias("_leak")).distinct())
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, key(docs[doc_id]) == found["_leak"], "left_anti")
+    return docs.join(found, key(doc_id, text) == found["_leak"], "left_anti")
 
 
 SQL = r"""

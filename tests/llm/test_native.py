@@ -107,6 +107,15 @@ def test_contained_items(spark, seed):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in leaked)
 
 
+def test_rows_of_one_id_are_judged_alone(spark):
+    """A null or shared id takes no clean row along, and hides no item."""
+    docs = [(None, "a b c d e f"), (None, "clean one"), (None, "p q r s"), (7, "a b c d e f"), (7, "clean two"), (8, "g h i j k l")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, "a b c d e f"), (None, "g h i j k l"), (1, "p q r s t u")], "item_id bigint, text string")
+    left = [(r.doc_id, r.text) for r in decontaminate.without_items(d, b).collect()]
+    assert sorted(left, key=str) == [(7, "clean two"), (None, "clean one"), (None, "p q r s")]
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
