@@ -21,7 +21,7 @@ Defined results.  A null text is empty; a text without words has fingerprint
 zero and is linked like any other.  Rows that repeat are documents of their
 own.  A null id is never a component's name; a component of null ids alone has
 a null name.  Empty tables give empty tables.  Only the id and text columns are
-read.  Texts may be of any length.  Ids are below 2^62.
+read.  Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ SHINGLE = 4
 MAX_BITS = 4
 LIST = 4096
 _SEED = 42
-_NO_ID = 1 << 62
 
 
 def fingerprint(text: str, n: int = SHINGLE) -> int:
@@ -64,13 +63,15 @@ def fingerprint(text: str, n: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
     """Per document: id, fp (bigint, the 64 bits as a signed number)."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text).alias("text"))
+    return _fingerprints(docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text).alias("text")), n)
 
+
+def _fingerprints(texts: DataFrame, n: int) -> DataFrame:
     def work(batch):
         prints = np.array([fingerprint(t, n) for t in batch["text"]], np.uint64)
         return {"fp": prints.view(np.int64)}
 
-    return per_batch(texts, work, "id bigint, fp bigint", reads=["text"])
+    return per_batch(texts, work, f"id {texts.schema['id'].dataType.simpleString()}, fp bigint", reads=["text"])
 
 
 def _unit(fp: Column, place: int, bits: int) -> Column:
@@ -198,7 +199,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, most: int = LIST) -> Data
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: id, fp, component_id (the least id reachable over links, null if there is none)."""
-    prints = stored(fingerprints(docs, id_col, text, n), "fingerprints")
+    return _classes(fingerprints(docs, id_col, text, n), max_bits).withColumnRenamed("id", id_col)
+
+
+def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
+    """id, fp, component_id of id, fp; ids of any type with an order."""
+    prints = stored(prints, "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), max_bits))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
@@ -211,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # written first: then both sides of the join are plain shuffles, and Spark splits the rows of a hot fingerprint
     names = stored(distinct.join(moved, distinct["fp"] == moved["_fp"], "left").select(
         "fp", F.coalesce("component_id", "least").alias("component_id")), "names")
-    return prints.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(names, "fp").select("id", "fp", "component_id")
 
 
 def simhash_digests(found: DataFrame) -> DataFrame:
@@ -221,15 +227,17 @@ def simhash_digests(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """The whole rows of one document of each component: the least id; rows without an id only if alone."""
-    name = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID) + F.shiftrightunsigned(F.xxhash64(text_of(text)), 2))
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), name.alias("_name"))
-    found = materialise(near_duplicates(
-        docs.select(name.alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", n, max_bits))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_name")).agg(
+    """One whole row of each component: the least id, then the least text hash; rows without an id only if alone."""
+    key = F.col(id_col).cast("bigint")
+    name = F.struct(
+        key.isNull().alias("no_id"), F.coalesce(key, F.lit(0).cast("bigint")).alias("id"),
+        F.xxhash64(text_of(text)).alias("h"), F.xxhash64(F.lit(1), text_of(text)).alias("h2"))
+    found = materialise(_classes(_fingerprints(docs.select(name.alias("id"), text_of(text).alias("text")), n), max_bits))
+    kept = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("_name")).agg(
         F.count(F.lit(1)).alias("_n"))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), name.alias("_name"))
     left = rows.join(kept.select("_name"), "_name", "left_semi")
-    if kept.where("_n > 1").limit(1).count():  # rows with one id: the first by its text
-        order = Window.partitionBy("_name").orderBy(F.xxhash64(F.col("_row")[text]), F.col("_row")[text])
+    if kept.where("_n > 1").limit(1).count():  # rows of one id and text: the first by what else they hold
+        order = Window.partitionBy("_name").orderBy(F.to_json("_row"))
         left = left.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
     return left.select("_row.*")

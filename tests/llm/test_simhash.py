@@ -103,6 +103,14 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_of_each_component_whatever_the_ids(spark):
+    """Rows that share an id with different texts: each component keeps exactly one row."""
+    a, b = "one two three four five six seven", "entirely different words stand in this other text"
+    for rows in ([(5, a), (5, b), (9, b)], [(5, a), (5, b), (3, b)], [(None, a), (None, b), (None, b)], [(5, a), (5, a), (5, b)]):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted(r.text for r in kept) == [b, a], rows
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()]
