@@ -1,6 +1,7 @@
 """Secrets: pattern spans, and strings that a primed compressor finds new.
 
-A candidate is a long string of key characters near a sensitive word.  It is
+A candidate is a long string of key characters, other than words in a usual
+case, in the line of a sensitive word or within `reach` characters of it.  It is
 compressed by zstandard with a dictionary of usual identifiers and of the code
 and text around it without its own copies; what it adds in bytes, per character, is its novelty.
 Identifiers, paths and words of the surroundings cost little, keys cost nearly
@@ -38,6 +39,7 @@ _SENSITIVE = re.compile(
     r"passw|passphrase|secret|token|api_?key|access_?key|private_?key|credential|bearer|authoriz|signature|client_?id",
     re.ASCII | re.IGNORECASE)
 LEAST = 16
+_WORDS = re.compile(r"[a-z]?(?:[+/_=-]++|[A-Z]?[a-z]{2,}+|[A-Z]+(?=[A-Z][a-z]|[+/_=-]|\Z)|[a-z](?=[+/_=-]|\Z))*+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 IDENTIFIERS = (
@@ -86,8 +88,26 @@ def _random_novelty(s: str) -> float:
 
 
 def _mixed(s: str) -> bool:
-    """Digits among letters, as keys have them."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    """Digits among letters, or letters in no usual case: not words, which cost as much as keys."""
+    letters = any(c.isalpha() for c in s)
+    return letters and (any(c.isdigit() for c in s) or not _WORDS.fullmatch(s))
+
+
+def _regions(text: str, reach: int):
+    """The lines that hold sensitive words and `reach` characters on both sides of such a word; ordered, disjoint."""
+    start = end = 0
+    for word in _SENSITIVE.finditer(text):
+        if word.end() + reach <= end:
+            continue
+        a = min(max(0, word.start() - reach), text.rfind("\n", end, word.start()) + 1 or end)
+        b = text.find("\n", word.end())
+        b = max(min(len(text), word.end() + reach), len(text) if b < 0 else b)
+        if a > end:
+            if end:
+                yield start, end
+            start = a
+        end = b
+    yield start, end
 
 
 def _pieces(s: str, around: int):
@@ -125,14 +145,14 @@ def _everywhere(text: str, base: list[sp.Span], strings: set[str]) -> list[sp.Sp
 
 
 def novel_spans(text: str, base: list[sp.Span], reach: int, around: int, bound: float) -> list[sp.Span]:
-    """Candidates up to `reach` characters behind a sensitive word whose novelty is at the bound, wherever they stand."""
-    found, done = set(), 0
-    for word in _SENSITIVE.finditer(text):
-        last = word.end() + reach
-        while first := _CANDIDATE.search(text, max(done, word.start()), last + 16):
-            m = _CANDIDATE.match(text, first.start())  # whole, however far it goes
-            start, done = m.span()
-            end = done
+    """Candidates beside a sensitive word (its line, and `reach` characters) whose novelty is at the bound, wherever they stand."""
+    found, regions = set(), _regions(text, reach)
+    first, last = next(regions)
+    for m in _CANDIDATE.finditer(text) if last else ():  # whole, however far it goes
+        start, end = m.span()
+        while last <= start and (region := next(regions, None)):
+            first, last = region
+        if start < last and first < end:
             if not sp.free(base, start, end):
                 continue
             surroundings = _beside(text, start, end, around)

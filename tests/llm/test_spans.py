@@ -180,6 +180,18 @@ def test_key_behind_a_long_head():
     assert secrets.novel_spans("bearer " + "content_type/application/" * 40, [], 48, 256, 0.75) == []
 
 
+def test_candidates_on_both_sides():
+    """A key may stand before its word, further off in the line, and without digits."""
+    key, letters = "q8Zr3Kx91LmPw0TtYs5VhNc7", "qKZrTxLMpWuTtYsVhNcB"
+    for text in (f"{key} # api token", f"the bearer is {'so ' * 40}{key}", f"first line\nsecond\n{'so ' * 40}{key} {'so ' * 40}token\nlast", f"bearer {letters} ends"):
+        own = key if key in text else letters
+        at = text.index(own)
+        assert secrets.novel_spans(text, [], 48, 256, 0.75) == [("novel", at, at + len(own))], text
+    for text in (f"{key}\n{'so ' * 40}token", "secret getUserAccountNameFromServer", "bearer THE_LONG_NAME_OF_ALL and HTTPServerFactoryBean"):
+        assert secrets.novel_spans(text, [], 48, 256, 0.75) == [], text
+    secrets.novel_spans("token " * 30_000 + "aB" * 50_000 + "\n" * 9 + "Abc" * 50_000, [], 48, 256, 0.75)
+
+
 def test_replaced():
     assert sp.replaced("abcdef", [("x", 1, 3), ("y", 2, 5)], {"x": "_", "y": "-"}) == "a_f"
     assert sp.parsed(sp.joined([("x", 1, 3)])) == [("x", 1, 3)] and sp.parsed("") == []
