@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm import bpe, chat, decontaminate, pii, quality, secrets, simhash, substrings, tokenids, toxicity
-from newsloom.llm.common import table
+from newsloom.llm import (
+    bpe, chat, decontaminate, periodic, pii, quality, secrets, simhash, substrings, tokenids, toxicity,
+)
+from newsloom.llm.common import table, text_of
 from newsloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +92,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@_register()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents; every tenth, by a hash of its id, is made to echo itself."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", periodic.with_echoes(text_of("text"), F.col("doc_id")).alias("text"))
+    return periodic.run_digests(periodic.find_runs(docs))
