@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
-    bpe, chat, decontaminate, periodic, pii, quality, secrets, simhash, substrings, tokenids, toxicity,
+    bpe, chat, decontaminate, periodic, pii, quality, secrets, sentpieces, simhash, substrings, tokenids,
+    toxicity,
 )
 from newsloom.llm.common import table, text_of
 from newsloom.session import scratch_path
@@ -94,6 +95,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@_register()
+def op11_sentpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as SentencePiece ids with source spans, and decoded again."""
+    return sentpieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_register()
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents; every tenth, by a hash of its id, is made to echo itself."""
