@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm import (
     bpe, chat, decontaminate, periodic, pii, quality, secrets, sentpieces, simhash, substrings, tokenids,
-    toxicity,
+    toxicity, variants,
 )
 from newsloom.llm.common import table, text_of
 from newsloom.session import scratch_path
@@ -107,3 +107,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", periodic.with_echoes(text_of("text"), F.col("doc_id")).alias("text"))
     return periodic.run_digests(periodic.find_runs(docs))
+
+
+@_register()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling variants; one of 199 runs, by a hash, slips a code point."""
+    return variants.spelling_groups(variants.slipped_words(table(spark, sf_dir, "documents")))
