@@ -33,18 +33,20 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from operator import sub
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import per_batch, per_task, text_of
-from newsloom.llm.pieces import BATCH_CHARS, KEPT_CUTS, KEPT_LENGTH, worker_kept
+from newsloom.llm.pieces import BATCH_CHARS, KEPT_LENGTH, worker_kept
 
 SPACE = "▁"  # how pieces show a space
+KEPT_CUTS = 500_000  # distinct cuts that a worker keeps, about 150 MB
 #: Fixed values of the model format: kinds of pieces, and the number of the BPE algorithm.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE, _BPE = 1, 2, 3, 6, 2
-_SHORT, _NEVER = 48, float("inf")
+_SHORT, _TOGETHER, _NEVER = 48, 20_000, np.int64(1) << 40
 _ONE_BY_ONE = "newsloom.one-by-one"
 codecs.register_error(_ONE_BY_ONE, lambda e: ("�", e.start + 1))
 
@@ -106,20 +108,6 @@ class CharMap:
     def replacement(self, begin: int) -> str:
         return self.replacements[begin:self.replacements.index(b"\0", begin)].decode()
 
-    def keys(self) -> Iterator[tuple[bytes, str]]:
-        """All keys and their replacements."""
-        todo = [(b"", self._child(self.units[0]))] if self.units else []
-        while todo:
-            key, base = todo.pop()
-            for byte in range(256):
-                node = base ^ byte
-                if node < len(self.units) and byte and self.units[node] & 0x800000FF == byte:
-                    unit = self.units[node]
-                    child = node ^ self._child(unit)
-                    if unit >> 8 & 1:
-                        yield key + bytes([byte]), self.replacement(self.units[child] & 0x7FFFFFFF)
-                    todo.append((key + bytes([byte]), child))
-
 
 class Normaliser:
     """What a model does to a text before it looks for pieces."""
@@ -127,16 +115,14 @@ class Normaliser:
     def __init__(self, rules: dict):
         self.map = CharMap(rules.get(2, b""))
         self.prefix, self.squeeze, self.show = (bool(rules.get(k, 1)) for k in (3, 4, 5))
-        #: A space stays one, nothing else becomes one: texts may be cut before spaces.
-        self.keeps_spaces = self.show and not self.squeeze and not any(
-            b" " in key or " " in new or SPACE in new for key, new in self.map.keys())
+        self.keeps = self.show and not self.squeeze and not self.map.units  # each character stays as it is
 
     def __call__(self, text: str, prefix: bool) -> tuple[str, list[int]]:
         """The normalised text, and for each of its characters, and its end, the source byte."""
         raw, out, begins, at, after_space = text.encode("utf-8", "replace"), [], [], 0, self.squeeze
         if not raw:
             return "", [0]
-        if not self.map.units and not self.squeeze and self.show:  # each character is itself
+        if self.keeps:
             begins = range(len(raw) + 1)
             if len(raw) > len(text):
                 begins = np.flatnonzero((np.frombuffer(raw + b"a", np.uint8) & 0xC0) != 0x80).tolist()
@@ -167,6 +153,15 @@ class Normaliser:
         return joined.replace(" ", SPACE) if self.show else joined, [*begins, end]
 
 
+class _Kept(dict):
+    """Cuts that a worker keeps; those of the present batch alone are in `others`."""
+
+    others: dict[str, tuple[bytes, bytes]] = {}
+
+    def __missing__(self, cut: str) -> tuple[bytes, bytes]:
+        return self.others[cut]
+
+
 class PieceModel:
     """A SentencePiece BPE model file."""
 
@@ -190,12 +185,24 @@ class PieceModel:
             for name, kind in zip(names, kinds)]
         self.leads = [kind == _NORMAL and name.startswith(SPACE) for name, kind in zip(names, kinds)]
         self.normalise = Normaliser(rules)
-        self.cuttable = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
         self.inside = {name[k:k + 2] for name in self.ids for k in range(len(name) - 1)}
-        self.whole: set[str] = set()
-        self.whole = {name for name in self.ids if self._merged(name) == [name]}  # these need no merging
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.runs: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        mixed = any(SPACE in name.lstrip(SPACE) for name in self.ids)  # a space behind something else
+        self.cuts = None if mixed or not self.normalise.keeps else self._cutter()
+        self.kept = _Kept()
+        #: Symbols of the merging: the pieces, then characters that only stand inside pieces or in none.
+        self.symbols = dict(self.ids)
+        for c in sorted({c for name in self.ids for c in name}):
+            self.symbols.setdefault(c, len(names) + len(self.symbols))
+        pairs = {}
+        costs = {cost: rank for rank, cost in enumerate(sorted(set(self.order.values())))}
+        for name, i in self.ids.items():
+            for k in range(1, len(name)):
+                left, right = self.symbols.get(name[:k]), self.symbols.get(name[k:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = costs[self.order[name]], i
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.rank, self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64).T.copy()
+        self.lengths = np.array([len(name) for name in names])
 
     def _split(self, chars: str) -> Iterator[str]:
         """The longest parts of normalised characters whose neighbours all stand side by side in some piece."""
@@ -207,27 +214,85 @@ class PieceModel:
         if at < len(chars):
             yield chars[at:]
 
-    def _merged(self, chars: str) -> list[str]:
-        """The pieces of normalised characters: the best pair is merged first, the leftmost of equals."""
-        if chars in self.whole:
-            return [chars]
-        return self._merged_short(chars) if len(chars) <= _SHORT else self._merged_long(chars)
-
-    def _merged_short(self, chars: str) -> list[str]:
-        parts, cost = list(chars), self.order.get
-        costs = [cost(chars[k:k + 2], _NEVER) for k in range(len(parts) - 1)]
-        while costs:
-            least = min(costs)
-            if least == _NEVER:
-                break
-            i = costs.index(least)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
-            if i < len(costs):
-                costs[i] = cost(parts[i] + parts[i + 1], _NEVER)
-            if i:
-                costs[i - 1] = cost(parts[i - 1] + parts[i], _NEVER)
-        return parts
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols (_NEVER: no piece), and the piece."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NEVER), self.merged[at]
+
+    def _merged_short(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and symbols of runs: the best pair of every run is merged at once, the leftmost of equals."""
+        width = max(map(len, runs))
+        get, none = self.symbols.get, len(self.lengths) + len(self.symbols)  # `none` pairs with nothing
+        symbols = np.array([[get(c, none + 1 + ord(c)) for c in r] + [none] * (width - len(r)) for r in runs], np.int64)
+        which = np.arange(len(runs))
+        ranks, pieces = self._pair(symbols[:, :-1], symbols[:, 1:])
+        while len(which):
+            if not ranks.shape[1]:
+                yield which, symbols
+                return
+            best = ranks.argmin(axis=1)
+            rows = np.arange(len(which))
+            going = ranks[rows, best] < _NEVER
+            if not going.all():
+                yield which[~going], symbols[~going]
+                which, symbols, ranks, pieces, best = which[going], symbols[going], ranks[going], pieces[going], best[going]
+                rows = np.arange(len(which))
+                if not len(which):
+                    return
+            n, columns = symbols.shape
+            symbols[rows, best] = pieces[rows, best]
+            keep = np.ones((n, columns), bool)
+            keep[rows, best + 1] = False
+            symbols = symbols[keep].reshape(n, columns - 1)
+            # the merged pair goes; the pairs on both sides of it are new
+            ranks, pieces = (x[keep[:, 1:]].reshape(n, columns - 2) for x in (ranks, pieces))
+            for side in (best - 1, best):
+                some = np.flatnonzero((side >= 0) & (side < columns - 2))
+                at = side[some]
+                ranks[some, at], pieces[some, at] = self._pair(symbols[some, at], symbols[some, at + 1])
+
+    def _merged(self, runs: list[str]) -> dict[str, tuple[list[int], list[int]]]:
+        """Of each run its ids, and the number of characters that each covers."""
+        out, by_width = {}, {}
+        for run in runs:
+            if len(run) > _SHORT:
+                parts = self._merged_long(run)
+                out[run] = self._named([self.symbols.get(x, -1) for x in parts], run, list(map(len, parts)))
+            else:
+                by_width.setdefault(-(-len(run) // 4), []).append(run)
+        pieces, lengths = len(self.lengths), self.lengths
+        none = pieces + len(self.symbols)
+        for same in by_width.values():
+            for k in range(0, len(same), _TOGETHER):
+                some = same[k:k + _TOGETHER]
+                for numbers, symbols in self._merged_short(some):
+                    inside = symbols != none
+                    flat, ends = symbols[inside], np.cumsum(inside.sum(axis=1)).tolist()
+                    odd = np.flatnonzero(((symbols >= pieces) & inside).any(axis=1)).tolist()
+                    sizes = lengths[np.where(flat < pieces, flat, 0)].tolist() if odd else lengths[flat].tolist()
+                    flat, begins = flat.tolist(), [0, *ends]
+                    own = [some[n] for n in numbers.tolist()]
+                    out.update((run, (flat[a:b], sizes[a:b])) for run, a, b in zip(own, begins, ends))
+                    for n in odd:
+                        a, b = begins[n], ends[n]
+                        out[own[n]] = self._named(flat[a:b], own[n], [
+                            z if x < pieces else 1 for x, z in zip(flat[a:b], sizes[a:b])])
+        return out
+
+    def _named(self, symbols: list[int], run: str, sizes: list[int]) -> tuple[list[int], list[int]]:
+        """Ids and sizes of symbols; a character that is no piece falls back to its bytes, the last of which covers it."""
+        ids, covers, at = [], [], 0
+        for symbol, size in zip(symbols, sizes):
+            if 0 <= symbol < len(self.lengths):
+                ids.append(symbol)
+            else:
+                fallen = run[at:at + size].encode()
+                ids += [self.bytes[b] for b in fallen]
+                covers += [0] * (len(fallen) - 1)
+            covers.append(size)
+            at += size
+        return ids, covers
 
     def _merged_long(self, chars: str) -> list[str]:
         parts: list[str] = list(chars)
@@ -257,82 +322,60 @@ class PieceModel:
                     heapq.heappush(heap, (cost, h, i, len(parts[h]) + size))
         return [p for p in parts if p]
 
-    def _pieces(self, text: str, prefix: bool) -> tuple[list[int], list[int]]:
-        """Ids of a text or cut, and the source bytes up to the end of each."""
-        chars, begins = self.normalise(text, prefix)
-        ids, ends, at, runs = [], [], 0, self.runs
-        for run in self._split(chars):
-            got = runs.get(run)
-            if got is None:
-                got = self._run(run)
-                if len(runs) < KEPT_CUTS and len(run) <= KEPT_LENGTH:
-                    runs[run] = got
-            ids += got[0]
-            for size in got[1]:
-                at += size
-                ends.append(begins[at])
-        return ids, ends
-
-    def _run(self, chars: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids of a part that stands alone, and how many of its characters each covers."""
-        ids, sizes = [], []
-        for part in self._merged(chars):
-            known = self.ids.get(part)
-            if known is None:
-                fallen = part.encode()
-                ids += [self.bytes[b] for b in fallen]
-                sizes += [0] * (len(fallen) - 1)
-            else:
-                ids.append(known)
-            sizes.append(len(part))
-        return tuple(ids), tuple(sizes)
-
-    def _cuts(self, text: str) -> list[str]:
-        """A text in parts that no piece crosses; all but the first begin with a space."""
-        if not (self.cuttable and self.normalise.keeps_spaces):
-            return [text]
-        return re.split(f"(?<=[^ {SPACE}])(?= )", text)
+    def _pieces(self, texts: list[str], prefix: bool) -> Iterator[tuple[bytes, bytes]]:
+        """Of each text or cut its ids, and how many source bytes each covers (unsigned 32-bit integers)."""
+        normal = [self.normalise(t, prefix) for t in texts]
+        runs = [[chars] if self.cuts and len(chars) <= _SHORT else list(self._split(chars)) for chars, _ in normal]
+        merged = self._merged(list(set(chain.from_iterable(runs)) - {""}))
+        for (_, begins), own in zip(normal, runs):
+            ids, covers = merged[own[0]] if len(own) == 1 and own[0] else ([], [])
+            if len(own) > 1:
+                ids = list(chain.from_iterable(merged[r][0] for r in own))
+                covers = list(chain.from_iterable(merged[r][1] for r in own))
+            if not isinstance(begins, range):  # else each character is one byte
+                ends = [begins[k] for k in accumulate(covers, initial=0)]
+                ends[0] = 0  # characters that go before the first piece are its own
+                covers = map(sub, ends[1:], ends)
+            yield array("I", ids).tobytes(), array("I", covers).tobytes()
+
+    def _cutter(self):
+        """Cuts a text: spaces and what follows them, up to a character that stands beside the last in no piece.
+
+        Characters are sorted into classes so that pieces never mix two classes
+        (but for the space before a piece); a cut holds one class.
+        """
+        up: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while up.setdefault(c, c) != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        for a, b in self.inside:
+            if a != SPACE:
+                up[find(a)] = find(b)
+        classes: dict[str, str] = {}
+        for c in sorted(up):
+            if c != SPACE:
+                classes[find(c)] = classes.get(find(c), "") + re.escape(c)
+        several = "".join(f"[{chars}]+|" for chars in sorted(classes.values(), key=len, reverse=True))
+        return re.compile(f" *(?:{several}[^ ])| +").findall
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Per text its ids and the source bytes up to the end of each piece (little-endian unsigned 32-bit)."""
-        out, simple, kept = [], self.cuttable and self.normalise.keeps_spaces, self.kept
-        found: dict[str, tuple[bytes, bytes]] = {}  # cuts of this call that are not kept
-
-        def look(cut: str) -> tuple[bytes, bytes]:
-            got = kept.get(cut) or found.get(cut)
-            if got is None:
-                ids, ends = self._pieces(" " + cut, False)
-                got = array("I", ids).tobytes(), array("I", map(sub, ends, [0, *ends])).tobytes()
-                if len(kept) < KEPT_CUTS and len(cut) <= KEPT_LENGTH:
-                    kept[cut] = got
-                elif len(found) < KEPT_CUTS:
-                    found[cut] = got
-            return got
-
-        for text in texts:
-            parts = text.split(" ")
-            if not simple or "" in parts or SPACE in text:
-                ids, ends = self._odd(text)
-                out.append((ids, np.array(ends, "<u4").tobytes()))
-                continue
-            ids, ends = self._pieces(parts[0], True)
-            rest = list(map(look, parts[1:]))
-            sizes = np.frombuffer(b"".join([r[1] for r in rest]), "<u4")
-            start = np.uint32(len(parts[0].encode("utf-8", "replace")))
-            out.append((array("I", ids).tobytes() + b"".join([r[0] for r in rest]),
-                        array("I", ends).tobytes() + (np.cumsum(sizes, dtype=np.uint32) + start).tobytes()))
+        kept, out = self.kept, []
+        cuts = [self.cuts(t) or [t] if self.cuts and SPACE not in t else [t] for t in texts]
+        firsts = list(self._pieces([c.pop(0) for c in cuts], True))
+        new = list(set(chain.from_iterable(cuts)).difference(kept))
+        kept.others = dict(zip(new, self._pieces(new, False)))
+        for first, own in zip(firsts, cuts):
+            rest = list(map(kept.__getitem__, own))
+            sizes = np.frombuffer(first[1] + b"".join([r[1] for r in rest]), "<u4")
+            out.append((first[0] + b"".join([r[0] for r in rest]), np.cumsum(sizes, dtype="<u4").tobytes()))
+        kept.update((c, kept.others[c]) for c in new[:max(0, KEPT_CUTS - len(kept))] if len(c) <= KEPT_LENGTH)
+        kept.others = {}
         return out
 
-    def _odd(self, text: str) -> tuple[bytes, list[int]]:
-        """Runs of spaces, or a text that cannot be cut: the whole text, or its parts one by one."""
-        ids, ends, at = [], [], 0
-        for k, part in enumerate(self._cuts(text)):
-            i, e = self._pieces(part, k == 0)
-            ids += i
-            ends += [at + b for b in e]
-            at += len(part.encode("utf-8", "replace"))
-        return array("I", ids).tobytes(), ends
-
     def decode(self, ids: bytes) -> str:
         """The text of ids (little-endian unsigned 32-bit), without the space that encoding puts first."""
         numbers = np.frombuffer(ids, "<u4").tolist()
