@@ -13,6 +13,11 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterable, Sequence
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")  # \S is narrower here than in the split pattern, so every cut is a safe one
@@ -63,3 +68,79 @@ class CutEncoder:
             batch.append(text)
             chars += len(text)
         return out + (self._batch(batch) if batch else [])
+
+
+class FlatEncoder:
+    """Encodes texts to one array of ids: the cuts of a batch are numbered in Arrow, and only distinct ones looked up."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], kept_cuts: int = KEPT_CUTS):
+        self.encode, self.kept_cuts = encode, kept_cuts
+        self.number: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")  # of the kept cuts, one behind the other
+
+    @staticmethod
+    def _flat(coded: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several cuts, one behind the other, and where each ends."""
+        coded = list(coded)
+        ends = np.cumsum([0, *map(len, coded)]) // 4
+        return np.frombuffer(b"".join(coded), "<u4"), ends
+
+    def __call__(self, texts: Sequence[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id behind it, and the number of ids of each."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded, first = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # behind a first cut, an empty one or one that begins with white space is no safe cut
+        unsafe = np.array([w[:1].isspace() or not w for w in words])
+        odd = np.zeros(len(texts), bool)
+        if unsafe.any():
+            hit = unsafe[codes]
+            hit[first[:-1]] = False
+            odd = np.add.reduceat(hit, first[:-1], dtype=np.int64) > 0
+        number = self.number
+        known = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+        new = [w for w, k, bad in zip(words, known.tolist(), unsafe.tolist()) if k < 0 and not bad]
+        new_ids, new_ends = self._flat(self.encode([" " + w for w in new]))
+        opening, own = np.unique(codes[first[:-1]], return_inverse=True)
+        # texts that are not cut at every space are encoded from their own cuts
+        others = [cuts(texts[k]) for k in np.flatnonzero(odd).tolist()]
+        heads = [words[k] for k in opening.tolist()]
+        head_ids, head_ends = self._flat(self.encode(heads + [c if k == 0 else " " + c for o in others for k, c in enumerate(o)]))
+        base, more = len(self.ids), len(self.ids) + len(new_ids)
+        ids = np.concatenate([self.ids, new_ids, head_ids, np.array([end_id], "<u4")])
+        # per distinct cut, opening cut, odd text and the end: where its ids begin, and how many they are
+        d = len(words)
+        start, size = np.zeros(d, np.int64), np.zeros(d, np.int64)
+        old = known >= 0
+        start[old], size[old] = self.ends[known[old]], np.diff(self.ends)[known[old]]
+        fresh = np.flatnonzero(~old & ~unsafe)
+        start[fresh], size[fresh] = base + new_ends[:-1], np.diff(new_ends)
+        bounds = np.cumsum([0, *map(len, others)]) + len(heads)
+        start = np.concatenate([start, more + head_ends[:len(heads)], more + head_ends[bounds[:-1]], [len(ids) - 1]])
+        size = np.concatenate([size, np.diff(head_ends)[:len(heads)], head_ends[bounds[1:]] - head_ends[bounds[:-1]], [1]])
+        codes = codes.astype(np.int64)
+        codes[first[:-1]] = d + own
+        counts = np.diff(first)
+        if odd.any():
+            codes = codes[~np.repeat(odd, counts) | np.isin(np.arange(len(codes)), first[:-1])]
+            counts = np.where(odd, 1, counts)
+            codes[(np.cumsum(counts) - counts)[odd]] = d + len(heads) + np.arange(len(others))
+        codes = np.insert(codes, np.cumsum(counts), len(start) - 1)
+        place = np.cumsum(counts + 1) - counts - 1
+        sizes = size[codes]
+        out = ids[np.repeat(start[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self._keep(new, new_ids, new_ends)
+        return out, np.add.reduceat(sizes, place)
+
+    def _keep(self, new: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        room = max(0, self.kept_cuts - len(self.number))
+        which = [k for k, w in enumerate(new[:room]) if len(w) <= KEPT_LENGTH]
+        if which:
+            sizes = np.diff(ends)[which]
+            behind = np.cumsum(sizes)
+            at = np.repeat(ends[:-1][which] - (behind - sizes), sizes) + np.arange(int(behind[-1]))
+            self.number.update(zip([new[k] for k in which], range(len(self.number), len(self.number) + len(which))))
+            self.ends = np.concatenate([self.ends, len(self.ids) + behind])
+            self.ids = np.concatenate([self.ids, ids[at]])

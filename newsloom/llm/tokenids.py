@@ -26,15 +26,17 @@ a single document makes it longer.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.llm.common import per_batch, per_task, text_of
-from newsloom.llm.pieces import CutEncoder, worker_kept
+from newsloom.llm.pieces import KEPT_LENGTH, FlatEncoder, worker_kept
 
 #: Fixed values of the coding: ids and bits per word, by selector; selector 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -42,7 +44,8 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _STEPS = COUNTS.astype(np.uint8)
 MAGIC = b"NS8B"
 BLOCK = 8192
-KEPT_CUTS = 800_000  # distinct cuts that a worker keeps, about 190 MB
+KEPT_CUTS = 600_000  # distinct cuts that a worker keeps, about 100 MB
+BATCH_CHARS = 8_000_000  # of texts encoded together
 SEGMENT = 1 << 20
 
 
@@ -143,52 +146,66 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return out
 
 
-#: Fixed value: the split of the library's ByteLevel step; its \s is Unicode white space.
-BYTE_LEVEL = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
+_SEPARATOR = "\t"
+_JOINED = 4096  # parts in one text for the library
+KEPT_PARTS = 300_000  # distinct parts that a worker keeps, about 50 MB
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Where a match of the ByteLevel split surely ends: behind a letter before an ASCII character that is none,
+#: behind a single line end before a letter, and behind a sign before a line end.
+_SAFE = re.compile(rf"(?<=[{_LETTER}])(?=[\x00-@\[-`{{-\x7f])|(?<=\S\n)(?=[{_LETTER}])|(?<=[!-/:-@\[-`{{-~])(?=\n)")
 
 
-def _byte_characters() -> str:
-    """The character that ByteLevel shows each byte as: itself where it prints, else the next from 256 on."""
-    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return "".join(chr(b if b in prints else next(others)) for b in range(256))
-
-
-def _library(path: str) -> CutEncoder:
+def _library(path: str) -> FlatEncoder:
     """The tokenizers library behind the cuts.
 
-    A tokenizer that is ByteLevel and nothing else is asked for each distinct
-    match of its split once, by its model; any other for whole cuts.
+    A ByteLevel tokenizer never merges across the places of _SAFE, so the parts
+    between them are asked for once, and a tab behind a part, before a space or
+    none, is a match of its own: parts without tabs, and without white space
+    around them but one space before, are encoded as one text with tabs between
+    them.  The others, and the cuts of any other tokenizer, go one by one.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
     def make():
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         step = str(tokenizer.pre_tokenizer)
-
-        def whole(cuts):
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
-
-        shown, split, model = _byte_characters(), regex.compile(BYTE_LEVEL).findall, tokenizer.model.tokenize
-
-        def by_match(cuts):
-            matches = [split(c) for c in cuts]
-            distinct = set().union(*matches)
-            ids = {
-                m: array("I", [t.id for t in model(m.encode("utf-8", "replace").decode("latin-1").translate(shown))]).tobytes()
-                for m in distinct
-            }
-            return [ids[m[0]] if len(m) == 1 else b"".join(map(ids.__getitem__, m)) for m in matches]
-
         plain = step.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in step and tokenizer.normalizer is None
-        return CutEncoder(by_match if plain else whole, KEPT_CUTS)
+
+        def whole(texts):
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        separator = np.frombuffer(whole([_SEPARATOR])[0], "<u4")
+
+        def library(parts):
+            out = [b""] * len(parts)
+            joined = [k for k, c in enumerate(parts) if _SEPARATOR not in c and c and not c[-1].isspace()
+                      and not c[0 if c[0] != " " else 1].isspace()] if len(separator) == 1 else []
+            alone = sorted(set(range(len(parts))).difference(joined))
+            for k, ids in zip(alone, whole([parts[k] for k in alone])):
+                out[k] = ids
+            groups = [joined[k:k + _JOINED] for k in range(0, len(joined), _JOINED)]
+            for group, raw in zip(groups, whole([_SEPARATOR.join(parts[k] for k in g) for g in groups])):
+                between = np.flatnonzero(np.frombuffer(raw, "<u4") == separator[0])
+                begins, ends = [0, *(4 * between + 4).tolist()], [*(4 * between).tolist(), len(raw)]
+                for k, a, b in zip(group, begins, ends):
+                    out[k] = raw[a:b]
+            return out
+
+        kept: dict[str, bytes] = {}
+
+        def by_part(cuts):
+            parts = [_SAFE.split(c) for c in cuts]
+            new = list(set(chain.from_iterable(parts)).difference(kept))
+            made = dict(zip(new, library(new)))
+            out = [b"".join([made[x] if x in made else kept[x] for x in p]) for p in parts]
+            kept.update((c, made[c]) for c in new[:max(0, KEPT_PARTS - len(kept))] if len(c) <= KEPT_LENGTH)
+            return out
+
+        encode = by_part if plain else whole
+        return FlatEncoder(encode, KEPT_CUTS)
 
     return worker_kept(f"tokenizers:{path}", make)
 
@@ -200,7 +217,15 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
     """Encodes whole texts, end id behind each, and writes them as segments in ascending id."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     placed = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    end = np.array([end_id], "<u4").tobytes()
+    def grouped(texts: list[str]):
+        """Ranges of texts that are encoded together."""
+        first = chars = 0
+        for k, text in enumerate(texts):
+            if chars and chars + len(text) > BATCH_CHARS:
+                yield first, k
+                first, chars = k, 0
+            chars += len(text)
+        yield first, len(texts)
 
     @per_task
     def work():
@@ -209,18 +234,17 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
         def step(batch):
             nonlocal seq, first
             made = {c: [] for c in ("part", "seq", "first", "doc_ids", "lengths", "n_ids", "payload")}
-            ids, docs_, lengths, n = [], [], [], 0
-            coded = [i + end for i in encoder(batch["text"])]
-            for k, (doc, own) in enumerate(zip(batch["doc_id"], coded)):
-                ids.append(own)
-                docs_.append(doc)
-                lengths.append(len(own) // 4)
-                n += lengths[-1]
-                if n >= SEGMENT or k == len(coded) - 1:
-                    row = (part, seq, first, docs_, lengths, n, pack(np.frombuffer(b"".join(ids), "<u4")))
+            for a, b in grouped(batch["text"]) if batch["text"] else ():
+                ids, lengths = encoder(batch["text"][a:b], end_id)
+                ends = np.cumsum(lengths)
+                k = at = 0
+                while k < len(ends):  # a segment ends with the document that fills it
+                    last = min(int(np.searchsorted(ends, at + SEGMENT)), len(ends) - 1)
+                    n = int(ends[last]) - at
+                    row = (part, seq, first, batch["doc_id"][a + k:a + last + 1], lengths[k:last + 1], n, pack(ids[at:at + n]))
                     for c, v in zip(made, row):
                         made[c].append(v)
-                    ids, docs_, lengths, n, seq, first = [], [], [], 0, seq + 1, first + n
+                    k, at, seq, first = last + 1, at + n, seq + 1, first + n
             return made
 
         return step

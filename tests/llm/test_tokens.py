@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from newsloom.llm import bpe, tokenids
-from newsloom.llm.pieces import CutEncoder, cuts
+from newsloom.llm.pieces import CutEncoder, FlatEncoder, cuts
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = ["", None, " ", "  x", "a  b", "a \n b\n\n  c ", "don't I'll 's", "x" * 3000 + " " + "ab" * 2000, "日本語 テキスト 😀😀",
@@ -107,3 +107,22 @@ def test_files(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "ids")).count() > 5
     tokenids.write_ids(df.limit(0), str(tmp_path / "none"), P.path("byte_bpe_50k.json"))
     assert tokenids.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ids_of_all_code_points():
+    """Cuts, alone and joined by tabs, are held against whole texts on every code point."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{chr(c)}{' a1.'[c % 4]}" for c in points[k:k + 300]) for k in range(0, len(points), 300)]
+    texts += ["a  b", " a", "a ", "", "\n x", "a \u00a0b c", "x \n y z", "<|endoftext|> a", "a\tb c\t d.\n e\u2003 f", "x that's.\n\nBe it'll\nBe?\n\n\nNo a1b.\r\nC", "a\u3000 b  "]
+    want = [e.ids + [7] for e in library.encode_batch(texts, add_special_tokens=False)]
+    for kept in (0, 3, 100_000):
+        encoder = FlatEncoder(tokenids._library(path).encode, kept)
+        for _ in range(2):
+            ids, lengths = encoder(texts, 7)
+            assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert [x.tolist() for x in encoder([], 7)] == [[], []]
