@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom.session import stored
 
-__all__ = ["BLANKS", "per_batch", "per_task", "stored", "table", "text_of", "words_of"]
+__all__ = ["BLANKS", "named", "per_batch", "per_task", "stored", "table", "text_of", "words_of"]
 
 BLANKS = " \t\n\u000b\f\r"  # the characters between words, everywhere in this subpackage
 
@@ -25,6 +25,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order."""
     return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
@@ -38,16 +43,18 @@ def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[s
     work does not make are passed on as they are.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
-    reads = list(reads or df.columns)
+    reads, columns = list(reads or df.columns), df.columns
 
     def run(batches):
         step = work() if getattr(work, "per_task", False) else work
         for batch in batches:
-            made = step({name: batch.column(name).to_pylist() for name in reads})
-            columns = [pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in out]
-            yield pa.RecordBatch.from_arrays(columns, schema=out)
+            given = dict(zip(columns, batch.columns))
+            made = step({name: given[name].to_pylist() for name in reads})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(made[f.name], f.type) if f.name in made else given[f.name] for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    # names with dots cannot be passed: columns go by their place
+    return df.toDF(*(f"c{i}" for i in range(len(columns)))).mapInArrow(run, schema)
 
 
 def per_task(make):

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.bind import computed
-from newsloom.llm.common import BLANKS, stored, text_of, words_of
+from newsloom.llm.common import BLANKS, named, stored, text_of, words_of
 from newsloom.operators.skew import fits_broadcast, lookup_join
 from newsloom.session import materialise
 
@@ -130,7 +130,7 @@ def judged(counted: DataFrame, hosts: DataFrame, host: str, spread: str, rules:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source",
                   rules: Rules = Rules()) -> DataFrame:
     """Per document: id, counts, base_failed, kept."""
-    renamed = docs.select(F.col(id_col).alias("_id"), F.col(host).cast("string").alias("_from"), F.col(text).alias("_t"))
+    renamed = docs.select(named(id_col).alias("_id"), named(host).cast("string").alias("_from"), named(text).alias("_t"))
     counted = materialise(rule_counts(renamed, ["_id", "_from"], "_t", rules))
     out = judged(counted, host_verdicts(counted, "_from", rules), "_from", "_id", rules)
     return out.select(F.col("_id").alias(id_col), *COUNTS, "base_failed", "kept")
@@ -139,7 +139,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", h
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", spread: str = "doc_id",
               rules: Rules = Rules()) -> DataFrame:
     """The whole rows of the documents that the rules keep."""
-    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    whole = docs.select(F.struct(*map(named, docs.columns)).alias("_row"))
     keyed = whole.select("_row", F.col("_row")[text].alias("_t"), F.col("_row")[host].cast("string").alias("_from"),
                          F.col("_row")[spread].alias("_id"))
     counted = stored(rule_counts(keyed, ["_row", "_from", "_id"], "_t", rules), "quality")

@@ -31,11 +31,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.common import per_batch, stored, text_of
+from newsloom.llm.common import named, per_batch, stored, text_of
 from newsloom.llm.components import components
-from newsloom.session import materialise
+from newsloom.session import broadcast_limit, materialise
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -63,7 +63,7 @@ def fingerprint(text: str, n: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
     """Per document: id, fp (bigint, the 64 bits as a signed number)."""
-    return _fingerprints(docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text).alias("text")), n)
+    return _fingerprints(docs.select(named(id_col).cast("bigint").alias("id"), text_of(f"`{text}`").alias("text")), n)
 
 
 def _fingerprints(texts: DataFrame, n: int) -> DataFrame:
@@ -227,17 +227,29 @@ def simhash_digests(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """One whole row of each component: the least id, then the least text hash; rows without an id only if alone."""
-    key = F.col(id_col).cast("bigint")
-    name = F.struct(
-        key.isNull().alias("no_id"), F.coalesce(key, F.lit(0).cast("bigint")).alias("id"),
-        F.xxhash64(text_of(text)).alias("h"), F.xxhash64(F.lit(1), text_of(text)).alias("h2"))
-    found = materialise(_classes(_fingerprints(docs.select(name.alias("id"), text_of(text).alias("text")), n), max_bits))
-    kept = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("_name")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), name.alias("_name"))
-    left = rows.join(kept.select("_name"), "_name", "left_semi")
-    if kept.where("_n > 1").limit(1).count():  # rows of one id and text: the first by what else they hold
-        order = Window.partitionBy("_name").orderBy(F.to_json("_row"))
-        left = left.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    return left.select("_row.*")
+    """One whole row of each component: the least id, then the least text hash; rows without an id only if alone.
+
+    Most rows stay, so only the names of those that go are joined to the
+    documents: by a broadcast of checked size, beyond it by a hashed join whose
+    build side they are.  No text is sorted.
+    """
+    key = named(id_col).cast("bigint")
+    hashed = (F.xxhash64(text_of(f"`{text}`")), F.xxhash64(F.lit(1), text_of(f"`{text}`")))
+    name = F.struct(key.isNull().alias("no_id"), F.coalesce(key, F.lit(0).cast("bigint")).alias("id"),
+                    hashed[0].alias("h"), hashed[1].alias("h2"))
+    found = _classes(_fingerprints(docs.select(name.alias("id"), text_of(f"`{text}`").alias("text")), n), max_bits)
+    # two numbers name the rows of one id and text
+    names = (F.col("id.h").alias("_a"), F.xxhash64("id.h2", "id.no_id", "id.id").alias("_b"))
+    counted = stored(found.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("id") == F.col("component_id")).alias("stays")), "kept")
+    out = counted.where("not stays or n > 1").select("_a", "_b")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), hashed[0].alias("_a"),
+                       F.xxhash64(hashed[1], key.isNull(), F.coalesce(key, F.lit(0).cast("bigint"))).alias("_b"))
+    small = 16 * counted.where("not stays or n > 1").count() <= broadcast_limit(docs.sparkSession)
+    left = rows.join(F.broadcast(out) if small else out.hint("shuffle_hash"), ["_a", "_b"], "left_anti").select("_row.*")
+    same = counted.where("stays and n > 1").select("_a", "_b")
+    if same.limit(1).count():  # rows of one id and text: the first by what else they hold, found by partial minima
+        first = rows.join(same, ["_a", "_b"], "left_semi").groupBy("_a", "_b").agg(
+            F.min_by("_row", F.to_json("_row")).alias("_row"))
+        left = left.unionByName(first.select("_row.*"))
+    return left

@@ -10,6 +10,7 @@ from test_simhash import plain_components, plain_fingerprint
 from test_spans import plain_secrets
 
 import corpus_pipeline as cp
+from newsloom.session import scratch_paths
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,34 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls, repeated rows, names that clash or hold dots, and a very long text."""
+    good = " ".join(f"{w} word{k} stands here" for k, w in enumerate("the and of to in that is it".split() * 2))
+    other = " ".join(f"quite{k} another thing{k * k} to say" for k in range(12))
+    long = " ".join(f"w{k}" for k in range(40_000))
+    rows = [(1, good, 0), (1, good, 0), (2, good.upper(), 1), (None, other, 2), (None, other, 2), (4, None, 3), (None, None, 4),
+            (5, long, 5), (6, "too short", 6), (7, "a " * 400, 7)]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else f"s{k}", None if t is None else len(t), k, "x", "y") for i, t, k in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` int, _row string, c0 string")
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted([(0, other), (1, good), (5, long)])
+    coded = cp.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in coded} == {
+        i: hashlib.sha256(t.encode()).hexdigest() for i, t in [(None, other), (1, good), (5, long)]}
+
+
+def test_run_removes_what_it_no_longer_reads(spark):
+    before = set(scratch_paths())
+    cp.run(spark, SF).collect()
+    assert len(set(scratch_paths()) - before) == 1
+
+
+def test_no_text_is_sorted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = cp.one_of_each(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan and "SortMergeJoin" not in plan
