@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import bpe, decontaminate, quality, secrets, simhash
 from newsloom.llm.common import stored, table
+from newsloom.session import clear_scratch, scratch_paths
 
 #: SimHash near-duplicates: words in a shingle, and the most bits that linked fingerprints differ in.
 SHINGLE, MAX_BITS = 4, 4
@@ -57,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what a stage wrote is removed when the next one is written."""
+    docs, others = table(spark, sf_dir, "documents"), scratch_paths()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        *done, _ = (path for path in scratch_paths() if path not in others)
+        clear_scratch(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
