@@ -92,6 +92,7 @@ _RULES = [
     ("blog", "*", 0, 0, False, "/en/2"), ("blog", "*", 0, 1, True, "/en"), ("blog", "*", 0, 2, False, "/"),
     ("m", "news", 0, 0, False, "/de"), ("m", "newsbot", 1, 0, True, "/"), ("m", "*", 2, 0, False, "/"),
     ("www", "other", 0, 0, False, "/"), ("www", "*", 1, 0, True, "/fr"), ("www", "*", 1, 1, False, "/"),
+    ("news", "*", 0, 0, False, ""), ("news", "*", 0, 1, False, "/"),  # a line without a path allows everything
 ]
 _AGENT = "NewsBot/1.0 news-of-the-world"
 _RULE_COLUMNS = "(host, agent, group_ord, rule_ord, allow, path_prefix)"
@@ -105,7 +106,7 @@ named AS (
   QUALIFY (agent <> '*') = max(agent <> '*') OVER (PARTITION BY host)),
 mine AS (SELECT * FROM named QUALIFY group_ord = min(group_ord) OVER (PARTITION BY host)),
 decided AS (
-  SELECT seq, coalesce(arg_min(allow, rule_ord), true) AS allowed
+  SELECT seq, coalesce(arg_min(allow OR path_prefix = '', rule_ord), true) AS allowed
   FROM (SELECT seq, regexp_extract(url, '://([^/?#]+)', 1) AS asked, {v.SQL_PATH} AS path FROM page_items) i
   LEFT JOIN mine ON host = asked AND starts_with(path, path_prefix) GROUP BY seq)"""
 

@@ -191,7 +191,7 @@ def source_registry(spark, sf):
             "CAST(CASE WHEN k % 4 = 0 THEN 45 END AS int) AS timeout",
             "CAST(CASE WHEN k % 8 = 0 THEN 60 END AS int) AS feed_timeout",
             "CAST(CASE WHEN k % 3 <> 0 THEN 24 + k % 50 END AS int) AS recent_hours",
-            "CAST(CASE WHEN k % 5 = 0 THEN k % 7 END AS int) AS min_keep",
+            "CAST(CASE WHEN k % 5 = 0 THEN k % 7 END AS string) AS min_keep",  # numbers may be written as text
             "CAST(NULL AS map<string,string>) AS headers", "CAST(NULL AS array<int>) AS fallback_statuses",
         )
     )

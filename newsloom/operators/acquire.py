@@ -109,7 +109,7 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
     broken = entries.where(
         (F.col("strategy_ord") == FEED) & ~F.col("corrupt") & F.col("bad_url") & (F.length("url") > 0)
     ).select("source").distinct()
-    from_feeds = entries.where(usable()).join(broken, "source", "left_anti").drop("corrupt", "bad_url")
+    from_feeds = entries.where(usable()).join(broken, "source", "left_anti").drop("corrupt", "repaired", "bad_url")
     found = entries.where(usable() & (F.col("strategy_ord") == DISCOVERED)).select("source").distinct()
     linkless = homes.join(found, "source", "left_anti")
     linked = linkless.where(selector_supported(F.col("selector")))

@@ -36,13 +36,15 @@ def robots_join(items: DataFrame, rules: DataFrame, agent: str = "*", spread: st
                 host=None) -> DataFrame:
     """Every item with `allowed`: the first rule whose prefix matches the path decides.
 
+    A rule without a path matches every path and allows it, whatever it says.
     One lookup per item, no fan-out over rules and no second shuffle.
     """
     keyed = items.withColumn("host", url_host(F.col("url")) if host is None else host)
     joined = lookup_join(keyed, rules_for_agent(rules, agent), "host", spread=spread)
     path = url_path(F.col("url"))
-    first = F.get(F.filter("_rules", lambda r: F.startswith(path, r["path_prefix"])), 0)
-    return joined.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("_rules")
+    prefix = lambda r: F.coalesce(r["path_prefix"], F.lit(""))
+    first = F.get(F.filter("_rules", lambda r: F.startswith(path, prefix(r))), 0)
+    return joined.withColumn("allowed", F.coalesce(first["allow"] | (prefix(first) == ""), F.lit(True))).drop("_rules")
 
 
 def robots_gate(items: DataFrame, rules: DataFrame, agent: str = "*", spread: str = "seq", host=None) -> DataFrame:

@@ -18,6 +18,7 @@ from newsloom.sinks.cache import write_cache
 from newsloom.sinks.rss import Channel, rss_document, write_rss
 from newsloom.sinks.snapshots import day_of, envelope, write_daily, write_envelope, write_latest
 from newsloom.sinks.stats import all_errors, run_stats, timed, write_errors, write_stats
+from newsloom.sources.cache import sound_cache
 from newsloom.sources.registry import policies
 
 
@@ -57,7 +58,8 @@ def publish(run: Run, to: Published, as_of, started: float, zone: str = settings
     """Write everything of a run; intermediate tables go when it is done.
 
     `started` is the time.time() at which the run began.  A run of the same
-    day replaces what is there; the cache gets a version.
+    day replaces what is there; the cache gets a version.  A cache that cannot
+    be read starts empty, and the errors of the run say so.
     """
     spark = run.items.sparkSession
     day = day_of(spark, as_of, zone)
@@ -65,8 +67,9 @@ def publish(run: Run, to: Published, as_of, started: float, zone: str = settings
     write_latest(run.items, to.latest, as_of, zone)
     write_envelope(run.envelope, to.document)
     write_rss(run.rss, to.rss)
-    write_cache(spark, to.cache, run.new_cache, max_cache)
-    write_errors(run.errors, to.errors, day)
+    base, damage = sound_cache(spark, to.cache)
+    write_cache(spark, to.cache, run.new_cache, max_cache, base=base)
+    write_errors(run.errors.unionByName(damage), to.errors, day)
     write_stats(timed(run.stats, time.time() - started), to.stats, day)
     clear_scratch(spark, run.scratch)
 

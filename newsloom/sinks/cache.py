@@ -11,16 +11,18 @@ from newsloom.sources.cache import cache_versions, latest_version, read_cache
 
 
 def write_cache(spark: SparkSession, path: str, new: DataFrame, limit: int | None = settings.CACHE_MAX_ENTRIES,
-                version: int | None = None) -> int:
+                version: int | None = None, base: DataFrame | None = None) -> int:
     """Merge new content into the cache as a new version; returns its number.
 
+    `base` stands in for the stored version, where that cannot be read.
     The version that is read is never overwritten.  Writing the same version
     again (a repeated micro-batch) replaces it with the same rows.
     """
     if version is None:
         newest = latest_version(spark, path)
         version = 0 if newest is None else newest + 1
-    merged = cache_upsert(read_cache(spark, path, before=version), new.select("url", "content_html", "fetched_at"))
+    stored = read_cache(spark, path, before=version) if base is None else base
+    merged = cache_upsert(stored, new.select("url", "content_html", "fetched_at"))
     # one directory per version, replaced as a whole when a batch is repeated
     cache_trim(merged, limit).write.mode("overwrite").parquet(f"{path}/version={version}")
     return version

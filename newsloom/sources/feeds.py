@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newsloom import settings
@@ -11,6 +13,7 @@ from newsloom.functions.text import html_text, strip_ws
 from newsloom.functions.urls import clean_url, is_bad_url
 
 CORRUPT = "_corrupt"
+_PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 _LINK = T.StructType([
     T.StructField("_VALUE", T.StringType()),
     T.StructField("_href", T.StringType()),
@@ -39,6 +42,7 @@ ENTRY = T.StructType([
     T.StructField("dcterms_created", T.StringType()),
     T.StructField(CORRUPT, T.StringType()),
 ])
+_ALL = (1 << 31) - 1
 _PREFIXES = ("content_", "dc_", "dcterms_")
 # the same fields as the XML reader names them, with their prefix
 FILE_ENTRY = T.StructType([
@@ -51,6 +55,33 @@ _ENTRY = (
 )
 
 
+#: Elements of HTML that have no end; `link` is a field of feeds.
+_VOID = "area|base|br|col|embed|hr|img|input|source|track|wbr"
+_XML_NAMES = ("amp", "lt", "gt", "quot", "apos")
+_NO_XML = r"[\x00-\x08\x0E-\x1F\uFFFE\uFFFF]|&#(?:0*(?:[0-8]|1[1245-9]|2\d|3[01])|[xX]0*(?:[0-8bceBCEfF]|1[\da-fA-F]));"
+
+
+def repaired(xml: Column) -> Column:
+    """An entry with the commonest faults mended: bare ampersands, names of HTML, void tags, characters that XML forbids.
+
+    A void tag becomes a blank: only the text of an entry is used.
+
+    One pass per rule, whatever the text; CDATA is left as it is but for such characters.
+    """
+    named = F.create_map(*(F.lit(x) for n, c in sorted(name2codepoint.items()) if n not in _XML_NAMES for x in (n, chr(c))))
+
+    def mended(text: Column) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+        known = F.filter(names, lambda n: F.array_contains(F.map_keys(named), n))
+        text = F.aggregate(known, text, lambda t, n: F.replace(t, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(named, n)))
+        text = F.regexp_replace(text, "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+        return F.regexp_replace(text, rf"(?i)</?(?:{_VOID})(?=[\s/>])[^<>]*>", " ")
+
+    allowed = F.regexp_replace(F.regexp_replace(xml, r"[\x0B\x0C]", " "), _NO_XML, "")
+    parts = F.split(allowed, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("<![CDATA[")), p).otherwise(mended(p))), "")
+
+
 def entry_texts(entry: Column) -> dict[str, Column]:
     """Address, title, summary and date texts of one parsed entry, as they are written."""
     links = F.coalesce(entry["link"], F.array().cast(T.ArrayType(_LINK)))
@@ -77,9 +108,16 @@ def entry_texts(entry: Column) -> dict[str, Column]:
 
 
 def read_entry(parsed: DataFrame, keep: list[str], entry: Column, zone: str) -> DataFrame:
-    """title, url, summary, published_at of parsed entries; corrupt and bad_url mark the unusable."""
-    texts = computed(parsed, keep, entry_texts(entry))
+    """title, url, summary, published_at of parsed entries; corrupt and bad_url mark the unusable.
+
+    A corrupt entry is mended and parsed once more; `repaired` marks those that are readable then.
+    """
+    broken = entry[CORRUPT]
+    again = F.from_xml(_unprefixed(repaired(broken)), ENTRY, _PERMISSIVE)
+    once = computed(parsed, keep, {"_e": F.when(broken.isNull(), entry).otherwise(again), "_broken": broken.isNotNull()})
+    texts = computed(once, [*keep, "_broken"], entry_texts(F.col("_e")))
     return computed(texts, [*keep, "corrupt"], {
+        "repaired": F.col("_broken") & ~F.col("corrupt"),
         "title": strip_ws(F.col("_title")),
         "url": clean_url(F.col("_link")),
         "bad_url": is_bad_url(F.col("_link")),
@@ -117,11 +155,10 @@ def read_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFA
     texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(_ENTRY), F.lit(0))
     cut = F.posexplode_outer if outer else F.posexplode
     pieces = feeds.select(*rest, cut(F.slice(texts, 1, cap)).alias("entry_ord", "_xml"))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     keep = [*rest, "entry_ord"]
     parsed = computed(
         pieces.withColumn("entry_ord", F.col("entry_ord").cast("bigint")), keep,
-        {"_e": F.from_xml(_unprefixed(F.col("_xml")), ENTRY, options)},
+        {"_e": F.from_xml(_unprefixed(F.col("_xml")), ENTRY, _PERMISSIVE)},
     )
     return read_entry(parsed, keep, F.col("_e"), zone)
 
@@ -129,20 +166,21 @@ def read_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFA
 def feed_entries(feeds: DataFrame, body: str = "body", zone: str = settings.DEFAULT_TIMEZONE,
                  cap: int = settings.MAX_FEED_ENTRIES) -> DataFrame:
     """Usable entries: the cap counts positions first, then incomplete entries go."""
-    return read_entries(feeds, body, zone, cap).where(usable()).drop("corrupt", "bad_url")
+    return read_entries(feeds, body, zone, cap).where(usable()).drop("corrupt", "repaired", "bad_url")
 
 
 def feed_warnings(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """Per document, also one without any entry: entries read, entries lost, and whether it is as it should be."""
+    """Per document, also one without any entry: entries read, read after mending, lost, and whether it is as it should be."""
     rest = [c for c in feeds.columns if c != body]
     ended = F.coalesce(F.col(body), F.lit("")).rlike(r"(?s)</(?:rss|feed|(?:\w+:)?RDF)\s*>\s*$")
     marked = feeds.withColumn("_ended", ended)
     entries = read_entries(marked, body, outer=True)
     real = F.col("entry_ord").isNotNull()
     counts = entries.groupBy(*rest, "_ended").agg(
-        F.count_if(real & ~F.col("corrupt")).alias("readable"), F.count_if(real & F.col("corrupt")).alias("corrupt")
+        F.count_if(real & ~F.col("corrupt")).alias("readable"), F.count_if(real & F.col("corrupt")).alias("corrupt"),
+        F.count_if(real & F.col("repaired")).alias("repaired"),
     )
-    return counts.withColumn("warned", ~F.col("_ended") | (F.col("corrupt") > 0)).drop("_ended")
+    return counts.withColumn("warned", ~F.col("_ended") | (F.col("corrupt") + F.col("repaired") > 0)).drop("_ended")
 
 
 def file_entry() -> Column:
@@ -154,7 +192,9 @@ def scan_feed_files(spark: SparkSession, path: str, row_tag: str = "item",
                     zone: str = settings.DEFAULT_TIMEZONE) -> DataFrame:
     """Landed feed files, one row per entry; files split over tasks.
 
-    Use read_entries on whole documents where the position of an entry matters.
+    The reader gives up a file at its first fault: use scan_feed_documents for
+    files that may not be well-formed, and read_entries on whole documents
+    where the position of an entry matters.
     """
     raw = (
         spark.read.format("xml").schema(FILE_ENTRY)
@@ -162,3 +202,12 @@ def scan_feed_files(spark: SparkSession, path: str, row_tag: str = "item",
         .load(path)
     )
     return read_entry(raw, [], file_entry(), zone)
+
+
+def scan_feed_documents(spark: SparkSession, path: str, zone: str = settings.DEFAULT_TIMEZONE) -> DataFrame:
+    """Landed feed files, one row per entry; a fault costs, or is mended in, its own entry only.
+
+    A file is one text of a task, so files of one or a few feeds are meant.
+    """
+    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+    return read_entries(files, zone=zone, cap=_ALL)

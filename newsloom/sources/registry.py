@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from newsloom import settings
 from newsloom.schemas import SOURCE_REGISTRY
@@ -29,13 +29,27 @@ def _parse_config(text: str) -> dict:
         return yaml.safe_load(text) or {}
 
 
+def _typed(entry: dict, field: T.StructField):
+    """A configured value; numbers may be written as text."""
+    value = entry.get(field.name)
+    if value is None or isinstance(field.dataType, T.MapType):
+        return value
+    try:
+        if isinstance(field.dataType, T.IntegerType):
+            return int(value)
+        if isinstance(field.dataType, T.ArrayType):
+            return [int(v) for v in value]
+    except (TypeError, ValueError):
+        raise ValueError(f"source {entry.get('name')}: {field.name} is not a number: {value!r}") from None
+    return str(value)
+
+
 def registry_from_rows(spark: SparkSession, sources: list[dict]) -> DataFrame:
     """Configuration entries, in list order, as a table."""
-    names = SOURCE_REGISTRY.fieldNames()[1:]
     rows = []
     for ord_, entry in enumerate(sources):
         entry = dict(entry, headers={k: str(v) for k, v in (entry.get("headers") or {}).items()})
-        rows.append((ord_, *(entry.get(n) for n in names)))
+        rows.append((ord_, *(_typed(entry, f) for f in SOURCE_REGISTRY.fields[1:])))
     return spark.createDataFrame(rows, SOURCE_REGISTRY)
 
 
@@ -50,15 +64,16 @@ def read_sources(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 
 
 def with_defaults(registry: DataFrame) -> DataFrame:
-    """Every NULL gets its default; a feed without its own timeout uses the source's."""
-    timeout = F.coalesce("timeout", F.lit(settings.FETCH_TIMEOUT))
+    """Every NULL gets its default; a feed without its own timeout uses the source's; numbers may be text."""
+    number = lambda name, default: F.coalesce(F.col(name).cast("int"), default)
+    timeout = number("timeout", F.lit(settings.FETCH_TIMEOUT))
     return registry.withColumns({
         "name": F.coalesce("name", F.lit(settings.DEFAULT_SOURCE_NAME)),
         "timeout": timeout,
-        "feed_timeout": F.coalesce("feed_timeout", timeout),
+        "feed_timeout": number("feed_timeout", timeout),
         "headers": F.coalesce("headers", F.create_map().cast("map<string,string>")),
-        "recent_hours": F.coalesce("recent_hours", F.lit(settings.DEFAULT_RECENT_HOURS)),
-        "min_keep": F.coalesce("min_keep", F.lit(settings.DEFAULT_MIN_KEEP)),
+        "recent_hours": number("recent_hours", F.lit(settings.DEFAULT_RECENT_HOURS)),
+        "min_keep": number("min_keep", F.lit(settings.DEFAULT_MIN_KEEP)),
         "fallback_statuses": F.coalesce("fallback_statuses", F.array().cast("array<int>")),
     })
 

@@ -242,6 +242,18 @@ def test_a_damaged_cache_is_reported(spark, tmp_path):
     assert rows.count() == 0 and "cannot be read" in errors.first()["error"]
 
 
+def test_a_run_is_published_over_a_damaged_cache(spark, tmp_path):
+    _, out = run(spark, tmp_path)
+    to = Published.under(str(tmp_path / "out"))
+    write_cache(spark, to.cache, cached(spark, ("old", "x" * 50)))
+    part = next((tmp_path / "out" / "cache" / "version=0").glob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:60])
+    next(part.parent.glob(f".{part.name}.crc")).unlink()
+    publish(out, to, NOW, time.time())
+    assert cache.read_cache(spark, to.cache).count() == out.new_cache.count()
+    assert spark.read.parquet(to.errors).where(F.col("error").contains("cannot be read")).count() == 1
+
+
 def test_a_stream_on_a_stored_cache(spark, tmp_path):
     path, landed_at, state = (str(tmp_path / n) for n in ("cache", "in", "state"))
     write_cache(spark, path, cached(spark, ("a", "old"), ("b", "old")))
@@ -343,3 +355,41 @@ def test_page_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>a</p>\n<p>b</p>")
     rows = pages.read_page_files(spark, str(tmp_path)).collect()
     assert [r.html for r in rows] == ["<p>a</p>\n<p>b</p>"] and rows[0].page_id.endswith("a.html")
+
+
+def test_faulty_entries_are_mended(spark):
+    """The commonest faults cost nothing; what cannot be mended costs its own entry."""
+    item = "<item><title>{}</title><link>{}</link><description>{}</description></item>"
+    cases = [
+        ("AT&T", "https://a.example.org/n?a=1&b=2", "one<br>two<hr class=x>three"),
+        ("a&nbsp;&eacute;&hellip;b", "https://a.example.org/2", "x &unknown; y"),
+        ("c\x0b&#8;&#x1F;d\x01", "https://a.example.org/3", "<![CDATA[R&D <br> &nbsp;&amp; more]]> & <![CDATA[<b>z</b>]]>"),
+        ("bad <b>", "https://a.example.org/4", "lost"),
+        ("fine &amp; &#233;", "https://a.example.org/5", "&lt;p&gt;as it is&lt;/p&gt;"),
+    ]
+    body = "<rss><channel>" + "".join(item.format(*c) for c in cases) + "</channel></rss>"
+    docs = spark.createDataFrame([(body,)], "body string")
+    got = [(r.entry_ord, r.title, r.url, r.summary) for r in feeds.feed_entries(docs).orderBy("entry_ord").collect()]
+    assert got == [
+        (0, "AT&T", "https://a.example.org/n", "one two three"),
+        (1, "a é…b", "https://a.example.org/2", "x &unknown; y"),
+        (2, "c d", "https://a.example.org/3", "R&D & more & z"),
+        (4, "fine & é", "https://a.example.org/5", "as it is"),
+    ]
+    row = feeds.feed_warnings(docs).first()
+    assert (row.readable, row.corrupt, row.repaired, row.warned) == (4, 1, 3, True)
+
+
+def test_configured_numbers_may_be_text(spark):
+    rows = registry.registry_from_rows(spark, [{"name": "a", "min_keep": "3", "timeout": "7", "fallback_statuses": ["403", 404]}])
+    row = registry.with_defaults(rows).first()
+    assert (row.min_keep, row.timeout, row.feed_timeout, row.fallback_statuses) == (3, 7, 7, [403, 404])
+    with pytest.raises(ValueError, match="source b: min_keep"):
+        registry.registry_from_rows(spark, [{"name": "b", "min_keep": "some"}])
+
+
+def test_rule_without_a_path_allows(spark):
+    items = spark.createDataFrame([(1, "https://a.org/x"), (2, "https://b.org/x"), (3, "https://c.org/x")], "seq bigint, url string")
+    rules = spark.createDataFrame([("a.org", "*", 0, 0, False, ""), ("b.org", "*", 0, 0, False, None), ("c.org", "*", 0, 0, False, "/")],
+                                  "host string, agent string, group_ord int, rule_ord int, allow boolean, path_prefix string")
+    assert {r.seq: r.allowed for r in robots.robots_join(items, rules).collect()} == {1: True, 2: True, 3: False}
