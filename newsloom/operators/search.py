@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import settings
 from newsloom.functions.bind import bind, computed
 from newsloom.functions.text import search_text, strip_ws
+from newsloom.session import stored
 
 
 def search_docs(items: DataFrame) -> DataFrame:
@@ -52,11 +53,82 @@ def fuzzy_search(docs: DataFrame, query: str, threshold: float = settings.SEARCH
     if not q:
         return docs.withColumn("score", F.lit(0.0))
     bound = math.floor(threshold * len(q))
-    fields = [_best_distance(F.col(c), q, bound) for c in ("title", "summary", "content_text")]
+    fields = [_best_distance(F.col(c), q, bound) for c in _FIELDS]
     scored = computed(docs, docs.columns, {"score": F.least(*fields) / F.lit(float(len(q)))})
     return scored.where(F.col("score").isNotNull())
 
 
+_FIELDS = ("title", "summary", "content_text")
+_START = "\x01"  # before a text, so that one of n characters has n grams
+
+
+def _grams(text: Column) -> Column:
+    """Pairs of neighbouring characters, the first with what stands before the text."""
+    marked = F.concat(F.lit(_START), text)
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(marked, i, F.lit(2))))
+
+
+def _found_runs(docs: DataFrame, key: str, sizes: list) -> DataFrame:
+    """key, n, r: the word runs of all fields that some query could match by its number of words and its length."""
+    def of(field: str) -> Column:
+        words = F.split(F.lower(strip_ws(F.col(field))), " ")
+
+        def some(n: int, low: int, high: int) -> Column:
+            runs = lambda w: w if n == 1 else F.coalesce(_runs(w, n), F.array().cast("array<string>"))
+            fitting = F.filter(bind(words, runs), lambda r: F.length(r).between(low, high))
+            return F.transform(F.array_distinct(fitting), lambda r: F.struct(F.lit(n).alias("n"), r.alias("r")))
+
+        return F.concat(*(some(row["n"], row["low"], row["high"]) for row in sizes))
+
+    runs = F.array_distinct(F.concat(*(of(f) for f in _FIELDS)))
+    return docs.select(key, F.explode(runs).alias("_run")).select(key, "_run.n", "_run.r")
+
+
+def search_many(docs: DataFrame, queries: DataFrame, query_id: str = "query_id", query: str = "query", key: str = "seq",
+                threshold: float = settings.SEARCH_THRESHOLD) -> DataFrame:
+    """query_id, key, score of every match of a whole table of queries: what fuzzy_search finds for each of them.
+
+    An inverted index over character pairs of the distinct word runs.  One edit
+    changes two pairs at most, so of a query of bound k any 2k + 1 pairs hold
+    one that a match has too, moved by k places at most: the rarest 2k + 1 are
+    looked up, so common pairs are left out without losing a match.  What meets
+    is held to the length, to the number of shared pairs, and to the distance.
+
+    No documents are repeated per query; a blank query, which all documents
+    match, is one row per document.  A null query is blank.
+    """
+    texts = queries.select(F.col(query_id), F.lower(strip_ws(F.col(query))).alias("q"))
+    size, words = F.length("q"), F.size(F.split(F.col("q"), " "))
+    asked = stored(texts.select("q").distinct().select(
+        "q", words.alias("n"), size.alias("size"), F.floor(F.lit(threshold) * size).cast("int").alias("k")), "queries")
+    real = asked.where(F.col("size") > 0)
+    # one row per number of words in a query
+    sizes = real.groupBy("n").agg(F.min(F.col("size") - F.col("k")).alias("low"), F.max(F.col("size") + F.col("k")).alias("high"))
+    sizes = sizes.orderBy("n").collect()
+    blank = docs.select(F.lit("").alias("q"), key, F.lit(0.0).alias("score"))
+    if not sizes:
+        return texts.where(F.col("q") == "").join(blank, "q").select(query_id, key, "score")
+    found = _found_runs(docs, key, sizes)
+    runs = stored(found.select("n", "r").distinct(), "runs")
+    index = runs.select("n", "r", F.length("r").alias("_size"), F.posexplode(_grams(F.col("r"))).alias("_at", "gram"))
+    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_often"))
+    wanted = real.select("q", "n", "size", "k", F.posexplode(_grams(F.col("q"))).alias("_pos", "gram"))
+    rarest = Window.partitionBy("q").orderBy(F.coalesce("_often", F.lit(0)), "_pos")
+    prefix = stored(wanted.join(common, "gram", "left").withColumn("_rn", F.row_number().over(rarest)).where(
+        F.col("_rn") <= 2 * F.col("k") + 1).drop("_rn", "_often"), "prefix")
+    met = prefix.join(index, ["gram", "n"]).where(
+        (F.abs(F.col("_at") - F.col("_pos")) <= F.col("k")) & (F.abs(F.col("_size") - F.col("size")) <= F.col("k")))
+    pairs = met.select("q", "n", "r", "size", "k").distinct()
+    own = F.array_distinct(_grams(F.col("q")))
+    shared = F.size(F.array_intersect(own, _grams(F.col("r")))) >= F.size(own) - 2 * F.col("k")
+    near = computed(pairs.where(shared), ["q", "n", "r", "size", "k"], {"d": F.levenshtein("r", "q")}).where(F.col("d") <= F.col("k"))
+    best = found.join(stored(near.select("q", "n", "r", "size", "d"), "near"), ["n", "r"]).groupBy("q", key).agg(
+        F.min(F.col("d") / F.col("size").cast("double")).alias("score"))
+    if asked.where(F.col("size") == 0).count():
+        best = best.unionByName(blank)
+    return texts.join(best, "q").select(query_id, key, "score")
+
+
 def search_rank_order() -> list[Column]:
     """Best match first, ties in arrival order."""
     return [F.col("score"), F.col("seq")]
