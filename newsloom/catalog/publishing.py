@@ -68,7 +68,7 @@ def snapshot_latest(spark, sf):
     top = with_content(chosen(spark, sf))
     snapshots.write_latest(top.where("rank <= 30"), path, _EARLIER, v.ZONE)
     snapshots.write_latest(top, path, v.AS_OF, v.ZONE)
-    return read.read_daily(spark, path).select("date", "rank", "url")
+    return read.read_latest(spark, path).select("date", "rank", "url")
 
 
 def document(spark, sf):
@@ -261,7 +261,7 @@ def daily_publish(spark, sf):
 
     parts = [
         spark.read.parquet(to.daily).groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("daily")),
-        count(spark.read.parquet(to.latest), "latest_with_content", F.col("content_html")),
+        count(read.read_latest(spark, to.latest), "latest_with_content", F.col("content_html")),
         count(spark.read.parquet(to.errors), "errors"),
         count(read.snapshot_items(read.read_envelope(spark, to.document)), "listed"),
         count(spark.read.text(to.rss).where("value = '<item>'"), "rss_items"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom import settings
 from newsloom.functions.dates import instant, run_date, to_iso
+from newsloom.sinks.pointer import replace_table
 
 ITEM_COLUMNS = ("rank", "title", "url", "summary", "published_at", "source", "content_html")
 
@@ -22,8 +23,8 @@ def write_daily(items: DataFrame, path: str, as_of, zone: str = settings.DEFAULT
 
 
 def write_latest(items: DataFrame, path: str, as_of, zone: str = settings.DEFAULT_TIMEZONE) -> None:
-    """The same rows under a fixed name, replaced by every run."""
-    items.select(*ITEM_COLUMNS).withColumn("date", run_date(as_of, zone)).write.mode("overwrite").parquet(path)
+    """The same rows under a fixed name, replaced by every run once they are whole; `sources.snapshots.read_latest` reads them."""
+    replace_table(items.select(*ITEM_COLUMNS).withColumn("date", run_date(as_of, zone)), path)
 
 
 def _item_json(zone: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.schemas import ENVELOPE
+from newsloom.sinks.pointer import read_table
 from newsloom.sources.partitions import partition_values
 
 
@@ -23,6 +24,11 @@ def read_daily(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last run that was published whole."""
+    return read_table(spark, path)
+
+
 def latest_view(daily: DataFrame) -> DataFrame:
     """Rows of the newest day that was run, none if it had none; `daily` is a stored table."""
     days = partition_values(daily, "date")

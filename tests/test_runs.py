@@ -13,7 +13,7 @@ from newsloom.operators.acquire import acquire, fetch_merge
 from newsloom.operators.select import arrival_seq
 from newsloom.plans.daily import Published, daily_run, publish
 from newsloom.schemas import CONTENT_CACHE, LANDED_RESPONSES, ROBOTS_RULES
-from newsloom.sinks import rss, snapshots, stats
+from newsloom.sinks import pointer, rss, snapshots, stats
 from newsloom.sinks.cache import write_cache
 from newsloom.sources import cache, feeds, pages, registry, snapshots as read
 from newsloom.streaming import cache as stream_cache, counts as stream_counts, feeds as stream_feeds
@@ -345,7 +345,7 @@ def test_publish(spark, tmp_path):
     assert out.scratch
     publish(out, to, NOW, time.time() - 5)
     assert not set(out.scratch) & set(session.scratch_paths())
-    assert spark.read.parquet(to.daily).count() == spark.read.parquet(to.latest).count() == 5
+    assert spark.read.parquet(to.daily).count() == read.read_latest(spark, to.latest).count() == 5
     assert spark.read.text(to.rss).where("value = '<item>'").count() == 5
     assert spark.read.parquet(to.stats).first()["execution_time"] >= 5
     assert {r.url for r in cache.read_cache(spark, to.cache).collect()} == {"https://home.org/n/1"}
@@ -393,3 +393,31 @@ def test_rule_without_a_path_allows(spark):
     rules = spark.createDataFrame([("a.org", "*", 0, 0, False, ""), ("b.org", "*", 0, 0, False, None), ("c.org", "*", 0, 0, False, "/")],
                                   "host string, agent string, group_ord int, rule_ord int, allow boolean, path_prefix string")
     assert {r.seq: r.allowed for r in robots.robots_join(items, rules).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_a_writer_that_dies_leaves_the_run_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "latest")
+    runs = [spark.range(n) for n in (3, 4, 5, 6)]
+    pointer.replace_table(runs[0], path, day="a")
+    folders = lambda: {p.name for p in (tmp_path / "latest").iterdir() if p.name.startswith("v-")}
+
+    def dies(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # all files are there, the pointer is not moved
+        m.setattr(pointer, "point_to", dies)
+        with pytest.raises(KeyboardInterrupt):
+            pointer.replace_table(runs[1], path)
+    broken = runs[1].withColumn("x", F.expr("assert_true(id < 2)"))  # dies between its files
+    with pytest.raises(Exception):
+        pointer.replace_table(broken, path)
+    assert pointer.read_table(spark, path).count() == 3 and pointer.read_manifest(spark, path)["day"] == "a"
+    begun = pointer.read_table(spark, path)
+    pointer.replace_table(runs[2], path)
+    assert begun.count() == 3 and pointer.read_table(spark, path).count() == 5  # a reader that had begun goes on
+    pointer.replace_table(runs[3], path)
+    assert pointer.manifests(spark, path) == [1, 2] and pointer.read_table(spark, path).count() == 6
+    assert pointer.read_manifest(spark, path, 1)["folder"] in folders()
+    assert pointer.read_table(spark, str(tmp_path / "none"), "id bigint").count() == 0
+    with pytest.raises(FileNotFoundError):
+        pointer.read_table(spark, str(tmp_path / "none"))
