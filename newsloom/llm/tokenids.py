@@ -44,7 +44,7 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _STEPS = COUNTS.astype(np.uint8)
 MAGIC = b"NS8B"
 BLOCK = 8192
-KEPT_CUTS = 600_000  # distinct cuts that a worker keeps, about 100 MB
+KEPT_CUTS = 300_000  # distinct cuts that a worker keeps, about 50 MB
 BATCH_CHARS = 8_000_000  # of texts encoded together
 SEGMENT = 1 << 20
 
@@ -148,7 +148,7 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 _SEPARATOR = "\t"
 _JOINED = 4096  # parts in one text for the library
-KEPT_PARTS = 300_000  # distinct parts that a worker keeps, about 50 MB
+KEPT_PARTS = 600_000  # distinct parts that a worker keeps, about 120 MB
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Where a match of the ByteLevel split surely ends: behind a letter before an ASCII character that is none,
 #: behind a single line end before a letter, and behind a sign before a line end.
