@@ -12,6 +12,7 @@ from newsloom.session import stored
 
 __all__ = ["BLANKS", "named", "per_batch", "per_task", "stored", "table", "text_of", "words_of"]
 
+SLICE_BYTES = 12_000_000
 BLANKS = " \t\n\u000b\f\r"  # the characters between words, everywhere in this subpackage
 
 
@@ -38,8 +39,8 @@ def words_of(text: Column) -> Column:
 def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[str] = ()) -> DataFrame:
     """Python on Arrow batches: work(columns as lists) gives the new columns as lists.
 
-    Spark bounds a batch by rows and by bytes, so long texts come in small
-    batches.  With `reads`, only these columns become lists, and columns that
+    Spark bounds a batch by rows and by bytes; it is worked on in slices of about
+    SLICE_BYTES, so that lists of texts stay small.  With `reads`, only these columns become lists, and columns that
     work does not make are passed on as they are.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
@@ -48,10 +49,12 @@ def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[s
     def run(batches):
         step = work() if getattr(work, "per_task", False) else work
         for batch in batches:
-            given = dict(zip(columns, batch.columns))
-            made = step({name: given[name].to_pylist() for name in reads})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made[f.name], f.type) if f.name in made else given[f.name] for f in out], schema=out)
+            rows = max(1, int(SLICE_BYTES * batch.num_rows / max(batch.nbytes, 1)))
+            for at in range(0, max(batch.num_rows, 1), rows):
+                given = dict(zip(columns, batch.slice(at, rows).columns))
+                made = step({name: given[name].to_pylist() for name in reads})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made[f.name], f.type) if f.name in made else given[f.name] for f in out], schema=out)
 
     # names with dots cannot be passed: columns go by their place
     return df.toDF(*(f"c{i}" for i in range(len(columns)))).mapInArrow(run, schema)
