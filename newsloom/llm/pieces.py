@@ -23,7 +23,7 @@ _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")  # \S is narrower here than in the split pattern, so every cut is a safe one
 KEPT_CUTS = 300_000  # about 70 MB
 KEPT_LENGTH = 64
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def worker_kept(key: str, make: Callable[[], object]):

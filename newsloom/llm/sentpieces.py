@@ -40,9 +40,10 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.common import per_batch, per_task, text_of
-from newsloom.llm.pieces import BATCH_CHARS, KEPT_LENGTH, worker_kept
+from newsloom.llm.pieces import KEPT_LENGTH, worker_kept
 
 SPACE = "▁"  # how pieces show a space
+BATCH_CHARS = 4_000_000  # of texts encoded together
 KEPT_CUTS = 500_000  # distinct cuts that a worker keeps, about 150 MB
 #: Fixed values of the model format: kinds of pieces, and the number of the BPE algorithm.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE, _BPE = 1, 2, 3, 6, 2
