@@ -1,4 +1,4 @@
-"""Main content of a page: text blocks first, then article, then main elements."""
+"""Main content of a page: text blocks first, then the best scored element, then article, then main elements."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsloom import settings
 from newsloom.functions.bind import computed
 from newsloom.functions.text import strip_ws, truncate_html, xml_escape
-from newsloom.operators.nodes import html_nodes
+from newsloom.operators.nodes import html_nodes, is_element
 from newsloom.operators.prune import in_order, node_markup, prune_nodes, rebuild
 from newsloom.session import stored
 
@@ -52,6 +52,67 @@ def block_content(pages: DataFrame, key: str = "page_id", url: str = "url", html
         key, F.when(F.col("error").isNull(), F.col("html")).alias("html"), "error")
 
 
+def _words(c: Column, words: tuple[str, ...]) -> Column:
+    return F.coalesce(c.rlike(f"(?i)(?:{'|'.join(words)})"), F.lit(False)).cast("int")
+
+
+def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+                     min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
+    """(key, html): the element whose paragraphs score best, with the neighbours that score well too.
+
+    A paragraph is a block with enough text of its own.  It gives points to the
+    element around it and half of them to the next one; tag and class of an
+    element speak for or against it, and the share of links in its text takes
+    away.  The best element of a page stays, with those of the same parent that
+    reach a share of its score.  Pages whose kept paragraphs hold fewer than
+    `min_chars` characters have no row, nor do paragraphs without an element
+    around them.  All steps are windows over one partitioning by page.
+    """
+    so_far = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page, ends = Window.partitionBy(key), Window.partitionBy(key, "elem")
+    block, target = Window.partitionBy(key, "block"), Window.partitionBy(key, "_target")
+    nodes = prune_nodes(html_nodes(pages, key, html, keep=[url]), [key], url, also=F.col("tag") == "head")
+    text = F.when(F.col("kind") == "text", strip_ws(F.col("text"))).otherwise(F.lit(""))
+    sized = computed(nodes, nodes.columns, {"_chars": F.length(text), "_commas": F.regexp_count(text, F.lit("[,;，、]"))})
+
+    def held(c: Column) -> Column:
+        return F.max(F.sum(c).over(so_far)).over(ends) - F.min(F.sum(c).over(so_far)).over(ends)
+
+    chars = F.sum("_chars").over(block)
+    opens = (F.col("kind") == "open") & (F.col("ord") == F.col("block")) & ~F.col("tag").rlike("^h[1-6]$")
+    prose = F.when(opens & (chars >= settings.BLOCK_MIN_CHARS), chars)
+    # twice the points, so that half of them is a whole number
+    points = F.when(prose.isNotNull(), 2 * (1 + F.sum("_commas").over(block) + F.least(F.floor(chars / 100), F.lit(3))))
+    measured = sized.withColumns({
+        "_prose": prose, "_points": points.cast("int"), "_held": held(F.col("_chars")),
+        "_links": held(F.when(F.col("in_link"), F.col("_chars")).otherwise(0)),
+    })
+
+    def gives(to: Column, n: Column) -> Column:
+        return F.struct(to.alias("_target"), n.alias("_given"))
+
+    own = gives(F.col("ord"), F.lit(None).cast("int"))
+    gifts = F.when(
+        F.col("_points").isNotNull(),
+        F.array(own, gives(F.col("parent"), F.col("_points")), gives(F.col("grand"), (F.col("_points") / 2).cast("int"))),
+    ).otherwise(F.array(own))
+    given = measured.select("*", F.inline(gifts)).withColumn("_sum", F.sum("_given").over(target)).where(
+        F.col("_given").isNull())
+    tags = F.create_map(*(F.lit(x) for pair in settings.READABLE_TAGS.items() for x in pair))
+    weight = F.coalesce(F.element_at(tags, F.col("tag")), F.lit(0)) + settings.READABLE_CLASS_WEIGHT * (
+        _words(F.col("class"), settings.READABLE_WORDS) - _words(F.col("class"), settings.UNREADABLE_WORDS))
+    score = (F.col("_sum") + 2 * weight) * (1 - F.col("_links") / F.col("_held"))
+    scored = given.withColumn("_score", F.when(F.col("_sum").isNotNull() & (score > 0), score))
+    best = F.max(F.when(F.col("_score").isNotNull(), F.struct("_score", -F.col("ord"), "parent"))).over(page)
+    root = (F.col("parent") == F.col("_best.parent")) & (
+        F.col("_score") >= settings.READABLE_SIBLING * F.col("_best._score"))
+    kept = scored.withColumn("_best", best).withColumn(
+        "_reach", F.max(F.when(is_element() & root, F.col("end_ord"))).over(so_far)
+    ).where(F.col("_reach") >= F.col("ord"))
+    whole = kept.withColumn("_all", F.sum("_prose").over(page)).where(F.col("_all") >= min_chars)
+    return rebuild(whole, [key]).select(key, "html")
+
+
 def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
                     min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
     """(key, html): the first article with enough text; main elements count only on a page without article."""
@@ -72,18 +133,19 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                  max_chars: int = settings.MAX_CONTENT_CHARS, min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
     """(key, content_html, method, error): the first candidate with enough text.
 
-    The block stage runs over all pages and is written once; elements are
-    built only for the pages that it leaves.  Each stage shuffles its pages
-    once.  Pages without content give '' and no method; `error` says why a
-    page cannot be read.
+    The block stage runs over all pages and is written once; the later stages
+    read only the pages that the stages before them leave.  Each stage shuffles
+    its pages once.  Pages without content give '' and no method; `error` says
+    why a page cannot be read.
     """
     blocks = stored(block_content(pages, key, url, html, min_chars), "blocks")
-    left = pages.select(key, url, html).join(blocks.select(key), key, "left_anti")
-    elements = element_content(left, key, url, html, min_chars)
+    left = stored(pages.select(key, url, html).join(blocks.select(key), key, "left_anti"), "left")
+    readable = stored(readable_content(left, key, url, html, min_chars), "readable")
+    elements = element_content(left.join(readable.select(key), key, "left_anti"), key, url, html, min_chars)
     none = F.lit(None).cast("string")
-    found = blocks.select(
-        key, "html", F.when(F.col("error").isNull(), F.lit("blocks")).alias("method"), "error"
-    ).unionByName(elements.select(key, "html", F.lit("element").alias("method"), none.alias("error")))
+    found = blocks.select(key, "html", F.when(F.col("error").isNull(), F.lit("blocks")).alias("method"), "error")
+    for stage, method in ((readable, "readability"), (elements, "element")):
+        found = found.unionByName(stage.select(key, "html", F.lit(method).alias("method"), none.alias("error")))
     return pages.select(key).join(found.withColumnRenamed("html", "content_html"), key, "left").withColumn(
         "content_html", truncate_html(F.col("content_html"), max_chars)
     )

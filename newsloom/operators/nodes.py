@@ -46,6 +46,8 @@ NODE = T.StructType([
     T.StructField("block", T.IntegerType()),     # ord of the enclosing block element
     T.StructField("in_link", T.BooleanType()),
     T.StructField("within", T.ArrayType(T.IntegerType())),  # enclosing article and main elements
+    T.StructField("parent", T.IntegerType()),    # of an element: ord of the element around it, -1 without one
+    T.StructField("grand", T.IntegerType()),     # ord of the element around that
 ])
 _ARROW_TYPES = {"integer": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array": pa.list_(pa.int32())}
 
@@ -65,9 +67,13 @@ class _PageReader(HTMLParser):
     def _add(self, kind, tag=None, elem=None, role=None, cls=None, href=None, before=None, after=None, text=None):
         at = len(self.rows)
         _, block_tag, block, in_link, _, within = self.top
+        parent = grand = None
+        if kind in ("open", "void"):
+            around = self.stack[-3:-1] if kind == "open" else self.stack[-2:]  # an open element is on the stack itself
+            grand, parent = ([-1, -1] + [a for a, _ in around])[-2:]
         self.rows.append([
             at, at, at if elem is None else elem, kind, block_tag if kind == "text" else tag,
-            role, cls, href, before, after, text, block, in_link, within,
+            role, cls, href, before, after, text, block, in_link, within, parent, grand,
         ])
         return at
 
@@ -153,7 +159,7 @@ def _nodes_of(page: str) -> list[list]:
     try:
         return _PageReader().page(page)
     except (AssertionError, ValueError) as e:
-        return [[0, 0, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}", 0, False, ()]]
+        return [[0, 0, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}", 0, False, (), None, None]]
 
 
 def _tokenise(html: str, out: pa.Schema):

@@ -102,6 +102,25 @@ def test_main_content_cascade(spark):
     assert got[8] == (None, "")  # a paragraph that is one link is not prose
 
 
+def test_readability_stage(spark):
+    mostly = "<p><a href='/x'>" + "a headline that is long, " * 4 + "</a>" + "and what it is about, " * 3 + "</p>"
+    shown = mostly.replace("'/x'", '"https://ex.org/x"')
+    got = extract(
+        spark,
+        f"<body><div>{mostly * 3}</div><div class='comment'><p>{'one, two, three, ' * 4}</p></div></body>",
+        f"<body><div>{mostly * 2}</div><section>{mostly}</section><div><p>no</p></div></body>",
+        f"<body><div class='promo'>{mostly}</div><div class='story'>{mostly}</div></body>",
+        f"<div>{mostly}<div><div>{mostly}</div></div></div>",
+        mostly * 3, f"<div>{'<a href=x>' + 'link ' * 40 + '</a>'}</div>", f"<ul>{mostly}</ul>",
+    )
+    assert got[0] == ("readability", f"<div>{shown * 3}</div>")
+    assert got[1] == ("readability", f"<div>{shown * 2}</div><section>{shown}</section>")
+    assert got[2] == ("readability", f'<div class="story">{shown}</div>')
+    assert got[3] == ("readability", f"<div>{shown}<div><div>{shown}</div></div></div>")
+    assert got[4] == got[5] == (None, "")  # no element around; nothing but a link
+    assert got[6] == ("readability", f"<ul>{shown}</ul>")
+
+
 def test_page_links_on_untidy_markup(spark):
     page = """<!-- <a href="/no">no</a> --><script>'<a href="/no">no</a>'</script>
       <a data-href="/no" href='/one?x=1'>One &amp; <b>only</b></a><A HREF=/two>Two</A><a href="/three">Three<a name=q>none</a>

@@ -59,7 +59,7 @@ def test_robots_join_is_one_lookup(spark):
 def test_pages_are_tokenised_and_shuffled_once(spark):
     """One Python step and one exchange of nodes; every rule works on that partitioning."""
     pages = v.table(spark, SF_SMALL, "pages")
-    for df in (content.block_content(pages), content.element_content(pages),
+    for df in (content.block_content(pages), content.readable_content(pages), content.element_content(pages),
                prune.rebuild(prune.prune_nodes(nodes.html_nodes(pages, keep=["url"]), ["page_id"]), ["page_id"])):
         p = plan(df)
         assert p.count("MapInArrow") == 1 and exchanges(p) == ["hashpartitioning"]
