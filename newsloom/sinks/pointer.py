@@ -69,11 +69,16 @@ def point_to(spark: SparkSession, path: str, folder: str, **facts) -> int:
     return number
 
 
+def forget(spark: SparkSession, path: str, number: int) -> None:
+    """Remove a manifest; what it names stays."""
+    remove_path(spark, _manifest(path, number))
+
+
 def drop_before(spark: SparkSession, path: str, keep: int) -> None:
     """Remove the manifests before the newest `keep`, and their folders; the manifest goes first."""
     for number in manifests(spark, path)[:-keep]:
         folder = read_manifest(spark, path, number)["folder"]
-        remove_path(spark, _manifest(path, number))
+        forget(spark, path, number)
         remove_path(spark, f"{path}/{folder}")
 
 

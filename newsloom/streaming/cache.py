@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import settings
 from newsloom.session import read_or_empty
+from newsloom.sinks.buckets import BUCKETS, merge_buckets
 from newsloom.sinks.cache import drop_old_versions, write_cache
 from newsloom.sources.cache import latest_version
 
@@ -44,3 +45,18 @@ def stream_cache_upsert(content: DataFrame, cache_path: str, checkpoint: str,
         content.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def stream_cache_buckets(content: DataFrame, cache_path: str, checkpoint: str, buckets: int = BUCKETS,
+                         keep: int = 2) -> StreamingQuery:
+    """Content into the cache by url hash: a micro-batch rewrites the buckets of its urls only.
+
+    The form for a large cache; it has no limit on rows, readers trim (`cache_trim`).
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_buckets(batch, cache_path, checkpoint, batch_id, buckets, keep)
+
+    return (
+        content.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )

@@ -13,7 +13,7 @@ from newsloom.operators.acquire import acquire, fetch_merge
 from newsloom.operators.select import arrival_seq
 from newsloom.plans.daily import Published, daily_run, publish
 from newsloom.schemas import CONTENT_CACHE, LANDED_RESPONSES, ROBOTS_RULES
-from newsloom.sinks import pointer, rss, snapshots, stats
+from newsloom.sinks import buckets, pointer, rss, snapshots, stats
 from newsloom.sinks.cache import write_cache
 from newsloom.sources import cache, feeds, pages, registry, snapshots as read
 from newsloom.streaming import cache as stream_cache, counts as stream_counts, feeds as stream_feeds
@@ -421,3 +421,73 @@ def test_a_writer_that_dies_leaves_the_run_before(spark, tmp_path, monkeypatch):
     assert pointer.read_table(spark, str(tmp_path / "none"), "id bigint").count() == 0
     with pytest.raises(FileNotFoundError):
         pointer.read_table(spark, str(tmp_path / "none"))
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_the_buckets_of_its_urls(spark, tmp_path, monkeypatch):
+    path, home = str(tmp_path / "cache"), tmp_path / "cache"
+    rows = lambda ids, mark: spark.range(*ids).selectExpr(
+        "concat('https://a.org/', id) AS url", f"concat('{mark}', id) AS content_html", "timestamp_seconds(id) AS fetched_at")
+    read_back = lambda: {r.url: r.content_html for r in buckets.read_buckets(spark, path).collect()}
+    assert read_back() == {} and buckets.merge_buckets(rows((0, 0), "x"), path) == []
+    assert buckets.merge_buckets(rows((0, 500), "old"), path, "s", 0, buckets=64) == list(range(64))
+    first = buckets.read_buckets(spark, path)
+    before = files_of(home)
+    touched = buckets.merge_buckets(rows((495, 505), "new"), path, "s", 1)
+    assert 1 <= len(touched) <= 10
+    want = {f"https://a.org/{i}": f"{'new' if i >= 495 else 'old'}{i}" for i in range(505)}
+    assert read_back() == want and first.count() == 500  # a reader that had begun goes on
+    now = files_of(home)
+    assert before.items() <= now.items() and len(now) - len(before) == len(touched)
+    assert buckets.merge_buckets(rows((495, 505), "again"), path, "s", 1) == [] and files_of(home) == now
+    with monkeypatch.context() as m:
+        m.setattr(buckets, "point_to", lambda *_, **__: 1 / 0)  # dies when all files are there
+        with pytest.raises(ZeroDivisionError):
+            buckets.merge_buckets(rows((0, 5), "lost"), path, "s", 2)
+    assert read_back() == want
+    buckets.merge_buckets(rows((0, 500), "newer"), path, "s", 2)
+    assert buckets.merge_buckets(rows((0, 1), "last"), path, "t", 0) and read_back()["https://a.org/0"] == "last0"
+    named = {f for k in pointer.manifests(spark, path) for f in pointer.read_manifest(spark, path, k)["buckets"].values()}
+    assert {str(home.joinpath(f).relative_to(home).parent) for f in files_of(home)} == named
+
+
+def test_first_arrival_by_index(spark, tmp_path):
+    landed, out, index, check = (str(tmp_path / n) for n in ("landed", "out", "index", "check"))
+    runs = [[("a", 2), ("b", 1), ("a", 3)], [("b", 4), ("c", 5)], [("a", 6), ("c", 7), ("d", 8), (None, 9)]]
+    got = lambda: sorted((r.url or "", r.seq) for r in spark.read.parquet(out).collect())
+    for run in runs:
+        part = spark.createDataFrame([(u, s, "t", "") for u, s in run], "url string, seq bigint, title string, summary string")
+        part.coalesce(1).write.mode("append").parquet(landed)
+        stream_feeds.append_first_indexed(
+            spark.readStream.schema(part.schema).parquet(landed), out, index, check, buckets=8).awaitTermination()
+    assert got()[-4:] == [("a", 2), ("b", 1), ("c", 5), ("d", 8)]
+    commits = sorted(p for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit())
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):  # the last batch was not marked as done
+        p.unlink(missing_ok=True)
+    before = got()
+    stream_feeds.append_first_indexed(
+        spark.readStream.schema(part.schema).parquet(landed), out, index, check, buckets=8).awaitTermination()
+    assert got() == before
+
+
+def test_days_are_sealed_once(spark, tmp_path):
+    landed, path, check = (str(tmp_path / n) for n in ("landed", "sealed", "check"))
+    schema = "published_at timestamp, source string"
+    runs = [["2024-01-01 10:00", "2024-01-02 09:00", "2024-01-01 23:59:59"], ["2024-01-01 12:00", "2024-01-04 00:00"],
+            ["2024-01-01 13:00", "2024-01-06 12:00"], []]  # the third run's first row is too late
+    for run in runs:
+        part = spark.createDataFrame([(t, "s") for t in run] or [], "t string, source string").selectExpr(
+            "CAST(t AS timestamp) AS published_at", "source")
+        part.coalesce(1).write.mode("append").parquet(landed)
+        stream_counts.stream_sealed_days(
+            spark.readStream.schema(schema).parquet(landed), path, check, late="1 day").awaitTermination()
+    sealed = stream_counts.read_sealed_days(spark, path)
+    rows = lambda df: sorted((str(r.day)[:10], r.source, r.n) for r in df.collect())
+    assert rows(sealed) == [("2024-01-01", "s", 3), ("2024-01-02", "s", 1), ("2024-01-04", "s", 1)]
+    assert len(list((tmp_path / "sealed").rglob("*.parquet"))) == 3
+    assert rows(stream_counts.open_days(spark.read.parquet(landed), sealed)) == [("2024-01-06", "s", 1)]
+    none = stream_counts.read_sealed_days(spark, str(tmp_path / "none"))
+    assert none.count() == 0 and stream_counts.open_days(spark.read.parquet(landed), none).count() == 4
