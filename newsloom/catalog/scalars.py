@@ -43,7 +43,7 @@ def clean_url(spark, sf):
     return odd.select("page_id", urls.clean_url(F.col("u")).alias("url"), urls.is_bad_url(F.col("u")).alias("bad"))
 
 
-_FORMS = 18
+_FORMS = 22
 
 
 def date_texts(spark, sf):
@@ -63,6 +63,8 @@ def date_texts(spark, sf):
         f"concat({shown('yyyy-MM-dd', 10)}, 'T', {shown('HH:mm:ss', 10)}, '+10')",
         f"concat({shown('yyyyMMdd')}, 'T', {shown('HHmmss')}, 'Z')",
         shown("EEE MMM d HH:mm:ss yyyy", 10), shown("dd MMM yyyy h a", 10), shown("MM.dd.yyyy"),
+        f"concat({shown('EEEE MMMM d')}, 'th, ', {shown('yyyy')})", shown("M/d/yy"), shown("yyyy-MM"),
+        f"concat({shown('yyyy-MM-dd')}, 'T24:00:00')",
     ]
     branches = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms))
     iso = f"concat({shown('yyyy-MM-dd')}, ' ', {shown('HH:mm:ss')}, '+00:00')"
@@ -78,7 +80,9 @@ SELECT event_id, epoch_us(CASE
     WHEN event_id % {_FORMS} = 2 THEN ts
     WHEN event_id % {_FORMS} IN (0, 1, 3, 8, 9, 12, 13, 14, 15) THEN date_trunc('second', ts)
     WHEN event_id % {_FORMS} = 16 THEN date_trunc('hour', ts)
-    WHEN event_id % {_FORMS} IN (4, 5, 6, 7, 17) THEN date_trunc('day', ts) - INTERVAL 10 HOUR
+    WHEN event_id % {_FORMS} IN (4, 5, 6, 7, 17, 18, 19) THEN date_trunc('day', ts) - INTERVAL 10 HOUR
+    WHEN event_id % {_FORMS} = 20 THEN date_trunc('month', ts) - INTERVAL 10 HOUR
+    WHEN event_id % {_FORMS} = 21 THEN date_trunc('day', ts) + INTERVAL 14 HOUR
     WHEN event_id % {_FORMS} = 11 THEN date_trunc('minute', ts) END) AS at_us
 FROM events""")
 def parse_date(spark, sf):

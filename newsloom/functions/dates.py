@@ -14,39 +14,86 @@ from newsloom.functions.bind import bind
 _DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
-# an hour alone is a time only with am or pm
-_TIME = (
-    r"(?:[T\s,]+(\d{1,2})(?=:|\s*(?i:[ap]m)\b)(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?\s*(?i:(am|pm))?)?"
-)
-_ZONE = r"\s*([Zz]|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5})?$"
-_WEEKDAY = r"^(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
-_MONTH = r"((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
-
-# Declared forms: pattern, then its text rewritten as year|month|day|hour|minute|
-# second|fraction|am or pm|zone.
-_REST = "|$4|$5|$6|$7|$8|$9"
-_FORMS = (
-    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME + _ZONE, "$1|$2|$3" + _REST),
-    (_WEEKDAY + r"(\d{1,2})[\s-]+" + _MONTH + r"\.?,?[\s-]+(\d{4}|\d{2})" + _TIME + _ZONE, "$3|$2|$1" + _REST),
-    (_WEEKDAY + _MONTH + r"\.?\s+(\d{1,2}),?\s+(\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
-    (r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})" + _TIME + _ZONE, "$3|$1|$2" + _REST),
-    (r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2})?)?" + _ZONE, "$1|$2|$3|$4|$5|$6|||$7"),
-    (_WEEKDAY + _MONTH + r"\s+(\d{1,2})\s+(\d{1,2}):(\d{2}):(\d{2})(?:\s+([A-Za-z]{3,5}))?\s+(\d{4})$",
-     "$7|$1|$2|$3|$4|$5|||$6"),
+# Classes of tokens, a letter each: what a token is, and what may stand after it.  The first that fits counts.
+_NO_DIGIT, _NO_LETTER = r"(?!\d)", "(?![A-Za-z])"
+_CLASSES = {
+    "C": (r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?", _NO_DIGIT),               # clock
+    "K": (r"\d{8}(?:T?\d{4}(?:\d{2})?)?", _NO_DIGIT),                        # date without separators, perhaps with clock
+    "I": (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", _NO_DIGIT),                        # year first
+    "J": (r"\d{4}[-/]\d{1,2}", r"(?![-/\d])"),                              # year and month
+    "S": (r"\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})|\d{1,2}\.\d{1,2}\.\d{4}", _NO_DIGIT),  # year last
+    "O": (r"\d{1,2}(?i:st|nd|rd|th)", _NO_LETTER),                           # ordinal: a day
+    "Y": (r"\d{4}", _NO_DIGIT),
+    "D": (r"\d{1,2}", _NO_DIGIT),                                            # day, hour or year
+    "M": (r"(?i:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)", ""),
+    "W": (r"(?i:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*)", ""),
+    "A": (r"(?i:[ap]m)", _NO_LETTER),
+    "Z": (r"[+-]\d{2}(?::?\d{2})?", _NO_DIGIT),                              # offset
+    "T": ("T", r"(?=\d)"),
+    "N": ("[A-Za-z]{1,5}", _NO_LETTER),                                      # name of a zone
+}
+_BEFORE = {"Z": r"(?<=[\d\sMm])"}
+_FILLERS = r"(?i:of|at|on|the)(?![A-Za-z])|[\s,]+|(?<=\d)-(?=[A-Za-z])|(?<=[A-Za-z])-(?=\d)|(?<=[A-Za-z])\."
+_TOKEN = "(?s)(?:{})|({}|.)".format(
+    _FILLERS, "|".join(f"{_BEFORE.get(k, '')}(?:{what}){after}" for k, (what, after) in _CLASSES.items()))
+
+# What may follow each other.  An hour alone is a time only with am or pm.
+_TAIL = "(?:T?CA?|DA)?[ZN]?"
+_GRAMMAR = (
+    f"^(?:[IS]{_TAIL}|J|K[ZN]?|W?[DO]M[YD]{_TAIL}|W?M[DO]Y{_TAIL}|YM[DO]{_TAIL}|W?M[DO]C[ZN]?Y|MY)$"
 )
 
 
 def parse_date_text(text: Column, zone: str = settings.DEFAULT_TIMEZONE) -> Column:
-    """Instant of one date text, NULL where it is in none of the declared forms.
+    """Instant of one date text, NULL where its tokens do not make a date.
 
-    Local times belong to `zone`.  Each text is rewritten to one canonical form
-    and cast once; a date that does not exist gives NULL.
+    A text is cut into tokens, each token gets a class, and the classes in
+    their order must fit a small grammar; every field is then the token of its
+    class.  Local times belong to `zone`, a month without a day means its first
+    day, 24:00 is the end of its day, and a date that does not exist gives NULL.
     """
-    fields = F.trim(text)
-    for pattern, rewritten in _FORMS:
-        # a text that is rewritten already fits no later form
-        fields = F.regexp_replace(fields, pattern, rewritten)
-    return bind(F.split(fields, r"\|"), lambda f: F.when(F.size(f) == 9, _canonical(f, zone).try_cast("timestamp")))
+    cut = F.regexp_extract_all(F.trim(text), F.lit(_TOKEN), F.lit(1))
+    tokens = F.filter(cut, lambda t: t != "")
+    return bind(tokens, lambda ts: bind(
+        F.array_join(F.transform(ts, _class), ""),
+        lambda shape: F.when(shape.rlike(_GRAMMAR), bind(_fields(ts, shape), lambda f: _canonical(f, zone).try_cast("timestamp"))),
+    ))
+
+
+def _class(token: Column) -> Column:
+    """The letter of a token; what stands around it was judged when the text was cut."""
+    (first, (what, _)), *others = _CLASSES.items()
+    found = F.when(token.rlike(f"^(?:{what})$"), first)
+    for letter, (what, _) in others:
+        found = found.when(token.rlike(f"^(?:{what})$"), letter)
+    return found.otherwise("?")
+
+
+def _fields(tokens: Column, shape: Column) -> Column:
+    """Year, month, day, hour, minute, second, fraction, am or pm, zone; '' or NULL where there is none."""
+    def after(place: Column, by: int = 0) -> Column:
+        return F.get(tokens, F.when(place > 0, place - 1 + by).otherwise(-1))
+
+    def of(letter: str) -> Column:
+        return after(F.instr(shape, letter))
+
+    compact = of("K")
+    # the second number beside a month is a year of two digits
+    year = F.coalesce(of("Y"), after(F.instr(shape, "M"), 1))
+    day = F.coalesce(F.regexp_extract(of("O"), r"^\d+", 0), of("D"), F.lit("1"))
+    date = F.split(F.coalesce(
+        of("I"), F.concat(of("J"), F.lit("-1")), F.regexp_replace(of("S"), r"^(\d+).(\d+).(\d+)$", "$3-$1-$2"),
+        F.regexp_replace(compact, r"^(\d{4})(\d\d)(\d\d).*$", "$1-$2-$3"), F.concat_ws("-", year, of("M"), day),
+    ), "[-/]")
+    hour_alone = after(F.instr(shape, "DA"))
+    clock = F.split(F.coalesce(
+        of("C"), hour_alone, F.regexp_replace(compact, r"^\d{8}T?(\d\d)?(\d\d)?(\d\d)?$", "$1:$2:$3"), F.lit(""),
+    ), "[:.,]")
+    part = lambda i: F.coalesce(F.get(clock, i), F.lit(""))
+    return F.array(
+        *(F.get(date, i) for i in range(3)), *(part(i) for i in range(3)), F.substring(part(3), 1, 6),
+        of("A"), F.coalesce(of("Z"), of("N")),
+    )
 
 
 def _int(c: Column) -> Column:
@@ -68,7 +115,9 @@ def _canonical(f: Column, zone: str) -> Column:
     """ISO text of the fields of one date."""
     written, month, day, hour, minute, second, fraction, half, tz = (F.get(f, i) for i in range(9))
     # two digits: 1969 to 2068
-    year = F.when(F.length(written) == 2, F.concat(F.when(written < "69", F.lit("20")).otherwise(F.lit("19")), written)).otherwise(written)
+    year = F.when(
+        F.length(written) == 2, F.concat(F.when(written < "69", F.lit("20")).otherwise(F.lit("19")), written)
+    ).when(F.length(written) == 4, written)
 
     def date(first):
         # month first, unless that cannot be a month
@@ -77,7 +126,8 @@ def _canonical(f: Column, zone: str) -> Column:
         d = F.when(swap, first).otherwise(_int(day))
         return F.concat(year, F.lit("-"), _two(m), F.lit("-"), _two(d))
 
-    hours = F.coalesce(_int(hour), F.lit(0))
+    end_of_day = (hour == "24") & minute.isin("", "00") & second.isin("", "00")
+    hours = F.when(end_of_day, 0).otherwise(F.coalesce(_int(hour), F.lit(0)))
     shift = F.when((F.lower(half) == "pm") & (hours < 12), 12).when((F.lower(half) == "am") & (hours == 12), -12).otherwise(0)
     offset = (
         F.when(F.upper(tz).isin("Z", "UTC", "GMT"), F.lit("Z"))
@@ -85,8 +135,10 @@ def _canonical(f: Column, zone: str) -> Column:
         .when(tz.rlike(r"^[+-]"), F.regexp_replace(tz, r"^(...):?(..)$", "$1:$2"))
         .otherwise(F.lit(" " + zone))  # no zone, or a name that says nothing
     )
+    written_day = bind(_month_number(month), date)
+    local_day = F.when(end_of_day, F.date_add(written_day.try_cast("date"), 1).cast("string")).otherwise(written_day)
     return F.concat(
-        bind(_month_number(month), date), F.lit("T"), _two(hours + shift), F.lit(":"), F.lpad(minute, 2, "0"),
+        local_day, F.lit("T"), _two(hours + shift), F.lit(":"), F.lpad(minute, 2, "0"),
         F.lit(":"), F.lpad(second, 2, "0"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
         offset,
     )

@@ -47,6 +47,21 @@ DATES = {
     "Thu Aug 14 19:02:25 UTC 2025": "2025-08-15T05:02:25+10:00",
     "14 Aug 2025 7 pm": "2025-08-14T19:00:00+10:00",
     "14.08.2025": "2025-08-14T00:00:00+10:00",
+    "August 14th, 2025": "2025-08-14T00:00:00+10:00",
+    "the 3rd of Sept. 2025 at 7:05pm": "2025-09-03T19:05:00+10:00",
+    "8/14/25": "2025-08-14T00:00:00+10:00",
+    "8/14/25 10:30 PM +0000": "2025-08-15T08:30:00+10:00",
+    "2025-08": "2025-08-01T00:00:00+10:00",
+    "August 2025": "2025-08-01T00:00:00+10:00",
+    "2025 Aug 14 10:30": "2025-08-14T10:30:00+10:00",
+    "19-Aug-25 10:10:24 GMT": "2025-08-19T20:10:24+10:00",
+    "19-Aug-2025": "2025-08-19T00:00:00+10:00",
+    "2025-08-14T24:00:00": "2025-08-15T00:00:00+10:00",
+    "2024-12-31 24:00 UTC": "2025-01-01T10:00:00+10:00",
+    "2025-08-14T19:02:25,1234567-05:00": "2025-08-15T10:02:25.123456+10:00",
+    "20250814190225": "2025-08-14T19:02:25+10:00",
+    "2025-08-14T24:00:01": None, "14 Aug 2025 25:00": None, "14th 15th Aug 2025": None, "2025-08-14 yesterday": None,
+    "2025-13-32": None, "14 Aug 7": None, "3rd": None, "2025": None, "August": None, "1/2/345": None, "14 Aug 2025 \n x;": None,
     "14 Aug 2025 7": None, "14 Aug 10:30": None,
     "30 Feb 2025": None, "junk": None, "": None, "10:30": None, None: None,
 }
