@@ -62,6 +62,22 @@ def test_chat(spark):
     assert made.count() == 5 and chat.format_chats(df.limit(0)).count() == 0
     for r in made.collect():
         assert "".join(s.text for s in r.segments) == r.formatted
+    plan = chat.chat_digests(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(state in plan for state in chat.Template().states())  # the machine is part of the query
+
+
+def test_chat_machine_with_a_template_of_its_own(spark):
+    """What is written for a turn follows the state that it reaches; a long walk stays linear enough."""
+    own = chat.Template(
+        turns={"q": chat.Turn("Q"), "a": chat.Turn("A", loss=True)}, start="s",
+        steps={("s", "q"): "open", ("open", "q"): "open", ("open", "a"): "done"}, accepting=("done",), begin="<b>", end="</e>")
+    turns = [(1, 0, "q", "x"), (1, 1, "q", "y"), (1, 2, "a", "z"), (2, 0, "a", "w"), (2, 1, "q", "v"), (2, 2, "other", "[")]
+    turns += [(3, i, "a" if i == 20_000 else "q", "t") for i in range(20_001)]
+    made = chat.format_chats(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"), own)
+    got = {r.conv_id: (r.valid, r.formatted, [s.text for s in r.segments if s.loss]) for r in made.collect()}
+    assert got[1] == (True, "<b>[Q]x[/][Q]y[/][A]z[/]</e>", ["z"])
+    assert got[2] == (False, "<b>[A]w[/][Q]v[/][ROLE:other]&#91;[/]</e>", ["w"])
+    assert got[3][0] and got[3][2] == ["t"] and len(got[3][1]) == 20_001 * 7 + 7
 
 
 def contained(docs, items, n=5, share=0.8):
