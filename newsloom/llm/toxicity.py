@@ -19,7 +19,8 @@ SAMPLE_CHARS characters.  Every document is scored over its whole text.
 Defined results.  A text without words, or null, scores 0.  Without labelled
 documents of both kinds every score is 0.  A null id is held out.  Repeated
 rows are scored alike; a document with several labels is learnt from once,
-as toxic if one says so; null labels are none.  Empty tables give empty
+as toxic if one says so, and one with several texts by the text of the least
+hash; null labels are none.  Empty tables give empty
 tables.  Only the named columns are read.  Long texts are worked through in
 pieces of CHUNK bytes, cut between words.
 """
@@ -40,6 +41,7 @@ SIZE_BITS = 18
 BEGINNINGS = (4, 5, 6)
 CHUNK = 1 << 20
 _QUARTERS = 4  # parts of the sample; each is scored by the fit without it, to place the threshold
+_TASKS = 16  # tasks that prepare the sample
 
 _bytes = np.arange(256)
 _IN_WORD = ((_bytes >= 97) & (_bytes <= 122)) | (_bytes >= 128)
@@ -221,7 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     texts = docs.select(ids.alias("id"), text_of(text).alias("text")).where(F.length("text") <= sample_chars)
     # a few more ids than the sample, as some documents are too long; bounded either way
     picked = known.orderBy(F.xxhash64("id"), "id").limit(2 * sample)
-    rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    one = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    # the limit leaves one partition; the sample is worked on by more
+    rows = one.orderBy(F.xxhash64("id"), "id").limit(sample).repartition(_TASKS, "id")
 
     def work(batch):
         out = {"y": batch["y"], "features": [], "sizes": []}

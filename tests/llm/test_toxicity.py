@@ -1,8 +1,11 @@
 """Toxicity: held-out accuracy, sentences, edge cases."""
 
+import math
 import random
 import zlib
 
+import numpy as np
+
 from newsloom.llm import toxicity as tx
 
 SF = "/root/testdata/sf0.1"
@@ -54,3 +57,31 @@ def test_sentences_and_edges(spark):
     assert "awfuly" in odd[5][1][a:b]
     assert tx.toxicity(docs.limit(0), marks).count() == 0
     assert {r.score for r in tx.toxicity(docs, marks.limit(0)).collect()} == {0.0}
+
+
+def test_the_model_does_not_depend_on_the_order_of_repeated_ids(spark):
+    rows, labels = made(200, 2)
+    other, _ = made(200, 3)
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    twice = [*rows, *other]  # every id has two texts
+    models = [
+        tx.train(spark.createDataFrame(part, "doc_id bigint, text string").repartition(n), marks)
+        for part, n in ((twice, 1), (twice[::-1], 5))
+    ]
+    assert len(models[0].weights) and (models[0].weights == models[1].weights).all()
+    assert (models[0].bias, models[0].shift) == (models[1].bias, models[1].shift)
+
+
+def test_scores_are_a_noisy_or_over_sentences(spark):
+    """The score of a text from its sentences, one after the other, by the same weights."""
+    rows, labels = made(200, 4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = tx.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    for r in tx.score(docs, model).collect():
+        clear = 1.0
+        for sentence in rows[r.doc_id][1].split("."):
+            found = tx._sentences([sentence.encode()], [(0, 0)])
+            for z in model.sentence_logits(found):
+                clear *= 1 - 1 / (1 + math.exp(-z))
+        want = float(model.scores(np.array([-math.log(clear)]))[0])
+        assert abs(r.score - want) < 1e-4
