@@ -176,11 +176,13 @@ def fit(features, sentence, doc, labels, fitted, steps: int = 200, rate: float =
     width = features.shape[1]
     # how often a feature is seen, over sentences that differ: copies of a sentence say nothing more
     said = np.zeros(len(doc), np.uint64)
-    np.add.at(said, sentence, (features.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)).sum(axis=1))
+    for c in range(width):  # a column at a time, as whole tables of 64-bit numbers take much memory
+        np.add.at(said, sentence, features[:, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7))
     first = np.zeros(len(doc), bool)
     first[np.unique(said, return_index=True)[1]] = True
     of_word = first[sentence]
-    seen = np.unique(np.repeat(sentence[of_word], width) * size + features[of_word].ravel())
+    seen = np.unique(np.concatenate([
+        np.unique(sentence[of_word].astype(np.int64) * size + features[of_word, c]) for c in range(width)]))
     total = np.bincount(seen % size, minlength=size)
     toxic = np.bincount(seen % size, labels[doc[seen // size]], size)
     n_toxic = labels[doc[first]].sum()
@@ -188,10 +190,9 @@ def fit(features, sentence, doc, labels, fitted, steps: int = 200, rate: float =
     used = (total >= least_seen) & (lift >= least_lift)
     used[0] = False
     weights, bias = np.zeros(size), -6.0
-    flat, owner = features.ravel(), np.repeat(sentence, width)
-    keep = used[flat]
-    flat, owner = flat[keep], owner[keep]
-    all_flat, all_owner, chance = flat, owner, np.random.default_rng(0)
+    keep = used[features]
+    all_flat, all_owner = features[keep], np.repeat(sentence, keep.sum(axis=1))
+    chance = np.random.default_rng(0)
     moment, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         keep = chance.random(len(all_flat), np.float32) < told
@@ -253,7 +254,7 @@ def _fit_without(key, sample):
 
     sample = sample.sort_values(["place", "id"])
     features = np.concatenate([np.frombuffer(f, "<i4") for f in sample["features"]])
-    features = features.reshape(-1, len(BEGINNINGS)).astype(np.int64)
+    features = features.reshape(-1, len(BEGINNINGS))
     sizes = [np.frombuffer(s, "<i4") for s in sample["sizes"]]
     doc = np.repeat(np.arange(len(sample)), [len(s) for s in sizes])
     sentence = np.repeat(np.arange(len(doc)), np.concatenate(sizes))
