@@ -202,18 +202,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return _classes(fingerprints(docs, id_col, text, n), max_bits).withColumnRenamed("id", id_col)
 
 
+_PARTS = 32  # of a component
+
+
 def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
     """id, fp, component_id of id, fp; ids of any type with an order."""
     prints = stored(prints, "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), max_bits))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     # only fingerprints with links need their component's name; the others' is their own least id
-    linked = joined.where(F.col("root") != F.col("fp")).select("fp", "root").unionByName(
-        roots.select(F.col("root").alias("fp"), "root").distinct())
-    moved = linked.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
+    linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root")).distinct()
+    members = distinct.join(linked, "fp").select("fp", "least", "root", F.pmod(F.xxhash64("fp"), F.lit(_PARTS)).alias("part"))
+    # a large component meets its name in parts
+    named = members.groupBy("root").agg(F.min("least").alias("component_id")).select(
+        "root", "component_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_PARTS - 1).cast("bigint"))).alias("part"))
+    moved = members.join(named, ["root", "part"]).select(F.col("fp").alias("_fp"), "component_id")
     # written first: then both sides of the join are plain shuffles, and Spark splits the rows of a hot fingerprint
     names = stored(distinct.join(moved, distinct["fp"] == moved["_fp"], "left").select(
         "fp", F.coalesce("component_id", "least").alias("component_id")), "names")
