@@ -141,9 +141,9 @@ def fetch_merge(items: DataFrame, fetched: DataFrame) -> Acquired:
     """
     good = F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False))
     best = Window.partitionBy("url").orderBy(good.desc(), F.xxhash64("html"), "html", "status", "error")
-    # a fetched page costs tokenising, so only pages of these items are read
-    wanted = fetched.join(items.select("url"), "url", "left_semi").withColumn(
-        "_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
+    # a fetched page costs tokenising, so only pages of these items are read; several steps read them
+    wanted = stored(fetched.join(items.select("url"), "url", "left_semi").withColumn(
+        "_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn"), "wanted")
     pages = wanted.where(good).select("url", "html").withColumn("base", F.col("url"))
     read = stored(main_content(pages, key="url", url="base"), "content")
     content = read.where(F.col("content_html") != "").select("url", "content_html")

@@ -152,6 +152,7 @@ class _PageReader(HTMLParser):
 
 
 _CHUNK = 50_000  # nodes in one batch
+_PART_BYTES = 2 << 20  # of pages in one task: as nodes, they take up to a hundred times as much
 
 
 def _nodes_of(page: str) -> list[list]:
@@ -191,9 +192,17 @@ def _tokenise(html: str, out: pa.Schema):
     return run
 
 
+def _parts(pages: DataFrame, html: str) -> int:
+    """Tasks that the nodes of the pages are dealt over, so that what one of them sorts stays the same size."""
+    spark = pages.sparkSession
+    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    least = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // _PART_BYTES))
+
+
 def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = (),
                errors: bool = False) -> DataFrame:
-    """One row per node; `key` must be unique per page.
+    """One row per node, dealt by page over tasks whose number follows the size of the pages; `key` must be unique per page.
 
     A page that cannot be tokenised has no nodes; with `errors`, it has one
     row of kind error whose text is the reason.
@@ -201,7 +210,7 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
     source = pages.select(key, *keep, html)
     fields = [*(f for f in source.schema if f.name != html), *NODE.fields]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    nodes = source.mapInArrow(_tokenise(html, to_arrow_schema(schema)), schema)
+    nodes = source.mapInArrow(_tokenise(html, to_arrow_schema(schema)), schema).repartition(_parts(source, html), key)
     return nodes if errors else nodes.where(F.col("kind") != "error")
 
 

@@ -167,3 +167,18 @@ def test_content_limits_are_parameters(spark):
     assert len(content.main_content(df, max_chars=50).first()["content_html"]) == 51
     assert content.main_content(df, min_chars=1000).first()["content_html"] == ""
     assert links.discovered_feeds(df, cap=1).count() == 0
+
+
+def test_nodes_are_dealt_over_more_tasks_for_more_pages(spark, monkeypatch):
+    """What one task sorts must not grow with the table."""
+    monkeypatch.setattr(nodes, "_PART_BYTES", 1000)
+    def tasks(n):
+        df = spark.createDataFrame([(i, "u", "<p>" + "x" * 493 + "</p>") for i in range(n)], "page_id int, url string, html string")
+        return prune.prune_nodes(nodes.html_nodes(df, keep=["url"]), ["page_id"]).rdd.getNumPartitions()
+
+    assert (tasks(100), tasks(400)) == (50, 200)
+
+
+def test_html_nodes_of_no_pages(spark):
+    df = spark.createDataFrame([(1, "u", None)], "page_id int, url string, html string")
+    assert nodes.html_nodes(df).count() == nodes.html_nodes(df.limit(0)).count() == 0
