@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import settings
 from newsloom.functions.bind import bind, computed
@@ -59,28 +59,38 @@ def fuzzy_search(docs: DataFrame, query: str, threshold: float = settings.SEARCH
 
 
 _FIELDS = ("title", "summary", "content_text")
-_START = "\x01"  # before a text, so that one of n characters has n grams
 
+def _pieces(real: DataFrame) -> DataFrame:
+    """q, n, size, k, i, shift, place, piece: the k + 1 pieces of each query, and where in a match each may stand."""
+    cut = lambda i: F.floor(i * F.col("size") / (F.col("k") + 1)).cast("int")
+    pieces = real.select("q", "n", "size", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select(
+        "*", cut(F.col("i")).alias("_from"), cut(F.col("i") + 1).alias("_to"))
+    placed = pieces.select("*", F.explode(F.sequence(-F.col("i"), F.col("i"))).alias("shift"))
+    return placed.select("q", "n", "size", "k", "i", "shift", (F.col("_from") + F.col("shift")).alias("place"),
+                         F.substr("q", F.col("_from") + 1, F.col("_to") - F.col("_from")).alias("piece")).where("place >= 0")
 
-def _grams(text: Column) -> Column:
-    """Pairs of neighbouring characters, the first with what stands before the text."""
-    marked = F.concat(F.lit(_START), text)
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(marked, i, F.lit(2))))
+
+def _index(runs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """n, r, place, piece: every part of a run that is as long as some piece of a query."""
+    # one row per number of words and length
+    lengths = F.broadcast(pieces.select("n", F.length("piece").alias("_long")).distinct())
+    places = F.sequence(F.lit(0), F.length("r") - F.col("_long"))
+    return runs.join(lengths, "n").where(F.length("r") >= F.col("_long")).select(
+        "n", "r", "_long", F.explode(places).alias("place")).select(
+        "n", "r", "place", F.substr("r", F.col("place") + 1, F.col("_long")).alias("piece"))
 
 
 def _found_runs(docs: DataFrame, key: str, sizes: list) -> DataFrame:
     """key, n, r: the word runs of all fields that some query could match by its number of words and its length."""
-    def of(field: str) -> Column:
-        words = F.split(F.lower(strip_ws(F.col(field))), " ")
-
-        def some(n: int, low: int, high: int) -> Column:
-            runs = lambda w: w if n == 1 else F.coalesce(_runs(w, n), F.array().cast("array<string>"))
-            fitting = F.filter(bind(words, runs), lambda r: F.length(r).between(low, high))
-            return F.transform(F.array_distinct(fitting), lambda r: F.struct(F.lit(n).alias("n"), r.alias("r")))
+    words = {f: F.split(F.lower(strip_ws(F.col(f))), " ") for f in _FIELDS}
 
-        return F.concat(*(some(row["n"], row["low"], row["high"]) for row in sizes))
+    def some(n: int, low: int, high: int) -> Column:
+        runs = lambda w: w if n == 1 else F.coalesce(_runs(w, n), F.array().cast("array<string>"))
+        fitting = [F.filter(bind(words[f], runs), lambda r: F.length(r).between(low, high)) for f in _FIELDS]
+        # texts are told apart by their hash, rows of n and text would be compared pair by pair
+        return F.transform(F.array_distinct(F.concat(*fitting)), lambda r: F.struct(F.lit(n).alias("n"), r.alias("r")))
 
-    runs = F.array_distinct(F.concat(*(of(f) for f in _FIELDS)))
+    runs = F.concat(*(some(row["n"], row["low"], row["high"]) for row in sizes))
     return docs.select(key, F.explode(runs).alias("_run")).select(key, "_run.n", "_run.r")
 
 
@@ -88,11 +98,11 @@ def search_many(docs: DataFrame, queries: DataFrame, query_id: str = "query_id",
                 threshold: float = settings.SEARCH_THRESHOLD) -> DataFrame:
     """query_id, key, score of every match of a whole table of queries: what fuzzy_search finds for each of them.
 
-    An inverted index over character pairs of the distinct word runs.  One edit
-    changes two pairs at most, so of a query of bound k any 2k + 1 pairs hold
-    one that a match has too, moved by k places at most: the rarest 2k + 1 are
-    looked up, so common pairs are left out without losing a match.  What meets
-    is held to the length, to the number of shared pairs, and to the distance.
+    An inverted index over the parts of the distinct word runs.  A query of
+    bound k is cut into k + 1 pieces.  k edits leave some piece i whole that has
+    i edits before it (counted from 0) and at most k - i behind, so a match has
+    this piece, moved by i places at most, and what is behind it differs in
+    length by k - i at most.  What meets is held to the distance.
 
     No documents are repeated per query; a blank query, which all documents
     match, is one row per document.  A null query is blank.
@@ -110,18 +120,11 @@ def search_many(docs: DataFrame, queries: DataFrame, query_id: str = "query_id",
         return texts.where(F.col("q") == "").join(blank, "q").select(query_id, key, "score")
     found = _found_runs(docs, key, sizes)
     runs = stored(found.select("n", "r").distinct(), "runs")
-    index = runs.select("n", "r", F.length("r").alias("_size"), F.posexplode(_grams(F.col("r"))).alias("_at", "gram"))
-    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_often"))
-    wanted = real.select("q", "n", "size", "k", F.posexplode(_grams(F.col("q"))).alias("_pos", "gram"))
-    rarest = Window.partitionBy("q").orderBy(F.coalesce("_often", F.lit(0)), "_pos")
-    prefix = stored(wanted.join(common, "gram", "left").withColumn("_rn", F.row_number().over(rarest)).where(
-        F.col("_rn") <= 2 * F.col("k") + 1).drop("_rn", "_often"), "prefix")
-    met = prefix.join(index, ["gram", "n"]).where(
-        (F.abs(F.col("_at") - F.col("_pos")) <= F.col("k")) & (F.abs(F.col("_size") - F.col("size")) <= F.col("k")))
-    pairs = met.select("q", "n", "r", "size", "k").distinct()
-    own = F.array_distinct(_grams(F.col("q")))
-    shared = F.size(F.array_intersect(own, _grams(F.col("r")))) >= F.size(own) - 2 * F.col("k")
-    near = computed(pairs.where(shared), ["q", "n", "r", "size", "k"], {"d": F.levenshtein("r", "q")}).where(F.col("d") <= F.col("k"))
+    pieces = stored(_pieces(real), "pieces")
+    longer = F.length("r") - F.col("size")
+    met = _index(runs, pieces).join(pieces, ["n", "place", "piece"]).where(
+        F.abs(longer - F.col("shift")) <= F.col("k") - F.col("i"))
+    near = computed(met, ["q", "n", "r", "size", "k"], {"d": F.levenshtein("r", "q")}).where(F.col("d") <= F.col("k")).distinct()
     best = found.join(stored(near.select("q", "n", "r", "size", "d"), "near"), ["n", "r"]).groupBy("q", key).agg(
         F.min(F.col("d") / F.col("size").cast("double")).alias("score"))
     if asked.where(F.col("size") == 0).count():

@@ -1,5 +1,10 @@
 """A table of queries against a loop over single ones."""
 
+import functools
+import random
+
+from pyspark.sql import DataFrame, functions as F
+
 from newsloom.operators import search
 
 
@@ -22,3 +27,27 @@ def test_search_many_of_nothing(spark):
     assert search.search_many(docs, queries.where("query_id = 2")).count() == 0
     assert search.search_many(docs, queries.limit(0)).count() == 0
     assert search.search_many(docs.limit(0), queries).count() == 0
+
+
+def test_search_many_finds_matches_that_share_no_pair_of_characters(spark):
+    """Texts of few characters, whatever the threshold: short queries may keep one character only."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcé ") for _ in range(n))
+    docs = spark.createDataFrame([(i, text(9), text(25), "xb " + text(40)) for i in range(30)],
+                                 "seq bigint, title string, summary string, content_text string")
+    texts = ["ab", *(text(n) for n in (2, 4, 7, 11))]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    for threshold in (0.3, 0.5):
+        got = sorted((x.query_id, x.seq, round(x.score, 9)) for x in search.search_many(docs, queries, threshold=threshold).collect())
+        loops = [search.fuzzy_search(docs, t, threshold).select(F.lit(i).alias("i"), "seq", "score") for i, t in enumerate(texts)]
+        want = sorted((x.i, x.seq, round(x.score, 9)) for x in functools.reduce(DataFrame.unionAll, loops).collect())
+        assert got == want and len(want) > 5
+
+
+def test_runs_are_told_apart_without_comparing_rows(spark):
+    """array_distinct compares structs pair by pair: a text of many words would take the square of its words."""
+    docs = spark.createDataFrame([(1, "a", "b", "a a b")], "seq bigint, title string, summary string, content_text string")
+    found = search._found_runs(docs, "seq", [{"n": 1, "low": 1, "high": 9}, {"n": 2, "low": 1, "high": 9}])
+    assert sorted((x.n, x.r) for x in found.collect()) == [(1, "a"), (1, "b"), (2, "a a"), (2, "a b")]
+    tree = found._jdf.queryExecution().analyzed().toString()
+    assert "array_distinct(concat(transform" not in tree
