@@ -211,6 +211,26 @@ def test_stream_dedup_over_two_runs(spark, tmp_path, dedup):
     assert seen == [2, 3]
 
 
+def test_stream_dedup_has_a_state_partition_per_core(spark, tmp_path):
+    """Every batch writes every partition of the state, so their number must not follow the session's."""
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    for given, want in ((4 * cores, cores), (2, min(2, cores))):
+        feeds_dir, out, state = (tmp_path / f"{n}{given}" for n in ("in", "out", "state"))
+        feeds_dir.mkdir()
+        (feeds_dir / "0.xml").write_text(document(item(1), item(2), item(2)))
+        spark.conf.set(name, str(given))
+        try:
+            entries = stream_feeds.new_items(stream_feeds.stream_entries(spark, str(feeds_dir)))
+            query = stream_feeds.append_to(entries, str(out), str(state))
+            assert spark.conf.get(name) == str(given)
+        finally:
+            spark.conf.set(name, before)
+        query.awaitTermination()
+        states = [s["numShufflePartitions"] for p in query.recentProgress for s in p["stateOperators"]]
+        assert set(states) == {want} and spark.read.parquet(str(out)).count() == 2
+
+
 def test_stream_counts_equal_batch_counts(spark, tmp_path):
     landed_at, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [(NOW + dt.timedelta(hours=7 * i), f"s{i % 3}") for i in range(40)]
