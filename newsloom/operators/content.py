@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsloom import settings
 from newsloom.functions.bind import computed
 from newsloom.functions.text import strip_ws, truncate_html, xml_escape
-from newsloom.operators.nodes import html_nodes, is_element
+from newsloom.operators.nodes import is_element, packed_nodes, unpacked
 from newsloom.operators.prune import in_order, node_markup, prune_nodes, rebuild
 from newsloom.session import stored
 
@@ -16,14 +16,29 @@ def _joined(nodes: str, field: str, sep: str) -> Column:
     return F.array_join(F.transform(nodes, lambda n: n[field]), sep)
 
 
+_TEXT = ("ord", "tag", "text", "block", "in_link")
+_MARKUP = ("ord", "kind", "before", "after", "text")
+_SCORED = ("ord", "end_ord", "elem", "kind", "tag", "before", "after", "text", "block", "in_link", "parent", "grand")
+
+
 def block_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
                   min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
     """(key, html, error): the text blocks of each page that are prose, or why the page cannot be read.
 
     Pages without enough prose have no row.
     """
-    nodes = html_nodes(pages, key, html, keep=[url], errors=True)
-    pruned = prune_nodes(nodes, [key], url, also=F.col("tag") == "head")
+    return _judged(pages, key, url, html, min_chars).where(F.col("html").isNotNull() | F.col("error").isNotNull()).select(
+        key, "html", "error")
+
+
+def _judged(pages: DataFrame, key: str, url: str, html: str, min_chars: int) -> DataFrame:
+    """(key, html, error, may_read): html and error as in `block_content`, for every page with a text.
+
+    `may_read` is false if the page has too little text in long blocks for
+    `readable_content`, which counts no other text.
+    """
+    nodes = packed_nodes(pages, key, html, [url], _TEXT, texts=True, errors=True)
+    pruned = unpacked(prune_nodes(nodes, [key], url, also=F.col("tag") == "head"))
     failed = F.col("kind") == "error"
     grouped = pruned.where((F.col("kind") == "text") | failed).groupBy(key, "block").agg(
         F.max("tag").alias("tag"), F.max(F.when(failed, F.col("text"))).alias("error"),
@@ -43,13 +58,18 @@ def block_content(pages: DataFrame, key: str = "page_id", url: str = "url", html
     block_html = F.concat(
         F.lit("<"), shown_tag, F.lit(">"), xml_escape(F.col("block_text")), F.lit("</"), shown_tag, F.lit(">")
     )
-    good = parts.where(((F.length("block_text") > 0) & long_enough & prose) | F.col("error").isNotNull())
-    whole = good.select(key, "ord", "error", block_html.alias("html"), F.col("block_text").alias("text")).groupBy(key).agg(
-        F.max("error").alias("error"), in_order(F.col("html"), "").alias("html"),
-        strip_ws(in_order(F.col("text"), " ")).alias("text"),
+    good = (F.length("block_text") > 0) & long_enough & prose & F.col("error").isNull()
+    shown = F.array_sort(F.collect_list(F.when(good, F.struct(
+        "ord", block_html.alias("html"), F.col("block_text").alias("text")))))
+    long_block = F.length("block_text") >= settings.BLOCK_MIN_CHARS
+    pages_of = parts.groupBy(key).agg(
+        F.max("error").alias("error"), shown.alias("shown"),
+        F.sum(F.when(long_block, F.length("block_text")).otherwise(0)).alias("long_text"),
     )
-    return whole.where((F.length("text") >= min_chars) | F.col("error").isNotNull()).select(
-        key, F.when(F.col("error").isNull(), F.col("html")).alias("html"), "error")
+    whole = computed(pages_of, [key, "error", "shown", "long_text"], {"text": strip_ws(_joined("shown", "text", " "))})
+    return whole.select(
+        key, F.when(F.col("error").isNull() & (F.length("text") >= min_chars), _joined("shown", "html", "")).alias("html"),
+        "error", (F.col("long_text") >= min_chars).alias("may_read"))
 
 
 def _words(c: Column, words: tuple[str, ...]) -> Column:
@@ -71,7 +91,8 @@ def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", h
     so_far = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     page, ends = Window.partitionBy(key), Window.partitionBy(key, "elem")
     block, target = Window.partitionBy(key, "block"), Window.partitionBy(key, "_target")
-    nodes = prune_nodes(html_nodes(pages, key, html, keep=[url]), [key], url, also=F.col("tag") == "head")
+    packed = packed_nodes(pages, key, html, [url], _SCORED)
+    nodes = unpacked(prune_nodes(packed, [key], url, also=F.col("tag") == "head"))
     text = F.when(F.col("kind") == "text", strip_ws(F.col("text"))).otherwise(F.lit(""))
     sized = computed(nodes, nodes.columns, {"_chars": F.length(text), "_commas": F.regexp_count(text, F.lit("[,;，、]"))})
 
@@ -116,7 +137,7 @@ def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", h
 def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
                     min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
     """(key, html): the first article with enough text; main elements count only on a page without article."""
-    nodes = html_nodes(pages, key, html, keep=[url])
+    nodes = packed_nodes(pages, key, html, [url], _MARKUP)
     page = Window.partitionBy(key)
     opened = F.when((F.col("kind") == "open") & (F.col("tag") == "article"), F.lit(1))
     mains = F.collect_set(F.when((F.col("kind") == "open") & (F.col("tag") == "main"), F.col("ord"))).over(page)
@@ -124,7 +145,7 @@ def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", ht
         F.coalesce(F.max(opened).over(page), F.lit(0)) == 1, F.array_except("within", mains)
     ).otherwise(F.col("within"))
     candidates = nodes.withColumn("within", own).withColumn("cand", F.explode("within"))
-    whole = rebuild(prune_nodes(candidates, [key, "cand"], url), [key, "cand"])
+    whole = rebuild(unpacked(prune_nodes(candidates, [key, "cand"], url)), [key, "cand"])
     best = whole.where(F.length("text") >= min_chars).groupBy(key).agg(F.min(F.struct("cand", "html")).alias("best"))
     return best.select(key, F.col("best.html").alias("html"))
 
@@ -138,9 +159,11 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     its pages once.  Pages without content give '' and no method; `error` says
     why a page cannot be read.
     """
-    blocks = stored(block_content(pages, key, url, html, min_chars), "blocks")
+    judged = stored(_judged(pages, key, url, html, min_chars), "blocks")
+    blocks = judged.where(F.col("html").isNotNull() | F.col("error").isNotNull()).drop("may_read")
     left = stored(pages.select(key, url, html).join(blocks.select(key), key, "left_anti"), "left")
-    readable = stored(readable_content(left, key, url, html, min_chars), "readable")
+    long_texts = left.join(judged.where(~F.col("may_read")).select(key), key, "left_anti")
+    readable = stored(readable_content(long_texts, key, url, html, min_chars), "readable")
     elements = element_content(left.join(readable.select(key), key, "left_anti"), key, url, html, min_chars)
     none = F.lit(None).cast("string")
     found = blocks.select(key, "html", F.when(F.col("error").isNull(), F.lit("blocks")).alias("method"), "error")

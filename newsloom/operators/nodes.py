@@ -13,10 +13,13 @@ from collections.abc import Sequence
 from html import escape
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from newsloom import settings
+
 # Elements without content, and elements that start a text block.
 VOID_TAGS = frozenset((
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -163,29 +166,90 @@ def _nodes_of(page: str) -> list[list]:
         return [[0, 0, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}", 0, False, (), None, None]]
 
 
-def _tokenise(html: str, out: pa.Schema):
+_RUN = 4096  # nodes in one run
+_SEPARATOR = "\0"  # between the texts of a run's nodes; a page that holds it is not packed
+#: Tags that rules look at.  An element of any other tag, without role, class and href, is in no rule's reach.
+_JUDGED = frozenset((*settings.REMOVED_TAGS, *settings.LINKY_TAGS, "a", "img", "head", *CANDIDATE_TAGS))
+_AT = {f.name: i for i, f in enumerate(NODE.fields)}
+
+
+def _joined(field: str) -> bool:
+    """Whether a run holds this field as one text; numbers and flags are arrays."""
+    return isinstance(NODE[field].dataType, T.StringType)
+
+
+def _packed(found: list[list], part: list[list], texts: bool) -> list[list]:
+    """Rows of a part of a page, with what no rule can part as one row of kind run that holds its nodes.
+
+    A node is removed with an element around it, so nodes go together unless a
+    judged element begins or ends between them.  With `texts`, a run holds
+    only its texts, and one without text is left out.
+    """
+    role, cls, href, tag, kind, elem = (_AT[n] for n in ("role", "class", "href", "tag", "kind", "elem"))
+    rows, run = [], []
+
+    def close():
+        inner = [r for r in run if r[kind] == "text"] if texts else list(run)
+        if inner:
+            first = run[0]
+            row = [None] * len(NODE.fields)
+            row[_AT["ord"]] = row[elem] = first[_AT["ord"]]
+            row[_AT["end_ord"]], row[kind], row[_AT["within"]] = run[-1][_AT["ord"]], "run", first[_AT["within"]]
+            rows.append([*row, inner])
+        run.clear()
+
+    for r in part:
+        free = r[kind] in ("text", "raw", "comment")
+        if not free and r[kind] != "error":
+            own = found[r[elem]]
+            free = own[tag] not in _JUDGED and not own[role] and not own[cls] and own[href] is None
+        if not free or len(run) == _RUN:
+            close()
+        if free:
+            run.append(r)
+        else:
+            rows.append([*r, ()])
+    close()
+    return rows
+
+
+def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] = (), texts: bool = False):
     """Pages to nodes, in batches of bounded size however many nodes a page has."""
+    def column(values, field):
+        return pa.array(values, _ARROW_TYPES[NODE[field].dataType.typeName()])
+
+    def held(runs, field):
+        at = _AT[field]
+        if _joined(field):
+            return pa.array([_SEPARATOR.join([x[at] or "" for x in run]) for run in runs], pa.string())
+        ends = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, column([x[at] for run in runs for x in run], field))
+
     def batch_of(source, rows, places):
         kept = [source.column(n).take(pa.array(places)) for n in source.schema.names if n != html]
-        own = [
-            pa.array([r[i] for r in rows], _ARROW_TYPES[f.dataType.typeName()]) for i, f in enumerate(NODE.fields)
-        ]
+        own = [column([r[i] for r in rows], f.name) for i, f in enumerate(NODE.fields)]
+        if inner:
+            own.append(pa.StructArray.from_arrays([held([r[-1] for r in rows], n) for n in inner], list(inner)))
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *own], out)], schema=out)
 
     def run(batches):
         for source in batches:
-            rows, places = [], []
+            rows, places, size = [], [], 0
             pages = source.column(html)
             for place in range(len(pages)):
                 page = pages[place].as_py()
                 found = _nodes_of(page) if page else []
                 for k in range(0, len(found), _CHUNK):
                     part = found[k:k + _CHUNK]
-                    rows += part
-                    places += [place] * len(part)
-                    if len(rows) >= _CHUNK:
+                    size += len(part)
+                    made = part
+                    if inner:
+                        made = [[*r, ()] for r in part] if _SEPARATOR in page else _packed(found, part, texts)
+                    rows += made
+                    places += [place] * len(made)
+                    if size >= _CHUNK:
                         yield batch_of(source, rows, places)
-                        rows, places = [], []
+                        rows, places, size = [], [], 0
             if rows:
                 yield batch_of(source, rows, places)
 
@@ -200,6 +264,19 @@ def _parts(pages: DataFrame, html: str) -> int:
     return max(least, -(-size // _PART_BYTES))
 
 
+def _dealt(pages: DataFrame, key: str, html: str, keep: Sequence[str], errors: bool, inner: Sequence[str] = (),
+           texts: bool = False) -> DataFrame:
+    source = pages.select(key, *keep, html)
+    fields = [*(f for f in source.schema if f.name != html), *NODE.fields]
+    if inner:
+        fields.append(T.StructField("inner", T.StructType([
+            T.StructField(n, T.StringType() if _joined(n) else T.ArrayType(NODE[n].dataType)) for n in inner])))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    work = _tokenise(html, to_arrow_schema(schema), inner, texts)
+    nodes = source.mapInArrow(work, schema).repartition(_parts(source, html), key)
+    return nodes if errors else nodes.where(F.col("kind") != "error")
+
+
 def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = (),
                errors: bool = False) -> DataFrame:
     """One row per node, dealt by page over tasks whose number follows the size of the pages; `key` must be unique per page.
@@ -207,11 +284,44 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
     A page that cannot be tokenised has no nodes; with `errors`, it has one
     row of kind error whose text is the reason.
     """
-    source = pages.select(key, *keep, html)
-    fields = [*(f for f in source.schema if f.name != html), *NODE.fields]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    nodes = source.mapInArrow(_tokenise(html, to_arrow_schema(schema)), schema).repartition(_parts(source, html), key)
-    return nodes if errors else nodes.where(F.col("kind") != "error")
+    return _dealt(pages, key, html, keep, errors)
+
+
+def packed_nodes(pages: DataFrame, key: str, html: str, keep: Sequence[str], fields: Sequence[str], texts: bool = False,
+                 errors: bool = False) -> DataFrame:
+    """As `html_nodes`, but nodes that pruning can only remove together are one row of kind run: what is shuffled
+    and pruned follows the page's links and containers, not its words.
+
+    Column `inner` holds the given fields of a run's nodes, with `texts` those
+    of its texts only; `unpacked` gives them rows of their own again.
+    """
+    return _dealt(pages, key, html, keep, errors, fields, texts)
+
+
+def of_run(nodes: DataFrame, field: str) -> Column:
+    """One field of the nodes of a run, as an array."""
+    if field not in nodes.schema["inner"].dataType.names:  # only texts are held
+        return F.transform(of_run(nodes, "text"), lambda _: F.lit("text"))
+    return F.split(F.col("inner")[field], _SEPARATOR) if _joined(field) else F.col("inner")[field]
+
+
+def unpacked(nodes: DataFrame) -> DataFrame:
+    """The nodes of runs as rows, all others as they are; in their task, no shuffle.  Fields that a run lacks are null."""
+    held = nodes.schema["inner"].dataType.names
+    own = [f for f in NODE.fields if f.name != "within"]
+
+    def field(node, f):
+        if f.name in held:
+            return node[f"_{f.name}"].alias(f.name)
+        return F.lit("text" if f.name == "kind" else None).cast(f.dataType).alias(f.name)
+
+    split = nodes.withColumns({f"_{n}": of_run(nodes, n) for n in held})
+    each = F.when(
+        F.col("kind") == "run",
+        F.transform(F.arrays_zip(*(f"_{n}" for n in held)), lambda x: F.struct(*(field(x, f) for f in own))),
+    ).otherwise(F.array(F.struct(*(F.col(f.name) for f in own))))
+    rest = [c for c in nodes.columns if c != "inner" and c not in {f.name for f in own}]
+    return split.select(*rest, F.inline(each))
 
 
 def is_element() -> Column:

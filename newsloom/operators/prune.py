@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsloom import settings
 from newsloom.functions.text import strip_ws, xml_escape
 from newsloom.functions.urls import resolve_url
-from newsloom.operators.nodes import drop_subtrees, is_element
+from newsloom.operators.nodes import drop_subtrees, is_element, of_run
 
 
 def blocked_tag() -> Column:
@@ -34,6 +34,12 @@ def image() -> Column:
     return F.col("tag") == "img"
 
 
+def _chars_of_run(nodes: DataFrame) -> Column:
+    sizes = F.zip_with(of_run(nodes, "text"), of_run(nodes, "kind"),
+                       lambda text, kind: F.when(kind == "text", F.length(strip_ws(text))).otherwise(0))
+    return F.aggregate(sizes, F.lit(0), lambda n, size: n + F.when(size > 0, size + 1).otherwise(0))
+
+
 def drop_linky(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove lists and divs that are mostly links.
 
@@ -45,11 +51,14 @@ def drop_linky(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = Window.partitionBy(*keys, "elem")
     size = F.length(strip_ws(F.col("text")))
+    # each text piece and one space after it
+    chars = F.when((F.col("kind") == "text") & (size > 0), size + 1)
+    if "inner" in nodes.columns:  # packed nodes
+        chars = F.when(F.col("kind") == "run", _chars_of_run(nodes)).otherwise(chars)
     counted = nodes.withColumn(
         "_links", F.count_if((F.col("kind") == "open") & (F.col("tag") == "a")).over(so_far)
     ).withColumn(
-        # each text piece and one space after it
-        "_chars", F.coalesce(F.sum(F.when((F.col("kind") == "text") & (size > 0), size + 1)).over(so_far), F.lit(0))
+        "_chars", F.coalesce(F.sum(chars).over(so_far), F.lit(0))
     )
     held = counted.withColumn("_links", F.max("_links").over(ends) - F.min("_links").over(ends)).withColumn(
         "_chars", F.max("_chars").over(ends) - F.min("_chars").over(ends) - 1

@@ -179,6 +179,42 @@ def test_nodes_are_dealt_over_more_tasks_for_more_pages(spark, monkeypatch):
     assert (tasks(100), tasks(400)) == (50, 200)
 
 
+PACKED = [
+    "<article><p>one</p><p>two <b>three</b></p><nav>x</nav>&lt;four&gt;<br><!-- c --><script>a<b</script></article>tail <main>m</main>",
+    "<div>" + "<a href='#t'>own</a><a href='/l'>l</a>" * 6 + "<p>" + "y" * 200 + "</p> \t </div><ul><li>q<li class=''>r</ul>",
+    "<p>nul\0inside</p><h2 role=banner>b</h2><head><title>t</title></head><link href=x><i class=share>s</i><em>e",
+    "<div><p></p></div><a>1</a>" * 7, "", "plain", None, "<p>" + "w</p><p>" * 300,
+]
+
+
+@pytest.mark.parametrize("run", [4096, 3])
+def test_packed_nodes_are_pruned_as_single_ones(spark, monkeypatch, run):
+    monkeypatch.setattr(nodes, "_RUN", run)
+    df = spark.createDataFrame([(i, "https://ex.org/a/", p) for i, p in enumerate(PACKED)], "page_id int, url string, html string")
+    plain = prune.prune_nodes(nodes.html_nodes(df, keep=["url"]), KEYS)
+    packed = nodes.packed_nodes(df, "page_id", "html", ["url"], content._SCORED)
+    back = nodes.unpacked(prune.prune_nodes(packed, KEYS))
+    assert "inner" not in back.columns and packed.count() < nodes.html_nodes(df).count()
+
+    def rows(found, *columns):
+        shown = [F.coalesce(F.col(c), F.lit("")) if c in ("tag", "before", "after", "text") else F.col(c) for c in columns]
+        return sorted(map(tuple, found.select("page_id", "url", "within", "href", *shown).collect()), key=str)
+
+    assert rows(back, *content._SCORED) == rows(plain, *content._SCORED)
+    texts = nodes.unpacked(prune.prune_nodes(nodes.packed_nodes(df, "page_id", "html", ["url"], content._TEXT, texts=True), KEYS))
+    assert rows(texts.where("kind = 'text'"), *content._TEXT) == rows(plain.where("kind = 'text'"), *content._TEXT)
+
+
+def test_words_that_are_paragraphs_are_not_shuffled_one_by_one(spark):
+    """Three nodes a word made the shuffle many times as large as the pages."""
+    page = "<body><article><p>" + "word</p><p>" * 3000 + "</p></article></body>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string")
+    for fields, texts in ((content._TEXT, True), (content._MARKUP, False)):
+        assert nodes.packed_nodes(df, "page_id", "html", ["url"], fields, texts).count() <= 10
+    got = content.main_content(df).first()
+    assert got.method == "element" and got.content_html.startswith("<article><p>word</p><p>word</p>")
+
+
 def test_html_nodes_of_no_pages(spark):
     df = spark.createDataFrame([(1, "u", None)], "page_id int, url string, html string")
     assert nodes.html_nodes(df).count() == nodes.html_nodes(df.limit(0)).count() == 0
