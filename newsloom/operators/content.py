@@ -34,8 +34,8 @@ def block_content(pages: DataFrame, key: str = "page_id", url: str = "url", html
 def _judged(pages: DataFrame, key: str, url: str, html: str, min_chars: int) -> DataFrame:
     """(key, html, error, may_read): html and error as in `block_content`, for every page with a text.
 
-    `may_read` is false if the page has too little text in long blocks for
-    `readable_content`, which counts no other text.
+    `may_read` is false if the page has no long block: `readable_content`
+    counts no other text.
     """
     nodes = packed_nodes(pages, key, html, [url], _TEXT, texts=True, errors=True)
     pruned = unpacked(prune_nodes(nodes, [key], url, also=F.col("tag") == "head"))
@@ -61,15 +61,14 @@ def _judged(pages: DataFrame, key: str, url: str, html: str, min_chars: int) ->
     good = (F.length("block_text") > 0) & long_enough & prose & F.col("error").isNull()
     shown = F.array_sort(F.collect_list(F.when(good, F.struct(
         "ord", block_html.alias("html"), F.col("block_text").alias("text")))))
-    long_block = F.length("block_text") >= settings.BLOCK_MIN_CHARS
     pages_of = parts.groupBy(key).agg(
         F.max("error").alias("error"), shown.alias("shown"),
-        F.sum(F.when(long_block, F.length("block_text")).otherwise(0)).alias("long_text"),
+        F.max(F.length("block_text") >= settings.BLOCK_MIN_CHARS).alias("may_read"),
     )
-    whole = computed(pages_of, [key, "error", "shown", "long_text"], {"text": strip_ws(_joined("shown", "text", " "))})
+    whole = computed(pages_of, [key, "error", "shown", "may_read"], {"text": strip_ws(_joined("shown", "text", " "))})
     return whole.select(
         key, F.when(F.col("error").isNull() & (F.length("text") >= min_chars), _joined("shown", "html", "")).alias("html"),
-        "error", (F.col("long_text") >= min_chars).alias("may_read"))
+        "error", "may_read")
 
 
 def _words(c: Column, words: tuple[str, ...]) -> Column:

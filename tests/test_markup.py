@@ -215,6 +215,12 @@ def test_words_that_are_paragraphs_are_not_shuffled_one_by_one(spark):
     assert got.method == "element" and got.content_html.startswith("<article><p>word</p><p>word</p>")
 
 
+def test_long_blocks_of_a_repeated_page_count_as_often(spark):
+    page = "<body><div><p>" + "forty letters, " * 2 + "some more.</p></div></body>"
+    df = spark.createDataFrame([(1, "u", page)] * 2, "page_id int, url string, html string")
+    assert {r.method for r in content.main_content(df).collect()} == {"readability"}
+
+
 def test_html_nodes_of_no_pages(spark):
     df = spark.createDataFrame([(1, "u", None)], "page_id int, url string, html string")
     assert nodes.html_nodes(df).count() == nodes.html_nodes(df.limit(0)).count() == 0
