@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.llm.common import named, per_batch, stored, text_of
 from newsloom.llm.components import components
-from newsloom.session import broadcast_limit, materialise
+from newsloom.session import materialise
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -233,8 +233,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     """One whole row of each component: the least id, then the least text hash; rows without an id only if alone.
 
     Most rows stay, so only the names of those that go are joined to the
-    documents: by a broadcast of checked size, beyond it by a hashed join whose
-    build side they are.  No text is sorted.
+    documents, at every size by a hashed join whose build side they are: the
+    documents are shuffled once and no text is sorted, so what the join writes
+    follows the documents, and nothing is broadcast that grows with them.
     """
     key = named(id_col).cast("bigint")
     hashed = (F.xxhash64(text_of(f"`{text}`")), F.xxhash64(F.lit(1), text_of(f"`{text}`")))
@@ -248,8 +249,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     out = counted.where("not stays or n > 1").select("_a", "_b")
     rows = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), hashed[0].alias("_a"),
                        F.xxhash64(hashed[1], key.isNull(), F.coalesce(key, F.lit(0).cast("bigint"))).alias("_b"))
-    small = 16 * counted.where("not stays or n > 1").count() <= broadcast_limit(docs.sparkSession)
-    left = rows.join(F.broadcast(out) if small else out.hint("shuffle_hash"), ["_a", "_b"], "left_anti").select("_row.*")
+    left = rows.join(out.hint("shuffle_hash"), ["_a", "_b"], "left_anti").select("_row.*")
     same = counted.where("stays and n > 1").select("_a", "_b")
     if same.limit(1).count():  # rows of one id and text: the first by what else they hold, found by partial minima
         first = rows.join(same, ["_a", "_b"], "left_semi").groupBy("_a", "_b").agg(

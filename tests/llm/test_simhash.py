@@ -111,6 +111,23 @@ def test_keep_one_of_each_component_whatever_the_ids(spark):
         assert sorted(r.text for r in kept) == [b, a], rows
 
 
+def test_keep_one_joins_alike_at_every_size(spark):
+    """A join that changes with the number of rows that go makes the shuffle grow faster than the documents."""
+    df = spark.createDataFrame([(i, f"text number {i % 7} with some words of its own {i % 7}") for i in range(40)], "doc_id bigint, text string")
+    kept = simhash.keep_one(df)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "LeftAnti" in plan and "BroadcastExchange" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({min(r) for r in plain_classes(df)})
+
+
+def plain_classes(df):
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in df.collect()]
+    classes = {}
+    for (i, _), c in zip(rows, plain_components(rows)):
+        classes.setdefault(c, []).append(i)
+    return classes.values()
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()]
