@@ -11,7 +11,7 @@ from newsloom.functions.text import summary_backfill
 from newsloom.operators.content import main_content
 from newsloom.operators.links import discovered_feeds, page_links, selector_supported
 from newsloom.operators.select import arrival_seq
-from newsloom.session import stored
+from newsloom.session import dealt, stored
 from newsloom.sources.feeds import read_entries, usable
 
 FEED, DISCOVERED, LINKS = 0, 1, 2  # order of the strategies
@@ -80,9 +80,14 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
     An explicit feed is final even when it is empty; a homepage gives its
     discovered feeds if they have any item, else its links.  Every feed
     document is parsed once: its entries, readable or not, are written, and
-    items and errors are both read from there.
+    items and errors are both read from there.  Stored bodies are few bytes but
+    much work, and the files of one strategy lie together, so documents and
+    pages are dealt over tasks by their text before they are read.
     """
     chosen = stored(routes(registry, landed), "routes")
+    sizes = landed.where(F.col("status") == 200).groupBy((F.col("strategy") == "homepage").alias("home")).agg(
+        F.sum(F.octet_length("body")).alias("n"))
+    size = {r["home"]: r["n"] or 0 for r in sizes.collect()}  # two rows: of pages, of feeds
     bodies = landed.where((F.col("status") == 200) & (F.col("strategy") != "discovered")).select(
         "source", "strategy", "body"
     )
@@ -97,14 +102,15 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
         .join(homed, "source")
     )
     open_homes = homes.where(F.col("route") == "homepage").select("source_ord", "source", "homepage", "html")
-    announced = discovered_feeds(open_homes, base="homepage").select("source_ord", "source", "feed_ord", "feed_url")
+    announced = discovered_feeds(dealt(open_homes, size.get(True, 0), "source_ord", "html"), base="homepage").select("source_ord", "source", "feed_ord", "feed_url")
     answers = landed.where((F.col("status") == 200) & (F.col("strategy") == "discovered")).select(
         "source", F.col("url").alias("feed_url"), "body"
     )
     discovered = announced.join(answers, ["source", "feed_url"]).select(
         "source_ord", "source", F.lit(DISCOVERED).alias("strategy_ord"), "feed_ord", "body"
     )
-    entries = stored(read_entries(feeds.unionByName(discovered), zone=zone), "entries")
+    documents = dealt(feeds.unionByName(discovered), size.get(False, 0), "source_ord", "body")
+    entries = stored(read_entries(documents, zone=zone), "entries")
     # one unusable address fails a whole explicit feed
     broken = entries.where(
         (F.col("strategy_ord") == FEED) & ~F.col("corrupt") & F.col("bad_url") & (F.length("url") > 0)
@@ -113,7 +119,7 @@ def acquire(registry: DataFrame, landed: DataFrame, zone: str = settings.DEFAULT
     found = entries.where(usable() & (F.col("strategy_ord") == DISCOVERED)).select("source").distinct()
     linkless = homes.join(found, "source", "left_anti")
     linked = linkless.where(selector_supported(F.col("selector")))
-    links = page_links(linked, base="homepage", selector=F.col("selector")).select(
+    links = page_links(dealt(linked, size.get(True, 0), "source_ord", "html"), base="homepage", selector=F.col("selector")).select(
         "source_ord", "source", "entry_ord", "title", F.col("url_out").alias("url"),
         F.lit("").alias("summary"), F.lit(None).cast("timestamp").alias("published_at"),
         F.lit(LINKS).alias("strategy_ord"), F.lit(0).cast("bigint").alias("feed_ord"),

@@ -19,6 +19,7 @@ def ship_package() -> None:
 
 
 _SPREAD_TASKS = 64
+_DEALT_BYTES = 4 << 20  # of texts that one task works on
 _scratch: list[str] = []  # what this session has written and not removed
 
 
@@ -125,3 +126,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = min(df.sparkSession.sparkContext.defaultParallelism, _SPREAD_TASKS)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def dealt(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Rows with texts that are costly to work on, dealt evenly over tasks: one per _DEALT_BYTES, at least one per core.
+
+    `size` is the number of bytes of the texts.  The files of a scan say little
+    about the work in them: texts that are alike take hardly any room.  `keys`
+    must tell rows apart, so that no task gets many of them.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // _DEALT_BYTES))
+    return df.repartition(tasks, *keys)

@@ -175,6 +175,27 @@ def test_daily_run(spark, tmp_path):
     assert s.articles_collected == 5 and s.cache_entries == 3 and s.errors == len(errors)
 
 
+def test_landed_bodies_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    """Bodies take few bytes in a file, so the files of a table say little about the work in them."""
+    fields = "source_ord long, name string, feed string, homepage string, selector string, fallback_statuses array<int>"
+    table = spark.createDataFrame([
+        (k, f"s{k}", "f" if k % 2 else None, None if k % 2 else f"https://s{k}.org/", None, []) for k in range(40)], fields)
+    rows = [(f"s{k}", "feed", "f", 200, document(item(k)), None) if k % 2 else
+            (f"s{k}", "homepage", "h", 200, f"<a href='/n/{k}?x#y'>L{k}</a>", None) for k in range(40)]
+    landed(spark, rows).coalesce(1).write.parquet(str(tmp_path / "landed"))
+    got = acquire(table, spark.read.parquet(str(tmp_path / "landed")))
+    assert {r.url for r in got.items.collect()} == {
+        f"https://fed.org/{k}" if k % 2 else f"https://s{k}.org/n/{k}" for k in range(40)}
+    assert len([f for f in got.items.inputFiles() if "/entries-" in f]) > 1
+    homes = got.items.where("url NOT LIKE 'https://fed%'")
+    assert homes.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize("size, tasks", [(0, 8), (session._DEALT_BYTES * 20 + 1, 21)])
+def test_tasks_follow_the_bytes(spark, size, tasks):
+    assert session.dealt(spark.range(3), size, "id").rdd.getNumPartitions() == max(tasks, spark.sparkContext.defaultParallelism)
+
+
 def test_documents(spark, tmp_path):
     _, out = run(spark, tmp_path)
     path = str(tmp_path / "latest")
