@@ -91,9 +91,11 @@ class FlatEncoder:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded, first = lists.values.dictionary_encode(), lists.offsets.to_numpy()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # behind a first cut, an empty one or one that begins with white space is no safe cut
-        unsafe = np.array([w[:1].isspace() or not w for w in words])
+        initials = pc.utf8_slice_codeunits(coded.dictionary, 0, 1).dictionary_encode()
+        blank = np.array([not c or c.isspace() for c in initials.dictionary.to_pylist()], bool)
+        unsafe = blank[initials.indices.to_numpy()]
         odd = np.zeros(len(texts), bool)
         if unsafe.any():
             hit = unsafe[codes]
@@ -124,7 +126,9 @@ class FlatEncoder:
         codes[first[:-1]] = d + own
         counts = np.diff(first)
         if odd.any():
-            codes = codes[~np.repeat(odd, counts) | np.isin(np.arange(len(codes)), first[:-1])]
+            stays = ~np.repeat(odd, counts)
+            stays[first[:-1]] = True
+            codes = codes[stays]
             counts = np.where(odd, 1, counts)
             codes[(np.cumsum(counts) - counts)[odd]] = d + len(heads) + np.arange(len(others))
         codes = np.insert(codes, np.cumsum(counts), len(start) - 1)

@@ -197,7 +197,8 @@ def _library(path: str) -> FlatEncoder:
         kept: dict[str, bytes] = {}
 
         def by_part(cuts):
-            parts = [_SAFE.split(c) for c in cuts]
+            # a space and letters behind it hold no such place
+            parts = [[c] if c[1:].isalpha() and c[0] == " " else _SAFE.split(c) for c in cuts]
             new = list(set(chain.from_iterable(parts)).difference(kept))
             made = dict(zip(new, library(new)))
             out = [b"".join([made[x] if x in made else kept[x] for x in p]) for p in parts]

@@ -126,3 +126,32 @@ def test_ids_of_all_code_points():
             ids, lengths = encoder(texts, 7)
             assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
     assert [x.tolist() for x in encoder([], 7)] == [[], []]
+
+
+def test_only_cuts_with_other_signs_are_searched_for_parts(monkeypatch):
+    """A space and letters hold no place to part, so nothing is searched for in them."""
+    searched = []
+
+    class Pattern:
+        @staticmethod
+        def split(cut):
+            searched.append(cut)
+            return safe.split(cut)
+
+    safe = tokenids._SAFE
+    encode = tokenids._library(P.path("byte_bpe_50k.json")).encode
+    monkeypatch.setattr(tokenids, "_SAFE", Pattern)
+    cuts = [" zqword", " zqслово", " zqword,more", "zqfirst", " zq1", " ", ""]
+    got = encode(cuts)
+    assert searched == cuts[2:]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [list(memoryview(x).cast("I")) for x in got] == [library.encode(c, add_special_tokens=False).ids for c in cuts]
+
+
+def test_cuts_that_begin_with_any_blank():
+    library, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), FlatEncoder(tokenids._library(P.path("byte_bpe_50k.json")).encode, 2)
+    texts = [f"a {c}b c" for c in "\t\n\x0b\x1c\x85\xa0\u2003\u3000\u200b\ufeff"] + ["", " ", "  a", "a  ", "\xa0a b", "é x", " \u3000"]
+    ids, lengths = encoder(texts, 0)
+    ends = lengths.cumsum()
+    for text, end, n in zip(texts, ends, lengths):
+        assert ids[end - n:end].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
