@@ -36,12 +36,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
-def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[str] = ()) -> DataFrame:
-    """Python on Arrow batches: work(columns as lists) gives the new columns as lists.
+def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[str] = (),
+              arrays: bool = False) -> DataFrame:
+    """Python on Arrow batches: work(columns as lists) gives the new columns as lists, or as Arrow arrays.
 
     Spark bounds a batch by rows and by bytes; it is worked on in slices of about
     SLICE_BYTES, so that lists of texts stay small.  With `reads`, only these columns become lists, and columns that
-    work does not make are passed on as they are.
+    work does not make are passed on as they are.  With `arrays`, work gets Arrow arrays instead of lists.
     """
     out = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
     reads, columns = list(reads or df.columns), df.columns
@@ -52,9 +53,10 @@ def per_batch(df: DataFrame, work, schema: str | T.StructType, reads: Sequence[s
             rows = max(1, int(SLICE_BYTES * batch.num_rows / max(batch.nbytes, 1)))
             for at in range(0, max(batch.num_rows, 1), rows):
                 given = dict(zip(columns, batch.slice(at, rows).columns))
-                made = step({name: given[name].to_pylist() for name in reads})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(made[f.name], f.type) if f.name in made else given[f.name] for f in out], schema=out)
+                made = step({name: given[name] if arrays else given[name].to_pylist() for name in reads})
+                made = {c: v.cast(out.field(c).type) if isinstance(v, pa.Array) else pa.array(v, out.field(c).type)
+                        for c, v in made.items() if c in out.names}
+                yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else given[f.name] for f in out], schema=out)
 
     # names with dots cannot be passed: columns go by their place
     return df.toDF(*(f"c{i}" for i in range(len(columns)))).mapInArrow(run, schema)

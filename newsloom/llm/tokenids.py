@@ -28,15 +28,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom.llm.common import per_batch, per_task, text_of
-from newsloom.llm.pieces import KEPT_LENGTH, FlatEncoder, worker_kept
+from newsloom.llm.pieces import FlatEncoder, text_bytes, worker_kept
 
 #: Fixed values of the coding: ids and bits per word, by selector; selector 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -44,8 +45,8 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _STEPS = COUNTS.astype(np.uint8)
 MAGIC = b"NS8B"
 BLOCK = 8192
-KEPT_CUTS = 300_000  # distinct cuts that a worker keeps, about 50 MB
-BATCH_CHARS = 8_000_000  # of texts encoded together
+KEPT_CUTS = 300_000  # distinct pieces that a worker keeps, about 15 MB
+BATCH_BYTES = 12_000_000  # of texts encoded together
 SEGMENT = 1 << 20
 
 
@@ -67,53 +68,46 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 
 def _selectors(bits: np.ndarray) -> np.ndarray:
     """At each place, the selector that takes the most of the ids from there on."""
-    n, best = len(bits), np.zeros(len(bits), np.uint8)
-    widest, reach = bits.copy(), 1  # widest id among the next `reach`
+    fits, widest, reach = np.zeros(len(bits), np.uint8), bits, 1  # widest id among the next `reach`
     for selector in range(len(COUNTS) - 1, 0, -1):
-        while reach < COUNTS[selector] and reach < n:
-            widest = np.maximum(widest[:-1], bits[reach:])
-            reach += 1
-        if reach < COUNTS[selector]:
+        more = COUNTS[selector] - reach  # never over `reach`
+        if more >= len(widest):
             break
-        best[:len(widest)][widest <= BITS[selector]] = selector
-    return best
+        if more:
+            widest, reach = np.maximum(widest[:-more], widest[more:]), COUNTS[selector]
+        # where a selector fits, so do those of fewer and wider ids
+        fits[:len(widest)] += widest <= BITS[selector]
+    return np.where(fits, len(COUNTS) - fits, 0).astype(np.uint8)
 
 
-def _pack_block(ids: np.ndarray, selectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escapes of one block."""
-    starts, at, step, n = [], 0, _STEPS[selectors].tobytes(), len(ids)
-    put = starts.append
+def pack(ids: Sequence[int] | np.ndarray) -> bytes:
+    """A segment of the ids."""
+    ids = np.asarray(ids, np.uint64)
+    blocks = np.arange(0, len(ids) + BLOCK, BLOCK) if len(ids) else np.zeros(1, np.int64)
+    selectors = [_selectors(_bits(ids[k:k + BLOCK])) for k in blocks[:-1]]
+    selectors = np.concatenate([*selectors, np.zeros(0, np.uint8)])
+    # no word reaches over the end of its block
+    at, step, n, begins = 0, _STEPS[selectors].tobytes(), len(ids), bytearray(len(ids))
     while at < n:
-        put(at)
+        begins[at] = 1
         at += step[at]
-    starts = np.array(starts, np.int64)
-    chosen = selectors[starts]
+    starts = np.flatnonzero(np.frombuffer(begins, np.uint8))
+    chosen, word_at = selectors[starts], np.searchsorted(starts, blocks)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(chosen):
+    for s in np.flatnonzero(np.bincount(chosen, minlength=1)):
         which = np.flatnonzero(chosen == s)
         if s == 0:
-            words[which] |= np.arange(len(which), dtype=np.uint64)
-            escapes = ids[starts[which]]
+            before = np.searchsorted(which, word_at)
+            words[which] |= (np.arange(len(which)) - np.repeat(before[:-1], np.diff(before))).astype(np.uint64)
             continue
-        shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])
-        group = ids[starts[which][:, None] + np.arange(COUNTS[s])] << shifts
-        words[which] |= np.bitwise_or.reduce(group, axis=1)
-    return words, escapes if 0 in chosen else np.empty(0, np.uint64)
-
-
-def pack(ids: Sequence[int] | np.ndarray) -> bytes:
-    """A segment of the ids."""
-    ids = np.asarray(ids, np.uint64)
-    words, escapes = [], []
-    for k in range(0, len(ids), BLOCK):
-        block = ids[k:k + BLOCK]
-        w, e = _pack_block(block, _selectors(_bits(block)))
-        words.append(w)
-        escapes.append(e)
-    ends = lambda parts: np.cumsum([0, *map(len, parts)]).astype("<u4").tobytes()
-    head = MAGIC + np.uint32(len(words)).tobytes() + np.uint64(len(ids)).tobytes()
-    body = [np.concatenate(p).astype("<u8").tobytes() if p else b"" for p in (words, escapes)]
-    return b"".join([head, ends(words), ends(escapes), *body])
+        first, packed = starts[which], np.zeros(len(which), np.uint64)
+        for k in range(COUNTS[s]):
+            packed |= ids[first + k] << np.uint64(k * BITS[s])
+        words[which] |= packed
+    escapes = starts[chosen == 0]
+    head = MAGIC + np.uint32(len(blocks) - 1).tobytes() + np.uint64(len(ids)).tobytes()
+    tables = [x.astype("<u4").tobytes() for x in (word_at, np.searchsorted(escapes, blocks))]
+    return b"".join([head, *tables, words.astype("<u8").tobytes(), ids[escapes].astype("<u8").tobytes()])
 
 
 def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -148,21 +142,60 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 _SEPARATOR = "\t"
 _JOINED = 4096  # parts in one text for the library
-KEPT_PARTS = 600_000  # distinct parts that a worker keeps, about 120 MB
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Where a match of the ByteLevel split surely ends: behind a letter before an ASCII character that is none,
 #: behind a single line end before a letter, and behind a sign before a line end.
 _SAFE = re.compile(rf"(?<=[{_LETTER}])(?=[\x00-@\[-`{{-\x7f])|(?<=\S\n)(?=[{_LETTER}])|(?<=[!-/:-@\[-`{{-~])(?=\n)")
 
 
-def _library(path: str) -> FlatEncoder:
-    """The tokenizers library behind the cuts.
+def _byte_signs() -> list[str]:
+    """The character by which a ByteLevel tokenizer writes each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = sorted(set(range(256)).difference(shown))
+    return [chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)]
 
-    A ByteLevel tokenizer never merges across the places of _SAFE, so the parts
-    between them are asked for once, and a tab behind a part, before a space or
-    none, is a match of its own: parts without tabs, and without white space
-    around them but one space before, are encoded as one text with tabs between
-    them.  The others, and the cuts of any other tokenizer, go one by one.
+
+def _matches(tokenizer) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None:
+    """The tokenizer's model on pieces that are one match of the ByteLevel split each; None if it may leave bytes out.
+
+    The tokens of a match are its bytes, so the ids of many matches are told
+    apart by the lengths of their tokens.
+    """
+    from tokenizers import Tokenizer
+
+    model, vocabulary, signs = tokenizer.model, tokenizer.get_vocab(with_added_tokens=False), _byte_signs()
+    if type(model).__name__ != "BPE" or not vocabulary.keys() >= set(signs) or (
+            model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix):
+        return None
+    lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, k in vocabulary.items():
+        lengths[k] = len(token)
+    alone, written = Tokenizer(model), dict(enumerate(signs))
+
+    def matches(pieces):
+        raw = _SEPARATOR.join(pieces).encode().decode("latin-1").translate(written).split(signs[ord(_SEPARATOR)])
+        groups = [raw[k:k + _JOINED] for k in range(0, len(raw), _JOINED)]
+        coded = alone.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in coded])
+        done = np.cumsum(lengths[ids])
+        ends = np.searchsorted(done, np.cumsum([*map(len, raw)])) + 1
+        if len(raw) != len(pieces) or ends[-1] != len(ids):
+            raise ValueError("the tokens of a match are not its bytes")
+        return ids, np.diff(ends, prepend=0)
+
+    return matches
+
+
+def _library(path: str) -> FlatEncoder:
+    """The tokenizers library behind the pieces.
+
+    Pieces that are surely one match of the ByteLevel split go to the library's
+    model, many at once.  The others are split by the library: it never merges
+    across the places of _SAFE, so the parts between them are asked for once,
+    and a tab behind a part, before a space or none, is a match of its own: parts
+    without tabs, and without white space around them but one space before, are
+    encoded as one text with tabs between them.  What is left, and the cuts of
+    any other tokenizer, go one by one.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 
@@ -194,19 +227,16 @@ def _library(path: str) -> FlatEncoder:
                     out[k] = raw[a:b]
             return out
 
-        kept: dict[str, bytes] = {}
-
         def by_part(cuts):
             # a space and letters behind it hold no such place
-            parts = [[c] if c[1:].isalpha() and c[0] == " " else _SAFE.split(c) for c in cuts]
-            new = list(set(chain.from_iterable(parts)).difference(kept))
-            made = dict(zip(new, library(new)))
-            out = [b"".join([made[x] if x in made else kept[x] for x in p]) for p in parts]
-            kept.update((c, made[c]) for c in new[:max(0, KEPT_PARTS - len(kept))] if len(c) <= KEPT_LENGTH)
-            return out
+            several = {k: _SAFE.split(c) for k, c in enumerate(cuts) if not (c[1:].isalpha() and c[0] == " ")}
+            several = {k: parts for k, parts in several.items() if len(parts) > 1}
+            more = list(set(chain.from_iterable(several.values())))
+            made = library([c for k, c in enumerate(cuts) if k not in several] + more)
+            ids, others = dict(zip(more, made[len(cuts) - len(several):])), iter(made)
+            return [b"".join(map(ids.__getitem__, several[k])) if k in several else next(others) for k in range(len(cuts))]
 
-        encode = by_part if plain else whole
-        return FlatEncoder(encode, KEPT_CUTS)
+        return FlatEncoder(by_part if plain else whole, KEPT_CUTS, _matches(tokenizer) if plain else None)
 
     return worker_kept(f"tokenizers:{path}", make)
 
@@ -218,15 +248,14 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
     """Encodes whole texts, end id behind each, and writes them as segments in ascending id."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     placed = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    def grouped(texts: list[str]):
+
+    def grouped(first: np.ndarray):
         """Ranges of texts that are encoded together."""
-        first = chars = 0
-        for k, text in enumerate(texts):
-            if chars and chars + len(text) > BATCH_CHARS:
-                yield first, k
-                first, chars = k, 0
-            chars += len(text)
-        yield first, len(texts)
+        a = 0
+        while a < len(first) - 1:
+            b = max(a + 1, int(np.searchsorted(first, first[a] + BATCH_BYTES, side="right")) - 1)
+            yield a, b
+            a = b
 
     @per_task
     def work():
@@ -234,23 +263,25 @@ def write_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text
 
         def step(batch):
             nonlocal seq, first
-            made = {c: [] for c in ("part", "seq", "first", "doc_ids", "lengths", "n_ids", "payload")}
-            for a, b in grouped(batch["text"]) if batch["text"] else ():
-                ids, lengths = encoder(batch["text"][a:b], end_id)
+            made, tops, sizes = {c: [] for c in ("part", "seq", "first", "n_ids", "payload")}, [0], [np.zeros(0, np.int64)]
+            for a, b in grouped(text_bytes(batch["text"])[1]):
+                ids, lengths = encoder(batch["text"].slice(a, b - a), end_id)
                 ends = np.cumsum(lengths)
                 k = at = 0
                 while k < len(ends):  # a segment ends with the document that fills it
                     last = min(int(np.searchsorted(ends, at + SEGMENT)), len(ends) - 1)
                     n = int(ends[last]) - at
-                    row = (part, seq, first, batch["doc_id"][a + k:a + last + 1], lengths[k:last + 1], n, pack(ids[at:at + n]))
-                    for c, v in zip(made, row):
-                        made[c].append(v)
+                    for c, v in zip(made.values(), (part, seq, first, n, pack(ids[at:at + n]))):
+                        c.append(v)
+                    tops.append(a + last + 1)
                     k, at, seq, first = last + 1, at + n, seq + 1, first + n
-            return made
+                sizes.append(lengths)
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(tops, pa.int32()), values)
+            return made | {"doc_ids": listed(batch["doc_id"]), "lengths": listed(pa.array(np.concatenate(sizes), pa.int64()))}
 
         return step
 
-    per_batch(placed, work, _SEGMENTS).write.parquet(out)
+    per_batch(placed, work, _SEGMENTS, arrays=True).write.parquet(out)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -264,18 +295,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         "doc_ids", "lengths", (F.col("part_start") + F.col("first")).alias("start"), "payload")
 
     def work(batch):
-        out = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
-        for docs, lengths, start, payload in zip(batch["doc_ids"], batch["lengths"], batch["start"], batch["payload"]):
-            raw, at = unpack(payload).astype("<u4"), 0
-            for doc, n in zip(docs, lengths):
-                out["doc_id"].append(doc)
-                out["start"].append(start + at)
-                out["n_tokens"].append(n)
-                out["ids"].append(raw[at:at + n].tobytes())
-                at += n
-        return out
-
-    return per_batch(placed, work, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+        lengths, docs = batch["lengths"].flatten().to_numpy(), np.diff(batch["lengths"].offsets.to_numpy())
+        ids = [unpack(payload).astype("<u4") for payload in batch["payload"].to_pylist()]
+        ends = np.cumsum(lengths)
+        # documents lie one behind the other in a segment, segments in a batch
+        before = np.cumsum([0, *map(len, ids)])[:-1]
+        begin = ends - lengths + np.repeat(batch["start"].to_numpy() - before, docs)
+        raw, bounds = np.concatenate([*ids, np.zeros(0, "<u4")]), np.concatenate([[0], 4 * ends])
+        if bounds[-1] != 4 * len(raw):
+            raise ValueError("segments do not hold the ids of their documents")
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(raw)]
+        return {"doc_id": batch["doc_ids"].flatten(), "start": begin, "n_tokens": lengths,
+                "ids": pa.Array.from_buffers(pa.large_binary(), len(lengths), buffers)}
+
+    return per_batch(placed, work, "doc_id bigint, start bigint, n_tokens bigint, ids binary", arrays=True)
 
 
 def id_digests(read: DataFrame) -> DataFrame:

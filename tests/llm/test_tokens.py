@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -155,3 +156,83 @@ def test_cuts_that_begin_with_any_blank():
     ends = lengths.cumsum()
     for text, end, n in zip(texts, ends, lengths):
         assert ids[end - n:end].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_opening_cuts_are_kept_too():
+    asked = []
+    encoder = FlatEncoder(lambda cuts: [asked.append(c) or (b"\x05\0\0\0" if c else b"") for c in cuts], 1000)
+    for _ in range(2):
+        ids, lengths = encoder(["one two", "", "one"], 9)
+        assert ids.tolist() == [5, 5, 9, 9, 5, 9] and lengths.tolist() == [3, 1, 2]
+    assert sorted(asked) == [" two", "one"]
+
+
+def test_known_words_are_not_asked_for_again():
+    """Words and signs are pieces of their own, so texts of known ones ask the library for nothing."""
+    asked, made = [], tokenids._library(P.path("byte_bpe_50k.json"))
+
+    def single(pieces):
+        asked.extend(pieces)
+        return made.single(pieces)
+
+    encoder = FlatEncoder(lambda pieces: asked.extend(pieces) or made.encode(pieces), 1000, single)
+    encoder(["one two, three.\nfour", " one four"], 0)
+    assert sorted(asked) == sorted(["one", " two", ",", " three", ".", "\n", "four", " one", " four"])
+    asked.clear()
+    ids, _ = encoder(pa.array(["x", "four two.\none, three,", "one. one"]).slice(1), 0)
+    assert not asked
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert ids.tolist() == [i for t in ("four two.\none, three,", "one. one") for i in [*library.encode(t).ids, 0]]
+
+
+@pytest.fixture(scope="module")
+def own():
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0'\u2019\u201c,.!a1sltveré×дЯ日。\u3000\u2003\u200b\u180e\ufeff\u0301\u02bc²_\x00\x7f"),
+                        max_size=30), max_size=6), st.integers(0, 30))
+def test_pieces_hold_whole_matches(own, texts, kept):
+    made = tokenids._library(P.path("byte_bpe_50k.json"))
+    encoder = FlatEncoder(made.encode, kept, made.single)
+    want = [[*e.ids, 0] for e in own.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, lengths = encoder(texts, 0)
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_letters_behind_any_code_point():
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    shapes = ["a{0}b", "a {0} b", "{0}'s", "'{0}", "1{0}2", ".{0}.", "\n{0}\n", "  {0}  x", "é{0} é"]
+    texts = ["".join(shapes[(k + j) % 9].format(c) for j, c in enumerate(points[k:k + 301])) for k in range(0, len(points), 301)]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids, lengths = tokenids._library(P.path("byte_bpe_50k.json"))(texts, 0)
+    want = [[*e.ids, 0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_model_that_leaves_bytes_out_is_not_asked_for_matches():
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert tokenids._matches(library) is not None
+    from tokenizers import models
+
+    library.model = models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")])
+    assert tokenids._matches(library) is None
+
+
+def test_batches_of_many_sizes(spark, tmp_path, monkeypatch):
+    """Texts beyond a batch, empty ones and null ids come back whole and in order."""
+    monkeypatch.setattr(tokenids, "BATCH_BYTES", 50)
+    monkeypatch.setattr(tokenids, "SEGMENT", 30)
+    rows = [(None, "no id"), (None, None)] + [(i, ["", None, "a, b. " * i, "word" * i, "é\n\n" * i][i % 5]) for i in range(40)]
+    tokenids.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), str(tmp_path / "ids"), P.path("byte_bpe_50k.json"))
+    got = sorted(tokenids.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: [*library.encode(t or "").ids, 0] for i, t in rows[2:]}
+    assert [r.doc_id for r in got] == [None, None, *range(40)]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert all(list(memoryview(bytes(r.ids)).cast("I")) == want[r.doc_id] and r.n_tokens == len(want[r.doc_id]) for r in got[2:])
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
+    tokenids.write_ids(empty, str(tmp_path / "empty"), P.path("byte_bpe_50k.json"))
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in tokenids.read_ids(spark, str(tmp_path / "empty")).collect()) == [(1, 0, 1), (2, 1, 1)]
