@@ -17,7 +17,7 @@ def _joined(nodes: str, field: str, sep: str) -> Column:
 
 
 _TEXT = ("ord", "tag", "text", "block", "in_link")
-_MARKUP = ("ord", "kind", "before", "after", "text")
+_MARKUP = ()  # a run's markup as a whole
 _SCORED = ("ord", "end_ord", "elem", "kind", "tag", "before", "after", "text", "block", "in_link", "parent", "grand")
 
 
@@ -37,10 +37,11 @@ def _judged(pages: DataFrame, key: str, url: str, html: str, min_chars: int) ->
     `may_read` is false if the page has no long block: `readable_content`
     counts no other text.
     """
-    nodes = packed_nodes(pages, key, html, [url], _TEXT, texts=True, errors=True)
+    nodes = packed_nodes(pages, key, html, [url], _TEXT, texts=True, errors=True, leaves=True)
     pruned = unpacked(prune_nodes(nodes, [key], url, also=F.col("tag") == "head"))
     failed = F.col("kind") == "error"
-    grouped = pruned.where((F.col("kind") == "text") | failed).groupBy(key, "block").agg(
+    # leaves are blocks without a text that counts
+    grouped = pruned.where(F.col("kind").isin("text", "leaves") | failed).groupBy(key, "block").agg(
         F.max("tag").alias("tag"), F.max(F.when(failed, F.col("text"))).alias("error"),
         F.array_sort(F.collect_list(F.struct("ord", "text", "in_link"))).alias("nodes"),
     )
@@ -90,10 +91,13 @@ def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", h
     so_far = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     page, ends = Window.partitionBy(key), Window.partitionBy(key, "elem")
     block, target = Window.partitionBy(key, "block"), Window.partitionBy(key, "_target")
-    packed = packed_nodes(pages, key, html, [url], _SCORED)
+    packed = packed_nodes(pages, key, html, [url], _SCORED, leaves=True)
     nodes = unpacked(prune_nodes(packed, [key], url, also=F.col("tag") == "head"))
     text = F.when(F.col("kind") == "text", strip_ws(F.col("text"))).otherwise(F.lit(""))
-    sized = computed(nodes, nodes.columns, {"_chars": F.length(text), "_commas": F.regexp_count(text, F.lit("[,;，、]"))})
+    sized = computed(nodes, nodes.columns, {
+        "_chars": F.when(F.col("kind") == "leaves", F.col("chars")).otherwise(F.length(text)),
+        "_commas": F.regexp_count(text, F.lit("[,;，、]")),
+    })
 
     def held(c: Column) -> Column:
         return F.max(F.sum(c).over(so_far)).over(ends) - F.min(F.sum(c).over(so_far)).over(ends)
@@ -136,7 +140,7 @@ def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", h
 def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
                     min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
     """(key, html): the first article with enough text; main elements count only on a page without article."""
-    nodes = packed_nodes(pages, key, html, [url], _MARKUP)
+    nodes = packed_nodes(pages, key, html, [url], _MARKUP, leaves=True)
     page = Window.partitionBy(key)
     opened = F.when((F.col("kind") == "open") & (F.col("tag") == "article"), F.lit(1))
     mains = F.collect_set(F.when((F.col("kind") == "open") & (F.col("tag") == "main"), F.col("ord"))).over(page)
@@ -144,7 +148,7 @@ def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", ht
         F.coalesce(F.max(opened).over(page), F.lit(0)) == 1, F.array_except("within", mains)
     ).otherwise(F.col("within"))
     candidates = nodes.withColumn("within", own).withColumn("cand", F.explode("within"))
-    whole = rebuild(unpacked(prune_nodes(candidates, [key, "cand"], url)), [key, "cand"])
+    whole = rebuild(prune_nodes(candidates, [key, "cand"], url), [key, "cand"])
     best = whole.where(F.length("text") >= min_chars).groupBy(key).agg(F.min(F.struct("cand", "html")).alias("best"))
     return best.select(key, F.col("best.html").alias("html"))
 

@@ -8,6 +8,7 @@ removing subtrees is a running maximum instead of a tree walk.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 from html import escape
@@ -33,12 +34,22 @@ BLOCK_TAGS = frozenset((
 ))
 RAW_TEXT_TAGS = frozenset(("script", "style", "template"))
 CANDIDATE_TAGS = frozenset(("article", "main"))
+#: Tags that rules look at.  An element of any other tag, without role, class and href, is in no rule's reach.
+_JUDGED = frozenset((*settings.REMOVED_TAGS, *settings.LINKY_TAGS, "a", "img", "head", *CANDIDATE_TAGS))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# a stretch of short leaves: whole block elements that no rule judges, with nothing but a text too short to count as a block,
+# whose ampersands begin no reference.  It is its own markup but for those, and the tokeniser is in the same state after it.
+_SHORT = settings.BLOCK_MIN_CHARS - 1
+_LEAVES = re.compile(
+    rf"(?:<({'|'.join(sorted(BLOCK_TAGS - _JUDGED - _HEADINGS))})>"
+    rf"(?:[^<>&]{{0,{_SHORT}}}|(?:[^<>&]|&(?![#A-Za-z])){{0,{_SHORT}}})</\1>){{1,4096}}+")
+_TAG = re.compile("<[^>]*>")
 
 NODE = T.StructType([
     T.StructField("ord", T.IntegerType()),       # position in the page
     T.StructField("end_ord", T.IntegerType()),   # last position of the subtree
     T.StructField("elem", T.IntegerType()),      # ord of the element opened or closed, else ord
-    T.StructField("kind", T.StringType()),       # open | close | void | text | raw | comment | error
+    T.StructField("kind", T.StringType()),       # open | close | void | text | raw | comment | error; packed: run | leaves
     T.StructField("tag", T.StringType()),        # of text: the tag of its block
     T.StructField("role", T.StringType()),
     T.StructField("class", T.StringType()),
@@ -52,6 +63,7 @@ NODE = T.StructType([
     T.StructField("parent", T.IntegerType()),    # of an element: ord of the element around it, -1 without one
     T.StructField("grand", T.IntegerType()),     # ord of the element around that
 ])
+_AT = {f.name: i for i, f in enumerate(NODE.fields)}
 _ARROW_TYPES = {"integer": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array": pa.list_(pa.int32())}
 
 
@@ -59,27 +71,46 @@ class _PageReader(HTMLParser):
     """Turns pages into node rows; rules are applied later, in Spark.
 
     Each open element carries what its descendants inherit: block, link, raw
-    text and enclosing candidates.
+    text and enclosing candidates.  A row has one more value than fields:
+    whether a rule may judge its element.
+
+    With `leaves`, a stretch of short leaves is read at once and is one row of
+    kind leaves, whose `before` is the stretch as it was read.
     """
 
-    def __init__(self):
+    def __init__(self, leaves=False):
         super().__init__(convert_charrefs=True)
+        self.leaves, self.size = leaves, 0
         self.rows, self.stack, self.text, self.open = [], [], [], Counter()
         self.top = ("", "", 0, False, False, ())  # tag, block tag, block, in link, raw, within
 
-    def _add(self, kind, tag=None, elem=None, role=None, cls=None, href=None, before=None, after=None, text=None):
-        at = len(self.rows)
+    def _add(self, kind, tag=None, elem=None, role=None, cls=None, href=None, before=None, after=None, text=None, judged=False):
+        at = self.size
+        self.size += 1
         _, block_tag, block, in_link, _, within = self.top
         parent = grand = None
         if kind in ("open", "void"):
-            around = self.stack[-3:-1] if kind == "open" else self.stack[-2:]  # an open element is on the stack itself
-            grand, parent = ([-1, -1] + [a for a, _ in around])[-2:]
+            around = self.stack[-2:]
+            grand, parent = ([-1, -1] + [row[0] for row, _ in around])[-2:]
         self.rows.append([
             at, at, at if elem is None else elem, kind, block_tag if kind == "text" else tag,
-            role, cls, href, before, after, text, block, in_link, within, parent, grand,
+            role, cls, href, before, after, text, block, in_link, within, parent, grand, judged,
         ])
         return at
 
+    def parse_starttag(self, i):
+        found = _LEAVES.match(self.rawdata, i) if self.leaves and not self.top[4] else None
+        if not found:
+            return super().parse_starttag(i)
+        self._flush()
+        markup, at = found[0], self.size
+        tags = markup.count("<")
+        self.size += 2 * tags - 1 - markup.count("><")  # and a text between two tags that do not touch
+        self.rows.append([
+            at, self.size - 1, at, "leaves", None, None, None, None, markup, "", None, at, self.top[3], self.top[5], None, None, False,
+        ])
+        return found.end()
+
     def _flush(self):
         if self.text:
             text = "".join(self.text)
@@ -111,20 +142,22 @@ class _PageReader(HTMLParser):
                 before += shown
             else:
                 after += shown
+        judged = tag in _JUDGED or bool(role or cls) or href is not None
         if tag in VOID_TAGS:
-            self._add("void", tag, None, role, cls, href, before, after + "/>")
+            self._add("void", tag, None, role, cls, href, before, after + "/>", judged=judged)
             return
-        at = len(self.rows)
+        at = self.size
         _, block_tag, block, in_link, raw, within = self.top
         if tag in BLOCK_TAGS:
             block_tag, block = tag, at
-        self.stack.append((at, self.top))
+        outer = self.top
         self.open[tag] += 1
         self.top = (
             tag, block_tag, block, in_link or tag == "a", raw or tag in RAW_TEXT_TAGS,
             (*within, at) if tag in CANDIDATE_TAGS else within,
         )
-        self._add("open", tag, None, role, cls, href, before, after + ">")
+        self._add("open", tag, None, role, cls, href, before, after + ">", judged=judged)
+        self.stack.append((self.rows[-1], outer))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -139,8 +172,8 @@ class _PageReader(HTMLParser):
 
     def _close_top(self):
         tag = self.top[0]
-        at, outer = self.stack.pop()
-        self.rows[at][1] = self._add("close", tag, at, before=f"</{tag}>", after="")
+        row, outer = self.stack.pop()
+        row[1] = self._add("close", tag, row[0], before=f"</{tag}>", after="", judged=row[-1])
         self.top = outer
         self.open[tag] -= 1
         return tag
@@ -158,19 +191,18 @@ _CHUNK = 50_000  # nodes in one batch
 _PART_BYTES = 2 << 20  # of pages in one task: as nodes, they take up to a hundred times as much
 
 
-def _nodes_of(page: str) -> list[list]:
+def _nodes_of(page: str, leaves: bool = False) -> list[list]:
     """Node rows of a page; a page that the tokeniser refuses is one row of kind error with the reason."""
     try:
-        return _PageReader().page(page)
+        return _PageReader(leaves).page(page)
     except (AssertionError, ValueError) as e:
-        return [[0, 0, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}", 0, False, (), None, None]]
+        return [[0, 0, 0, "error", None, None, None, None, None, None, f"{type(e).__name__}: {e}", 0, False, (), None, None, True]]
 
 
 _RUN = 4096  # nodes in one run
 _SEPARATOR = "\0"  # between the texts of a run's nodes; a page that holds it is not packed
-#: Tags that rules look at.  An element of any other tag, without role, class and href, is in no rule's reach.
-_JUDGED = frozenset((*settings.REMOVED_TAGS, *settings.LINKY_TAGS, "a", "img", "head", *CANDIDATE_TAGS))
-_AT = {f.name: i for i, f in enumerate(NODE.fields)}
+#: Of a run or of leaves: characters of its texts, each as `strip_ws` leaves it, and the number of those that are not blank.
+_SIZES = (T.StructField("chars", T.IntegerType()), T.StructField("pieces", T.IntegerType()))
 
 
 def _joined(field: str) -> bool:
@@ -178,43 +210,82 @@ def _joined(field: str) -> bool:
     return isinstance(NODE[field].dataType, T.StringType)
 
 
-def _packed(found: list[list], part: list[list], texts: bool) -> list[list]:
-    """Rows of a part of a page, with what no rule can part as one row of kind run that holds its nodes.
+def _measured(r: list) -> tuple[list[str], int]:
+    """Words of a text or of leaves, and the number of their texts that are not blank."""
+    kind = r[_AT["kind"]]
+    if kind == "leaves":
+        read = r[_AT["before"]]
+        name = read[1:read.index(">")]
+        # no leaf has a tag's signs in its text
+        texts = _TAG.sub(">", read.replace(f"</{name}><{name}>", ">"))
+        words = texts.replace(">", " ").split()
+        return words, len(words) if len(texts.split()) == 1 else sum(map(bool, map(str.strip, texts.split(">"))))
+    words = r[_AT["text"]].split() if kind == "text" else []
+    return words, bool(words)
+
+
+def _markup_of(r: list) -> str:
+    """As `prune.node_markup`, of a node without href."""
+    kind, text = r[_AT["kind"]], r[_AT["text"]]
+    if kind == "leaves":
+        return r[_AT["before"]].replace("&", "&amp;")
+    return escape(text, quote=False) if kind == "text" else text if kind == "raw" else r[_AT["before"]] + r[_AT["after"]]
+
+
+def _packed(part: list[list], inner: Sequence[str], texts: bool) -> list[list]:
+    """Rows of a part of a page, with what no rule can part as one row of kind run.
 
     A node is removed with an element around it, so nodes go together unless a
-    judged element begins or ends between them.  With `texts`, a run holds
-    only its texts, and one without text is left out.
+    judged element begins or ends between them.  A run holds its nodes as a
+    list, or, without `inner`, its markup in `before` and its words in `text`.
+    With `texts`, a run holds only its texts, and one without text is left out.
     """
-    role, cls, href, tag, kind, elem = (_AT[n] for n in ("role", "class", "href", "tag", "kind", "elem"))
+    kind, text, before = _AT["kind"], _AT["text"], _AT["before"]
     rows, run = [], []
 
+    def measured(nodes):
+        words, pieces = [], 0
+        for r in nodes:
+            more, n = _measured(r)
+            words += more
+            pieces += n
+        joined = " ".join(words)  # a word has a blank after it, but for the last of its text
+        return joined, len(joined) + bool(words) - pieces, pieces
+
     def close():
-        inner = [r for r in run if r[kind] == "text"] if texts else list(run)
-        if inner:
-            first = run[0]
-            row = [None] * len(NODE.fields)
-            row[_AT["ord"]] = row[elem] = first[_AT["ord"]]
-            row[_AT["end_ord"]], row[kind], row[_AT["within"]] = run[-1][_AT["ord"]], "run", first[_AT["within"]]
-            rows.append([*row, inner])
+        held = [r for r in run if r[kind] == "text"] if texts else list(run)
+        if held:
+            row = run[0][:-1]
+            row[_AT["end_ord"]] = run[-1][_AT["end_ord" if run[-1][kind] == "leaves" else "ord"]]
+            for name in ("tag", "role", "class", "href", "before", "after", "text", "block", "in_link", "parent", "grand"):
+                row[_AT[name]] = None
+            row[_AT["elem"]], row[kind] = row[_AT["ord"]], "run"
+            words, *sizes = measured(run)
+            if not inner:
+                row[text], row[before], row[_AT["after"]] = words, "".join(map(_markup_of, run)), ""
+            rows.append([*row, *sizes, held if inner else ()])
         run.clear()
 
     for r in part:
-        free = r[kind] in ("text", "raw", "comment")
-        if not free and r[kind] != "error":
-            own = found[r[elem]]
-            free = own[tag] not in _JUDGED and not own[role] and not own[cls] and own[href] is None
+        free = not r[-1] and not (inner and r[kind] == "leaves")
         if not free or len(run) == _RUN:
             close()
         if free:
             run.append(r)
         else:
-            rows.append([*r, ()])
+            own = r[kind] == "leaves"
+            rows.append([*r[:-1], *(measured([r])[1:] if own else (None, None)), ()])
+            if own:
+                rows[-1][before] = None if texts else _markup_of(r)
     close()
     return rows
 
 
-def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] = (), texts: bool = False):
-    """Pages to nodes, in batches of bounded size however many nodes a page has."""
+def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] | None = None, texts: bool = False, leaves: bool = False):
+    """Pages to nodes, in batches of bounded size however many nodes a page has.
+
+    With `inner`, also an empty one, they are packed.
+    """
     def column(values, field):
         return pa.array(values, _ARROW_TYPES[NODE[field].dataType.typeName()])
 
@@ -228,6 +299,8 @@ def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] = (), texts: bool
     def batch_of(source, rows, places):
         kept = [source.column(n).take(pa.array(places)) for n in source.schema.names if n != html]
         own = [column([r[i] for r in rows], f.name) for i, f in enumerate(NODE.fields)]
+        if inner is not None:
+            own += [pa.array([r[i] for r in rows], pa.int32()) for i in (-3, -2)]
         if inner:
             own.append(pa.StructArray.from_arrays([held([r[-1] for r in rows], n) for n in inner], list(inner)))
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *own], out)], schema=out)
@@ -238,13 +311,15 @@ def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] = (), texts: bool
             pages = source.column(html)
             for place in range(len(pages)):
                 page = pages[place].as_py()
-                found = _nodes_of(page) if page else []
+                whole = inner is None or _SEPARATOR in (page or "")
+                found = _nodes_of(page, leaves and not whole) if page else []
                 for k in range(0, len(found), _CHUNK):
                     part = found[k:k + _CHUNK]
-                    size += len(part)
+                    last = part[-1]
+                    size += last[1 if last[3] == "leaves" else 0] - part[0][0] + 1
                     made = part
-                    if inner:
-                        made = [[*r, ()] for r in part] if _SEPARATOR in page else _packed(found, part, texts)
+                    if inner is not None:
+                        made = [[*r[:-1], None, None, ()] for r in part] if whole else _packed(part, inner, texts)
                     rows += made
                     places += [place] * len(made)
                     if size >= _CHUNK:
@@ -264,15 +339,17 @@ def _parts(pages: DataFrame, html: str) -> int:
     return max(least, -(-size // _PART_BYTES))
 
 
-def _dealt(pages: DataFrame, key: str, html: str, keep: Sequence[str], errors: bool, inner: Sequence[str] = (),
-           texts: bool = False) -> DataFrame:
+def _dealt(pages: DataFrame, key: str, html: str, keep: Sequence[str], errors: bool, inner: Sequence[str] | None = None,
+           texts: bool = False, leaves: bool = False) -> DataFrame:
     source = pages.select(key, *keep, html)
     fields = [*(f for f in source.schema if f.name != html), *NODE.fields]
+    if inner is not None:
+        fields += _SIZES
     if inner:
         fields.append(T.StructField("inner", T.StructType([
             T.StructField(n, T.StringType() if _joined(n) else T.ArrayType(NODE[n].dataType)) for n in inner])))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    work = _tokenise(html, to_arrow_schema(schema), inner, texts)
+    work = _tokenise(html, to_arrow_schema(schema), inner, texts, leaves)
     nodes = source.mapInArrow(work, schema).repartition(_parts(source, html), key)
     return nodes if errors else nodes.where(F.col("kind") != "error")
 
@@ -288,14 +365,20 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
 
 
 def packed_nodes(pages: DataFrame, key: str, html: str, keep: Sequence[str], fields: Sequence[str], texts: bool = False,
-                 errors: bool = False) -> DataFrame:
+                 errors: bool = False, leaves: bool = False) -> DataFrame:
     """As `html_nodes`, but nodes that pruning can only remove together are one row of kind run: what is shuffled
     and pruned follows the page's links and containers, not its words.
 
     Column `inner` holds the given fields of a run's nodes, with `texts` those
-    of its texts only; `unpacked` gives them rows of their own again.
+    of its texts only; `unpacked` gives them rows of their own again.  Without
+    fields a run has its markup in `before` and its words in `text`.
+
+    With `leaves`, a stretch of block elements whose texts are all too short for
+    a block, and which hold nothing else, is one row of kind leaves, also after
+    `unpacked`, with its markup in `before` unless only texts are asked for.
+    Columns `chars` and `pieces` are the sizes of the texts of a run or of leaves.
     """
-    return _dealt(pages, key, html, keep, errors, fields, texts)
+    return _dealt(pages, key, html, keep, errors, fields, texts, leaves)
 
 
 def of_run(nodes: DataFrame, field: str) -> Column:

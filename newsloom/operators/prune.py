@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsloom import settings
 from newsloom.functions.text import strip_ws, xml_escape
 from newsloom.functions.urls import resolve_url
-from newsloom.operators.nodes import drop_subtrees, is_element, of_run
+from newsloom.operators.nodes import drop_subtrees, is_element
 
 
 def blocked_tag() -> Column:
@@ -34,12 +34,6 @@ def image() -> Column:
     return F.col("tag") == "img"
 
 
-def _chars_of_run(nodes: DataFrame) -> Column:
-    sizes = F.zip_with(of_run(nodes, "text"), of_run(nodes, "kind"),
-                       lambda text, kind: F.when(kind == "text", F.length(strip_ws(text))).otherwise(0))
-    return F.aggregate(sizes, F.lit(0), lambda n, size: n + F.when(size > 0, size + 1).otherwise(0))
-
-
 def drop_linky(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove lists and divs that are mostly links.
 
@@ -53,8 +47,8 @@ def drop_linky(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     size = F.length(strip_ws(F.col("text")))
     # each text piece and one space after it
     chars = F.when((F.col("kind") == "text") & (size > 0), size + 1)
-    if "inner" in nodes.columns:  # packed nodes
-        chars = F.when(F.col("kind") == "run", _chars_of_run(nodes)).otherwise(chars)
+    if "pieces" in nodes.columns:  # packed nodes
+        chars = F.when(F.col("kind").isin("run", "leaves"), F.col("chars") + F.col("pieces")).otherwise(chars)
     counted = nodes.withColumn(
         "_links", F.count_if((F.col("kind") == "open") & (F.col("tag") == "a")).over(so_far)
     ).withColumn(
@@ -115,7 +109,7 @@ def rebuild(nodes: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) ->
     return nodes.groupBy(*keys).agg(
         *(F.first(c).alias(c) for c in carry),
         in_order(node_markup(), "").alias("html"),
-        strip_ws(in_order(F.when(F.col("kind") == "text", F.col("text")), " ")).alias("text"),
+        strip_ws(in_order(F.when(F.col("kind").isin("text", "run"), F.col("text")), " ")).alias("text"),
     )
 
 

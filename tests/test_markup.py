@@ -1,5 +1,7 @@
 """Pruning rules on small pages, one case per rule."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,36 @@ def test_words_that_are_paragraphs_are_not_shuffled_one_by_one(spark):
     assert got.method == "element" and got.content_html.startswith("<article><p>word</p><p>word</p>")
 
 
+LINKED = "<p><a href='/x'>" + "a headline that is long, " * 4 + "</a>" + "and what it is about, " * 3 + "</p>"
+LEAVES = [
+    *PACKED, "<article><p>" + "w</p><p>" * 200 + "</p>loose <p> two  words </p><p>a&amp;b</p><p>a>b</p><td>c</td><p>\n</p><p></p></article>",
+    *(f"<body><main>{'<p>word</p>' * 80}<div>{'<a>x</a>' * 5}<p>{'y' * 20}</p><li>{'z' * n}</li><p>{' q ' * 3}</p>{'<p>four</p>' * 32}</div></main></body>"
+      for n in range(8, 18)),
+    "<article><template><p>raw</p><p>raw</p></template><script><p>x</p></script><!-- <p>c</p> -->" + "<p>one\u00a0two</p><p>R & D&&&</p><p>&lt&</p><p>&#65;&;</p>" * 30 + "</article>",
+    "<article><a href='/l'>" + "<p>in a link</p>" * 40 + "</a><i title='<p>x</p>'>i</i><h2>head</h2><p>five <b>six</b></p></p></article>",
+    f"<body><div>{LINKED * 2}<p>short</p><li>s</li>{LINKED}</div><section><p>no</p><p>yes</p></section></body>",
+    f"<body><h3>Head</h3><p>short</p><p>{'a sentence that counts, ' * 8}</p><li>short</li><p>short</p><p>{'b' * 25}</p></body>",
+    f"<body><div><a href='/y'>{'<p>linked, text</p>' * 30}</a>{LINKED}<p>{'s' * 24}</p><p>{'t' * 25}</p></div></body>",
+]
+
+
+def test_short_leaves_are_read_at_once(spark, monkeypatch):
+    """A word as a paragraph cost three nodes in Python and in every stage; the content must be the same."""
+    page = "<body><article><p>" + "word</p><p>" * 3000 + "</p></article></body>"
+    assert len(nodes._nodes_of(page, leaves=True)) <= 10 and nodes._nodes_of(page)[-1][0] == nodes._nodes_of(page, True)[-1][0]
+    df = spark.createDataFrame([(i, "https://ex.org/a/", p) for i, p in enumerate(LEAVES)], "page_id int, url string, html string")
+    for fields, texts in ((content._TEXT, True), (content._SCORED, False)):
+        packed = nodes.unpacked(nodes.packed_nodes(df.where("html IS NOT NULL"), "page_id", "html", ["url"], fields, texts, leaves=True))
+        assert packed.where("kind = 'leaves' AND page_id = 8").agg(F.sum("pieces")).first()[0] == 202
+
+    def found():
+        return {r.page_id: (r.method, r.content_html, r.error) for r in content.main_content(df).collect()}
+
+    got = found()
+    monkeypatch.setattr(nodes, "_LEAVES", re.compile("(?!)"))
+    assert got == found() and {m for m, _, _ in got.values()} == {None, "blocks", "readability", "element"}
+
+
 def test_long_blocks_of_a_repeated_page_count_as_often(spark):
     page = "<body><div><p>" + "forty letters, " * 2 + "some more.</p></div></body>"
     df = spark.createDataFrame([(1, "u", page)] * 2, "page_id int, url string, html string")
