@@ -254,6 +254,27 @@ def test_stream_dedup_has_a_state_partition_per_core(spark, tmp_path):
         assert set(states) == {want} and spark.read.parquet(str(out)).count() == 2
 
 
+@pytest.mark.parametrize("dedup", [stream_feeds.new_items, stream_feeds.new_items_within])
+def test_stream_dedup_keeps_its_state_on_disk(spark, tmp_path, dedup):
+    """A map in the heap is copied by every batch; a store that the session names is left alone."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    for given in (None, own):
+        feeds_dir, out, state = (tmp_path / f"{n}{given is None}" for n in ("in", "out", "state"))
+        feeds_dir.mkdir()
+        if given:
+            spark.conf.set(name, given)
+        try:
+            for n, ids in enumerate([(1, 2, 2), (2, 3)]):
+                (feeds_dir / f"{n}.xml").write_text(document(*(item(i) for i in ids)))
+                entries = dedup(stream_feeds.stream_entries(spark, str(feeds_dir)))
+                stream_feeds.append_to(entries, str(out), str(state)).awaitTermination()
+            assert spark.conf.get(name, None) == given
+        finally:
+            spark.conf.unset(name)
+        kinds = {p.suffix for p in state.glob("state/0/*/*")} & {".changelog", ".delta"}
+        assert kinds == {".delta" if given else ".changelog"} and spark.read.parquet(str(out)).count() == 3
+
+
 def test_stream_counts_equal_batch_counts(spark, tmp_path):
     landed_at, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [(NOW + dt.timedelta(hours=7 * i), f"s{i % 3}") for i in range(40)]
