@@ -44,6 +44,21 @@ _GRAMMAR = (
 )
 
 
+# The two standard forms, with a month that is one and an hour under 24: read as they are.
+_CLOCK = r"(?:[01]\d|2[0-3]):\d\d:\d\d"
+_RFC_3339 = rf"^\d{{4}}-(?:0\d|1[0-2])-\d\dT{_CLOCK}(?:Z|[+-]\d\d:\d\d)\z"
+_RFC_822 = rf"^(?:{'|'.join(_DAYS)}), \d\d (?:{'|'.join(_MONTHS)}) \d{{4}} {_CLOCK} (?:GMT|[+-]\d{{4}})\z"
+
+
+def _rfc_822(t: Column) -> Column:
+    """ISO text of a date in that form."""
+    offset = F.when(F.endswith(t, F.lit("GMT")), F.lit("Z")).otherwise(
+        F.concat(F.substring(t, 27, 3), F.lit(":"), F.substring(t, 30, 2)))
+    month = F.lpad(((F.instr(F.lit("".join(_MONTHS)), F.substring(t, 9, 3)) + 2) / 3).cast("int").cast("string"), 2, "0")
+    return F.concat(
+        F.substring(t, 13, 4), F.lit("-"), month, F.lit("-"), F.substring(t, 6, 2), F.lit("T"), F.substring(t, 18, 8), offset)
+
+
 def parse_date_text(text: Column, zone: str = settings.DEFAULT_TIMEZONE) -> Column:
     """Instant of one date text, NULL where its tokens do not make a date.
 
@@ -51,13 +66,17 @@ def parse_date_text(text: Column, zone: str = settings.DEFAULT_TIMEZONE) -> Colu
     their order must fit a small grammar; every field is then the token of its
     class.  Local times belong to `zone`, a month without a day means its first
     day, 24:00 is the end of its day, and a date that does not exist gives NULL.
+    The standard forms of RSS and Atom mean the same without being cut.
     """
-    cut = F.regexp_extract_all(F.trim(text), F.lit(_TOKEN), F.lit(1))
-    tokens = F.filter(cut, lambda t: t != "")
-    return bind(tokens, lambda ts: bind(
-        F.array_join(F.transform(ts, _class), ""),
-        lambda shape: F.when(shape.rlike(_GRAMMAR), bind(_fields(ts, shape), lambda f: _canonical(f, zone).try_cast("timestamp"))),
-    ))
+    def judged(t: Column) -> Column:
+        tokens = F.filter(F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(1)), lambda x: x != "")
+        return bind(tokens, lambda ts: bind(
+            F.array_join(F.transform(ts, _class), ""),
+            lambda shape: F.when(shape.rlike(_GRAMMAR), bind(_fields(ts, shape), lambda f: _canonical(f, zone))),
+        ))
+
+    return bind(F.trim(text), lambda t: (
+        F.when(t.rlike(_RFC_822), _rfc_822(t)).when(t.rlike(_RFC_3339), t).otherwise(judged(t)).try_cast("timestamp")))
 
 
 def _class(token: Column) -> Column:

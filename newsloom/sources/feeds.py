@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newsloom import settings
-from newsloom.functions.bind import computed
+from newsloom.functions.bind import compiled, computed
 from newsloom.functions.dates import parse_date
 from newsloom.functions.text import html_text, strip_ws
 from newsloom.functions.urls import clean_url, is_bad_url
@@ -114,9 +114,9 @@ def read_entry(parsed: DataFrame, keep: list[str], entry: Column, zone: str) ->
     """
     broken = entry[CORRUPT]
     again = F.from_xml(_unprefixed(repaired(broken)), ENTRY, _PERMISSIVE)
-    once = computed(parsed, keep, {"_e": F.when(broken.isNull(), entry).otherwise(again), "_broken": broken.isNotNull()})
+    once = compiled(parsed, keep, {"_e": F.when(broken.isNull(), entry).otherwise(again), "_broken": broken.isNotNull()})
     texts = computed(once, [*keep, "_broken"], entry_texts(F.col("_e")))
-    return computed(texts, [*keep, "corrupt"], {
+    return compiled(texts, [*keep, "corrupt"], {
         "repaired": F.col("_broken") & ~F.col("corrupt"),
         "title": strip_ws(F.col("_title")),
         "url": clean_url(F.col("_link")),

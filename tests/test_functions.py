@@ -85,6 +85,23 @@ def test_ambiguous_hour_takes_the_earlier_instant(spark):
     assert got == ["2025-04-05T15:30:00+00:00"]
 
 
+def test_standard_dates_mean_the_same_without_being_cut(spark, monkeypatch):
+    texts = [
+        "Tue, 19 Aug 2025 10:10:24 +1000", "Mon, 19 Aug 2025 23:59:59 GMT", " Fri, 31 Feb 2025 00:00:00 -0330 ", "Sun, 00 Jan 2025 01:02:03 +0000",
+        "Tue, 19 Aug 2025 10:10:60 +1000", "Tue, 19 Aug 2025 24:00:00 GMT", "Tue, 19 Aug 2025 10:10:24 GMT\n", "Tue, 19 Aug 2025 10:10:24 +1000 x",
+        "Wed, 01 Dec 0099 10:10:24 +1900", "2025-08-14T19:02:25Z", "2025-13-05T19:02:25Z", "2025-00-14T19:02:25+10:00", "2025-02-30T19:02:25-09:30",
+        "2025-08-14T24:00:00Z", "2025-08-14T19:02:61Z", "2025-08-14T19:02:25Z\n", "2025-08-14T19:02:25+19:30", "0000-08-14T19:02:25Z", None, "",
+    ]
+
+    def found():
+        return column(spark, texts, lambda x: F.unix_micros(dates.parse_date_text(x)))
+
+    got = found()
+    for name in ("_RFC_822", "_RFC_3339"):
+        monkeypatch.setattr(dates, name, "(?!)")
+    assert got == found() and sum(x is not None for x in got) >= 8
+
+
 def test_rss_date_and_display(spark):
     when = dates.parse_date_text
     assert column(spark, ["2025-08-19T10:10:24+10:00"], lambda x: dates.rss_date(when(x), "2025-01-01")) == [
