@@ -17,7 +17,7 @@ def _joined(nodes: str, field: str, sep: str) -> Column:
 
 
 _TEXT = ("ord", "tag", "text", "block", "in_link")
-_MARKUP = ()  # a run's markup as a whole
+_MARKUP = ("ord", "kind", "before", "after", "text")
 _SCORED = ("ord", "end_ord", "elem", "kind", "tag", "before", "after", "text", "block", "in_link", "parent", "grand")
 
 
@@ -31,13 +31,13 @@ def block_content(pages: DataFrame, key: str = "page_id", url: str = "url", html
         key, "html", "error")
 
 
-def _judged(pages: DataFrame, key: str, url: str, html: str, min_chars: int) -> DataFrame:
+def _judged(pages: DataFrame, key: str, url: str, html: str, min_chars: int, alone: str | None = None) -> DataFrame:
     """(key, html, error, may_read): html and error as in `block_content`, for every page with a text.
 
     `may_read` is false if the page has no long block: `readable_content`
     counts no other text.
     """
-    nodes = packed_nodes(pages, key, html, [url], _TEXT, texts=True, errors=True, leaves=True)
+    nodes = packed_nodes(pages, key, html, [url], _TEXT, texts=True, errors=True, leaves=alone)
     pruned = unpacked(prune_nodes(nodes, [key], url, also=F.col("tag") == "head"))
     failed = F.col("kind") == "error"
     # leaves are blocks without a text that counts
@@ -77,7 +77,7 @@ def _words(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-                     min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
+                     min_chars: int = settings.MIN_CONTENT_CHARS, alone: str | None = None) -> DataFrame:
     """(key, html): the element whose paragraphs score best, with the neighbours that score well too.
 
     A paragraph is a block with enough text of its own.  It gives points to the
@@ -91,7 +91,7 @@ def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", h
     so_far = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     page, ends = Window.partitionBy(key), Window.partitionBy(key, "elem")
     block, target = Window.partitionBy(key, "block"), Window.partitionBy(key, "_target")
-    packed = packed_nodes(pages, key, html, [url], _SCORED, leaves=True)
+    packed = packed_nodes(pages, key, html, [url], _SCORED, leaves=alone)
     nodes = unpacked(prune_nodes(packed, [key], url, also=F.col("tag") == "head"))
     text = F.when(F.col("kind") == "text", strip_ws(F.col("text"))).otherwise(F.lit(""))
     sized = computed(nodes, nodes.columns, {
@@ -138,9 +138,9 @@ def readable_content(pages: DataFrame, key: str = "page_id", url: str = "url", h
 
 
 def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-                    min_chars: int = settings.MIN_CONTENT_CHARS) -> DataFrame:
+                    min_chars: int = settings.MIN_CONTENT_CHARS, alone: str | None = None) -> DataFrame:
     """(key, html): the first article with enough text; main elements count only on a page without article."""
-    nodes = packed_nodes(pages, key, html, [url], _MARKUP, leaves=True)
+    nodes = packed_nodes(pages, key, html, [url], _MARKUP, leaves=alone, whole=True)
     page = Window.partitionBy(key)
     opened = F.when((F.col("kind") == "open") & (F.col("tag") == "article"), F.lit(1))
     mains = F.collect_set(F.when((F.col("kind") == "open") & (F.col("tag") == "main"), F.col("ord"))).over(page)
@@ -148,7 +148,7 @@ def element_content(pages: DataFrame, key: str = "page_id", url: str = "url", ht
         F.coalesce(F.max(opened).over(page), F.lit(0)) == 1, F.array_except("within", mains)
     ).otherwise(F.col("within"))
     candidates = nodes.withColumn("within", own).withColumn("cand", F.explode("within"))
-    whole = rebuild(prune_nodes(candidates, [key, "cand"], url), [key, "cand"])
+    whole = rebuild(unpacked(prune_nodes(candidates, [key, "cand"], url)), [key, "cand"])
     best = whole.where(F.length("text") >= min_chars).groupBy(key).agg(F.min(F.struct("cand", "html")).alias("best"))
     return best.select(key, F.col("best.html").alias("html"))
 
@@ -162,12 +162,15 @@ def main_content(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     its pages once.  Pages without content give '' and no method; `error` says
     why a page cannot be read.
     """
-    judged = stored(_judged(pages, key, url, html, min_chars), "blocks")
+    # the nodes of pages that share a key are mixed, one by one
+    shared = stored(pages.groupBy(key).count().where("count > 1").select(key, F.lit(False).alias("_alone")), "shared")
+    read = pages.select(key, url, html).join(shared, key, "left").withColumn("_alone", F.coalesce("_alone", F.lit(True)))
+    judged = stored(_judged(read, key, url, html, min_chars, "_alone"), "blocks")
     blocks = judged.where(F.col("html").isNotNull() | F.col("error").isNotNull()).drop("may_read")
-    left = stored(pages.select(key, url, html).join(blocks.select(key), key, "left_anti"), "left")
+    left = stored(read.join(blocks.select(key), key, "left_anti"), "left")
     long_texts = left.join(judged.where(~F.col("may_read")).select(key), key, "left_anti")
-    readable = stored(readable_content(long_texts, key, url, html, min_chars), "readable")
-    elements = element_content(left.join(readable.select(key), key, "left_anti"), key, url, html, min_chars)
+    readable = stored(readable_content(long_texts, key, url, html, min_chars, "_alone"), "readable")
+    elements = element_content(left.join(readable.select(key), key, "left_anti"), key, url, html, min_chars, "_alone")
     none = F.lit(None).cast("string")
     found = blocks.select(key, "html", F.when(F.col("error").isNull(), F.lit("blocks")).alias("method"), "error")
     for stage, method in ((readable, "readability"), (elements, "element")):

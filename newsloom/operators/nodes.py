@@ -232,13 +232,14 @@ def _markup_of(r: list) -> str:
     return escape(text, quote=False) if kind == "text" else text if kind == "raw" else r[_AT["before"]] + r[_AT["after"]]
 
 
-def _packed(part: list[list], inner: Sequence[str], texts: bool) -> list[list]:
+def _packed(part: list[list], texts: bool, whole: bool) -> list[list]:
     """Rows of a part of a page, with what no rule can part as one row of kind run.
 
     A node is removed with an element around it, so nodes go together unless a
     judged element begins or ends between them.  A run holds its nodes as a
-    list, or, without `inner`, its markup in `before` and its words in `text`.
-    With `texts`, a run holds only its texts, and one without text is left out.
+    list.  With `texts`, it holds only its texts, and one without text is left
+    out.  With `whole`, it has kind leaves, its markup in `before` and its words
+    in `text`.
     """
     kind, text, before = _AT["kind"], _AT["text"], _AT["before"]
     rows, run = [], []
@@ -261,13 +262,13 @@ def _packed(part: list[list], inner: Sequence[str], texts: bool) -> list[list]:
                 row[_AT[name]] = None
             row[_AT["elem"]], row[kind] = row[_AT["ord"]], "run"
             words, *sizes = measured(run)
-            if not inner:
-                row[text], row[before], row[_AT["after"]] = words, "".join(map(_markup_of, run)), ""
-            rows.append([*row, *sizes, held if inner else ()])
+            if whole:
+                row[kind], row[text], row[before], row[_AT["after"]] = "leaves", words, "".join(map(_markup_of, run)), ""
+            rows.append([*row, *sizes, () if whole else held])
         run.clear()
 
     for r in part:
-        free = not r[-1] and not (inner and r[kind] == "leaves")
+        free = not r[-1] and (whole or r[kind] != "leaves")
         if not free or len(run) == _RUN:
             close()
         if free:
@@ -281,11 +282,9 @@ def _packed(part: list[list], inner: Sequence[str], texts: bool) -> list[list]:
     return rows
 
 
-def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] | None = None, texts: bool = False, leaves: bool = False):
-    """Pages to nodes, in batches of bounded size however many nodes a page has.
-
-    With `inner`, also an empty one, they are packed.
-    """
+def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] = (), texts: bool = False, leaves: str | None = None,
+              whole: bool = False):
+    """Pages to nodes, in batches of bounded size however many nodes a page has."""
     def column(values, field):
         return pa.array(values, _ARROW_TYPES[NODE[field].dataType.typeName()])
 
@@ -297,11 +296,10 @@ def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] | None = None, tex
         return pa.ListArray.from_arrays(ends, column([x[at] for run in runs for x in run], field))
 
     def batch_of(source, rows, places):
-        kept = [source.column(n).take(pa.array(places)) for n in source.schema.names if n != html]
+        kept = [source.column(n).take(pa.array(places)) for n in source.schema.names if n not in (html, leaves)]
         own = [column([r[i] for r in rows], f.name) for i, f in enumerate(NODE.fields)]
-        if inner is not None:
-            own += [pa.array([r[i] for r in rows], pa.int32()) for i in (-3, -2)]
         if inner:
+            own += [pa.array([r[i] for r in rows], pa.int32()) for i in (-3, -2)]
             own.append(pa.StructArray.from_arrays([held([r[-1] for r in rows], n) for n in inner], list(inner)))
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *own], out)], schema=out)
 
@@ -311,15 +309,16 @@ def _tokenise(html: str, out: pa.Schema, inner: Sequence[str] | None = None, tex
             pages = source.column(html)
             for place in range(len(pages)):
                 page = pages[place].as_py()
-                whole = inner is None or _SEPARATOR in (page or "")
-                found = _nodes_of(page, leaves and not whole) if page else []
+                single = not inner or _SEPARATOR in (page or "")
+                alone = bool(leaves) and not single and source.column(leaves)[place].as_py()
+                found = _nodes_of(page, alone) if page else []
                 for k in range(0, len(found), _CHUNK):
                     part = found[k:k + _CHUNK]
                     last = part[-1]
                     size += last[1 if last[3] == "leaves" else 0] - part[0][0] + 1
                     made = part
-                    if inner is not None:
-                        made = [[*r[:-1], None, None, ()] for r in part] if whole else _packed(part, inner, texts)
+                    if inner:
+                        made = [[*r[:-1], None, None, ()] for r in part] if single else _packed(part, texts, whole and alone)
                     rows += made
                     places += [place] * len(made)
                     if size >= _CHUNK:
@@ -339,17 +338,16 @@ def _parts(pages: DataFrame, html: str) -> int:
     return max(least, -(-size // _PART_BYTES))
 
 
-def _dealt(pages: DataFrame, key: str, html: str, keep: Sequence[str], errors: bool, inner: Sequence[str] | None = None,
-           texts: bool = False, leaves: bool = False) -> DataFrame:
-    source = pages.select(key, *keep, html)
-    fields = [*(f for f in source.schema if f.name != html), *NODE.fields]
-    if inner is not None:
-        fields += _SIZES
+def _dealt(pages: DataFrame, key: str, html: str, keep: Sequence[str], errors: bool, inner: Sequence[str] = (),
+           texts: bool = False, leaves: str | None = None, whole: bool = False) -> DataFrame:
+    source = pages.select(key, *keep, html, *([leaves] if leaves else []))
+    fields = [*(f for f in source.schema if f.name not in (html, leaves)), *NODE.fields]
     if inner:
+        fields += _SIZES
         fields.append(T.StructField("inner", T.StructType([
             T.StructField(n, T.StringType() if _joined(n) else T.ArrayType(NODE[n].dataType)) for n in inner])))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    work = _tokenise(html, to_arrow_schema(schema), inner, texts, leaves)
+    work = _tokenise(html, to_arrow_schema(schema), inner, texts, leaves, whole)
     nodes = source.mapInArrow(work, schema).repartition(_parts(source, html), key)
     return nodes if errors else nodes.where(F.col("kind") != "error")
 
@@ -365,20 +363,21 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
 
 
 def packed_nodes(pages: DataFrame, key: str, html: str, keep: Sequence[str], fields: Sequence[str], texts: bool = False,
-                 errors: bool = False, leaves: bool = False) -> DataFrame:
+                 errors: bool = False, leaves: str | None = None, whole: bool = False) -> DataFrame:
     """As `html_nodes`, but nodes that pruning can only remove together are one row of kind run: what is shuffled
     and pruned follows the page's links and containers, not its words.
 
     Column `inner` holds the given fields of a run's nodes, with `texts` those
-    of its texts only; `unpacked` gives them rows of their own again.  Without
-    fields a run has its markup in `before` and its words in `text`.
+    of its texts only; `unpacked` gives them rows of their own again.
 
-    With `leaves`, a stretch of block elements whose texts are all too short for
-    a block, and which hold nothing else, is one row of kind leaves, also after
+    `leaves` names a column that is true for pages whose key no other page has.
+    Of those a stretch of block elements whose texts are all too short for a
+    block, and which hold nothing else, is one row of kind leaves, also after
     `unpacked`, with its markup in `before` unless only texts are asked for.
+    With `whole`, all their runs are such rows, with their words in `text`.
     Columns `chars` and `pieces` are the sizes of the texts of a run or of leaves.
     """
-    return _dealt(pages, key, html, keep, errors, fields, texts, leaves)
+    return _dealt(pages, key, html, keep, errors, fields, texts, leaves, whole)
 
 
 def of_run(nodes: DataFrame, field: str) -> Column:

@@ -109,7 +109,7 @@ def rebuild(nodes: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) ->
     return nodes.groupBy(*keys).agg(
         *(F.first(c).alias(c) for c in carry),
         in_order(node_markup(), "").alias("html"),
-        strip_ws(in_order(F.when(F.col("kind").isin("text", "run"), F.col("text")), " ")).alias("text"),
+        strip_ws(in_order(F.when(F.col("kind").isin("text", "leaves"), F.col("text")), " ")).alias("text"),
     )
 
 

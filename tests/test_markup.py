@@ -236,7 +236,8 @@ def test_short_leaves_are_read_at_once(spark, monkeypatch):
     assert len(nodes._nodes_of(page, leaves=True)) <= 10 and nodes._nodes_of(page)[-1][0] == nodes._nodes_of(page, True)[-1][0]
     df = spark.createDataFrame([(i, "https://ex.org/a/", p) for i, p in enumerate(LEAVES)], "page_id int, url string, html string")
     for fields, texts in ((content._TEXT, True), (content._SCORED, False)):
-        packed = nodes.unpacked(nodes.packed_nodes(df.where("html IS NOT NULL"), "page_id", "html", ["url"], fields, texts, leaves=True))
+        read = df.where("html IS NOT NULL").withColumn("alone", F.lit(True))
+        packed = nodes.unpacked(nodes.packed_nodes(read, "page_id", "html", ["url"], fields, texts, leaves="alone"))
         assert packed.where("kind = 'leaves' AND page_id = 8").agg(F.sum("pieces")).first()[0] == 202
 
     def found():
@@ -247,6 +248,14 @@ def test_short_leaves_are_read_at_once(spark, monkeypatch):
     assert got == found() and {m for m, _, _ in got.values()} == {None, "blocks", "readability", "element"}
 
 
+def test_pages_that_share_a_key_are_mixed_node_by_node(spark):
+    page = "<article>" + "<p>word</p><p>of</p>" * 40 + "</article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", page)], "page_id int, url string, html string")
+    got = {r.page_id: (r.method, r.content_html) for r in content.main_content(df).collect()}
+    twice = "<article><article>" + "<p><p>wordword</p></p><p><p>ofof</p></p>" * 40 + "</article></article>"
+    assert got == {1: ("element", twice), 2: ("element", page)}
+
+
 def test_long_blocks_of_a_repeated_page_count_as_often(spark):
     page = "<body><div><p>" + "forty letters, " * 2 + "some more.</p></div></body>"
     df = spark.createDataFrame([(1, "u", page)] * 2, "page_id int, url string, html string")
